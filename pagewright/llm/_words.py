@@ -47,35 +47,40 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def words(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word lower-cased in A-Z, words of each text). kind: which bytes make words."""
+def word_bounds(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each word, its end, words of each text) of texts raw[offs[i] : offs[i + 1]]. kind: which bytes make words."""
     if len(raw) == 0:
-        return np.zeros(0, U), np.zeros(len(offs) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offs) - 1, np.int64)
     inside = kind[raw]
     first = np.zeros(len(raw) + 1, bool)  # a text begins here
     first[offs] = True
     starts = np.flatnonzero(inside & (first[:-1] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+    return starts, ends, np.searchsorted(starts, offs[1:]) - np.searchsorted(starts, offs[:-1])
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word, lower-cased in A-Z."""
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
         # whole words of at most a few MB together; a longer word is a block of its own
         upto = min(at + BLOCK_WORDS, max(at + 1, int(np.searchsorted(ends, starts[at] + 4_000_000))))
-        a, b = starts[at], ends[upto - 1]
         lens = ends[at:upto] - starts[at:upto]
         head = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        letters = LOWER[raw[a:b][inside[a:b]]].astype(U) + U(1)
-        place = np.arange(len(letters)) - np.repeat(head, lens)
+        place = np.arange(head[-1] + lens[-1]) - np.repeat(head, lens)
+        letters = LOWER[raw[np.repeat(starts[at:upto], lens) + place]].astype(U) + U(1)
         power = np.multiply.accumulate(np.full(int(lens.max()), BASE))
         out[at:upto] = np.add.reduceat(letters * power[place], head) ^ (lens.astype(U) * MIX_B)
         at = upto
-    return mix(out), np.searchsorted(starts, offs[1:]) - np.searchsorted(starts, offs[:-1])
+    return mix(out)
 
 
-def hash_words(tokens: list[bytes]) -> np.ndarray:
-    """The hashes words() gives to these words."""
-    data = np.frombuffer(b" ".join(tokens), np.uint8)
-    return words(data, np.array([0, len(data)]), NOT_SPACE)[0] if tokens else np.zeros(0, U)
+def words(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text)."""
+    starts, ends, counts = word_bounds(raw, offs, kind)
+    return word_hashes(raw, starts, ends), counts
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

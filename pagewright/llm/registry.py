@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import chat, decontaminate, language, licenses, minhash, packing, pii, quality_rules, sharding, site_quality
 
-MODULES = (minhash,)
+MODULES = (licenses, chat, quality_rules, minhash, packing, decontaminate, language, pii, site_quality, sharding)
 
 
 def queries() -> dict:
