@@ -23,26 +23,28 @@ from pyspark.sql.window import Window
 from ._bpe import Encoder
 from ._common import rank_buckets, ranked, stash, table
 
+#: What a cut costs, in ids of padding.
+CUT = 4
+
 
 @lru_cache(4)
 def cuts(capacity: int) -> list[tuple[int, ...]]:
-    """For each length below capacity, the parts to cut it into: least waste, where a second part costs 2 ids and 1/512 of the length is nothing.
+    """For each length below capacity, the parts to cut it into: least waste, where each further part costs CUT ids.
 
-    A part of class k uses capacity / k of a sequence.
+    A part of class k uses capacity / k of a sequence. All parts but one are as long as their class allows.
     """
-    share = np.zeros(capacity + 1)
     sizes = np.arange(1, capacity + 1)
-    share[1:] = capacity / (capacity // sizes)
+    waste = np.concatenate(([0.0], capacity / (capacity // sizes) - sizes))
     ends = np.unique(capacity // sizes)  # the classes' longest parts
-    out: list[tuple[int, ...]] = [()]
+    cost, out = np.zeros(capacity), [()]
     for n in range(1, capacity):
+        cost[n], parts = waste[n], (n,)
         first = ends[ends < n]
-        best, parts = share[n] - n - n / 512, (n,)
         if len(first):
-            waste = share[first] + share[n - first] - n + 2
-            i = int(waste.argmin())
-            if waste[i] < best:
-                parts = tuple(sorted((int(first[i]), n - int(first[i])), reverse=True))
+            whole = waste[first] + cost[n - first] + CUT
+            i = int(whole.argmin())
+            if whole[i] < cost[n]:
+                cost[n], parts = whole[i], tuple(sorted((int(first[i]), *out[n - first[i]]), reverse=True))
         out.append(parts)
     return out
 

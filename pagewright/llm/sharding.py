@@ -1,12 +1,12 @@
 """Sharding by balanced label propagation.
 
-Documents start in shards by a hash. Linked documents (equal texts; in general, documents that
-share a hub) then move, round by round, to the shard most of their neighbours are in. A shard
-takes in no more linked documents than it has room for: groups come in the order of a hash, and
-the first that doesn't fit goes in part; in the next round its rest turns to the open shard where
-most of its neighbours are. Votes and flows are sums by (group, shard), so a group of any size
-costs at most as many rows as there are shards. At last unlinked documents even out the shards to
-the row: sizes differ by one at most (the law `rows`).
+Documents start in shards by a hash. Linked documents (equal texts) then move, round by round, to
+the open shard where most of their neighbours are, groups of more documents first, then in the
+order of a hash. A shard takes whole groups as long as they fit its quota; one that doesn't fit
+turns elsewhere in the next round. A group larger than any shard's room fills its shard and the
+rest moves on. Votes, groups and moves are rows by (group, shard), so a group of any size costs
+at most as many rows as there are shards. At last unlinked documents even out the shards to the
+row: sizes differ by one at most (the law `rows`).
 """
 
 from __future__ import annotations
@@ -17,47 +17,55 @@ from pyspark.sql.window import Window
 
 from ._common import rank_buckets, ranked, stash, table
 
-UNIT = 1 << 30
-
-
 def _cases(values: list[int], by: Column) -> Column:
     """values[by], for a column `by` of small integers."""
     return F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
 
 
-def propagate(linked: DataFrame, room: int, n_shards: int, rounds: int) -> DataFrame:
-    """linked (doc_id, hub, shard) after at most `rounds` rounds; each shard takes in up to `room` documents, but for what it starts with."""
+def propagate(votes: DataFrame, room: int, n_shards: int, rounds: int) -> DataFrame:
+    """(hub, shard, upto): of a hub's documents, those ranked below `upto`, and not below a lesser one, go to the shard.
+
+    votes (hub, shard, m): the m documents of a hub that start in a shard. A shard takes up to `room` documents. Documents ranked
+    past all of a hub's rows found no place in `rounds` rounds.
+    """
+    groups = stash(votes.groupBy("hub").agg(F.sum("m").alias("n")).withColumn("done", F.lit(0).cast("long")))
+    free, placed = [room] * n_shards, []
+    buckets = rank_buckets(groups.count())
     for step in range(rounds):
-        votes = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("m"))
-        held = {r.shard: r.n for r in votes.groupBy("shard").agg(F.sum("m").alias("n")).collect()}  # a row for each shard
-        free = [max(0, room - held.get(s, 0)) for s in range(n_shards)]
-        if not any(free):
-            break
-        best = votes.where(_cases(free, F.col("shard")) > 0).groupBy("hub").agg(F.max(F.struct("m", (-F.col("shard")).alias("s"))).alias("best"))
-        best = best.select("hub", (-F.col("best.s")).alias("target"), F.col("best.m").alias("mt"))
-        better = (F.col("m") < F.col("mt")) | ((F.col("m") == F.col("mt")) & (F.col("shard") > F.col("target")))
-        want = votes.join(best, "hub").where((F.col("shard") != F.col("target")) & better)
-        flows = stash(want.groupBy("hub", "target").agg(F.sum("m").alias("w"), F.collect_set("shard").alias("leave")))
-        n = flows.count()
-        if n == 0:
+        largest = max(free)
+        if largest == 0 or groups.isEmpty():
             break
-        # what goes before each group into its target: within a bucket, and all buckets before
-        bucket = F.pmod(F.xxhash64("hub", F.lit(step)), F.lit(rank_buckets(n))).cast("int")
-        rows = flows.withColumn("bucket", bucket).withColumn("order", F.xxhash64("hub", F.lit(step)))
-        sums = rows.groupBy("target", "bucket").agg(F.sum("w").alias("w"))
-        before = Window.partitionBy("target").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        shift = sums.select("target", "bucket", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("shift"))
-        inner = Window.partitionBy("target", "bucket").orderBy("order", "hub").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("ahead", F.coalesce(F.sum("w").over(inner), F.lit(0))).join(shift, ["target", "bucket"])
-        allowed = _cases(free, F.col("target")) - F.col("shift") - F.col("ahead")
-        go = rows.where(allowed > 0).select("hub", "target", "leave", F.when(allowed >= F.col("w"), F.lit(UNIT)).otherwise((allowed * UNIT / F.col("w")).cast("long")).alias("part"))
-        drawn = F.pmod(F.xxhash64("doc_id", F.lit(step)), F.lit(UNIT))
-        moves = F.array_contains("leave", F.col("shard")) & (drawn < F.col("part"))
-        linked = stash(linked.join(go, "hub", "left").select("doc_id", "hub", F.when(moves, F.col("target")).otherwise(F.col("shard")).cast("int").alias("shard")))
-    return linked
-
-
-def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 12) -> DataFrame:
+        left = F.col("n") - F.col("done")
+        # of the shards with room for the whole group, or, if there is none, of the roomiest, the one with most neighbours
+        fits = _cases(free, F.col("shard")) >= F.least(left, F.lit(largest))
+        shards = groups.select("hub", "n", "done", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard")).where(fits)
+        known = shards.join(votes, ["hub", "shard"], "left")
+        best = F.max(F.struct(F.coalesce("m", F.lit(0)).alias("m"), F.xxhash64("hub", "shard").alias("h"), "shard"))
+        want = known.groupBy("hub", "n", "done").agg(best["shard"].alias("shard")).withColumn("w", F.col("n") - F.col("done"))
+        size = F.lit(63) - F.floor(F.log2("w")).cast("int")
+        want = stash(want.withColumn("bucket", (size * buckets + F.pmod(F.xxhash64("hub"), F.lit(buckets))).cast("int")))
+        # how many go before a group into its shard: all of the buckets before, and those before it in its own
+        before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        shift = want.groupBy("shard", "bucket").agg(F.sum("w").alias("w"))
+        shift = shift.select("shard", "bucket", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("shift"))
+        inner = Window.partitionBy("shard", "bucket").orderBy("w", "hub").rowsBetween(Window.unboundedPreceding, -1)
+        want = want.withColumn("ahead", F.coalesce(F.sum("w").over(inner), F.lit(0))).join(shift, ["shard", "bucket"])
+        allowed = _cases(free, F.col("shard")) - F.col("shift") - F.col("ahead")
+        part = F.when(allowed >= F.col("w"), F.col("w")).when(F.col("w") > largest, F.greatest(allowed, F.lit(0))).otherwise(0)
+        want = stash(want.select("hub", "n", (F.col("done") + part).alias("done"), "shard", part.alias("part")))
+        taken = {r.shard: r.n for r in want.groupBy("shard").agg(F.sum("part").alias("n")).collect()}  # a row for each shard
+        free = [f - taken.get(i, 0) for i, f in enumerate(free)]
+        placed.append(want.where("part > 0").select("hub", "shard", F.col("done").alias("upto")))
+        groups = want.where("done < n").select("hub", "n", "done")
+    if not placed:
+        return votes.select("hub", "shard", F.lit(0).cast("long").alias("upto")).where("false")
+    out = placed[0]
+    for more in placed[1:]:
+        out = out.union(more)
+    return out
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of all docs (doc_id, text; other columns are ignored).
 
     size: the text's UTF-8 bytes plus 1. Shards run from 0, slots in each from 0 without gaps; shards' rows differ by one
@@ -73,17 +81,21 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 12) -> Dat
     )
     rows = stash(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")))
     groups = rows.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub")
-    linked = stash(rows.join(groups, "hub").select("doc_id", "hub", "shard"))
+    linked = stash(rows.join(groups, "hub"))
     total = rows.count()
+    half = rank_buckets(total)
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    moved = propagate(linked, total // n_shards, n_shards, rounds).select("hub", F.col("doc_id"), F.col("shard").alias("to"))
-    moved = moved.dropDuplicates(["hub", "doc_id"])
-    all_ = rows.join(moved, ["hub", "doc_id"], "left")
-    all_ = all_.select("doc_id", "size", "text_crc32", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("tied"))
+    votes = stash(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("m")))
+    moves = propagate(votes, total // n_shards, n_shards, rounds)
+    # a hub's moves: one for each round at most
+    moves = moves.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("upto", F.col("shard").alias("to")))).alias("moves"))
+    linked = ranked(linked, ["hub"], ["doc_id"], F.xxhash64("doc_id"), "rank", half).join(moves, "hub", "left")
+    to = F.get(F.filter("moves", lambda x: x["upto"] > F.col("rank")), F.lit(0))["to"]
+    alone = rows.join(groups, "hub", "left_anti").select("doc_id", "size", "text_crc32", "shard", F.lit(False).alias("tied"))
+    all_ = linked.select("doc_id", "size", "text_crc32", F.coalesce(to, F.col("shard")).alias("shard"), to.isNotNull().alias("tied")).union(alone)
     all_ = stash(all_)
     held = {r.shard: r.n for r in all_.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = [held.get(s, 0) for s in range(n_shards)]
-    half = rank_buckets(total)
     # the linked rank first, so that unlinked documents are what a full shard gives away
     spread = F.when(F.col("tied"), 0).otherwise(half) + F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(half))
     placed = stash(ranked(all_, ["shard"], ["doc_id", "text_crc32"], spread, "slot", 2 * half))

@@ -1,7 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 Two logistic models (good quality; toxic), fitted on a bounded, hashed sample of labelled rows,
-read a document's distinct words (hashed) and bands of its shape. Their evidence p = P(good) *
+read a document's distinct words and heads of words (hashed) and bands of its shape. Their evidence p = P(good) *
 (1 - P(toxic)) is summed by host and by path of a host. Rates shrink from path to host to the whole
 corpus, each with a strength fitted by moments, so a sparse site has its parent's rate. A site's
 excess log-odds over the corpus is added to those of each of its documents. Toxicity is judged by
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import stash, table
-from ._words import ALNUM, LOWER, NOT_SPACE, U, buffers, words
+from ._words import ALNUM, LOWER, NOT_SPACE, U, buffers, word_bounds, word_hashes
 
-#: Words hash to the first DIM features; bands of shape follow.
+#: Words and heads of words hash to the first DIM features; bands of shape follow.
 DIM = 1 << 18
 BANDS = 16
+#: Besides words, their first so many bytes are features.
+HEADS = (4, 6)
 SHAPES = 7
 
 
@@ -39,8 +41,10 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
     while at < len(column):
         to = min(len(column), max(at + 1, int(np.searchsorted(offs_all, offs_all[at] + 2_000_000, "right")) - 1))
         raw, offs = raw_all[offs_all[at] : offs_all[to]], offs_all[at : to + 1] - offs_all[at]
-        tokens, counts = words(raw, offs, ALNUM)
-        _, chunks = words(raw, offs, NOT_SPACE)
+        starts, ends, counts = word_bounds(raw, offs, ALNUM)
+        tokens = word_hashes(raw, starts, ends)
+        heads = [word_hashes(raw, starts, np.minimum(ends, starts + n)) ^ U(n) for n in HEADS]
+        _, _, chunks = word_bounds(raw, offs, NOT_SPACE)
         upto = np.concatenate(([0], np.cumsum(counts)))
         size = np.maximum(1, np.diff(offs))
 
@@ -53,10 +57,10 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         same = np.concatenate(([False], tokens[1:] == tokens[:-1])) if len(tokens) else np.zeros(0, bool)
         run = np.concatenate(([0], np.cumsum(same)))
         shapes = [share(marks[raw], chunks), share(raw == 33, chunks), share(raw != LOWER[raw]), share((raw >= 48) & (raw < 58)), (run[upto[1:]] - run[upto[:-1]]) / np.maximum(1, counts), 1 / np.maximum(1, chunks)]
-        ids = (tokens & U(DIM - 1)).astype(np.int64)
+        ids = (np.stack([tokens, *heads]) & U(DIM - 1)).astype(np.int64)
         for d in range(to - at):
-            own = np.unique(ids[upto[d] : upto[d + 1]])
-            varied = len(own) / max(1, int(counts[d]))
+            own = np.unique(ids[:, upto[d] : upto[d + 1]])
+            varied = len(own) / max(1, (1 + len(HEADS)) * int(counts[d]))
             bands = [DIM + j * BANDS + int(_band(np.array([s[d]]))[0]) for j, s in enumerate(shapes)] + [DIM + 6 * BANDS + min(BANDS - 1, int(varied * BANDS))]
             yield np.concatenate((own, bands))
         at = to
@@ -70,7 +74,7 @@ class Model:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, steps: int = 150, decay: float = 2e-4, least: int = 3) -> Model:
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, steps: int = 200, decay: float = 1e-4, least: int = 4) -> Model:
         """Logistic regression (Adam on all rows; features in fewer than `least` rows stay 0)."""
         dim = DIM + SHAPES * BANDS
         if len(rows) == 0 or y.min() == y.max():

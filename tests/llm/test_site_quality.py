@@ -45,4 +45,4 @@ def test_edges(spark):
     assert Q.site_quality(d.where("false"), labels, F.col("source"), F.col("lang")).collect() == []
     assert DATA_01
     x = list(Q.features(pa.array(["A b a", None])))
-    assert len(x) == 2 and len(x[0]) == 2 + Q.SHAPES and len(x[1]) == Q.SHAPES
+    assert len(x) == 2 and len(x[0]) == 6 + Q.SHAPES and len(x[1]) == Q.SHAPES
