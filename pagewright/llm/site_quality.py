@@ -22,7 +22,7 @@ from ._common import stash, table
 from ._words import ALNUM, LOWER, NOT_SPACE, U, buffers, word_bounds, word_hashes
 
 #: Words and heads of words hash to the first DIM features; bands of shape follow.
-DIM = 1 << 18
+DIM = 1 << 20
 BANDS = 16
 #: Besides words, their first so many bytes are features.
 HEADS = (4, 6)
@@ -74,14 +74,17 @@ class Model:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, steps: int = 200, decay: float = 1e-4, least: int = 4) -> Model:
-        """Logistic regression (Adam on all rows; features in fewer than `least` rows stay 0)."""
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, steps: int = 200, decay: float = 1e-3, least: int = 4, deviations: float = 4.0) -> Model:
+        """Logistic regression (Adam on all rows) on the features in `least` rows or more whose rates in the two classes differ by so many deviations."""
         dim = DIM + SHAPES * BANDS
         if len(rows) == 0 or y.min() == y.max():
             mean = (y.sum() + 1) / (len(y) + 2)
             return cls(np.zeros(dim, np.float32), float(np.log(mean / (1 - mean))))
         flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-        common = np.bincount(flat, minlength=dim) >= least
+        n, hits = np.bincount(flat, minlength=dim), np.bincount(flat, weights=np.repeat(y, sizes), minlength=dim)
+        rate, ones = n / len(y), y.sum()
+        gap = np.abs(hits / ones - (n - hits) / (len(y) - ones))
+        common = (n >= least) & (gap > deviations * np.sqrt(rate * (1 - rate) * (1 / ones + 1 / (len(y) - ones))))
         names = np.flatnonzero(common)
         place = np.full(dim, -1)
         place[names] = np.arange(len(names))
@@ -163,7 +166,7 @@ def _strength(groups: DataFrame, least: float = 1.0, most: float = 1000.0) -> fl
     return most if between <= mean / most else max(least, mean / between - 1)
 
 
-def classify(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+def classify(scored: DataFrame, threshold: float = 0.6) -> DataFrame:
     """scored (doc_id, host, path, p_good, p_toxic) with host_rate, path_rate, score and kept.
 
     score: P(good) by the document's evidence and its site's excess log-odds, times 1 - p_toxic. kept: score is at least `threshold`.
@@ -191,7 +194,7 @@ def classify(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return joined.withColumn("score", good * (1 - F.col("p_toxic"))).withColumn("kept", F.col("score") >= threshold)
 
 
-def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, rows: int = 10_000, threshold: float = 0.5) -> DataFrame:
+def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, rows: int = 10_000, threshold: float = 0.6) -> DataFrame:
     """(doc_id, held_out, host, path, p_good, p_toxic, host_rate, path_rate, score, kept) of all docs (doc_id, text and what host and path are made of).
 
     Rows of labels that held_out() marks are not learned from. Null and empty texts and texts without a word have score near 0 and aren't kept. Repeated
