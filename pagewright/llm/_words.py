@@ -89,7 +89,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return hashes
     width = min(k, n)
-    out = np.full(n - width + 1, U(width) * MIX_A)
+    out = np.full(n - width + 1, mix(np.array([width], U))[0])
     for j in range(width):
         out = mix(out * BASE + hashes[j : n - width + 1 + j])
     return out
