@@ -7,9 +7,11 @@ hashes instead of t n, and its coordinates are as concentrated as t independent
 
 Equal sets form one class. A class's representative goes to `bands` buckets. In each, it is
 paired with the bucket's first and with its neighbour by size (linear in the rows); true links
-among those make components. Only buckets that still hold several components then pair what is
-outside the largest component with the rest; so groups of many near copies never make all
-pairs, and no link between components is passed over. Every link is confirmed on full sets.
+among those make components. Only buckets that still hold several components are looked at again.
+There, members of small components pair with each other, and whatever shares a bucket with a
+component of many members is held against all of that component, in blocks of bounded size that
+give out links between components, not pairs. So no link between components is passed over, and
+a large group of near copies makes no pairs. Every link is confirmed on full sets.
 
 At 64 bands of 8, two texts of similarity 0.8 share no bucket with probability 8e-6; at 0.85, 1e-9.
 """
@@ -30,6 +32,9 @@ from ._words import BASE, MIX_A, MIX_B, NOT_SPACE, U, buffers, mix, shingles, wo
 
 NONE = U(0xFFFFFFFFFFFFFFFF)
 CHUNK = 400_000
+#: Components of so many members or more are compared with the rest in blocks of BLOCK members by BLOCK others.
+LARGE = 32
+BLOCK = 1500
 
 
 def sketch(values: np.ndarray, sizes: np.ndarray, t: int) -> np.ndarray:
@@ -130,6 +135,49 @@ def _full_sets(k: int):
     return run
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    values = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    head = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    mine = np.add.reduceat((row < len(x)).astype(np.int64), head)
+    both = np.diff(np.concatenate((head, [len(values)])))
+    theirs = both - mine
+    dense = np.flatnonzero((mine > 0) & (theirs > 0) & (mine * theirs > 2000))
+    for part in np.array_split(dense, -(-len(dense) // 512)) if len(dense) else []:
+        a, b = np.zeros((len(x), len(part)), np.float32), np.zeros((len(y), len(part)), np.float32)
+        for col, g in enumerate(part):
+            r = row[head[g] : head[g] + both[g]]
+            a[r[: mine[g]], col] = 1
+            b[r[mine[g] :] - len(x), col] = 1
+        out += a @ b.T
+    for g in np.flatnonzero((mine > 0) & (theirs > 0) & (mine * theirs <= 2000)):
+        r = row[head[g] : head[g] + both[g]]
+        out[np.ix_(r[: mine[g]], r[mine[g] :] - len(x))] += 1
+    return out
+
+
+def _block_links(percent: int):
+    """Of one block of a component's members and of probes: the components of probes linked to a member."""
+
+    def run(block: pa.Table) -> pa.Table:
+        probe = np.array(block.column("probe").to_pylist(), bool)
+        sets = [np.asarray(x.as_py(), np.int64) for x in block.column("shingles")]
+        c = np.array(block.column("c").to_pylist(), np.int64)
+        x, y = [sets[i] for i in np.flatnonzero(probe)], [sets[i] for i in np.flatnonzero(~probe)]
+        hit = np.zeros(0, np.int64)
+        if x and y:
+            both = _overlaps(x, y).astype(np.int64)
+            union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
+            hit = np.unique(c[probe][(both * 100 >= union * percent).any(axis=1)])
+        return pa.table({"c": pa.array(hit, pa.int64()), "d": pa.array(np.full(len(hit), block.column("d")[0].as_py()), pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) of each vertex of edges (a, b): the smallest vertex reachable.
 
@@ -193,18 +241,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         return pairs.join(p, "a").join(q, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
     found = components(linked(pairs))
-    named = shared.select("bucket", "x", F.col("x.rep").alias("v")).join(found, "v", "left").select("bucket", "x", F.coalesce("component", "v").alias("c"))
-    named = stash(named)
-    sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c")).alias("largest")).where("parts > 1")
-    mixed = mixed.select("bucket", F.col("largest.c").alias("main"))
-    rest = stash(named.join(mixed, "bucket"))
-    outer = rest.where("c <> main").select("bucket", F.col("x").alias("y"), F.col("c").alias("d"))
-    cross = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("x.rep") < F.col("y.rep")))
-    more = rest.join(outer, "bucket").where(cross & likely("x", "y"))
-    ends = more.select(*as_pair("x", "y"), *(F.when(F.col("x.rep") < F.col("y.rep"), F.col(p)).otherwise(F.col(q)).alias(o) for p, q, o in (("c", "d", "ca"), ("d", "c", "cb")))).distinct()
-    ends = stash(ends)
-    joined = linked(ends.select("a", "b")).join(ends, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    named = stash(shared.select("bucket", "x", F.col("x.rep").alias("v")).join(found, "v", "left").select("bucket", "x", F.coalesce("component", "v").alias("c")))
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    large = stash(found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE))
+    rest = stash(named.join(mixed, "bucket").join(large, "c", "left"))
+
+    # components of few members: pairs
+    p = rest.where("m is null").select("bucket", "x", "c")
+    q = p.select("bucket", F.col("x").alias("y"), F.col("c").alias("d"))
+    more = p.join(q, "bucket").where((F.col("c") != F.col("d")) & (F.col("x.rep") < F.col("y.rep")) & likely("x", "y"))
+    ends = stash(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), "c", "d").distinct())
+    by_pair = linked(ends.select("a", "b")).join(ends, ["a", "b"]).select("c", "d")
+
+    # against a component of many members: blocks
+    whole = rest.where("m is not null").groupBy("bucket", F.col("c").alias("d"), F.col("m").alias("dm")).agg(F.min("x.n").alias("lo"), F.max("x.n").alias("hi"))
+    less = F.col("m").isNull() | (F.col("m") < F.col("dm")) | ((F.col("m") == F.col("dm")) & (F.col("c") < F.col("d")))
+    size = (F.col("x.n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("x.n") * percent)
+    probes = rest.join(whole, "bucket").where((F.col("c") != F.col("d")) & less & size)
+    probes = stash(probes.select("d", "dm", "c", F.col("x.rep").alias("rep")).distinct())
+    cells = probes.groupBy("d", "dm").agg(F.count(F.lit(1)).alias("k"))
+    cells = cells.select("d", F.ceil(F.col("dm") / BLOCK).cast("int").alias("across"), F.ceil(F.col("k") / BLOCK).cast("int").alias("down"))
+
+    def chunk(n: str):
+        return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    rows = probes.drop("dm").join(cells, "d").select("d", "c", "rep", chunk("down").alias("i"), every("across").alias("j"), F.lit(True).alias("probe"))
+    own = found.select(F.col("component").alias("d"), F.col("component").alias("c"), F.col("v").alias("rep")).join(cells, "d")
+    rows = rows.union(own.select("d", "c", "rep", every("down").alias("i"), chunk("across").alias("j"), F.lit(False).alias("probe")))
+    by_block = rows.join(full, "rep").groupBy("d", "i", "j").applyInArrow(_block_links(percent), "c long, d long")
+    joined = by_pair.union(by_block).distinct().select(F.col("c").alias("a"), F.col("d").alias("b"))
     over = components(joined).select(F.col("v").alias("component"), F.col("component").alias("top"))
     final = found.join(over, "component", "left").select("v", F.coalesce("top", "component").alias("c"))
     # a representative without a link in the first round may have one in the second

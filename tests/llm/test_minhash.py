@@ -83,3 +83,32 @@ def test_sketch_estimates(n):
     assert (s != np.uint64(2**64 - 1)).all()
     true = (n - n // 10) / (n + n // 10)
     assert abs((s[0] == s[1]).mean() - true) < 0.08
+
+
+def test_blocks_of_large_components(spark, monkeypatch):
+    """Two large families, some near enough to link through few members, with blocks of 20."""
+    from pagewright.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "LARGE", 4)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(100)]
+    other = base[:84] + [f"o{i}" for i in range(16)]
+    rows = []
+    for i in range(240):
+        w = list(base if i % 2 else other)
+        for j in rng.integers(0, 100, rng.integers(0, 14)):
+            w[j] = f"new{rng.integers(0, 99999)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 1)
+    assert 2 < len({x[1] for x in want.values()}) < 200
+    assert result(near_duplicates(docs, k=1)) == want
+
+
+def test_overlaps():
+    from pagewright.llm.minhash import _overlaps
+
+    rng = np.random.default_rng(0)
+    x, y = ([np.unique(rng.integers(0, 300, 80)) for _ in range(n)] for n in (90, 70))
+    assert (_overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
