@@ -6,6 +6,9 @@ Patterns are Unicode-aware, `(?U)`, where white space, digits or word characters
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +42,6 @@ def blank(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition; null stays null."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:

@@ -59,10 +59,13 @@ def group_rows(items: Column) -> Column:
 
     def step(rows: Column, b: Column) -> Column:
         fits = F.transform(rows, lambda r, i: F.when(G.vertical_iou(b["y0"], b["y1"], r["y0"], r["y1"]) >= LIMITS.row_overlap, i))
-        at = F.array_min(fits)
         alone = F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), F.array(b).alias("boxes")).cast(GROUP)
         grown = lambda r: F.struct(F.least(r["y0"], b["y0"]).alias("y0"), F.greatest(r["y1"], b["y1"]).alias("y1"), F.concat(r["boxes"], F.array(b)).alias("boxes")).cast(GROUP)
-        return F.when(at.isNull(), F.concat(rows, F.array(alone))).otherwise(F.transform(rows, lambda r, i: F.when(i == at, grown(r)).otherwise(r)))
+
+        def placed(at: Column) -> Column:
+            return F.when(at.isNull(), F.concat(rows, F.array(alone))).otherwise(F.transform(rows, lambda r, i: F.when(i == at, grown(r)).otherwise(r)))
+
+        return _bind(F.array_min(fits), placed)
 
     return F.aggregate(_by_centre(items).cast(ROWS), F.array().cast(f"array<{GROUP}>"), step)
 
@@ -81,11 +84,15 @@ def split_place(row: Column, gutter: Column) -> Column:
 
     def place(gaps: Column) -> Column:
         spans = F.filter(gaps, lambda x: (x["g"] > 0) & (F.get(row, x["i"] - 1)["x1"] <= gutter["right"]) & (F.get(row, x["i"])["x0"] >= gutter["left"]))
+
+        def at_widest(widest: Column) -> Column:
+            others = F.transform(F.filter(gaps, lambda x: x["i"] != -widest["i"]), lambda x: x["g"])
+            median = F.when(F.size(others) > 0, G.upper_median(others))
+            wide = (widest["g"] >= LIMITS.split_gap_px) & ~F.coalesce((median > 0) & (widest["g"] < median * LIMITS.split_gap_ratio), F.lit(False))
+            return F.when(wide, -widest["i"])
+
         widest = F.array_max(F.transform(gaps, lambda x: F.struct(x["g"].alias("g"), (-x["i"]).alias("i"))))
-        others = F.transform(F.filter(gaps, lambda x: x["i"] != -widest["i"]), lambda x: x["g"])
-        median = F.when(F.size(others) > 0, G.upper_median(others))
-        wide = (widest["g"] >= LIMITS.split_gap_px) & ~F.coalesce((median > 0) & (widest["g"] < median * LIMITS.split_gap_ratio), F.lit(False))
-        return F.coalesce(F.get(spans, F.lit(0))["i"], F.when(wide, -widest["i"]))
+        return F.coalesce(F.get(spans, F.lit(0))["i"], _bind(widest, at_widest))
 
     at = _bind(gaps, place)
     number = lambda n: T.is_page_number(row_text(F.slice(row, n + 1, F.size(row))))

@@ -27,15 +27,16 @@ def merge_touching(rects: Column, tolerance: float = LIMITS.touch_pt) -> Column:
     """
     empty = F.array().cast(f"array<array<{RECT}>>")
 
-    def touching(group: Column, r: Column) -> Column:
-        return F.exists(group, lambda g: G.touches(g, r, tolerance))
-
     def step(groups: Column, r: Column) -> Column:
-        near = F.flatten(F.filter(groups, lambda g: touching(g, r)))
-        first = F.array_min(F.transform(groups, lambda g, i: F.when(touching(g, r), i)))
-        joined = F.concat(near, F.array(r))
-        kept = F.transform(groups, lambda g, i: F.when(i == first, joined).when(~touching(g, r), g))
-        return F.when(first.isNull(), F.concat(groups, F.array(F.array(r)))).otherwise(F.filter(kept, lambda g: g.isNotNull()))
+        touched = F.transform(groups, lambda g: F.exists(g, lambda x: G.touches(x, r, tolerance)))
+
+        def joined(hits: Column) -> Column:
+            near = F.concat(F.flatten(F.filter(groups, lambda g, i: F.get(hits, i))), F.array(r))
+            first = F.array_position(hits, F.lit(True)) - 1
+            kept = F.transform(groups, lambda g, i: F.when(i == first, near).when(~F.get(hits, i), g))
+            return F.when(first < 0, F.concat(groups, F.array(F.array(r)))).otherwise(F.filter(kept, lambda g: g.isNotNull()))
+
+        return F.element_at(F.transform(F.array(touched), joined), 1)
 
     return F.transform(F.aggregate(rects.cast(f"array<{RECT}>"), empty, step), G.bounds)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from pagewright.plans import audit_queries, layout_queries, text_queries
+
+MODULES: tuple = (text_queries, layout_queries, audit_queries)
 
 
 def queries() -> dict:
