@@ -101,10 +101,10 @@ WITH b AS (SELECT doc_id, i, CASE WHEN doc_id % 3 < 2 THEN CASE WHEN i < 4 THEN
   CASE WHEN doc_id % 2 = 0 THEN 100 + 40 * (i % 4) ELSE 100 + 40 * i END::DOUBLE AS y0 FROM documents, range(8) r(i)),
 f AS (SELECT *, x0 + 200 + doc_id % 90 AS x1, y0 + 30 AS y1 FROM b),
 o AS (SELECT *, row_number() OVER w - 1 AS p, x0 - lag(x0) OVER w AS step FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY x0, y0, x1, y1)),
-g AS (SELECT doc_id, max(step) AS d FROM o GROUP BY 1), s AS (SELECT o.doc_id, d, max(p) AS at FROM o JOIN g USING (doc_id) WHERE step = d GROUP BY 1, 2),
-m AS (SELECT s.doc_id, d, at, list_sort(list(step)) AS l FROM s JOIN o ON s.doc_id = o.doc_id AND p > 0 AND p <> at GROUP BY 1, 2, 3),
-k AS (SELECT doc_id, at FROM m WHERE d >= 24 AND NOT (l[len(l) // 2 + 1] > 0 AND d < 3 * l[len(l) // 2 + 1])),
-h AS (SELECT o.*, p >= at AS rt FROM o JOIN k USING (doc_id)),
+g AS (SELECT doc_id, max(step) AS d FROM o GROUP BY 1), s AS (SELECT o.doc_id, d, max(p) AS cut FROM o JOIN g USING (doc_id) WHERE step = d GROUP BY 1, 2),
+m AS (SELECT s.doc_id, d, cut, list_sort(list(step)) AS l FROM s JOIN o ON s.doc_id = o.doc_id AND p > 0 AND p <> cut GROUP BY 1, 2, 3),
+k AS (SELECT doc_id, cut FROM m WHERE d >= 24 AND NOT (l[len(l) // 2 + 1] > 0 AND d < 3 * l[len(l) // 2 + 1])),
+h AS (SELECT o.*, p >= cut AS rt FROM o JOIN k USING (doc_id)),
 c AS (SELECT doc_id, count(*) FILTER (NOT rt) AS nl, count(*) FILTER (rt) AS nr, max(x1) FILTER (NOT rt) AS "left", min(x0) FILTER (rt) AS "right",
   count(*) FILTER (NOT rt AND EXISTS (SELECT 1 FROM h z WHERE z.doc_id = h.doc_id AND z.rt AND z.y0 < h.y1 AND h.y0 < z.y1)) AS ml,
   count(*) FILTER (rt AND EXISTS (SELECT 1 FROM h z WHERE z.doc_id = h.doc_id AND NOT z.rt AND z.y0 < h.y1 AND h.y0 < z.y1)) AS mr FROM h GROUP BY 1)
