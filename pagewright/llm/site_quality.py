@@ -24,6 +24,10 @@ from ._words import ALNUM, LOWER, NOT_SPACE, U, buffers, word_bounds, word_hashe
 #: Words and heads of words hash to the first DIM features; bands of shape follow.
 DIM = 1 << 20
 BANDS = 16
+#: What is learned; features in so many rows or more whose rates differ by so many deviations between the classes are learned from.
+HEADS_OF = ("quality", "toxic")
+LEAST, DEVIATIONS = 4, 4.0
+COUNTS = ("feature", *[f"{p}_{h}" for h in HEADS_OF for p in ("n", "y")])
 #: Besides words, their first so many bytes are features.
 HEADS = (4, 6)
 SHAPES = 7
@@ -74,34 +78,23 @@ class Model:
     bias: float
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, steps: int = 200, decay: float = 1e-3, least: int = 4, deviations: float = 4.0) -> Model:
-        """Logistic regression (Adam on all rows) on the features in `least` rows or more whose rates in the two classes differ by so many deviations."""
-        dim = DIM + SHAPES * BANDS
-        if len(rows) == 0 or y.min() == y.max():
-            mean = (y.sum() + 1) / (len(y) + 2)
-            return cls(np.zeros(dim, np.float32), float(np.log(mean / (1 - mean))))
-        flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-        n, hits = np.bincount(flat, minlength=dim), np.bincount(flat, weights=np.repeat(y, sizes), minlength=dim)
-        rate, ones = n / len(y), y.sum()
-        gap = np.abs(hits / ones - (n - hits) / (len(y) - ones))
-        common = (n >= least) & (gap > deviations * np.sqrt(rate * (1 - rate) * (1 / ones + 1 / (len(y) - ones))))
-        names = np.flatnonzero(common)
-        place = np.full(dim, -1)
-        place[names] = np.arange(len(names))
-        doc = np.repeat(np.arange(len(rows)), sizes)[common[flat]]
-        col = place[flat[common[flat]]]
-        w, b = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean())))
-        m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-        for t in range(1, steps + 1):
-            z = np.bincount(doc, weights=w[col], minlength=len(rows)) + b
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-            gw, gb = np.bincount(col, weights=g[doc], minlength=len(w)) + decay * w, g.sum()
-            m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
-            mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-            c, d = 1 - 0.9**t, 1 - 0.99**t
-            w -= 0.05 * (m / c) / (np.sqrt(v / d) + 1e-8)
-            b -= 0.05 * (mb / c) / (np.sqrt(vb / d) + 1e-8)
-        out = np.zeros(dim, np.float32)
+    def fit(cls, names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, steps: int = 200, decay: float = 1e-3) -> Model:
+        """Logistic regression (Adam on all rows). rows: for each the places in names of the features it has."""
+        ones = float(np.clip((y.sum() + 1) / (len(y) + 2), 1e-6, 1 - 1e-6))
+        w, b = np.zeros(len(names)), float(np.log(ones / (1 - ones)))
+        if len(names) and len(rows):
+            col, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+            for t in range(1, steps + 1):
+                z = np.bincount(doc, weights=w[col], minlength=len(rows)) + b
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+                gw, gb = np.bincount(col, weights=g[doc], minlength=len(w)) + decay * w, g.sum()
+                m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
+                mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+                c, d = 1 - 0.9**t, 1 - 0.99**t
+                w -= 0.05 * (m / c) / (np.sqrt(v / d) + 1e-8)
+                b -= 0.05 * (mb / c) / (np.sqrt(vb / d) + 1e-8)
+        out = np.zeros(DIM + SHAPES * BANDS, np.float32)
         out[names] = w
         return cls(out, b)
 
@@ -113,22 +106,48 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> tuple[Model, Model]:
     """(quality, toxicity) models from docs (doc_id, text) and labels (doc_id, quality, toxic), about `rows` labelled rows, chosen by a hash of doc_id."""
-    labelled = labels.select(F.col("doc_id"), "quality", "toxic").where("doc_id is not null").dropDuplicates(["doc_id"])
+    labelled = labels.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").dropDuplicates(["doc_id"])
     total = labelled.count()
     part = min(1.0, rows / max(1, total))
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(part * 1_000_000))
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # `rows` rows of three numbers
+    sample = stash(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", *HEADS_OF))  # `rows` rows of three numbers are broadcast
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = list(features(batch.column("text")))
+            flat, size = np.concatenate(own), [len(x) for x in own]
+            names, place = np.unique(flat, return_inverse=True)
+            columns = [pa.array(names)]
+            for head in HEADS_OF:
+                y = np.array([np.nan if v is None else min(1, max(0, v)) for v in batch.column(head).to_pylist()], float)
+                each = np.repeat(y, size)
+                for weights in (~np.isnan(each), np.nan_to_num(each)):
+                    columns.append(pa.array(np.bincount(place, weights=weights, minlength=len(names)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, COUNTS)
+
+    sums = sample.mapInArrow(count, ", ".join(f"{c} long" for c in COUNTS)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in COUNTS[1:]])
+    whole = sample.agg(*[f(F.when(F.col(h).isNotNull(), F.least(F.lit(1), F.greatest(F.lit(0), F.col(h))))).alias(f"{p}_{h}") for h in HEADS_OF for p, f in (("n", F.count), ("y", F.sum))]).first()
+    telling = []
+    for h in HEADS_OF:
+        n, ones = whole[f"n_{h}"], whole[f"y_{h}"] or 0
+        rate = F.col(f"n_{h}") / max(1, n)
+        gap = F.abs(F.col(f"y_{h}") / max(1, ones) - (F.col(f"n_{h}") - F.col(f"y_{h}")) / max(1, n - ones))
+        telling.append((F.lit(bool(0 < ones < n)) & (F.col(f"n_{h}") >= LEAST) & (gap > DEVIATIONS * F.sqrt(rate * (1 - rate) * (1 / max(1, ones) + 1 / max(1, n - ones))))).alias(h))
+    chosen = sums.select("feature", *telling).where(" or ".join(HEADS_OF)).toPandas()  # DIM rows at most
+    names = {h: np.sort(chosen.loc[chosen[h], "feature"].to_numpy(np.int64)) for h in HEADS_OF}
+    every = np.unique(np.concatenate([*names.values(), np.zeros(0, np.int64)]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [x.astype(np.int32) for x in features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column("quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32())], ["x", "quality", "toxic"])
+            own = [x[np.isin(x, every)].astype(np.int32) for x in features(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), *[batch.column(h) for h in HEADS_OF]], ["x", *HEADS_OF])
 
-    got = sample.select("text", "quality", "toxic").mapInArrow(read, "x array<int>, quality int, toxic int").toPandas()
+    got = sample.mapInArrow(read, "x array<int>, " + ", ".join(f"{h} int" for h in HEADS_OF)).toPandas()  # `rows` rows
     models = []
-    for name in ("quality", "toxic"):
-        known = got[got[name].notna()]
-        models.append(Model.fit([np.asarray(x, np.int64) for x in known["x"]], known[name].to_numpy(float).clip(0, 1)))
+    for h in HEADS_OF:
+        known = got[got[h].notna()]
+        held = [np.searchsorted(names[h], x[np.isin(x, names[h])]) for x in (np.asarray(x, np.int64) for x in known["x"])]
+        models.append(Model.fit(names[h], held, known[h].to_numpy(float).clip(0, 1)))
     return models[0], models[1]
 
 
