@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
+from pagewright.functions.steps import once
 from pagewright.operators import spatial
 from pagewright.schema import BLOCK, BOX, LIMITS
 
@@ -196,10 +197,10 @@ def entries(ps: Column, column: Column, region: Column) -> Column:
 
 def region_entries(d: DataFrame) -> DataFrame:
     """d with `regions` array<struct<boxes, gutter, region>>, replaced by `entries`, those of all regions in order. In steps, so that no expression nests too deep."""
-    d = d.withColumn("regions", F.transform("regions", lambda r: F.struct(rows(r["boxes"], r["gutter"]).alias("rows"), r["gutter"].alias("gutter"), r["region"].alias("region"))))
-    d = d.withColumn("regions", F.flatten(F.transform("regions", lambda r: F.transform(by_column(r["rows"], r["gutter"]), lambda c: F.struct(c["column"].alias("column"), c["rows"].alias("rows"), r["region"].alias("region"))))))
-    d = d.withColumn("regions", F.transform("regions", lambda r: F.struct(r["column"].alias("column"), r["region"].alias("region"), paragraphs(r["rows"]).alias("ps"))))
-    return d.withColumn("entries", F.flatten(F.transform("regions", lambda r: entries(r["ps"], r["column"], r["region"])))).drop("regions")
+    d = once(d, "regions", F.transform("regions", lambda r: F.struct(rows(r["boxes"], r["gutter"]).alias("rows"), r["gutter"].alias("gutter"), r["region"].alias("region"))))
+    d = once(d, "regions", F.flatten(F.transform("regions", lambda r: F.transform(by_column(r["rows"], r["gutter"]), lambda c: F.struct(c["column"].alias("column"), c["rows"].alias("rows"), r["region"].alias("region"))))))
+    d = once(d, "regions", F.transform("regions", lambda r: F.struct(r["column"].alias("column"), r["region"].alias("region"), paragraphs(r["rows"]).alias("ps"))))
+    return once(d, "entries", F.flatten(F.transform("regions", lambda r: entries(r["ps"], r["column"], r["region"])))).drop("regions")
 
 
 def _pixels(r: Column) -> Column:
@@ -230,11 +231,12 @@ def extract_ocr_pages(pages: DataFrame, images_dir: str | None = None) -> DataFr
     from pagewright.operators.pages import block
 
     rects = lambda kind: F.transform(F.filter("blocks", lambda b: b["type"] == kind), lambda b: G.from_array(b["bbox"]))
-    d = pages.withColumn("images", rects(1)).withColumn("texts", rects(0))
-    d = d.withColumn("callouts", spatial.callout_boxes(F.coalesce("drawings", F.array().cast(pages.schema["drawings"].dataType)), F.col("images"), F.col("width")))
-    d = d.withColumn("boxes", boxes(F.coalesce("ocr", F.array().cast(pages.schema["ocr"].dataType))))
+    d = once(pages, "images", rects(1))
+    d = once(d, "texts", rects(0))
+    d = once(d, "callouts", spatial.callout_boxes(F.coalesce("drawings", F.array().cast(pages.schema["drawings"].dataType)), F.col("images"), F.col("width")))
+    d = once(d, "boxes", boxes(F.coalesce("ocr", F.array().cast(pages.schema["ocr"].dataType))))
     px = lambda g: F.when(g.isNotNull(), F.struct((g["left"] * PX).alias("left"), (g["right"] * PX).alias("right")))
-    d = d.withColumn("gutter", px(spatial.page_gutter(F.col("texts"), F.col("height"), F.col("callouts"))))
+    d = once(d, "gutter", px(spatial.page_gutter(F.col("texts"), F.col("height"), F.col("callouts"))))
 
     def inside(b: Column, r: Column) -> Column:
         return G.covered(b, _pixels(r), LIMITS.covered)
@@ -244,11 +246,12 @@ def extract_ocr_pages(pages: DataFrame, images_dir: str | None = None) -> DataFr
     gutter = "struct<left:double,right:double>"
     region = lambda own, g, n: F.struct(own.cast(ROWS).alias("boxes"), g.cast(gutter).alias("gutter"), F.lit(n).alias("region"))
     boxed = F.transform("callouts", lambda r: region(own(r), px(spatial.callout_gutter(F.col("texts"), r)), 1))
-    d = d.withColumn("boxed", boxed).withColumn("regions", F.concat(F.array(region(main, F.col("gutter"), 0)), F.col("boxed")))
+    d = once(d, "boxed", boxed)
+    d = once(d, "regions", F.concat(F.array(region(main, F.col("gutter"), 0)), F.col("boxed")))
     d = region_entries(d)
     height = F.col("height") * PX
     side = lambda p: F.when(T.is_margin_text(p["y0"], p["y1"], height, p["text"]), "margin").when(p["region"] == 1, "callout").otherwise("flow")
-    d = d.withColumn("all", F.transform("entries", lambda p: F.struct(side(p).alias("side"), p.alias("p"))))
+    d = once(d, "all", F.transform("entries", lambda p: F.struct(side(p).alias("side"), p.alias("p"))))
 
     def made(p: Column) -> Column:
         item = T.list_item(p["text"])

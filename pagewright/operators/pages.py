@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
+from pagewright.functions.steps import once
 from pagewright.functions.normalise import nfkc_columns
 from pagewright.operators import spatial, tables
 from pagewright.schema import BLOCK, BOLD, ITALIC, LIMITS, RUN, SUPERSCRIPT
@@ -165,20 +166,21 @@ def block(kind: str, **fields: Column) -> Column:
 
 def _page_context(pages: DataFrame) -> DataFrame:
     """What a page's blocks are judged by, each made once."""
-    d = pages.withColumn("blocks", F.filter("blocks", lambda b: b["type"].isin(0, 1)))
+    d = once(pages, "blocks", F.filter("blocks", lambda b: b["type"].isin(0, 1)))
     images = F.transform(F.filter("blocks", lambda b: b["type"] == 1), lambda b: G.from_array(b["bbox"]))
-    d = d.withColumn("callouts", spatial.callout_boxes(F.coalesce("drawings", F.array().cast(pages.schema["drawings"].dataType)), images, F.col("width")))
-    d = d.withColumn("hrefs", spatial.page_links(F.coalesce("links", F.array().cast(pages.schema["links"].dataType))))
-    d = d.withColumn("markers", superscript_markers(F.col("blocks"))).withColumn("body", body_size(F.col("blocks"), F.col("height")))
+    d = once(d, "callouts", spatial.callout_boxes(F.coalesce("drawings", F.array().cast(pages.schema["drawings"].dataType)), images, F.col("width")))
+    d = once(d, "hrefs", spatial.page_links(F.coalesce("links", F.array().cast(pages.schema["links"].dataType))))
+    d = once(d, "markers", superscript_markers(F.col("blocks")))
+    d = once(d, "body", body_size(F.col("blocks"), F.col("height")))
     info = F.transform(
         "blocks",
         lambda b: F.struct(b.alias("b"), (b["type"] == 0).alias("is_text"), G.from_array(b["bbox"]).alias("rect"), T.clean(raw_text(b), False).alias("text"), T.is_monospace(dominant_font(b)).alias("mono"), font_stats(b).alias("font")),
     )
-    d = d.withColumn("info", info)
+    d = once(d, "info", info)
     # a table over a monospaced or listing block is none
     code = lambda r: F.exists("info", lambda x: x["is_text"] & G.covered(x["rect"], r, LIMITS.covered) & (x["mono"] | T.is_listing_caption(x["text"])))
     found = F.transform(F.coalesce("raw_tables", F.array().cast(pages.schema["raw_tables"].dataType)), lambda t: F.struct(t["bbox"].alias("rect"), tables.clean_table(t["rows"]).alias("rows")))
-    return d.withColumn("tables", F.filter(found, lambda t: tables.is_table(t["rows"]) & ~code(t["rect"])))
+    return once(d, "tables", F.filter(found, lambda t: tables.is_table(t["rows"]) & ~code(t["rect"])))
 
 
 def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataFrame:
@@ -201,9 +203,9 @@ def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataF
             hit.alias("hit"), boxed.alias("boxed"), items.alias("items"), (margin & ~note).alias("margin"), (plain & T.is_listing_caption(x["text"])).alias("candidate"),
         )
 
-    d = d.withColumn("judged", F.transform("info", judge)).drop("info")
-    d = d.withColumn("parity", caption_parity(F.transform("judged", lambda x: x["candidate"])))
-    d = d.withColumn("hits", F.transform("judged", lambda x: x["hit"]))
+    d = once(d, "judged", F.transform("info", judge)).drop("info")
+    d = once(d, "parity", caption_parity(F.transform("judged", lambda x: x["candidate"])))
+    d = once(d, "hits", F.transform("judged", lambda x: x["hit"]))
     none = F.array().cast(f"array<{BLOCK}>")
     image_no = lambda i: F.size(F.filter(F.sequence(F.lit(0), i), lambda j: ~F.get(F.col("judged"), j)["is_text"]))
 
@@ -239,7 +241,7 @@ def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataF
         return F.when(free & x["boxed"], "callout").when(free & x["items"].isNull() & x["margin"], "margin").when(free & x["items"].isNull() & T.is_note(x["text"]), "callout")
 
     sides = F.transform("judged", lambda x, i: F.struct(aside(x, i).alias("side"), x["text"].alias("text")))
-    d = d.withColumn("sides", sides)
+    d = once(d, "sides", sides)
     margin = F.flatten(F.transform(F.filter("sides", lambda s: s["side"] == "margin"), lambda s: T.split_margin_number(s["text"])))
     callout = F.transform(F.filter("sides", lambda s: s["side"] == "callout"), lambda s: T.strip(s["text"]))
     return d.select("doc_id", "page_number", margin.alias("margin"), F.flatten(F.transform("judged", blocks_of)).alias("blocks"), callout.alias("callout"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
+from pagewright.functions.steps import once
 from pagewright.operators import ocr, pages, spatial, tables
 from pagewright.plans.inputs import table
 from pagewright.schema import BOX, LINK_GOTO, LINK_URI, RAW_BLOCK, RECT, RUN
@@ -131,11 +132,12 @@ def _words(spark, d):
         x, y = (i % 4) * 120 + F.when(i % 4 >= 2, 260).otherwise(0), F.floor(i / 4) * 30 + (doc_id() + i) % 5
         return F.struct(x.cast("double").alias("x0"), (x + 90).cast("double").alias("x1"), y.cast("double").alias("y0"), (y + 20).cast("double").alias("y1"), w.alias("text")).cast(BOX)
 
-    return p.select("doc_id", "page", F.transform(F.slice("w", F.col("page") * 60 + 1, F.lit(60)), box).alias("boxes"))
+    return p.select("doc_id", "page", F.slice("w", F.col("page") * 60 + 1, F.lit(60)).alias("own")).select("doc_id", "page", F.transform("own", box).alias("boxes"))
 
 
 def _rows(spark, d):
-    return _words(spark, d).select("doc_id", "page", ocr.rows(F.col("boxes"), F.lit(None).cast("struct<left:double,right:double>")).alias("rows"))
+    p = once(_words(spark, d), "rows", ocr.rows(F.col("boxes"), F.lit(None).cast("struct<left:double,right:double>")))
+    return p.select("doc_id", "page", "rows")
 
 
 @query(None)
