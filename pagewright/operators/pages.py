@@ -16,8 +16,6 @@ from pagewright.functions.normalise import nfkc_columns
 from pagewright.operators import spatial, tables
 from pagewright.schema import BLOCK, BOLD, ITALIC, LIMITS, RUN, SUPERSCRIPT
 
-NO_STRINGS = "array<string>"
-
 
 def _flag(span: Column, bit: int) -> Column:
     return span["flags"].bitwiseAND(F.lit(bit)) != 0

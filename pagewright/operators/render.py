@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
+from pagewright.functions.steps import once
 from pagewright.schema import IMAGE_LABEL
 
 #: The document's style sheet.
@@ -272,7 +273,7 @@ def hide_running_heads(fragments: DataFrame) -> DataFrame:
 
 def render_pages(fragments: DataFrame, fmt: str) -> DataFrame:
     """(doc_id, page_number, body) in html, md or txt, running heads hidden."""
-    d = hide_running_heads(fragments)
+    d = once(hide_running_heads(fragments), "blocks", F.col("blocks"))
     margin, blocks, callout = F.col("margin_display"), F.col("blocks"), F.col("callout")
     body = {"html": lambda: page_html(F.col("page_number"), margin, blocks, callout), "md": lambda: page_md(margin, blocks, callout), "txt": lambda: page_txt(margin, blocks, callout)}[fmt]()
     return d.select("doc_id", "page_number", body.alias("body"))

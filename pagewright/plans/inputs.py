@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.functions.steps import once
 from pagewright.operators.pages import block
 from pagewright.sources.readers import lines
 
@@ -68,9 +69,9 @@ def sql_clean(x: str) -> str:
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of blocks: k 3 a heading, k 6 code, k 0 and 1 list items, k 10 a table of a line and its number, others paragraphs; a head for each two pages, and a callout on each third."""
-    d = injected(spark, sf_dir).withColumn("text", T.clean(F.col("text"), False))
-    item = T.list_item(T.strip(F.col("text")))
-    n = F.col("line_no")
+    d = once(injected(spark, sf_dir), "text", T.clean(F.col("text"), False))
+    d = once(d, "item", T.list_item(T.strip(F.col("text"))))
+    item, n = F.col("item"), F.col("line_no")
     rows = F.array(F.array(F.lit("n"), F.lit("line|")), F.array(n.cast("string"), F.col("text")))
     made = (
         F.when(F.col("k") == 3, block("h", text=F.col("text"), level=n % 2 + 2))
@@ -79,12 +80,10 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(item.isNotNull(), block("li", text=item["item"], ordered=item["ordered"]))
         .otherwise(block("p", text=F.col("text")))
     )
-    pages = d.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", F.to_json(made).alias("b")))).alias("b"))
-    from pagewright.schema import BLOCK
-
+    pages = d.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", made.alias("b")))).alias("b"))
     p = F.col("page_number")
     head = F.concat(F.lit("Chapter "), F.floor(p / 2).cast("string"))
-    blocks = F.transform("b", lambda x: F.from_json(x["b"], BLOCK))
+    blocks = F.transform("b", lambda x: x["b"])
     callout = F.when(p % 3 == 0, F.array(F.lit("Mind *this* & that"))).otherwise(F.array().cast("array<string>"))
     return pages.select("doc_id", "page_number", F.array(head, p.cast("string")).alias("margin"), blocks.alias("blocks"), callout.alias("callout"))
 
