@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._common import stash
-from ._words import BASE, MIX_A, MIX_B, NOT_SPACE, U, buffers, mix, shingles, words
+from ._words import BASE, MIX_A, NOT_SPACE, U, buffers, mix, shingles, words
 
 NONE = U(0xFFFFFFFFFFFFFFFF)
 CHUNK = 400_000
