@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from pagewright.functions import text as T
 from pagewright.operators import links as link_ops
 from pagewright.operators import render
+from pagewright.operators.phrases import phrase_counts
 from pagewright.plans.inputs import SQL_BLOCKS, SQL_LINES, fragments, injected, sql_clean, table, titles
 from pagewright.schema import BULLETS, RUN
 from pagewright.sources.readers import html_links, lines
@@ -225,6 +226,19 @@ def q_phrases(spark, d):
     return hits.select("doc_id", F.col("x.item_id").alias("item_id"), "n")
 
 
+@query(r"""
+WITH b AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT item_id, unnest(s) AS phrase, unnest(range(len(s)))::INT AS sentence FROM b),
+d AS (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, item_id, sentence, ((length(text) - length(replace(text, phrase, ''))) // length(phrase))::BIGINT AS n FROM d JOIN w ON contains(text, phrase)""")
+def q_phrases_whole(spark, d):
+    """Places of all benchmark sentences, whole, in all documents; q_phrases is held by its SQL to openings and pairs of equal remainders."""
+    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    sentences = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x != "")
+    items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.posexplode(sentences).alias("sentence", "phrase"))
+    return phrase_counts(table(spark, d, "documents").select("doc_id", flat.alias("text")), items)
+
+
 @query(None)
 def q_phrase_links(spark, d):
     """Runs after links are put on each line's own third word."""
