@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     all_ = stash(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, digest binary, sig0 long, sig1 long, bands array<long>"))
     filled = all_.where("digest is not null")
     classes = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = stash(filled.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep"))
+    members = stash(filled.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "rep"))
     reps = members.where("doc_id = rep").select("doc_id").distinct()
 
     one = F.struct(F.col("n_shingles").alias("n"), F.col("doc_id").alias("rep"), "sig0", "sig1")
@@ -278,9 +278,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # a representative without a link in the first round may have one in the second
     alone = over.select(F.col("component").alias("v"), F.col("top").alias("c")).join(found.select("v"), "v", "left_anti")
     named_reps = final.union(alone).withColumnRenamed("v", "rep")
-    ids = members.join(named_reps, "rep", "left").select("doc_id", F.coalesce("c", "rep").alias("component_id"))
-    out = all_.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # members and the rest are one row for each of docs: no join by doc_id, which rows may repeat
+    out = members.join(named_reps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id"))
+    out = out.union(all_.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

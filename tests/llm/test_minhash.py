@@ -112,3 +112,11 @@ def test_overlaps():
     rng = np.random.default_rng(0)
     x, y = ([np.unique(rng.integers(0, 300, 80)) for _ in range(n)] for n in (90, 70))
     assert (_overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+
+
+def test_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text)] * 3 + [(2, text)] * 2 + [(3, "other words here")] * 4 + [(4, "")] * 2 + [(5, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, k=2).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False)] * 2 + [(3, 3, True)] * 4 + [(4, 4, True)] * 2 + [(5, 5, True)]
