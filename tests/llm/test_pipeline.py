@@ -48,3 +48,11 @@ def test_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, DATA) if docs.columns[0] == "doc_id" else docs
         assert docs.count() == 0
+
+
+def test_null_and_clashing_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    docs = [(None, texts[0]), (None, texts[1]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (7, texts[3]), (3, texts[3]), (None, texts[4]), (None, texts[4]), (None, ""), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = [(None, texts[0]), (7, texts[1]), (7, texts[2]), (3, texts[3]), (None, texts[4]), (None, ""), (None, "")]
+    assert sorted(map(tuple, P.drop_near_duplicates(spark, df, DATA).collect()), key=repr) == sorted(want, key=repr)
