@@ -21,8 +21,13 @@ def _with_length(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose text is null, has no letter, or holds no known n-gram of any language; a null lang becomes the predicted one."""
+    """Documents go whose text is null, has no letter, or holds no known n-gram of any language; a null lang becomes the predicted one.
+
+    If no language could be learned (no labelled row outside the held-out quarter), all documents with a letter stay as they are, a null lang too.
+    """
     filters = language.fit(docs.where(~language.held_out()))
+    if not filters.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = ["doc_id", "text", "lang", *[c for c in docs.columns if c not in ("doc_id", "text", "lang", "lang_pred", "score")]]
     kept = language.identify(docs.select(*own), filters).where((F.col("lang_pred") != "und") & (F.col("score") > 0))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[c for c in docs.columns if c in own])

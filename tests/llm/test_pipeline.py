@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import corpus_pipeline as P
 from pagewright.llm import pii
@@ -56,3 +57,9 @@ def test_null_and_clashing_ids(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     want = [(None, texts[0]), (7, texts[1]), (7, texts[2]), (3, texts[3]), (None, texts[4]), (None, ""), (None, "")]
     assert sorted(map(tuple, P.drop_near_duplicates(spark, df, DATA).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_no_language_learned(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2][0]
+    docs = spark.createDataFrame([(100, "clean text stays", None), (held, "held out", "en"), (102, "123 ...", None), (103, None, None)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, P.identify_language(spark, docs, DATA).collect())) == [(held, "held out", "en"), (100, "clean text stays", None)]
