@@ -120,7 +120,7 @@ class FMIndex:
 class Windows:
     """Windows of `width` words of the items of one block of the benchmark, by length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         texts = pa.array([t for _, t in items], pa.string())
         raw, offs = buffers(texts)
         starts, ends, counts = word_bounds(raw, offs, ALNUM)
@@ -133,7 +133,7 @@ class Windows:
             w = ids[at : at + n].tolist()
             at += n
             for j in range(max(min(n, 1), n - width + 1)):
-                found[tuple(w[j : j + width])].add(item)
+                found[tuple(w[j : j + width])].update(() if item is None else (item,))
         self.groups = []
         for length in sorted({len(w) for w in found}):
             keys = [w for w in found if len(w) == length]
@@ -235,7 +235,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, column
     A window: `width` consecutive words of an item (item_id long, text); all words of an item of
     fewer; an item without words has none. spans: merged runs [start, end) of the words that lie in
     an occurrence of any window, in words from 0, ascending. items: the ids of the items whose
-    windows occur, ascending. With cut, the column text comes too, without the spans' characters.
+    windows occur, ascending; an item of null item_id makes spans all the same, without an id. With cut, the column text comes too, without the spans' characters.
     Words are runs of ASCII letters and digits and of all non-ASCII, lower-cased in A-Z. Null text
     has no words (and stays null); an empty benchmark hits nothing. Columns named n_words, spans
     or items are replaced.
@@ -245,13 +245,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, column
     made = ("n_words", "spans", "items")
     columns = [c for c in (columns or docs.columns) if c not in made and (c != "text")]
     spark = docs.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
     empty = F.array().cast
     data = docs.select(*columns, "text", F.lit(0).cast("long").alias("n_words"), empty(SPANS).alias("spans"), empty("array<long>").alias("items"))
     for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else benchmark
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
         shared = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in part.collect()], width))
         last = b == blocks - 1
         keep = columns if last else [*columns, "text"]

@@ -81,3 +81,13 @@ def test_edges_blocks_and_cuts(spark, monkeypatch):
     none = D.decontaminate(d, b.where("false"), 10)
     assert none.where(F.size("spans") > 0).count() == 0 and none.count() == len(docs)
     assert D.decontaminate(d.where("false"), b).count() == 0
+
+
+def test_null_item_ids(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "lone"), (3, "clean")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, item), (None, "lone"), (4, "lone")], "item_id long, text string")
+    for limit in (10**9, 10):
+        monkeypatch.setattr(D, "BLOCK_CHARS", limit)
+        got = {r.doc_id: r for r in D.decontaminate(docs, b, 10, cut=True).collect()}
+        assert [(got[i].text, got[i]["items"]) for i in (1, 2, 3)] == [("x  y", []), ("", [4]), ("clean", [])]
