@@ -63,8 +63,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 ids; each document ends with id 1."""
-    return packing.pack(docs, packing.byte_bpe_path(), 2048, 1)
+    """Pieces of all documents, with their ids, in sequences of 2048 ids; each document ends with id 1."""
+    return packing.pack(docs, packing.byte_bpe_path(), 2048, 1, with_ids=True)
 
 
 STAGES = [

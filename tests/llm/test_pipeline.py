@@ -1,6 +1,8 @@
 import re
 import zlib
 
+import numpy as np
+
 import corpus_pipeline as P
 from pagewright.llm import pii
 from tests.conftest import DATA
@@ -63,3 +65,10 @@ def test_no_language_learned(spark):
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2][0]
     docs = spark.createDataFrame([(100, "clean text stays", None), (held, "held out", "en"), (102, "123 ...", None), (103, None, None)], "doc_id long, text string, lang string")
     assert sorted(map(tuple, P.identify_language(spark, docs, DATA).collect())) == [(held, "held out", "en"), (100, "clean text stays", None)]
+
+
+def test_sequences_can_be_rebuilt(spark):
+    docs = spark.createDataFrame([(1, "some words to pack " * 300), (2, None), (3, "é")], "doc_id long, text string")
+    rows = P.pack(spark, docs, DATA).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert {r.doc_id for r in rows} == {1, 2, 3}
