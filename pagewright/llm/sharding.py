@@ -22,19 +22,17 @@ def _cases(values: list[int], by: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
 
 
-def propagate(votes: DataFrame, room: int, n_shards: int, rounds: int) -> DataFrame:
+def propagate(votes: DataFrame, room: int, n_shards: int) -> DataFrame:
     """(hub, shard, upto): of a hub's documents, those ranked below `upto`, and not below a lesser one, go to the shard.
 
-    votes (hub, shard, m): the m documents of a hub that start in a shard. A shard takes up to `room` documents. Documents ranked
-    past all of a hub's rows found no place in `rounds` rounds.
+    votes (hub, shard, m): the m documents of a hub that start in a shard. A shard takes up to `room` documents. Rounds go on
+    until no group is left or no room is free; each fills a shard or seats a whole group. Documents ranked past all of a
+    hub's rows found no room.
     """
     groups = stash(votes.groupBy("hub").agg(F.sum("m").alias("n")).withColumn("done", F.lit(0).cast("long")))
     free, placed = [room] * n_shards, []
     buckets = rank_buckets(groups.count())
-    for step in range(rounds):
-        largest = max(free)
-        if largest == 0 or groups.isEmpty():
-            break
+    while (largest := max(free)) > 0 and not groups.isEmpty():
         left = F.col("n") - F.col("done")
         # of the shards with room for the whole group, or, if there is none, of the roomiest, the one with most neighbours
         fits = _cases(free, F.col("shard")) >= F.least(left, F.lit(largest))
@@ -65,7 +63,7 @@ def propagate(votes: DataFrame, room: int, n_shards: int, rounds: int) -> DataFr
     return out
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of all docs (doc_id, text; other columns are ignored).
 
     size: the text's UTF-8 bytes plus 1. Shards run from 0, slots in each from 0 without gaps; shards' rows differ by one
@@ -86,7 +84,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 16) -> Dat
     half = rank_buckets(total)
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     votes = stash(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("m")))
-    moves = propagate(votes, total // n_shards, n_shards, rounds)
+    moves = propagate(votes, total // n_shards, n_shards)
     # a hub's moves: one for each round at most
     moves = moves.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("upto", F.col("shard").alias("to")))).alias("moves"))
     linked = ranked(linked, ["hub"], ["doc_id"], F.xxhash64("doc_id"), "rank", half).join(moves, "hub", "left")

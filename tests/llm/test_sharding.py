@@ -39,3 +39,10 @@ def test_hot_group_and_edges(spark):
     assert check(shard_documents(d, 3).collect(), docs, 3)
     assert check(shard_documents(d.where("doc_id = 2000"), 8).collect(), docs[1000:1001], 8) == {}
     assert shard_documents(d.where("false"), 8).collect() == []
+
+
+def test_hot_group_over_many_shards(spark):
+    """A hot text fills shards, one a round, for as many rounds as it takes."""
+    docs = [(i, "hot") for i in range(54)] + [(54 + i, f"t{i}") for i in range(54)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert check(shard_documents(d, 36).collect(), docs, 36)["hot"] == 18
