@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A text's blocks are BLOCK words long and start every STRIDE words, so every place of a phrase or
-notice lies in one. Template words are ordered by their frequency in the whole corpus, rarest
+notice lies in one. Template words are ordered by how many texts of the whole corpus hold them, rarest
 first. A block that holds `need` of a template's words must hold one of its first
 size - need + 1 (prefix filter), have `need` template words at all (length filter) and, from the
 shared word on, enough words left on both sides (positional filter). What passes is verified on
@@ -78,7 +78,9 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, percent:
     vocabulary = sorted({w for t in known for w in t["words"]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
 
-    seen = rows.select(F.explode("words").alias("w")).select(F.lower("w").alias("w")).where(F.col("w").isin(vocabulary))
+    # how many texts hold a template word: only those words leave a text's row
+    low = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    seen = docs.select(F.explode(F.array_intersect(low, F.array(*map(F.lit, vocabulary)))).alias("w"))
     counts = {r.w: r.n for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a template word at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     for t in known:
