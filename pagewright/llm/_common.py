@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir; where it is unset and the master is local (tests), a new local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     kept = getattr(spark, "_pagewright_shared", None)
     if kept is None:
         kept = spark._pagewright_shared = "file://" + tempfile.mkdtemp(prefix="pagewright-")
@@ -39,6 +41,24 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+#: Keys that hold more than this part of the rows count as hot; there can be no more of them than its inverse.
+HOT_PARTS = 4096
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with keys on `key`, with no task that holds a hot key's rows. how: inner or left.
+
+    keys holds a key once, and in `n` how many of rows have it. The hot ones, HOT_PARTS at most by what hot means, are broadcast,
+    so their rows stay where they are; all others are joined by a shuffle, in which no key has more than a HOT_PARTS-th of the rows.
+    Both tables are read twice: pass stashed ones.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_PARTS > total
+    few = F.broadcast(keys.where(hot))
+    rest = rows.join(F.broadcast(keys.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(keys.where(~hot), key, how))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

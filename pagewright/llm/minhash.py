@@ -8,10 +8,11 @@ hashes instead of t n, and its coordinates are as concentrated as t independent
 Equal sets form one class. A class's representative goes to `bands` buckets. In each, it is
 paired with the bucket's first and with its neighbour by size (linear in the rows); true links
 among those make components. Only buckets that still hold several components are looked at again.
-There, members of small components pair with each other, and whatever shares a bucket with a
-component of many members is held against all of that component, in blocks of bounded size that
-give out links between components, not pairs. So no link between components is passed over, and
-a large group of near copies makes no pairs. Every link is confirmed on full sets.
+There, members of small components pair with each other if they are few; those of a crowded bucket, and
+whatever shares a bucket with a component of many members, which is held against all of that component, are
+compared in blocks of bounded size that give out as few links between components as connect them, not pairs. So
+no link between components is passed over, and neither a large group of near copies nor a crowd of texts that
+are almost near enough makes pairs. Every link is confirmed on full sets.
 
 At 64 bands of 8, two texts of similarity 0.8 share no bucket with probability 8e-6; at 0.85, 1e-9.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import stash
+from ._common import join_hot, stash
 from ._words import BASE, MIX_A, NOT_SPACE, U, buffers, mix, shingles, words
 
 NONE = U(0xFFFFFFFFFFFFFFFF)
@@ -35,6 +36,9 @@ CHUNK = 400_000
 #: Components of so many members or more are compared with the rest in blocks of BLOCK members by BLOCK others.
 LARGE = 32
 BLOCK = 1500
+#: A bucket with more rows of small components than this is compared in blocks too, and ranked by size in parts of about PART rows.
+CROWD = 64
+PART = 20_000
 
 
 def sketch(values: np.ndarray, sizes: np.ndarray, t: int) -> np.ndarray:
@@ -161,19 +165,35 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(percent: int):
-    """Of one block of a component's members and of probes: the components of probes linked to a member."""
+    """Of one block of rows (c, rep, shingles, side): links between the labels c, as few as connect what its pairs link.
+
+    side: 0 rows are held against 1 rows; 2 rows are on both sides.
+    """
 
     def run(block: pa.Table) -> pa.Table:
-        probe = np.array(block.column("probe").to_pylist(), bool)
+        side = np.array(block.column("side").to_pylist(), np.int64)
         sets = [np.asarray(x.as_py(), np.int64) for x in block.column("shingles")]
         c = np.array(block.column("c").to_pylist(), np.int64)
-        x, y = [sets[i] for i in np.flatnonzero(probe)], [sets[i] for i in np.flatnonzero(~probe)]
-        hit = np.zeros(0, np.int64)
-        if x and y:
-            both = _overlaps(x, y).astype(np.int64)
-            union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
-            hit = np.unique(c[probe][(both * 100 >= union * percent).any(axis=1)])
-        return pa.table({"c": pa.array(hit, pa.int64()), "d": pa.array(np.full(len(hit), block.column("d")[0].as_py()), pa.int64())})
+        p, q = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while (w := up.setdefault(v, v)) != v:
+                up[v] = v = up[w]
+            return v
+
+        a, b = [], []
+        if len(p) and len(q):
+            sizes = np.array([len(s) for s in sets])
+            both = _overlaps([sets[i] for i in p], [sets[i] for i in q]).astype(np.int64)
+            hit = both * 100 >= (sizes[p][:, None] + sizes[q][None, :] - both) * percent
+            for i, row in zip(c[p].tolist(), hit, strict=True):
+                for j in np.unique(c[q[row]]).tolist():
+                    if (x := root(i)) != (y := root(j)):
+                        up[x] = y
+                        a.append(i)
+                        b.append(j)
+        return pa.table({"c": pa.array(a, pa.int64()), "d": pa.array(b, pa.int64())})
 
     return run
 
@@ -196,43 +216,86 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each of docs (doc_id, text; other columns are ignored).
+def _chunk(n: str):
+    return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+
+def _every(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _crowd_blocks(small: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of blocks (of, g, i, j, c, rep, side) of small (bucket, n, rep, c) in buckets of which few (bucket, k) tells more than CROWD: each chunk of a bucket's rows against each, itself included.
+
+    A bucket of m rows makes m * ceil(m / BLOCK) of them; no pairs.
+    """
+    crowded = stash(few.where(F.col("k") > CROWD).select("bucket", F.col("k").alias("held"), F.ceil(F.col("k") / BLOCK).cast("int").alias("down")))
+    own = join_hot(small, crowded, "bucket", "held").select("bucket", "c", "rep", _chunk("down").alias("at"), _every("down").alias("other"))
+    which = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1).alias("side")
+    return own.select(F.lit("bucket").alias("of"), F.col("bucket").alias("g"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "c", "rep", which)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 64, rows: int = 8, unique: bool | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text; other columns are ignored).
 
     Links texts with 100 * intersection >= percent * union of their sets of k-word shingles.
-    component_id: the smallest doc_id reachable by links. kept: it is the document's own.
+    component_id: the smallest doc_id reachable by links. kept: it is the row's own.
     Null and empty texts and texts without words have no shingle and link with nothing; fewer
-    words than k are one shingle. An empty table gives an empty result. doc_id must be unique
-    and not null; rows that repeat a doc_id come out once for each.
+    words than k are one shingle. An empty table gives an empty result. Rows that repeat a doc_id, with the
+    same text or another, are rows of their own and come out once each. A row without a doc_id takes part
+    as any other; where none of the rows linked has one, component_id is null and kept true.
+    unique: whether doc_id is known to be unique and never null; looked up if not given.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if unique is None:
+        unique = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").isEmpty()
+    if unique:
+        return _linked_rows(docs, k, percent, bands, rows).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # rows get keys of their own, written so that they stay the same
+    own = stash(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
+    found = stash(_linked_rows(own.select(F.col("key").alias("doc_id"), "text"), k, percent, bands, rows).withColumnRenamed("doc_id", "key").join(own.select("key", "doc_id"), "key"))
+    least = stash(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")))
+    out = join_hot(found, least, "component_id")
+    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
+
+
+def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs whose doc_id is unique and never null."""
     all_ = stash(docs.mapInArrow(_sketches(k, bands, rows), "doc_id long, n_shingles long, digest binary, sig0 long, sig1 long, bands array<long>"))
-    filled = all_.where("digest is not null")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = stash(filled.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "rep"))
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-
-    one = F.struct(F.col("n_shingles").alias("n"), F.col("doc_id").alias("rep"), "sig0", "sig1")
-    placed = all_.join(reps, "doc_id").select(F.explode("bands").alias("bucket"), one.alias("x"))
-    inner = Window.partitionBy("bucket").orderBy("x")
-    in_bucket = placed.select("bucket", "x", F.lag("x").over(inner).alias("lag"), F.lead("x").over(inner).alias("lead"), F.first("x").over(inner).alias("head"))
-    shared = stash(in_bucket.where("lag is not null or lead is not null").drop("lead"))
-
-    def likely(p: str, q: str):
-        """No link is possible beyond this ratio of sizes; none is likely beyond so many of 128 bits (12.8 at 0.8, 36 is 6.8 deviations off)."""
-        far = F.bit_count(F.col(f"{p}.sig0").bitwiseXOR(F.col(f"{q}.sig0"))) + F.bit_count(F.col(f"{p}.sig1").bitwiseXOR(F.col(f"{q}.sig1")))
-        size = F.least(f"{p}.n", f"{q}.n") * 100 >= F.greatest(f"{p}.n", f"{q}.n") * percent
-        odds = 128 * (1 - percent / 100) / 2
-        return size & (far <= int(odds + 6.8 * (odds * (1 - odds / 128)) ** 0.5))
+    filled = all_.where("digest is not null").select("doc_id", "n_shingles", "digest")
+    classes = stash(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    members = stash(join_hot(filled, classes, "digest").select("doc_id", "n_shingles", "rep"))
+
+    # (bucket, n, rep) of representatives; of buckets of one nothing is kept
+    reps = stash(all_.join(classes.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "bands"))
+    placed = reps.select(F.explode("bands").alias("bucket"), "n", "rep")
+    crowds = stash(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("n", "rep")).alias("head")).where("held > 1"))
+    shared = stash(join_hot(placed, crowds, "bucket", "held"))
+
+    def as_pair(p, q):
+        return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
+
+    def near_size(p, q):
+        """No link is possible beyond this ratio of sizes."""
+        return F.least(p, q) * 100 >= F.greatest(p, q) * percent
+
+    signs = all_.select("doc_id", "sig0", "sig1")
 
-    def as_pair(p: str, q: str):
-        return F.least(f"{p}.rep", f"{q}.rep").alias("a"), F.greatest(f"{p}.rep", f"{q}.rep").alias("b")
+    def likely(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) without those that differ in so many of 128 bits (12.8 at 0.8) that no link is likely: 36 is 6.8 deviations off."""
+        p, q = (signs.select(F.col("doc_id").alias(v), F.col("sig0").alias(f"{v}0"), F.col("sig1").alias(f"{v}1")) for v in ("a", "b"))
+        far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+        odds = 128 * (1 - percent / 100) / 2
+        return pairs.join(p, "a").join(q, "b").where(far <= int(odds + 6.8 * (odds * (1 - odds / 128)) ** 0.5)).select(*pairs.columns)
 
-    first = shared.where(F.col("lag").isNotNull())
-    pairs = first.where(likely("x", "lag")).select(*as_pair("x", "lag")).union(first.where(likely("x", "head")).select(*as_pair("x", "head"))).distinct()
+    # a representative with its bucket's least, and with its neighbour by size in its part of the bucket: parts hold PART rows or so
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / PART))
+    inner = Window.partitionBy("bucket", "part").orderBy("n", "rep")
+    beside = shared.where(F.col("held") > 2).withColumn("part", part).select("n", "rep", F.lag("n").over(inner).alias("m"), F.lag("rep").over(inner).alias("q")).where("q is not null")
+    heads = shared.where(F.col("rep") != F.col("head.rep")).select("n", "rep", F.col("head.n").alias("m"), F.col("head.rep").alias("q"))
+    pairs = heads.union(beside).where(near_size("n", "m")).select(*as_pair("rep", "q")).distinct()
 
-    wanted = shared.select(F.col("x.rep").alias("doc_id")).distinct()
+    wanted = stash(shared.select(F.col("rep").alias("doc_id")).distinct())
     full = stash(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "rep long, shingles array<long>"))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -240,48 +303,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(p, "a").join(q, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
-    found = components(linked(pairs))
-    named = stash(shared.select("bucket", "x", F.col("x.rep").alias("v")).join(found, "v", "left").select("bucket", "x", F.coalesce("component", "v").alias("c")))
-    mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    large = stash(found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE))
-    rest = stash(named.join(mixed, "bucket").join(large, "c", "left"))
-
-    # components of few members: pairs
-    p = rest.where("m is null").select("bucket", "x", "c")
-    q = p.select("bucket", F.col("x").alias("y"), F.col("c").alias("d"))
-    more = p.join(q, "bucket").where((F.col("c") != F.col("d")) & (F.col("x.rep") < F.col("y.rep")) & likely("x", "y"))
-    ends = stash(more.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), "c", "d").distinct())
+    found = components(linked(stash(likely(pairs))))
+    named = stash(shared.select("bucket", "n", F.col("rep").alias("v")).join(found, "v", "left").select("bucket", "n", F.col("v").alias("rep"), F.coalesce("component", "v").alias("c")))
+    mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
+    mixed = stash(mixed.select("bucket", "held"))
+    large = found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE)
+    rest = stash(join_hot(named, mixed, "bucket", "held").drop("held").join(large, "c", "left"))
+
+    # components of few members, in a bucket with few of them: pairs
+    small = rest.where("m is null").drop("m")
+    few = stash(small.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")))
+    p = small.join(few.where(F.col("k") <= CROWD).select("bucket"), "bucket")
+    q = p.select("bucket", F.col("n").alias("n2"), F.col("rep").alias("rep2"), F.col("c").alias("d"))
+    more = p.join(q, "bucket").where((F.col("c") != F.col("d")) & (F.col("rep") < F.col("rep2")) & near_size("n", "n2"))
+    ends = stash(likely(more.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), "c", "d").distinct()))
     by_pair = linked(ends.select("a", "b")).join(ends, ["a", "b"]).select("c", "d")
 
+    crowd = _crowd_blocks(small, few)
+
     # against a component of many members: blocks
-    whole = rest.where("m is not null").groupBy("bucket", F.col("c").alias("d"), F.col("m").alias("dm")).agg(F.min("x.n").alias("lo"), F.max("x.n").alias("hi"))
+    whole = rest.where("m is not null").groupBy("bucket", F.col("c").alias("d"), F.col("m").alias("dm")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     less = F.col("m").isNull() | (F.col("m") < F.col("dm")) | ((F.col("m") == F.col("dm")) & (F.col("c") < F.col("d")))
-    size = (F.col("x.n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("x.n") * percent)
+    size = (F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent)
     probes = rest.join(whole, "bucket").where((F.col("c") != F.col("d")) & less & size)
-    probes = stash(probes.select("d", "dm", "c", F.col("x.rep").alias("rep")).distinct())
+    probes = stash(probes.select("d", "dm", "c", "rep").distinct())
     cells = probes.groupBy("d", "dm").agg(F.count(F.lit(1)).alias("k"))
-    cells = cells.select("d", F.ceil(F.col("dm") / BLOCK).cast("int").alias("across"), F.ceil(F.col("k") / BLOCK).cast("int").alias("down"))
-
-    def chunk(n: str):
-        return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    rows = probes.drop("dm").join(cells, "d").select("d", "c", "rep", chunk("down").alias("i"), every("across").alias("j"), F.lit(True).alias("probe"))
-    own = found.select(F.col("component").alias("d"), F.col("component").alias("c"), F.col("v").alias("rep")).join(cells, "d")
-    rows = rows.union(own.select("d", "c", "rep", every("down").alias("i"), chunk("across").alias("j"), F.lit(False).alias("probe")))
-    by_block = rows.join(full, "rep").groupBy("d", "i", "j").applyInArrow(_block_links(percent), "c long, d long")
+    cells = stash(cells.select("d", F.ceil(F.col("dm") / BLOCK).cast("int").alias("across"), F.ceil(F.col("k") / BLOCK).cast("int").alias("down")))
+    blocks = [probes.drop("dm").join(cells, "d").select("d", _chunk("down").alias("i"), _every("across").alias("j"), "c", "rep", F.lit(0).alias("side"))]
+    theirs = found.select(F.col("component").alias("d"), F.col("component").alias("c"), F.col("v").alias("rep")).join(cells, "d")
+    blocks.append(theirs.select("d", _every("down").alias("i"), _chunk("across").alias("j"), "c", "rep", F.lit(1).alias("side")))
+    for part_ in blocks:
+        crowd = crowd.union(part_.select(F.lit("component").alias("of"), F.col("d").alias("g"), "i", "j", "c", "rep", "side"))
+    by_block = crowd.join(full, "rep").groupBy("of", "g", "i", "j").applyInArrow(_block_links(percent), "c long, d long")
     joined = by_pair.union(by_block).distinct().select(F.col("c").alias("a"), F.col("d").alias("b"))
     over = components(joined).select(F.col("v").alias("component"), F.col("component").alias("top"))
     final = found.join(over, "component", "left").select("v", F.coalesce("top", "component").alias("c"))
     # a representative without a link in the first round may have one in the second
     alone = over.select(F.col("component").alias("v"), F.col("top").alias("c")).join(found.select("v"), "v", "left_anti")
-    named_reps = final.union(alone).withColumnRenamed("v", "rep")
-    # members and the rest are one row for each of docs: no join by doc_id, which rows may repeat
-    out = members.join(named_reps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id"))
-    out = out.union(all_.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named_reps = stash(classes.join(final.union(alone).withColumnRenamed("v", "rep"), "rep").select("rep", "n", "c"))
+    out = join_hot(members, named_reps, "rep", how="left").select("doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id"))
+    return out.union(all_.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -120,3 +120,60 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, k=2).collect())
     assert got == [(1, 1, True)] * 3 + [(2, 1, False)] * 2 + [(3, 3, True)] * 4 + [(4, 4, True)] * 2 + [(5, 5, True)]
+
+
+def by_rows(rows, k):
+    """What near_duplicates gives, worked out with a key for each row."""
+    own = brute(list(enumerate(t for _, t in rows)), k)
+    least = {}
+    for key, (d, _) in enumerate(rows):
+        c = own[key][1]
+        least[c] = min((x for x in (least.get(c), d) if x is not None), default=None)
+    return sorted(((d, own[key][0], least[own[key][1]], d == least[own[key][1]]) for key, (d, _) in enumerate(rows)), key=repr)
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (3, c + " more"), (None, a), (None, c), (None, "alone"), (None, "alone"), (None, None), (4, None), (4, ""), (5, "x"), (5, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in near_duplicates(docs, k=2).collect()), key=repr)
+    assert got == by_rows(rows, 2)
+
+
+def test_crowded_buckets_without_links(spark, monkeypatch):
+    """Pages of one template that are almost near enough: blocks, whose rows grow with the pages, and no pairs."""
+    from pagewright.llm import minhash
+
+    monkeypatch.setattr(minhash, "CROWD", 8)
+    monkeypatch.setattr(minhash, "PART", 16)
+    rng = np.random.default_rng(2)
+    base = [f"t{i}" for i in range(170)]
+    rows = [(i, " ".join(base + [f"own{i}_{j}" for j in range(30 if i % 10 else 8)])) for i in range(300)]
+    rows += [(1000 + i, " ".join(rows[int(rng.integers(0, 300))][1].split()[:-2])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # with few bands of one row, all pages meet
+    got = result(near_duplicates(docs, k=1, bands=16, rows=2))
+    assert got == brute(rows, 1)
+
+
+def test_crowds_make_no_pairs(spark, monkeypatch):
+    """Rows of blocks grow with a bucket's rows, by the number of its chunks; every two rows meet in just one block."""
+    from pagewright.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    for m, chunks in ((100, 1), (800, 8)):
+        small = spark.range(m).selectExpr("7L as bucket", "1 as n", "id as rep", "id as c")
+        rows = minhash._crowd_blocks(small, spark.createDataFrame([(7, m)], "bucket long, k long")).collect()
+        assert len(rows) == m * chunks
+    met = defaultdict(int)
+    cells = defaultdict(list)
+    for r in rows:
+        cells[r.i, r.j].append(r)
+    assert len(cells) == chunks * (chunks + 1) // 2
+    for own in cells.values():
+        for a in own:
+            for b in own:
+                if a.rep < b.rep and {a.side, b.side} != {0} and {a.side, b.side} != {1}:
+                    met[a.rep, b.rep] += 1
+    assert len(met) == m * (m - 1) // 2 and set(met.values()) == {1}
+    assert minhash._crowd_blocks(small, spark.createDataFrame([(7, minhash.CROWD)], "bucket long, k long")).count() == 0
