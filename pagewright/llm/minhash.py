@@ -37,7 +37,7 @@ CHUNK = 400_000
 LARGE = 32
 BLOCK = 1500
 #: A bucket with more rows of small components than this is compared in blocks too, and ranked by size in parts of about PART rows.
-CROWD = 64
+CROWD = 32
 PART = 20_000
 
 
@@ -279,14 +279,10 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
         """No link is possible beyond this ratio of sizes."""
         return F.least(p, q) * 100 >= F.greatest(p, q) * percent
 
-    signs = all_.select("doc_id", "sig0", "sig1")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) without those that differ in so many of 128 bits (12.8 at 0.8) that no link is likely: 36 is 6.8 deviations off."""
-        p, q = (signs.select(F.col("doc_id").alias(v), F.col("sig0").alias(f"{v}0"), F.col("sig1").alias(f"{v}1")) for v in ("a", "b"))
-        far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-        odds = 128 * (1 - percent / 100) / 2
-        return pairs.join(p, "a").join(q, "b").where(far <= int(odds + 6.8 * (odds * (1 - odds / 128)) ** 0.5)).select(*pairs.columns)
+    # no link is likely of two signatures that differ in so many of 128 bits: 12.8 at 0.8, where 36 is 6.8 deviations off
+    odds = 128 * (1 - percent / 100) / 2
+    far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    close = far <= int(odds + 6.8 * (odds * (1 - odds / 128)) ** 0.5)
 
     # a representative with its bucket's least, and with its neighbour by size in its part of the bucket: parts hold PART rows or so
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / PART))
@@ -303,7 +299,7 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(p, "a").join(q, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
 
-    found = components(linked(stash(likely(pairs))))
+    found = components(linked(pairs))
     named = stash(shared.select("bucket", "n", F.col("rep").alias("v")).join(found, "v", "left").select("bucket", "n", F.col("v").alias("rep"), F.coalesce("component", "v").alias("c")))
     mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
     mixed = stash(mixed.select("bucket", "held"))
@@ -313,10 +309,11 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
     # components of few members, in a bucket with few of them: pairs
     small = rest.where("m is null").drop("m")
     few = stash(small.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")))
-    p = small.join(few.where(F.col("k") <= CROWD).select("bucket"), "bucket")
-    q = p.select("bucket", F.col("n").alias("n2"), F.col("rep").alias("rep2"), F.col("c").alias("d"))
-    more = p.join(q, "bucket").where((F.col("c") != F.col("d")) & (F.col("rep") < F.col("rep2")) & near_size("n", "n2"))
-    ends = stash(likely(more.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), "c", "d").distinct()))
+    p = small.join(few.where(F.col("k") <= CROWD).select("bucket"), "bucket").join(all_.select(F.col("doc_id").alias("rep"), "sig0", "sig1"), "rep")
+    p = stash(p.select("bucket", "n", F.col("rep").alias("a"), "c", F.col("sig0").alias("a0"), F.col("sig1").alias("a1")))
+    q = p.toDF("bucket", "n2", "b", "d", "b0", "b1")
+    more = p.join(q, "bucket").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("b")) & near_size("n", "n2") & close)
+    ends = stash(more.select("a", "b", "c", "d").distinct())
     by_pair = linked(ends.select("a", "b")).join(ends, ["a", "b"]).select("c", "d")
 
     crowd = _crowd_blocks(small, few)
