@@ -8,28 +8,33 @@ transform in a wavelet matrix, and suffix positions sampled every SAMPLE words a
 segment's start. All windows search backwards at once; occurrences are located by walking to
 a sample; their words merge into removal spans. No row is shuffled.
 
-The benchmark is read in blocks of at most BLOCK_CHARS characters, so that what is broadcast
-stays bounded; each block passes over all documents and adds its spans.
+The benchmark is cut into pieces of PIECE_WORDS words that overlap by a window less one word, so all
+windows of an item, however long, are in its pieces. Pieces go by hash to blocks of about BLOCK_CHARS characters;
+one block at a time is made on the driver, and one at a time is held by a worker, which reads a shard's
+documents once and searches them block by block. Of a block's windows only those are searched whose words all occur in the shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import stash, table
 from ._words import ALNUM, buffers, word_bounds, word_hashes
 
 SHARD_WORDS = 1_000_000
 SAMPLE = 8
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 1_000_000
+PIECE_WORDS = 2_000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -118,29 +123,57 @@ class FMIndex:
 
 
 class Windows:
-    """Windows of `width` words of the items of one block of the benchmark, by length."""
+    """Windows of `width` words of the items of one block of the benchmark, by length: (length, words, first owner of each, owners)."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int):
-        texts = pa.array([t for _, t in items], pa.string())
-        raw, offs = buffers(texts)
+        raw, offs = buffers(pa.array([t for _, t in items], pa.string()))
         starts, ends, counts = word_bounds(raw, offs, ALNUM)
         hashes = word_hashes(raw, starts, ends)
         self.vocab = np.unique(hashes)
-        ids = np.searchsorted(self.vocab, hashes) + 1
-        found: dict[tuple, set[int]] = defaultdict(set)
-        at = 0
-        for (item, _), n in zip(items, counts, strict=True):
-            w = ids[at : at + n].tolist()
-            at += n
-            for j in range(max(min(n, 1), n - width + 1)):
-                found[tuple(w[j : j + width])].update(() if item is None else (item,))
-        self.groups = []
-        for length in sorted({len(w) for w in found}):
-            keys = [w for w in found if len(w) == length]
-            self.groups.append((length, np.array(keys, np.int64), [sorted(found[w]) for w in keys]))
+        ids = (np.searchsorted(self.vocab, hashes) + 1).astype(np.int32)
+        first = np.cumsum(counts) - counts
+        named = np.array([i is not None for i, _ in items], bool)
+        numbers = np.array([i or 0 for i, _ in items], np.int64)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in np.unique(np.minimum(counts[counts > 0], width)).tolist():
+            own = np.flatnonzero(np.minimum(counts, width) == length)
+            many = counts[own] - length + 1
+            item = np.repeat(own, many)
+            at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            rows, which = np.unique(ids[at[:, None] + np.arange(length)], axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((which.ravel()[named[item]], numbers[item[named[item]]])), axis=1)
+            self.groups.append((length, rows, np.searchsorted(pairs[0], np.arange(len(rows) + 1)), pairs[1]))
         self.shortest = self.groups[0][0] if self.groups else 0
 
 
+def pieces(width: int):
+    """(item_id, text) of items cut into pieces that overlap by width - 1 words; an item of PIECE_WORDS words or fewer is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = buffers(batch.column("text"))
+            starts, ends, counts = word_bounds(raw, offs, ALNUM)
+            head = np.concatenate(([0], np.cumsum(counts)))
+            ids, texts = [], []
+            for d, item in enumerate(batch.column("item_id").to_pylist()):
+                at = int(head[d])
+                while at < head[d + 1]:
+                    to = min(int(head[d + 1]), at + PIECE_WORDS + width - 1)
+                    ids.append(item)
+                    texts.append(raw[starts[at] : ends[to - 1]].tobytes().decode())
+                    at = at + PIECE_WORDS if to < head[d + 1] else to
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    return run
+
+
+def _held_no_longer(shared: Broadcast):
+    """A broadcast's value, which the process then doesn't keep."""
+    value = shared.value
+    vars(shared).pop("_value", None)
+    return value
+
+
 def _shard(windows: Windows, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
     """(which words are hit, items by document) of a shard's documents, given by their words."""
     hit = np.zeros(len(hashes) + 1, np.int32)
@@ -165,7 +198,11 @@ def _shard(windows: Windows, hashes: np.ndarray, counts: np.ndarray) -> tuple[np
     text[inner] = place[source[inner]] + 1
     index = FMIndex(text, len(windows.vocab))
     last = np.cumsum(counts)
-    for length, patterns, owners in windows.groups:
+    present = np.zeros(len(windows.vocab) + 1, bool)
+    present[text] = True
+    for length, rows_, first, owners in windows.groups:
+        able = np.flatnonzero(present[rows_].all(axis=1))
+        patterns = rows_[able].astype(np.int64)
         lo, hi = index.search(patterns)
         found = np.flatnonzero(hi > lo)
         if len(found) == 0:
@@ -176,8 +213,8 @@ def _shard(windows: Windows, hashes: np.ndarray, counts: np.ndarray) -> tuple[np
         np.add.at(hit, at, 1)
         np.add.at(hit, at + length, -1)
         docs = np.searchsorted(last, at, "right")
-        for d, w in np.unique(np.stack((docs, np.repeat(found, size))), axis=1).T.tolist():
-            items[d].update(owners[w])
+        for d, w in np.unique(np.stack((docs, np.repeat(able[found], size))), axis=1).T.tolist():
+            items[d].update(owners[first[w] : first[w + 1]].tolist())
     return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -186,7 +223,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _scan(windows, keep: list[str], schema: pa.Schema, cut: bool):
+def _scan(blocks: list[Broadcast], keep: list[str], schema: pa.Schema, cut: bool):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -198,20 +235,22 @@ def _scan(windows, keep: list[str], schema: pa.Schema, cut: bool):
                 at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = windows.value
+        only = pickle.loads(_held_no_longer(blocks[0])) if len(blocks) == 1 else None
         for batch in shards(batches):
             raw, offs = buffers(batch.column("text"))
             starts, ends, counts = word_bounds(raw, offs, ALNUM)
-            hit, items = _shard(own, word_hashes(raw, starts, ends), counts)
+            hashes = word_hashes(raw, starts, ends)
+            hit, items = np.zeros(len(hashes), bool), defaultdict(set)
+            for block in blocks:
+                own_hit, own_items = _shard(only or pickle.loads(_held_no_longer(block)), hashes, counts)
+                hit |= own_hit
+                for d, names in own_items.items():
+                    items[d] |= names
             head = np.concatenate(([0], np.cumsum(counts)))
-            spans, ids = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            texts: list = [None] * len(batch)
+            spans: list = [[] for _ in range(len(batch))]
+            ids = [sorted(items[d]) if d in items else [] for d in range(len(batch))]
             for d in np.unique(np.searchsorted(head, np.flatnonzero(hit), "right") - 1).tolist() if hit.any() else []:
-                mine = hit[head[d] : head[d + 1]].copy()
-                for x in spans[d]:
-                    mine[x["start"] : x["end"]] = True
-                spans[d] = [{"start": a, "end": b} for a, b in _runs(mine)]
-                ids[d] = sorted({*ids[d], *items[d]})
+                spans[d] = [{"start": a, "end": b} for a, b in _runs(hit[head[d] : head[d + 1]])]
             columns = {name: batch.column(name) for name in keep}
             if cut:
                 body = raw.tobytes()
@@ -229,6 +268,20 @@ def _scan(windows, keep: list[str], schema: pa.Schema, cut: bool):
     return run
 
 
+def benchmark_blocks(benchmark: DataFrame, width: int) -> list[Broadcast]:
+    """Windows of the benchmark (item_id, text) as broadcasts, of about BLOCK_CHARS characters each, made and let go of one after another."""
+    spark = benchmark.sparkSession
+    cut = stash(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").mapInArrow(pieces(width), "item_id long, text string"))
+    chars = cut.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-chars // BLOCK_CHARS) or 1
+    out = []
+    for b in range(n):
+        part = cut.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else cut
+        out.append(spark.sparkContext.broadcast(pickle.dumps(Windows([(r.item_id, r.text) for r in part.collect()], width), protocol=5)))
+        vars(out[-1]).pop("_value", None)
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, columns: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs' `columns` (all but text if not given) with n_words, spans and items.
 
@@ -242,23 +295,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, column
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    made = ("n_words", "spans", "items")
-    columns = [c for c in (columns or docs.columns) if c not in made and (c != "text")]
-    spark = docs.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
-    empty = F.array().cast
-    data = docs.select(*columns, "text", F.lit(0).cast("long").alias("n_words"), empty(SPANS).alias("spans"), empty("array<long>").alias("items"))
-    for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        shared = spark.sparkContext.broadcast(Windows([(r.item_id, r.text) for r in part.collect()], width))
-        last = b == blocks - 1
-        keep = columns if last else [*columns, "text"]
-        names = [*columns, *(["text"] if cut or not last else []), *made]
-        schema = T.StructType([data.schema[c] for c in names])
-        data = data.mapInArrow(_scan(shared, keep, to_arrow_schema(schema), cut and last), schema)
-    return data
+    made = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))])
+    columns = [c for c in (columns or docs.columns) if c not in made.names and c != "text"]
+    blocks = benchmark_blocks(benchmark, width)
+    schema = T.StructType([*[docs.schema[c] for c in [*columns, *(["text"] if cut else [])]], *made])
+    return docs.select(*columns, "text").mapInArrow(_scan(blocks, columns, to_arrow_schema(schema), cut), schema)
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

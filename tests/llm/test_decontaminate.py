@@ -91,3 +91,35 @@ def test_null_item_ids(spark, monkeypatch):
         monkeypatch.setattr(D, "BLOCK_CHARS", limit)
         got = {r.doc_id: r for r in D.decontaminate(docs, b, 10, cut=True).collect()}
         assert [(got[i].text, got[i]["items"]) for i in (1, 2, 3)] == [("x  y", []), ("", [4]), ("clean", [])]
+
+
+def test_long_items_in_many_blocks(spark, monkeypatch):
+    """An item far longer than a piece is cut; its windows, and those across cuts, are all found."""
+    rng = np.random.default_rng(6)
+    long = [f"v{i}" for i in rng.integers(0, 40, 3000)]
+    bench = [(1, " ".join(long)), (2, " ".join(f"u{i}" for i in range(57))), (None, "k1 k2 k3"), (3, "k1 k2 k3"), (4, None), (5, "")]
+    docs = [(i, " ".join(long[at : at + 25]) + " gap") for i, at in enumerate(range(0, 2990, 47))] + [(900, "x " + " ".join(f"u{i}" for i in range(40, 57))), (901, "k1 k2 K3 k1"), (902, None), (903, " ".join(long))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    want = brute(docs, [x for x in bench if x[0] is not None])
+    for chars, words_ in ((10**9, 10**9), (2000, 100), (400, 7)):
+        monkeypatch.setattr(D, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(D, "PIECE_WORDS", words_)
+        blocks = D.benchmark_blocks(b, 10)
+        assert len(blocks) == (1 if chars == 10**9 else blocks and len(blocks)) and (chars == 10**9 or len(blocks) > 5)
+        got = {r.doc_id: (r.n_words, sum(x.end - x.start for x in r.spans), len(r["items"]), D.items_digest(r["items"]), bool(r.spans)) for r in D.decontaminate(d, b, 10).collect()}
+        assert got == want, (chars, words_)
+
+
+def test_a_block_on_the_driver_is_small():
+    """A block of a million characters takes less than 100 MB while it is made."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 60_000, 150_000))
+    tracemalloc.start()
+    w = D.Windows([(1, text)], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(len(text), peak)
+    assert len(w.groups[0][1]) > 149_000 and peak < 100_000_000
