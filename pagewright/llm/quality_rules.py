@@ -99,17 +99,17 @@ def apply_rules(docs: DataFrame, host: str = "source", trusted: float = 0.02, ba
     """(doc_id, host, the features, failed_rules, base_failed, host_rate, kept) of all docs (doc_id, text and the column `host`).
 
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated windows; never kept. A document that fails another rule is
-    kept if its host is trusted; one that fails none, unless its host is bad. A null host is a host of its own. Rows that
+    kept if its host is trusted; one that fails none, unless its host is bad. A null host is a host of its own, apart from the empty one. Rows that
     repeat are judged each; other columns are ignored; an empty table gives an empty result.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
     rules = failures()
     d = features(d, ["doc_id", "host"])
     d = d.withColumn("failed_rules", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()])))
     d = stash(d.withColumn("base_failed", F.arrays_overlap("failed_rules", F.array(*map(F.lit, BASE)))))
     hosts = stash(d.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum((F.size("failed_rules") > 0).cast("long")).alias("failed")))
-    verdicts = host_verdicts(hosts, trusted, bad).select("host", F.col("rate").alias("host_rate"), "bad", "trusted")
-    judged = d.join(verdicts, "host")
+    verdicts = host_verdicts(hosts, trusted, bad).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "bad", "trusted")
+    judged = d.join(verdicts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     kept = ~F.col("base_failed") & F.when(F.size("failed_rules") > 0, F.col("trusted")).otherwise(~F.col("bad"))
     return judged.withColumn("kept", kept).drop("bad", "trusted")
 
@@ -119,7 +119,7 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
 f AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 g AS (SELECT doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
@@ -136,7 +136,7 @@ b AS (SELECT m, CASE WHEN c < 2 THEN 2.0 WHEN v > 0 THEN least(1000.0, greatest(
 z AS (SELECT host, (failed + m * k) / (n + k) AS rate, n + k AS total FROM h, b)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND CASE WHEN other THEN rate < 0.02 ELSE NOT (rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 0.9) END AS kept
-FROM u JOIN z USING (host)
+FROM u JOIN z ON u.host IS NOT DISTINCT FROM z.host
 """
 
 QUERIES = {"op3_quality_rules": op3_quality_rules}

@@ -59,3 +59,19 @@ def test_hosts(spark):
     d = spark.createDataFrame([(i, t, h) for i, (_, t, h) in enumerate(rows)], "doc_id long, text string, source string")
     kept = {(r.host, len(r.failed_rules) > 0): r.kept for r in Q.apply_rules(d).collect()}
     assert kept == {("bad", True): False, ("bad", False): False, ("fine", False): True}
+
+
+def test_null_and_empty_hosts(spark):
+    """A null host and the empty one are judged apart, in Spark and in SQL."""
+    good, junk = " ".join(f"word{i}" for i in range(30)), " ".join(f"{i}###" for i in range(30))
+    rows = [(i, junk if i % 50 else good, None) for i in range(300)] + [(1000 + i, good if i else junk, "") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in Q.apply_rules(d).collect()}
+    assert len(got) == 600
+    nulls, empties = {got[i].host_rate for i in range(300)}, {got[1000 + i].host_rate for i in range(300)}
+    assert len(nulls) == len(empties) == 1 and nulls.pop() > 0.9 and empties.pop() < 0.1
+    assert {got[i].host for i in range(300)} == {None} and not got[0].kept and got[1001].kept
+    con = duckdb.connect()
+    frame = d.toPandas()
+    con.register("documents", frame)
+    assert {r[0]: r[-1] for r in con.sql(Q.ORACLE).fetchall()} == {i: r.kept for i, r in got.items()}
