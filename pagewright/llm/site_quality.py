@@ -189,26 +189,25 @@ def classify(scored: DataFrame, threshold: float = 0.6) -> DataFrame:
     """scored (doc_id, host, path, p_good, p_toxic) with host_rate, path_rate, score and kept.
 
     score: P(good) by the document's evidence and its site's excess log-odds, times 1 - p_toxic. kept: score is at least `threshold`.
-    A null host or path is a site of its own. Sums by group come first, so a host of any size costs each task one row.
+    A null host or path is a site of its own, apart from the empty one. Sums by group come first, so a host of any size costs each task one row.
     """
-    d = scored.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit("")))
-    paths = stash(d.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p_good").alias("good")))
+    paths = stash(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p_good").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     mean = min(max((whole.good or 0) / (whole.n or 1), 1e-4), 1 - 1e-4)
     hosts = hosts.withColumn("prior", F.lit(mean))
     a = _strength(hosts)
     hosts = hosts.select("host", ((F.col("good") + a * F.col("prior")) / (F.col("n") + a)).alias("host_rate"))
-    paths = paths.join(hosts, "host").withColumn("prior", F.col("host_rate"))
+    paths = paths.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).withColumn("prior", F.col("host_rate"))
     b = _strength(paths)
-    paths = paths.select("host", "path", "host_rate", ((F.col("good") + b * F.col("prior")) / (F.col("n") + b)).alias("path_rate"))
+    paths = paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", ((F.col("good") + b * F.col("prior")) / (F.col("n") + b)).alias("path_rate"))
 
     def odds(x: Column) -> Column:
         x = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), x))
         return F.log(x / (1 - x))
 
     site = odds(F.col("path_rate")) - float(np.log(mean / (1 - mean)))
-    joined = d.join(paths, ["host", "path"])
+    joined = scored.join(paths, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))).drop("_host", "_path")
     good = 1 / (1 + F.exp(-(odds(F.col("p_good")) + site)))
     return joined.withColumn("score", good * (1 - F.col("p_toxic"))).withColumn("kept", F.col("score") >= threshold)
 
@@ -226,7 +225,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
 
 
 def op9_site_quality_bayes(spark, sf_dir: str) -> DataFrame:
-    """Hosts are sources; a source's documents of one language are a path."""
+    """Hosts are sources; a source's documents of one language are a path, as the table has neither addresses nor paths."""
     out = site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     return out.select("doc_id", "held_out", "p_good", "p_toxic", "host_rate", "path_rate", "score", "kept")
 
