@@ -121,7 +121,10 @@ def spots(h: np.ndarray, places: int) -> list[np.ndarray]:
 
 
 def fit(labelled: DataFrame, per_language: int = 2000, places: int = 1 << 20) -> Filters:
-    """Filters from labelled (doc_id, text, lang). Of each language about per_language rows are read, chosen by a hash of doc_id; whole texts. Null text or lang are left out."""
+    """Filters from labelled (doc_id, text, lang). Of each language about per_language rows are read, chosen by a hash of doc_id; whole texts. Null text or lang are left out.
+
+    The driver holds a row a language, as the model itself does: a bit of each mask and a name.
+    """
     labelled = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(rows, key=lambda x: (-rows[x], x))

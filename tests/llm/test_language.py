@@ -54,3 +54,53 @@ def test_edges(spark):
     none = L.fit(d.where("false"))
     assert {r.lang_pred for r in L.identify(d, none).collect()} == {"und"}
     assert L.identify(d.where("false"), f).collect() == []
+
+
+def test_decision_against_a_dictionary(spark):
+    """The filters' n-grams, the counts and the choice, against plain dictionaries of n-grams, where no two n-grams share a place."""
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA_01}/documents.parquet").where("text is not null and lang is not null").limit(300).collect()]
+    f = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), places=1 << 20)
+    assert f.languages == [x for x, _ in sorted(Counter(r[2] for r in rows).items(), key=lambda x: (-x[1], x[0]))]
+    counts = {lang: Counter() for lang in f.languages}
+    for _, text, lang in rows:
+        counts[lang].update(brute(text))
+    counts = {lang: {g: n for g, n in c.items() if n >= L.MIN_COUNT} for lang, c in counts.items()}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = Counter()
+    for c in share.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    member = {lang: {g for g, x in c.items() if x >= L.SHARE * most[g]} for lang, c in share.items()}
+    tests = [t for _, t, _ in rows[:120]] + ["", "12 !", "x", "le", "qqq www zzz", None]
+    names, scores = f.predict(tests)
+    worst = 0.0
+    for t, name, score in zip(tests, names, scores):
+        grams = brute(t or "")
+        hits = np.array([sum(g in member[lang] for g in grams) for lang in f.languages], float)
+        # places filled by other n-grams let some through; the count is corrected by the rate expected
+        if not any(c.isalpha() for c in t or ""):
+            assert (name, score) == ("und", 0.0)
+        elif hits.sum() == 0:
+            assert score < 0.9 or len(grams) < 30
+        else:
+            ranked = np.sort(hits)[::-1]
+            if ranked[0] - ranked[1] > 0.02 * len(grams):
+                assert name == f.languages[int(hits.argmax())], (t, hits)
+            worst = max(worst, abs(score - hits.max() / hits.sum()))
+    assert worst < 0.05
+
+
+def test_counts_are_corrected_and_ties_go_to_the_earlier():
+    one, two = L.grams(["abcd efgh"])[0], L.grams(["wxyz"])[0]
+    f = L.Filters.build(["a", "b", "c"], [one, one, two], 1 << 20)
+    f.false_positive = np.array([0.0, 0.0, 0.5])
+    names, scores = f.predict(["abcd efgh", "wxyz", "abcd wxyz"])
+    n = len(two)
+    assert names[:2] == ["a", "c"] and scores[0] == 0.5
+    assert scores[1] == 1.0 and n > 0  # (n - n * 0.5) / 0.5 is all of them
+    h = L.grams(["abcd wxyz"])[0]
+    hits = [sum(x in set(m.tolist()) for x in h.tolist()) for m in (one, one, two)]
+    c = max(0, (hits[2] - len(h) * 0.5) / 0.5)
+    assert names[2] == ("a" if hits[0] >= c else "c") and scores[2] == max(hits[0], c) / (2 * hits[0] + c)
