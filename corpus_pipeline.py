@@ -36,16 +36,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similarity 0.8 or more of 5-word shingles, the document of the smallest doc_id stays; documents without a word stay.
 
-    Rows that share a doc_id, or have none, are told apart: each goes only if its own text is linked to one that stays (a row with an id before one without).
+    Rows that share a doc_id, or have none, are told apart: each goes only if its own text is linked to one that stays: of a group the first by
+    doc_id (null last), then by a hash of the text, then as they come.
     """
     unique = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").isEmpty()
     own = docs.withColumn("_row", F.col("doc_id")) if unique else stash(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = minhash.near_duplicates(own.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+    found = minhash.near_duplicates(own.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80, unique=True)
     if unique:
         kept = found.where("kept").select(F.col("doc_id").alias("_row"))
     else:
-        by_row = found.select(F.col("doc_id").alias("_row"), "component_id").join(own.select("_row", "doc_id"), "_row")
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+        by_row = found.select(F.col("doc_id").alias("_row"), "component_id").join(own.select("_row", "doc_id", F.xxhash64("text").alias("h")), "_row")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "_row"))
         kept = by_row.groupBy("component_id").agg(first["_row"].alias("_row")).select("_row")
     return own.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
