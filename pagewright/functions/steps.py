@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folds within folds resolve a level at a time; the analyser's usual 100 rounds don't do for whole pages.
+ROUNDS = "spark.sql.analyzer.maxIterations"
+
+
+@contextmanager
+def deep_folds(spark: SparkSession, rounds: int = 1000) -> Iterator[None]:
+    """Let the analyser take so many rounds while a plan is put together; the session's own setting comes back after."""
+    before = spark.conf.get(ROUNDS)
+    spark.conf.set(ROUNDS, str(max(rounds, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROUNDS, before)
+
 
 def once(d: DataFrame, name: str, value: Column) -> DataFrame:
     """As withColumn, but value is made once for each row, wherever it is used later.

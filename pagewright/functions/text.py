@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewright.schema import BULLETS, LIMITS, LISTING_LABELS, MONOSPACE, NOTE_LABELS, TERMINATORS
 
+#: Patterns of white space, control characters, hyphen wraps, numbers, list items, addresses, tokens and footnotes.
 EDGE = r"(?U)^\s+|\s+$"
 CONTROL = r"[\x00-\x08\x0B-\x1F]"
 JUNK = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
@@ -24,6 +25,7 @@ LEADING_NUMBER = r"(?U)^\d{1,4}\s"
 BULLET_ITEM = rf"(?U)^[{BULLETS}]\s+(\S.*)$"
 NUMBER_ITEM = r"(?U)^\d{1,2}[.)]\s+(\S.*)$"
 URL = r"""(https?://[^\s<>"'«»]+|www\.[^\s<>"'«»]+\.[a-zA-Z]{2,}[^\s<>"'«»]*)"""
+FOOTNOTE = r"(?U)^(\d{1,2})\s+\S"
 TOKEN = r"(?U)[^\W\d_]+|\d+"
 
 

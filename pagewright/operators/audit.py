@@ -1,23 +1,53 @@
 """Quality of extraction: token coverage, reading order and structural defects of fragments against their source.
 
-Tokens are rows (doc_id, page_number, pos, token); counts and ranks are grouped by page and token,
-so a page's size doesn't matter until its order is folded.
+A page is one row: (doc_id, page_number, source, body, rest), arrays of tokens. What is missed, which
+occurrence is which, and how far the order holds is worked out within it, for many pages at once by
+array arithmetic on Arrow's buffers, so nothing is shuffled but to bring a page's two sides together.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import reduce
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from pagewright.functions import geometry as G
 from pagewright.functions import text as T
+from pagewright.functions.normalise import nfkc_columns
+from pagewright.operators import ocr, pages
 from pagewright.schema import BULLETS, LIMITS
 
 PAGE = ["doc_id", "page_number"]
+#: Tokens that are compared at once.
+STEP = 1_000_000
+SAMPLE = 10
+COMPARED = (
+    "doc_id long, page_number int, n_source long, n_missing long, coverage double, matched long, order_score double, "
+    "missing array<struct<token:string,n_missing:long>>, matches array<struct<source_pos:int,extracted_pos:int>>"
+)
+
+
+def source_tokens(raw_pages: DataFrame) -> DataFrame:
+    """(doc_id, page_number, was_ocr, tokens) of RAW_PAGE rows: what a page says, whatever extraction makes of it.
+
+    Of a sound text layer all text blocks, cleaned; else all detections, cleaned together, but those that lie in images. Callouts and margins are left in.
+    """
+    d = raw_pages.select(*PAGE, "blocks", "ocr").withColumn("was_ocr", T.is_garbled(pages.raw_page_text(F.col("blocks"))))
+    sound = nfkc_columns(d.where("not was_ocr").drop("ocr"), ["blocks"])
+    texts = F.transform(pages.text_blocks(F.coalesce("blocks", F.array())), lambda b: T.clean(pages.raw_text(b), False))
+    sound = sound.select(*PAGE, "was_ocr", T.tokens(F.array_join(texts, " ")).alias("tokens"))
+    images = F.transform(F.filter("blocks", lambda b: b["type"] == 1), lambda b: ocr.pixels(G.from_array(b["bbox"])))
+    read = nfkc_columns(d.where("was_ocr").withColumn("blocks", images), ["ocr"])
+    seen = F.filter(ocr.boxes(F.coalesce("ocr", F.array().cast(raw_pages.schema["ocr"].dataType))), lambda b: ~F.exists("blocks", lambda r: G.covered(b, r, LIMITS.covered)))
+    joined = T.clean(F.array_join(F.transform(seen, lambda b: T.strip(b["text"])), " "), False)
+    return sound.unionByName(read.select(*PAGE, "was_ocr", T.tokens(joined).alias("tokens")))
 
 
 def block_texts(blocks: Column) -> Column:
@@ -35,66 +65,108 @@ def block_texts(blocks: Column) -> Column:
 
 
 def field_tokens(fragments: DataFrame) -> DataFrame:
-    """(doc_id, page_number, block_tokens, margin_tokens, callout_tokens)."""
+    """(doc_id, page_number, body, rest, findings): tokens of blocks, and those of margins and callouts."""
     joined = lambda c: T.tokens(F.array_join(c, " "))
-    return fragments.select(*PAGE, joined(block_texts(F.col("blocks"))).alias("block_tokens"), joined(F.col("margin")).alias("margin_tokens"), joined(F.col("callout")).alias("callout_tokens"))
-
-
-def token_rows(pages: DataFrame, tokens: Column) -> DataFrame:
-    return pages.select(*PAGE, F.posexplode(tokens).alias("pos", "token"))
-
-
-def missing_counts(source: DataFrame, extracted: DataFrame) -> DataFrame:
-    """(doc_id, page_number, token, n_source, n_missing, first_pos): the multiset source less extracted, one shuffle for both."""
-    both = source.select(*PAGE, "token", F.lit(1).alias("s"), F.lit(0).alias("e"), "pos").union(extracted.select(*PAGE, "token", F.lit(0), F.lit(1), F.lit(None).cast("int")))
-    sums = both.groupBy(*PAGE, "token").agg(F.sum("s").alias("n_source"), F.sum("e").alias("n_extracted"), F.min("pos").alias("first_pos"))
-    return sums.where("n_source > 0").select(*PAGE, "token", "n_source", F.greatest(F.col("n_source") - F.col("n_extracted"), F.lit(0)).alias("n_missing"), "first_pos")
-
-
-def coverage(counts: DataFrame) -> DataFrame:
-    """(doc_id, page_number, n_source, n_missing, coverage) of pages with a source token."""
-    sums = counts.groupBy(*PAGE).agg(F.sum("n_source").alias("n_source"), F.sum("n_missing").alias("n_missing"))
-    return sums.withColumn("coverage", 1 - F.col("n_missing") / F.col("n_source"))
-
-
-def missing_sample(counts: DataFrame, n: int = 10) -> DataFrame:
-    """The n tokens most missed on each page, of equal ones the first in the source: (doc_id, page_number, rank, token, n_missing)."""
-    w = Window.partitionBy(*PAGE).orderBy(F.col("n_missing").desc(), "first_pos")
-    ranked = counts.where("n_missing > 0").withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= n).select(*PAGE, "rank", "token", "n_missing")
-
-
-def matched_positions(source: DataFrame, extracted: DataFrame) -> DataFrame:
-    """(doc_id, page_number, source_pos, extracted_pos): a token's k-th occurrence in one is its k-th in the other."""
-    w = Window.partitionBy(*PAGE, "token").orderBy("pos")
-    s = source.withColumn("k", F.row_number().over(w)).withColumnRenamed("pos", "source_pos")
-    e = extracted.withColumn("k", F.row_number().over(w)).withColumnRenamed("pos", "extracted_pos")
-    return s.join(e, [*PAGE, "token", "k"]).select(*PAGE, "source_pos", "extracted_pos")
-
-
-def longest_rise(values: Column) -> Column:
-    """Length of the longest non-decreasing subsequence, in n log n: the one step here that the JVM has nothing for."""
-
-    @F.pandas_udf("int")
-    def rise(seqs: pd.Series) -> pd.Series:
-        def one(seq) -> int:
-            ends: list[int] = []  # the least end of a rise of each length
-            for x in seq:
-                at = bisect_right(ends, x)
-                ends[at : at + 1] = [x]
-            return len(ends)
-
-        return seqs.map(one)
-
-    return rise(values)
+    rest = F.concat(joined(F.col("margin")), joined(F.col("callout")))
+    return fragments.select(*PAGE, joined(block_texts(F.col("blocks"))).alias("body"), rest.alias("rest"), structural_findings(F.col("blocks"), F.col("margin")).alias("findings"))
+
+
+def longest_rise(values: list[int]) -> int:
+    """Length of the longest non-decreasing subsequence, in n log n."""
+    ends: list[int] = []  # the least end of a rise of each length
+    for x in values:
+        at = bisect_right(ends, x)
+        ends[at : at + 1] = [x]
+    return len(ends)
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, places by key in order, first of each key's places, how many): for keys in their order."""
+    order = np.argsort(keys, kind="stable")
+    names, first, many = np.unique(keys[order], return_index=True, return_counts=True)
+    return names, order, first, many
+
+
+def _at(names: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """values of keys; 0 for what isn't among names, which ascend."""
+    if len(names) == 0:
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return np.where(names[at] == keys, values[at], 0)
+
+
+def _offsets(pages_: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(pages_, np.arange(n + 1))
+
+
+def _compared(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    n = len(batch)
+    flat, page = [], []
+    for name in ("source", "body", "rest"):
+        column = batch.column(name)
+        lens = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        flat.append(column.flatten().cast(pa.string()))
+        page.append(np.repeat(np.arange(n, dtype=np.int64), lens))
+    words = pa.concat_arrays(flat).dictionary_encode()
+    codes = np.split(words.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in flat])[:-1])
+    size = len(words.dictionary) + 1
+    s, b, r = (p * size + c for p, c in zip(page, codes, strict=True))
+    starts = [_offsets(p, n) for p in page]
+
+    # the multiset difference
+    names, order, first, many = _places(s)
+    lost = np.maximum(many - _at(*np.unique(np.concatenate((b, r)), return_counts=True), names), 0)
+    own = names // size
+    n_source, n_missing = np.bincount(own, weights=many, minlength=n).astype(np.int64), np.bincount(own, weights=lost, minlength=n).astype(np.int64)
+    miss = np.flatnonzero(lost)
+    miss = miss[np.lexsort((order[first[miss]], -lost[miss], own[miss]))]
+    at = _offsets(own[miss], n)
+    miss = miss[np.arange(len(miss)) - at[own[miss]] < SAMPLE]
+    sample = pa.StructArray.from_arrays([words.dictionary.take(pa.array(names[miss] % size)), pa.array(lost[miss].astype(np.int64))], ["token", "n_missing"])
+    missing = pa.ListArray.from_arrays(pa.array(_offsets(own[miss], n), pa.int32()), sample)
+
+    # a token's k-th occurrence in one is its k-th in the other
+    _, b_order, b_first, b_many = _places(b)
+    k = np.empty(len(b), np.int64)
+    k[b_order] = np.arange(len(b)) - np.repeat(b_first, b_many)
+    hit = np.flatnonzero(k < _at(names, many, b))
+    from_ = order[_at(names, first, b[hit]) + k[hit]] - starts[0][page[1][hit]]
+    to = hit - starts[1][page[1][hit]]
+    at = _offsets(page[1][hit], n)
+    pairs = pa.StructArray.from_arrays([pa.array(from_.astype(np.int32)), pa.array(to.astype(np.int32))], ["source_pos", "extracted_pos"])
+    matched = np.diff(at)
+    seq = from_.tolist()
+    score = [1.0 if m < 4 else longest_rise(seq[x : x + m]) / m for x, m in zip(at[:-1].tolist(), matched.tolist(), strict=True)]
+
+    made = {
+        "n_source": pa.array(n_source), "n_missing": pa.array(n_missing), "coverage": pa.array(1 - n_missing / np.maximum(1, n_source)), "matched": pa.array(matched.astype(np.int64)),
+        "order_score": pa.array(score, pa.float64()), "missing": missing, "matches": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs),
+    }
+    return pa.RecordBatch.from_arrays([(made[f.name] if f.name in made else batch.column(f.name)).cast(f.type) for f in schema], schema=schema)
+
+
+def compare(tokens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """COMPARED of each of tokens (doc_id, page_number, source, body, rest), arrays of tokens in reading order; null ones are empty. `keep`: further columns to pass on.
+
+    n_missing: source tokens, as a multiset, that neither body nor rest has; coverage is 1 without a source token. missing: the ten tokens most
+    missed, of equal ones the first in the source. matches: a token's k-th occurrence in source is its k-th in body; in the order of body.
+    order_score: the longest rise of the matches' source places, over their number; fewer than 4 score 1. Repeated pages come out once each.
+    """
+    sides = ("source", "body", "rest")
+    d = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), *[F.col(c).cast("array<string>").alias(c) for c in sides], *keep)
+    schema = T_.StructType([*T_.StructType.fromDDL(COMPARED), *[d.schema[c] for c in keep]])
+    arrow = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lens = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sides)
+            upto, at = np.cumsum(lens), 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
+                yield _compared(batch.slice(at, to - at), arrow)
+                at = to
 
-def reading_order(matches: DataFrame) -> DataFrame:
-    """(doc_id, page_number, matched, order_score) of pages with a match; fewer than 4 matches score 1."""
-    seq = matches.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("extracted_pos", "source_pos"))).alias("m"))
-    seq = seq.select(*PAGE, F.transform("m", lambda x: x["source_pos"]).alias("seq"))
-    score = F.when(F.size("seq") < 4, F.lit(1.0)).otherwise(longest_rise(F.col("seq")) / F.size("seq"))
-    return seq.select(*PAGE, F.size("seq").alias("matched"), score.alias("order_score"))
+    return d.mapInArrow(run, schema)
 
 
 def structural_findings(blocks: Column, margin: Column) -> Column:
@@ -119,25 +191,17 @@ def structural_findings(blocks: Column, margin: Column) -> Column:
 
 
 def audit(source: DataFrame, fragments: DataFrame) -> DataFrame:
-    """One row for each fragment: coverage, order_score, matched, findings, score, reasons, missing_sample.
+    """One row for each fragment: COMPARED but matches, findings, score, reasons, missing_sample.
 
-    source: (doc_id, page_number, tokens) in reading order. Pages without a source token cover all; order ignores margins and callouts.
+    source: (doc_id, page_number, tokens) in reading order, as source_tokens() gives them. Pages without a source token cover all; order ignores margins
+    and callouts. Both sides are read once and meet in one join; all else is within a page's row.
     """
-    fields = field_tokens(fragments)
-    src = token_rows(source, F.col("tokens"))
-    body = token_rows(fields, F.col("block_tokens"))
-    rest = reduce(DataFrame.union, [token_rows(fields, F.col(c)) for c in ("margin_tokens", "callout_tokens")])
-    counts = missing_counts(src, body.union(rest))
-    samples = missing_sample(counts).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("missing_sample"))
-    found = fragments.select(*PAGE, structural_findings(F.col("blocks"), F.col("margin")).alias("findings"))
-    d = found.join(coverage(counts), PAGE, "left").join(reading_order(matched_positions(src, body)), PAGE, "left").join(samples, PAGE, "left")
-    d = d.fillna({"coverage": 1.0, "order_score": 1.0, "matched": 0, "n_source": 0, "n_missing": 0})
-    d = d.withColumn("missing_sample", F.coalesce("missing_sample", F.array().cast("array<string>")))
+    d = compare(field_tokens(fragments).join(source.select(*PAGE, F.col("tokens").alias("source")), PAGE, "left"), keep=("findings",))
     low = F.col("coverage") < LIMITS.coverage
     mixed = (F.col("order_score") < LIMITS.order) & (F.col("matched") >= LIMITS.order_matched)
     score = F.when(low, (LIMITS.coverage - F.col("coverage")) * 100).otherwise(0.0) + F.when(mixed, (LIMITS.order - F.col("order_score")) * 80).otherwise(0.0) + F.size("findings") * 10
     reasons = F.array_compact(F.concat(F.array(F.when(low, "coverage"), F.when(mixed, "order")), F.transform("findings", lambda f: F.concat_ws(":", f["rule"], f["block"].cast("string")))))
-    return d.withColumn("score", score).withColumn("reasons", reasons)
+    return d.withColumn("score", score).withColumn("reasons", reasons).withColumn("missing_sample", F.transform("missing", lambda x: x["token"])).drop("missing", "matches")
 
 
 def worst_pages(audited: DataFrame, n: int = 30) -> DataFrame:

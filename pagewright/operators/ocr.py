@@ -203,7 +203,7 @@ def region_entries(d: DataFrame) -> DataFrame:
     return once(d, "entries", F.flatten(F.transform("regions", lambda r: entries(r["ps"], r["column"], r["region"])))).drop("regions")
 
 
-def _pixels(r: Column) -> Column:
+def pixels(r: Column) -> Column:
     return G.rect(r["x0"] * PX, r["y0"] * PX, r["x1"] * PX, r["y1"] * PX)
 
 
@@ -239,7 +239,7 @@ def extract_ocr_pages(pages: DataFrame, images_dir: str | None = None) -> DataFr
     d = once(d, "gutter", px(spatial.page_gutter(F.col("texts"), F.col("height"), F.col("callouts"))))
 
     def inside(b: Column, r: Column) -> Column:
-        return G.covered(b, _pixels(r), LIMITS.covered)
+        return G.covered(b, pixels(r), LIMITS.covered)
 
     main = F.filter("boxes", lambda b: ~F.exists("images", lambda r: inside(b, r)) & ~F.exists("callouts", lambda r: inside(b, r)))
     own = lambda r: F.filter("boxes", lambda b: inside(b, r) & ~F.exists("images", lambda m: inside(b, m)))

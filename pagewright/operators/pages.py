@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
-from pagewright.functions.steps import once
+from pagewright.functions.steps import deep_folds, once
 from pagewright.functions.normalise import nfkc_columns
 from pagewright.operators import spatial, tables
 from pagewright.schema import BLOCK, BOLD, ITALIC, LIMITS, RUN, SUPERSCRIPT
@@ -144,13 +144,13 @@ def caption_parity(candidates: Column) -> Column:
     The block after a caption is code, whatever it would be; so, in a run of candidates, every other one is a caption.
     """
 
-    def place(c: Column, i: Column) -> Column:
-        """In its run, from 1; 0 for what is none."""
-        last_other = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: ~F.get(candidates, j))), F.lit(-1))
-        return F.when(c, i - last_other).otherwise(0)
+    def step(acc: Column, c: Column) -> Column:
+        """places so far; a candidate's is one more than the one before it, from 1; 0 for what is none."""
+        return F.concat(acc, F.array(F.when(c, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + 1).otherwise(0)))
 
-    places = F.transform(candidates, place)
-    return F.transform(places, lambda p, i: F.struct((p % 2 == 1).alias("caption"), F.coalesce(F.get(places, i - 1) % 2 == 1, F.lit(False)).alias("code")))
+    places = F.aggregate(candidates, F.array().cast("array<int>"), step)
+    bound = F.transform(F.array(places), lambda own: F.transform(own, lambda p, i: F.struct((p % 2 == 1).alias("caption"), F.coalesce(F.get(own, i - 1) % 2 == 1, F.lit(False)).alias("code"))))
+    return F.element_at(bound, 1)
 
 
 def block(kind: str, **fields: Column) -> Column:
@@ -166,7 +166,6 @@ def _page_context(pages: DataFrame) -> DataFrame:
     """What a page's blocks are judged by, each made once."""
     d = once(pages, "blocks", F.filter("blocks", lambda b: b["type"].isin(0, 1)))
     images = F.transform(F.filter("blocks", lambda b: b["type"] == 1), lambda b: G.from_array(b["bbox"]))
-    d = once(d, "callouts", spatial.callout_boxes(F.coalesce("drawings", F.array().cast(pages.schema["drawings"].dataType)), images, F.col("width")))
     d = once(d, "hrefs", spatial.page_links(F.coalesce("links", F.array().cast(pages.schema["links"].dataType))))
     d = once(d, "markers", superscript_markers(F.col("blocks")))
     d = once(d, "body", body_size(F.col("blocks"), F.col("height")))
@@ -175,8 +174,10 @@ def _page_context(pages: DataFrame) -> DataFrame:
         lambda b: F.struct(b.alias("b"), (b["type"] == 0).alias("is_text"), G.from_array(b["bbox"]).alias("rect"), T.clean(raw_text(b), False).alias("text"), T.is_monospace(dominant_font(b)).alias("mono"), font_stats(b).alias("font")),
     )
     d = once(d, "info", info)
-    # a table over a monospaced or listing block is none
+    # neither a table nor a callout box over a monospaced or listing block is one
     code = lambda r: F.exists("info", lambda x: x["is_text"] & G.covered(x["rect"], r, LIMITS.covered) & (x["mono"] | T.is_listing_caption(x["text"])))
+    boxes = spatial.callout_boxes(F.coalesce("drawings", F.array().cast(pages.schema["drawings"].dataType)), images, F.col("width"))
+    d = once(d, "callouts", F.filter(boxes, lambda r: ~code(r)))
     found = F.transform(F.coalesce("raw_tables", F.array().cast(pages.schema["raw_tables"].dataType)), lambda t: F.struct(t["bbox"].alias("rect"), tables.clean_table(t["rows"]).alias("rows")))
     return once(d, "tables", F.filter(found, lambda t: tables.is_table(t["rows"]) & ~code(t["rect"])))
 
@@ -192,8 +193,8 @@ def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataF
         hit = F.when(x["is_text"], spatial.first_cover(x["rect"], F.col("tables"), lambda t: t["rect"]))
         boxed = spatial.is_covered(x["rect"], F.col("callouts"))
         items = list_items(F.transform(line_texts(x["b"]), lambda t: T.clean(t, False)))
-        margin = T.is_margin_text(x["rect"]["y0"], x["rect"]["y1"], F.col("height"), T.strip(x["text"]))
-        number = F.regexp_extract(T.strip(x["text"]), r"(?U)^(\d{1,4})\s", 1)
+        margin = T.is_margin_text(x["rect"]["y0"], x["rect"]["y1"], F.col("height"), x["text"])
+        number = F.regexp_extract(x["text"], T.FOOTNOTE, 1)
         note = (number != "") & F.array_contains("markers", number)
         plain = x["is_text"] & hit.isNull() & ~x["mono"] & ~boxed & items.isNull() & ~T.blank(x["text"]) & ~(margin & ~note) & ~T.is_note(x["text"])
         return F.struct(
@@ -241,7 +242,7 @@ def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataF
     sides = F.transform("judged", lambda x, i: F.struct(aside(x, i).alias("side"), x["text"].alias("text")))
     d = once(d, "sides", sides)
     margin = F.flatten(F.transform(F.filter("sides", lambda s: s["side"] == "margin"), lambda s: T.split_margin_number(s["text"])))
-    callout = F.transform(F.filter("sides", lambda s: s["side"] == "callout"), lambda s: T.strip(s["text"]))
+    callout = F.transform(F.filter("sides", lambda s: s["side"] == "callout"), lambda s: s["text"])
     return d.select("doc_id", "page_number", margin.alias("margin"), F.flatten(F.transform("judged", blocks_of)).alias("blocks"), callout.alias("callout"))
 
 
@@ -254,9 +255,7 @@ def extract(pages: DataFrame, images_dir: str | None = None) -> DataFrame:
     """Fragments of RAW_PAGE rows: garbled text layers take the OCR path, all others the text path."""
     from pagewright.operators import ocr
 
-    # folds within folds resolve a level at a time
-    pages.sparkSession.conf.set("spark.sql.analyzer.maxIterations", "1000")
-    d = pages.withColumn("garbled", T.is_garbled(raw_page_text(F.col("blocks"))))
-    d = nfkc_columns(d, ["blocks", "raw_tables", "ocr"])
-    text = extract_text_pages(d.where("not garbled").drop("garbled"), images_dir)
-    return text.unionByName(ocr.extract_ocr_pages(d.where("garbled").drop("garbled"), images_dir))
+    with deep_folds(pages.sparkSession):
+        d = pages.withColumn("garbled", T.is_garbled(raw_page_text(F.col("blocks"))))
+        text = extract_text_pages(nfkc_columns(d.where("not garbled").drop("garbled"), ["blocks", "raw_tables"]), images_dir)
+        return text.unionByName(ocr.extract_ocr_pages(nfkc_columns(d.where("garbled").drop("garbled"), ["ocr"]), images_dir))

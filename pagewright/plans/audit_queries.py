@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import audit
-from pagewright.plans.inputs import fragments, injected, table
+from pagewright.plans.inputs import SQL_LINES, fragments, injected, table
 from pagewright.sources import catalog
 from pagewright.streaming import incremental
 
@@ -37,45 +37,55 @@ m AS (SELECT *, greatest(s - e, 0) AS miss FROM c WHERE s > 0)
 """.replace("\\\\", "\\")
 
 
-def _source(spark, d):
-    docs = table(spark, d, "documents")
-    return audit.token_rows(docs.withColumn("page_number", F.lit(1)), T.tokens(F.col("text")))
-
-
-def _kept(spark, d):
-    """The documents with each fourth line left out."""
-    kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when((F.col("doc_id") + i) % 4 == 0, "").otherwise(x)), lambda x: x != "")
-    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), F.array_join(kept, " ").alias("text"))
-    return audit.token_rows(docs, T.tokens(F.col("text")))
+def _compared(spark, d):
+    """The documents against themselves with each fourth line left out; a document is a page."""
+    text = F.coalesce("text", F.lit(""))
+    kept = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when((F.col("doc_id") + i) % 4 == 0, "").otherwise(x)), lambda x: x != "")
+    sides = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), T.tokens(text).alias("source"), T.tokens(F.array_join(kept, " ")).alias("body"), F.lit(None).alias("rest"))
+    return audit.compare(sides)
 
 
 @query(f"WITH {_SOURCE} SELECT doc_id, sum(s)::BIGINT AS n_source, sum(miss)::BIGINT AS n_missing, 1 - sum(miss) / sum(s) AS coverage FROM m GROUP BY 1")
 def q_coverage(spark, d):
-    return audit.coverage(audit.missing_counts(_source(spark, d), _kept(spark, d))).drop("page_number")
+    return _compared(spark, d).where("n_source > 0").select("doc_id", "n_source", "n_missing", "coverage")
 
 
 @query(f"WITH {_SOURCE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY miss DESC, f) AS r FROM m WHERE miss > 0) SELECT doc_id, r::INT AS rank, token, miss::BIGINT AS n_missing FROM r WHERE r <= 10")
 def q_missing(spark, d):
     """The ten tokens most missed of each document."""
-    return audit.missing_sample(audit.missing_counts(_source(spark, d), _kept(spark, d))).drop("page_number")
+    rows = _compared(spark, d).select("doc_id", F.posexplode("missing").alias("at", "m"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("rank"), "m.token", "m.n_missing")
 
 
 @query(f"""WITH {_SOURCE}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS k FROM S), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY pos) AS k FROM E)
 SELECT a.doc_id, count(*)::BIGINT AS matched, sum(a.pos::BIGINT)::BIGINT AS sum_source, sum(b.pos::BIGINT)::BIGINT AS sum_extracted FROM a JOIN b USING (doc_id, token, k) GROUP BY 1""")
 def q_matched(spark, d):
     """k-th occurrences matched to k-th occurrences, summed up by document."""
-    m = audit.matched_positions(_source(spark, d), _kept(spark, d))
-    return m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.col("source_pos").cast("long")).alias("sum_source"), F.sum(F.col("extracted_pos").cast("long")).alias("sum_extracted"))
+    total = lambda n: F.aggregate("matches", F.lit(0).cast("long"), lambda a, x: a + x[n])
+    return _compared(spark, d).where("matched > 0").select("doc_id", "matched", total("source_pos").alias("sum_source"), total("extracted_pos").alias("sum_extracted"))
 
 
-@query(None)
+_ORDER = rf"""
+WITH RECURSIVE {SQL_LINES},
+G AS (SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY line_no) AS s, string_agg(text, ' ' ORDER BY line_no + CASE WHEN doc_id % 2 = 0 AND line_no % 8 < 4 THEN 8 ELSE 0 END) AS e FROM L GROUP BY 1, 2),
+K AS (SELECT doc_id, page_number, list_transform(regexp_extract_all(s, '[\p{{L}}]+|[0-9]+'), lambda x: lower(x)) AS s, list_transform(regexp_extract_all(e, '[\p{{L}}]+|[0-9]+'), lambda x: lower(x)) AS e FROM G),
+S AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, token ORDER BY pos) AS k FROM (SELECT doc_id, page_number, unnest(s) AS token, unnest(range(len(s))) AS pos FROM K)),
+E AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, token ORDER BY pos) AS k FROM (SELECT doc_id, page_number, unnest(e) AS token, unnest(range(len(e))) AS pos FROM K)),
+Q AS (SELECT doc_id, page_number, list(S.pos ORDER BY E.pos) AS q FROM S JOIN E USING (doc_id, page_number, token, k) GROUP BY 1, 2),
+R(doc_id, page_number, i, ends) AS (SELECT doc_id, page_number, 0, []::BIGINT[] FROM Q
+  UNION ALL SELECT doc_id, page_number, i + 1, ends[1:lo] || [x] || ends[lo + 2:len(ends)] FROM (SELECT R.*, q[i + 1] AS x, len(list_filter(ends, lambda y: y <= q[i + 1])) AS lo FROM R JOIN Q USING (doc_id, page_number) WHERE i < len(q)))
+SELECT doc_id, page_number, len(q)::BIGINT AS matched, CASE WHEN len(q) < 4 THEN 1.0 ELSE len(ends) / len(q) END::DOUBLE AS order_score FROM R JOIN Q USING (doc_id, page_number) WHERE i = len(q)"""
+
+
+@query(_ORDER)
 def q_order(spark, d):
     """Reading order of pages of eight lines whose halves are swapped on even documents."""
     p = injected(spark, d).select("doc_id", "page_number", "line_no", "text")
     late = (F.col("doc_id") % 2 == 0) & (F.col("line_no") % 8 < 4)
     by = p.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("s"), F.array_sort(F.collect_list(F.struct((F.col("line_no") + F.when(late, 8).otherwise(0)).alias("o"), "text"))).alias("e"))
     text = lambda c: T.tokens(F.array_join(F.transform(c, lambda x: x["text"]), " "))
-    return audit.reading_order(audit.matched_positions(audit.token_rows(by, text("s")), audit.token_rows(by, text("e"))))
+    found = audit.compare(by.select(*PAGE, text("s").alias("source"), text("e").alias("body"), F.lit(None).alias("rest")))
+    return found.where("matched > 0").select(*PAGE, "matched", "order_score")
 
 
 @query("""

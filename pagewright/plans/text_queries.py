@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from pagewright.functions import text as T
 from pagewright.operators import links as link_ops
 from pagewright.operators import render
+from pagewright.operators.pages import block
 from pagewright.operators.phrases import phrase_counts
 from pagewright.plans.inputs import SQL_BLOCKS, SQL_LINES, fragments, injected, sql_clean, table, titles
-from pagewright.schema import BULLETS, RUN
+from pagewright.schema import BULLETS
 from pagewright.sources.readers import html_links, lines
 
 KEY = ("doc_id", "line_no")
@@ -207,43 +208,33 @@ def q_html_links(spark, d):
     return found.groupBy("page_id", F.col("a.href").alias("href"), F.col("a.text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_WORD = 4
-
-
-@query(rf"""
-WITH w AS (SELECT item_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:{_WORD}], ' ') AS phrase FROM benchmark WHERE text IS NOT NULL),
-d AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS text FROM documents)
-SELECT doc_id, item_id, ((length(text) - length(replace(text, phrase, ''))) // length(phrase))::BIGINT AS n FROM d JOIN w ON item_id % 5 = doc_id % 5 WHERE contains(text, phrase) AND length(phrase) > 0""")
-def q_phrases(spark, d):
-    """Places of benchmark openings in documents; a document's dictionary is the items that share its remainder by 5."""
-    flat = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
-    phrase = F.array_join(F.slice(F.split(flat, " "), 1, _WORD), " ")
-    words = table(spark, d, "benchmark").where("text is not null").select("item_id", phrase.alias("phrase"), (F.col("item_id") % 5).alias("part"))
-    docs = table(spark, d, "documents").select("doc_id", flat.alias("text"), (F.col("doc_id") % 5).alias("part"))
-    known = words.groupBy("part").agg(F.collect_list(F.struct("item_id", "phrase")).alias("items"))
-    held = docs.join(known, "part").select("doc_id", "text", F.explode(F.filter("items", lambda x: F.contains(F.col("text"), x["phrase"]))).alias("x"))
-    hits = held.withColumn("n", F.size(link_ops.occurrences(F.col("text"), F.col("x.phrase"))).cast("long")).where("n > 0")
-    return hits.select("doc_id", F.col("x.item_id").alias("item_id"), "n")
-
-
 @query(r"""
 WITH b AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark WHERE text IS NOT NULL),
 w AS (SELECT item_id, unnest(s) AS phrase, unnest(range(len(s)))::INT AS sentence FROM b),
 d AS (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, item_id, sentence, ((length(text) - length(replace(text, phrase, ''))) // length(phrase))::BIGINT AS n FROM d JOIN w ON contains(text, phrase)""")
-def q_phrases_whole(spark, d):
-    """Places of all benchmark sentences, whole, in all documents; q_phrases is held by its SQL to openings and pairs of equal remainders."""
+def q_phrases(spark, d):
+    """Places of all benchmark sentences, whole, in all documents."""
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     sentences = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x != "")
     items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.posexplode(sentences).alias("sentence", "phrase"))
     return phrase_counts(table(spark, d, "documents").select("doc_id", flat.alias("text")), items)
 
 
-@query(None)
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x)))::INT AS line_no FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS x FROM documents)),
+w AS (SELECT doc_id, line_no, line, string_split(line, ' ')[3] AS phrase FROM l WHERE length(string_split(line, ' ')[3]) > 0),
+g AS (SELECT doc_id, line_no, phrase, string_split(line, phrase) AS g FROM w),
+p AS (SELECT doc_id, line_no, k, CASE WHEN k % 2 = 0 THEN g[k // 2 + 1] ELSE phrase END AS text, CASE WHEN k % 2 = 1 THEN 'https://ex.org/' || doc_id::VARCHAR END AS href FROM (SELECT *, unnest(range(2 * len(g) - 1)) AS k FROM g))
+SELECT doc_id, line_no, (row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1)::INT AS at, text, href FROM p WHERE text <> ''""")
 def q_phrase_links(spark, d):
-    """Runs after links are put on each line's own third word."""
-    first = lines(table(spark, d, "documents"))
+    """Runs of paragraphs, a line each, after a dictionary's links are put on them: the line's own third word."""
+    own = lines(table(spark, d, "documents"))
     phrase = F.get(F.split("line", " "), F.lit(2))
-    plain = F.struct(F.col("line").alias("text"), *[F.lit(False).alias(c) for c in ("bold", "italic", "superscript")], F.lit(None).cast("string").alias("href")).cast(RUN)
-    known = F.array(F.struct(phrase.alias("phrase"), F.lit("https://ex.org").alias("href")))
-    return first.where(F.length(phrase) > 0).select("doc_id", "line_no", F.posexplode(link_ops.split_run(plain, known)).alias("at", "run")).select("doc_id", "line_no", "at", "run.text", "run.href")
+    p = own.where(F.length(phrase) > 0).select("doc_id", "line_no", "line", phrase.alias("phrase"))
+    # each line is a document of one paragraph here: a line has a dictionary of its own
+    key = F.xxhash64("doc_id", "line_no")
+    fragments_ = p.select(key.alias("doc_id"), F.struct("doc_id", "line_no").alias("place"), F.array(block("p", text=F.col("line"))).alias("blocks"))
+    known = p.select(key.alias("doc_id"), "phrase", F.concat(F.lit("https://ex.org/"), F.col("doc_id").cast("string")).alias("href"))
+    runs = link_ops.link_phrases(fragments_, known).select("place", F.posexplode(F.get("blocks", F.lit(0))["runs"]).alias("at", "run"))
+    return runs.select("place.doc_id", "place.line_no", "at", "run.text", "run.href")

@@ -1,7 +1,7 @@
 import re
 
 from pagewright.operators import phrases as P
-from pagewright.plans.text_queries import q_phrases_whole
+from pagewright.plans.text_queries import q_phrases
 from tests.conftest import DATA_01
 
 
@@ -21,7 +21,7 @@ def test_documents(spark):
     """All pairs, with any ids, and whole sentences."""
     docs = [(r.doc_id, (r.text or "").replace("\n", " ")) for r in spark.read.parquet(f"{DATA_01}/documents.parquet").collect()]
     bench = [(r.item_id, s, p) for r in spark.read.parquet(f"{DATA_01}/benchmark.parquet").collect() for s, p in enumerate(sentences(r.text or ""))]
-    got = result(q_phrases_whole(spark, DATA_01))
+    got = result(q_phrases(spark, DATA_01))
     assert got == brute(docs, bench)
     assert any(i % 5 != d % 5 for d, i, _, _ in got)
 
