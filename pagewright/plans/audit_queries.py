@@ -133,18 +133,27 @@ def q_resume(spark, d):
 
 
 def _books(spark, d):
-    """Parts as books: names as titles, brands as authors, types as languages, sizes as downloads; copyright true, false or unknown."""
+    """Parts as books: names as titles, brands as authors, types as languages and subjects, sizes as downloads; copyright true, false or unknown; each fifth author's death unknown."""
     k = F.col("p_partkey")
     formats = F.map_from_arrays(
         F.array(F.lit("text/html"), F.when(k % 2 == 0, "application/epub+zip").otherwise("text/plain"), F.when(k % 3 == 0, "application/pdf").otherwise("image/png")),
         F.array(*[F.concat(F.lit(f"{'http' if n else 'https'}://books.example/{n}/"), k.cast("string")) for n in range(3)]),
     )
+    born = (F.lit(1500) + k % 400).cast("int")
+    author = F.struct(F.col("p_brand").alias("name"), born.alias("birth_year"), F.when(k % 5 > 0, born + 60).alias("death_year"))
     return table(spark, d, "part").select(
-        k.alias("id"), F.col("p_name").alias("title"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("authors"), F.array(F.lower(F.substring_index("p_type", " ", 1))).alias("languages"),
-        F.col("p_size").cast("long").alias("download_count"), F.when(k % 4 == 0, True).when(k % 4 < 3, False).alias("copyright"), formats.alias("formats"),
+        k.alias("id"), F.col("p_name").alias("title"), F.array(author).alias("authors"), F.array("p_type").alias("subjects"), F.when(k % 7 == 0, F.array(F.lit("Old shelf"))).alias("bookshelves"),
+        F.array(F.lower(F.substring_index("p_type", " ", 1))).alias("languages"), F.col("p_size").cast("long").alias("download_count"), F.when(k % 4 == 0, True).when(k % 4 < 3, False).alias("copyright"), formats.alias("formats"),
     )
 
 
+@query("""WITH b AS (SELECT p_partkey AS id, p_name AS title, p_type, 1500 + p_partkey % 400 AS born, CASE WHEN p_partkey % 5 > 0 THEN 1560 + p_partkey % 400 END AS died FROM part)
+SELECT id, title FROM b WHERE (contains(lower(p_type), 'promo') OR id % 7 = 0 AND contains('old shelf', 'promo')) AND (born >= 1700 OR coalesce(died >= 1700, false)) AND (born <= 1720 OR coalesce(died <= 1720, false)) ORDER BY id DESC LIMIT 60""")
+def q_catalog_years(spark, d):
+    """A search of the catalogue by topic and years of the authors' lives, latest ids first."""
+    return catalog.search(_books(spark, d), topic="Promo", years=(1700, 1720), sort="descending", want=60).select("id", "title")
+
+
 @query("""SELECT p_partkey AS id, p_name AS title, p_size::BIGINT AS download_count FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'brand#1')
   OR contains(lower(p_name || ' ' || p_brand), 'brand#1') ORDER BY p_size DESC, p_partkey LIMIT 40""")
 def q_catalog(spark, d):
@@ -168,10 +177,15 @@ def q_book_lines(spark, d):
     return b.select("id", catalog.book_line(b).alias("line"))
 
 
-@query(None)
+@query(r"""WITH b AS (SELECT p_partkey AS k, p_name, p_brand, md5('7:' || p_partkey::VARCHAR) AS o FROM part WHERE p_partkey % 4 IN (1, 2)),
+d AS (SELECT *, row_number() OVER (ORDER BY o, k) AS attempt FROM b QUALIFY attempt <= 50)
+SELECT k AS id, to_json({source: 'a catalogue', book_id: k, book_url: 'https://books.example/ebooks/' || k::VARCHAR, title: p_name, authors: [p_brand], license_basis: 'the catalogue reports copyright=false',
+  format_mime: CASE WHEN k % 2 = 0 THEN 'application/epub+zip' WHEN k % 3 = 0 THEN 'application/pdf' ELSE 'text/html' END,
+  format_url: CASE WHEN k % 2 = 0 THEN 'https://books.example/1/' WHEN k % 3 = 0 THEN 'https://books.example/2/' ELSE 'https://books.example/0/' END || k::VARCHAR,
+  local_file: 'book_' || k::VARCHAR || '_' || left(regexp_replace(p_name, '[^\\p{L}\\p{N} ._-]', '_', 'g'), 60), attempt: attempt})::VARCHAR AS metadata FROM d""".replace("\\\\", "\\"))
 def q_sample(spark, d):
     """Fifty books at random of those whose copyright is known to be over, with what is kept beside them."""
-    return catalog.sample_metadata(catalog.random_books(_books(spark, d), 50, 7), ["books.example"], "https://books.example/ebooks/")
+    return catalog.sample_metadata(catalog.random_books(_books(spark, d), 50, 7), ["books.example"], "https://books.example/ebooks/", "a catalogue")
 
 
 @query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'https://a.example/x' WHEN 1 THEN 'http://a.example/x' WHEN 2 THEN 'https://a.example:8081/x' WHEN 3 THEN 'https://b.example/x' ELSE 'ftp://a.example/x' END AS url FROM part)

@@ -171,8 +171,25 @@ def q_table_columns(spark, d):
     return p.select("p_partkey", F.posexplode("rows").alias("row_no", "r")).select("p_partkey", "row_no", F.array_join("r", "|").alias("cells"))
 
 
-@query(None)
+@query("""
+WITH RECURSIVE c AS (SELECT p_partkey, i, c, CASE WHEN c = 1 THEN '' WHEN c = 3 AND i % 3 <> 0 THEN '' WHEN i % 4 = 3 AND c <> 2 THEN '' ELSE 'r' || i::VARCHAR || 'c' || c::VARCHAR END AS v FROM part, range(p_partkey % 7 + 1) r(i), range(5) s(c)),
+u AS (SELECT p_partkey, c FROM c GROUP BY 1, 2 HAVING max(v) <> ''),
+r AS (SELECT p_partkey, i, list(v ORDER BY c) AS row, len(list_filter(list(v), lambda x: x <> '')) AS filled FROM c JOIN u USING (p_partkey, c) GROUP BY 1, 2),
+n AS (SELECT p_partkey, count(*) AS n, any_value(len(row)) AS wide FROM r GROUP BY 1),
+-- rows from the top: one cell alone goes on in the row above where that has the same column
+f(p_partkey, i, kept) AS (SELECT p_partkey, 0::BIGINT, []::VARCHAR[][] FROM n UNION ALL
+  SELECT p_partkey, i + 1, CASE WHEN filled = 0 THEN kept WHEN filled = 1 AND len(kept) > 0 AND kept[len(kept)][hit] <> '' THEN kept[1 : len(kept) - 1] || [list_transform(kept[len(kept)], lambda x, j: CASE WHEN j = hit THEN x || ' ' || row[j] ELSE x END)] ELSE kept || [row] END
+  FROM (SELECT f.p_partkey, f.i, kept, row, filled, list_position(list_transform(row, lambda x: x <> ''), true) AS hit FROM f JOIN r ON f.p_partkey = r.p_partkey AND f.i = r.i)),
+k AS (SELECT f.p_partkey, kept, wide FROM f JOIN n ON f.p_partkey = n.p_partkey AND f.i = n.n),
+-- columns from the left: one joins the group before unless a row has two values there
+g(p_partkey, c, groups) AS (SELECT p_partkey, 1::BIGINT, [[1::BIGINT]] FROM k UNION ALL
+  SELECT p_partkey, c + 1, CASE WHEN clash THEN groups || [[c + 1]] ELSE groups[1 : len(groups) - 1] || [groups[len(groups)] || [c + 1]] END
+  FROM (SELECT g.p_partkey, c, groups, len(list_filter(kept, lambda x: len(list_distinct(list_filter(list_transform(groups[len(groups)] || [c + 1], lambda y: x[y]), lambda z: z <> ''))) > 1)) > 0 AS clash FROM g JOIN k USING (p_partkey) WHERE c < wide)),
+o AS (SELECT k.p_partkey, kept, groups FROM g JOIN k ON g.p_partkey = k.p_partkey AND g.c = k.wide),
+w AS (SELECT p_partkey, unnest(list_transform(kept, lambda x: list_transform(groups, lambda y: coalesce(list_filter(list_transform(y, lambda z: x[z]), lambda v: v <> '')[1], '')))) AS row, unnest(range(len(kept))) AS row_no FROM o)
+SELECT p_partkey, row_no::INT AS row_no, array_to_string(row, '|') AS cells, false AS wide FROM w""")
 def q_table_clean(spark, d):
+    """Tables after empty columns are dropped and wrapped rows and split columns joined; a row alone is no table."""
     n = (F.col("p_partkey") % 7).cast("int")
     rows = F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: _cells(i, c)))
     p = table(spark, d, "part").select("p_partkey", tables.clean_table(rows).alias("rows"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagewright.functions import text as T
+from pagewright.functions.steps import once
 from pagewright.operators import links as link_ops
 from pagewright.operators import render
 from pagewright.operators.pages import block
@@ -34,8 +35,9 @@ def q_clean(spark, d):
     return injected(spark, d).select(*KEY, T.clean(F.col("text"), False).alias("cleaned"))
 
 
-@query(None)
+@query(f"WITH {SQL_LINES}, N AS (SELECT doc_id, line_no, 'fi1 ' || text AS text FROM L) SELECT doc_id, line_no, {sql_clean('text')} AS cleaned FROM N")
 def q_nfkc(spark, d):
+    """Two compatibility characters before each line, which has none itself."""
     return injected(spark, d).select(*KEY, T.clean(F.concat(F.lit("ﬁ① "), "text")).alias("cleaned"))
 
 
@@ -85,14 +87,18 @@ g AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc
 i AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, page_number ORDER BY line_no) AS island FROM g)
 SELECT doc_id, page_number, min(line_no)::INT AS first_line, any_value(kind) AS kind, count(*)::BIGINT AS items FROM i WHERE kind IS NOT NULL GROUP BY doc_id, page_number, island""")
 def q_list_groups(spark, d):
-    """Lists: runs of items of one kind on a page, as gaps and islands."""
-    rows = fragments(spark, d).select("doc_id", "page_number", F.posexplode("blocks").alias("at", "b"))
-    kind = F.when(F.col("b.type") == "li", F.when(F.col("b.ordered"), "ol").otherwise("ul"))
-    w = Window.partitionBy("doc_id", "page_number").orderBy("at")
-    rows = rows.withColumn("kind", kind).withColumn("c", (~F.col("kind").eqNullSafe(F.lag("kind").over(w))).cast("int"))
-    rows = rows.withColumn("island", F.sum("c").over(w)).where("kind is not null")
-    out = rows.groupBy("doc_id", "page_number", "island").agg(F.min("at").alias("at"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("items"))
-    return out.select("doc_id", "page_number", ((F.col("page_number") - 1) * 8 + F.col("at")).cast("int").alias("first_line"), "kind", "items")
+    """Lists of a page's flow in HTML: where each opens, its kind and items."""
+    p = once(fragments(spark, d), "parts", render.flow_html(F.col("blocks"))).select("doc_id", "page_number", "parts")
+    opens = F.filter(F.transform("parts", lambda x, i: F.when(x.isin("<ol>", "<ul>"), F.struct(F.substr(x, F.lit(2), F.lit(2)).alias("kind"), i.alias("i")))), lambda x: x.isNotNull())
+    tag = lambda x: x.isin("<ol>", "<ul>", "</ol>", "</ul>")
+
+    def found(o: Column) -> Column:
+        """A block makes one part, but for the tags round lists."""
+        closes = F.array_min(F.filter(F.transform("parts", lambda x, j: F.when((j > o["i"]) & (x == F.concat(F.lit("</"), o["kind"], F.lit(">"))), j)), lambda j: j.isNotNull()))
+        return F.struct(F.size(F.filter(F.slice("parts", F.lit(1), o["i"]), lambda x: ~tag(x))).alias("at"), o["kind"].alias("kind"), (closes - o["i"] - 1).cast("long").alias("items"))
+
+    rows = p.select("doc_id", "page_number", F.explode(F.transform(opens, found)).alias("x"))
+    return rows.select("doc_id", "page_number", ((F.col("page_number") - 1) * 8 + F.col("x.at")).cast("int").alias("first_line"), "x.kind", "x.items")
 
 
 @query("""
@@ -185,7 +191,27 @@ def q_document_txt(spark, d):
     return render.render_documents(fragments(spark, d), titles(spark, d), "txt")
 
 
-@query(None)
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_FRAME = ['<!DOCTYPE html>\n<html lang="ru">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n<title>', "</title>\n<style>\n" + "\n".join(render.STYLE) + "\n</style>\n</head>\n<body>\n<h1>", "</h1>\n", "\n</body>\n</html>"]
+_HTML = rf"""CASE type
+  WHEN 'h' THEN '<h' || level::VARCHAR || '>' || {_sql_html("text")} || '</h' || level::VARCHAR || '>'
+  WHEN 'code' THEN '<pre><code>' || {_sql_html("text")} || '</code></pre>'
+  WHEN 'li' THEN CASE WHEN kind IS DISTINCT FROM before THEN '<' || kind || '>' || chr(10) ELSE '' END || '<li>' || {_sql_link_html("text")} || '</li>' || CASE WHEN kind IS DISTINCT FROM after THEN chr(10) || '</' || kind || '>' ELSE '' END
+  WHEN 'table' THEN '<table>' || chr(10) || '<tr><th>n</th><th>line|</th></tr>' || chr(10) || '<tr><td>' || line_no::VARCHAR || '</td><td>' || {_sql_html("text")} || '</td></tr>' || chr(10) || '</table>'
+  ELSE '<p>' || {_sql_link_html("text")} || '</p>' END"""
+
+
+@query(rf"""WITH {SQL_BLOCKS}, K AS (SELECT *, CASE WHEN type = 'li' THEN CASE WHEN ordered THEN 'ol' ELSE 'ul' END END AS kind FROM B),
+N AS (SELECT *, lag(kind) OVER w AS before, lead(kind) OVER w AS after FROM K WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_no)),
+P AS (SELECT doc_id, page_number, page_number // 2 AS h, string_agg({_HTML}, chr(10) ORDER BY line_no) AS body FROM N GROUP BY doc_id, page_number),
+W AS (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY page_number) AS before FROM P),
+G AS (SELECT doc_id, page_number, '<section class="page" id="page-' || page_number::VARCHAR || '">' || chr(10) || '<p class="page-meta">' || {_HEAD} || '</p>' || chr(10) || body
+  || CASE WHEN page_number % 3 = 0 THEN {_sql_text(chr(10) + '<aside class="callout">' + chr(10) + "<p>Mind *this* &amp; that</p>" + chr(10) + "</aside>")} ELSE '' END || chr(10) || '</section>' AS body FROM W),
+T AS (SELECT doc_id, 'Doc &lt;' || doc_id::VARCHAR || '&gt;' AS title, string_agg(body, chr(10) ORDER BY page_number) AS body FROM G GROUP BY doc_id)
+SELECT doc_id, {_sql_text(_FRAME[0])} || title || {_sql_text(_FRAME[1])} || title || {_sql_text(_FRAME[2])} || body || {_sql_text(_FRAME[3])} AS content FROM T""")
 def q_document_html(spark, d):
     return render.render_documents(fragments(spark, d), titles(spark, d), "html")
 

@@ -22,7 +22,7 @@ BLOCK = (
     "src:string,alt:string,caption:string,column:int,indent_em:double>"
 )
 FRAGMENT = f"doc_id long, page_number int, margin array<string>, blocks array<{BLOCK}>, callout array<string>"
-BOOK = "id long, title string, authors array<struct<name:string>>, languages array<string>, download_count long, copyright boolean, formats map<string,string>"
+BOOK = "id long, title string, authors array<struct<name:string,birth_year:int,death_year:int>>, subjects array<string>, bookshelves array<string>, languages array<string>, download_count long, copyright boolean, formats map<string,string>"
 
 #: Kinds of a link on a page.
 LINK_GOTO, LINK_URI = 1, 2

@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Media types in order of preference, the most bytes of an answer, ids of a catalogue, shortest pages of a search.
 PREFERRED = ("application/epub", "application/pdf", "text/html")
@@ -19,10 +20,17 @@ MAX_ID = 75_000
 LEAST_RESULTS = 25
 
 
+def _needs(what: str, there: bool) -> None:
+    if not there:
+        raise ValueError(f"the books have no columns for a search by {what}")
+
+
 def search(books: DataFrame, topic: str | None = None, author: str | None = None, keyword: str | None = None, years: tuple[int | None, int | None] = (None, None), languages: list[str] | None = None, sort: str = "popular", want: int = LEAST_RESULTS) -> DataFrame:
     """Up to max(want, 25) books by the filters given, sorted popular, ascending or descending (by id).
 
-    All words of keyword and author have to occur in title or authors; topic in subjects or bookshelves, if there are such columns.
+    All words of keyword and author have to occur in title or authors; topic in a subject or bookshelf, in any case. years, from and to: an author
+    was born or died in or after the first, and an author was born or died in or before the second; unknown years don't count. A filter
+    whose columns the books lack is an error.
     """
     names = F.array_join(F.transform("authors", lambda a: a["name"]), " ")
     words = F.lower(F.concat_ws(" ", "title", names))
@@ -30,13 +38,14 @@ def search(books: DataFrame, topic: str | None = None, author: str | None = None
     for w in f"{keyword or ''} {author or ''}".lower().split():
         d = d.where(F.contains(words, F.lit(w)))
     if topic:
-        held = [F.exists(c, lambda s: F.contains(F.lower(s), F.lit(topic.lower()))) for c in ("subjects", "bookshelves") if c in books.columns]
-        for c in held[1:]:
-            held[0] = held[0] | c
-        d = d.where(held[0] if held else F.lit(False))
-    for bound, c, test in ((years[0], "author_year_end", lambda c, y: c >= y), (years[1], "author_year_start", lambda c, y: c <= y)):
-        if bound is not None and c in books.columns:
-            d = d.where(test(F.col(c), bound))
+        _needs("topic", {"subjects", "bookshelves"} <= set(books.columns))
+        held = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("subjects", "bookshelves")])
+        d = d.where(F.exists(held, lambda s: F.contains(F.lower(s), F.lit(topic.lower()))))
+    if years != (None, None):
+        _needs("years", {"birth_year", "death_year"} <= set(books.schema["authors"].dataType.elementType.names))
+        for bound, test in ((years[0], lambda y: y >= years[0]), (years[1], lambda y: y <= years[1])):
+            if bound is not None:
+                d = d.where(F.exists("authors", lambda a: F.coalesce(test(a["birth_year"]), F.lit(False)) | F.coalesce(test(a["death_year"]), F.lit(False))))
     if languages:
         d = d.where(F.arrays_overlap("languages", F.array(*map(F.lit, languages))))
     order = {"popular": [F.col("download_count").desc(), F.col("id")], "ascending": [F.col("id")], "descending": [F.col("id").desc()]}[sort]
@@ -76,6 +85,7 @@ def file_name(id_: Column, title: Column, extension: str, prefix: str = "book_")
 
 def book_line(books: DataFrame) -> Column:
     """One line for a book; those whose copyright isn't known to be over are marked."""
+    # fixed values: the line's words
     authors = F.array_join(F.transform("authors", lambda a: F.coalesce(a["name"], F.lit("?"))), ", ")
     parts = [
         F.lit("#"), F.col("id").cast("string"), F.lit(" — "), F.coalesce("title", F.lit("(без названия)")), F.lit(" — "), F.when(authors == "", "автор неизвестен").otherwise(authors),
@@ -86,16 +96,19 @@ def book_line(books: DataFrame) -> Column:
 
 
 def random_books(books: DataFrame, n: int, seed: int) -> DataFrame:
-    """n books at random, without repeats, whose copyright is known to be over; the same for the same seed and ids."""
-    return books.where(F.col("copyright") == F.lit(False)).dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    """n books at random, without repeats, whose copyright is known to be over, with `attempt`, the draw that gave each, from 1; the same for the same seed and ids."""
+    order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string")).cast("binary"))
+    drawn = books.where(F.col("copyright") == F.lit(False)).dropDuplicates(["id"]).withColumn("_order", order).orderBy("_order", "id").limit(n)
+    return drawn.withColumn("attempt", F.row_number().over(Window.orderBy("_order", "id"))).drop("_order")  # of n rows
 
 
-def sample_metadata(books: DataFrame, hosts: list[str], page_url: str) -> DataFrame:
-    """(id, metadata): what is kept beside a sampled book, as JSON."""
+def sample_metadata(books: DataFrame, hosts: list[str], page_url: str, source: str) -> DataFrame:
+    """(id, metadata): what is kept beside a book sampled by random_books(), as JSON of ten keys. source: the catalogue's name."""
     best = pick_format(F.col("formats"))
     record = F.struct(
-        F.col("id").alias("book_id"), F.concat(F.lit(page_url), F.col("id").cast("string")).alias("book_url"), "title", F.transform("authors", lambda a: a["name"]).alias("authors"),
+        F.lit(source).alias("source"), F.col("id").alias("book_id"), F.concat(F.lit(page_url), F.col("id").cast("string")).alias("book_url"), "title", F.transform("authors", lambda a: a["name"]).alias("authors"),
         F.lit("the catalogue reports copyright=false").alias("license_basis"), best["mime"].alias("format_mime"), upgrade_url(best["url"], hosts).alias("format_url"), file_name(F.col("id"), F.col("title"), "").alias("local_file"),
+        "attempt",
     )
     return books.select("id", F.to_json(record).alias("metadata"))
 

@@ -160,6 +160,16 @@ def test_nfkc_of_nested_columns(spark):
     assert [tuple(r) for r in nfkc_columns(d.coalesce(1), ["a", "b"]).collect()] == [(["fi", None], [("1", 1)]), (None, [])]
 
 
+def test_nfkc_composes(spark):
+    """As Python's own normalisation: composed, decomposed, compatibility and Hangul letters, nulls and plain text."""
+    import unicodedata
+
+    texts = ["é", "e\u0301", "ﬁ①é", "한", "ｶﾞ", "plain", None, "", "Å\u0323 ok", "plain"]
+    d = spark.createDataFrame([([t], t) for t in texts], "a array<string>, b string").coalesce(1)
+    want = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert [(r.a[0], r.b) for r in nfkc_columns(d, ["a", "b"]).collect()] == list(zip(want, want))
+
+
 def test_docx(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
