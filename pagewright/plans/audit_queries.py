@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import audit
-from pagewright.plans.inputs import SQL_LINES, fragments, injected, table
+from pagewright.plans.inputs import SQL_LINES, fragments, injected, shared_folder, table
 from pagewright.sources import catalog
 from pagewright.streaming import incremental
 
@@ -203,7 +203,7 @@ def q_stream(spark, d):
     from pagewright.schema import DETECTION, LINK, RAW_BLOCK, RAW_TABLE, RECT
     from pagewright.sources.readers import read_fragments
 
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()) + "/stream-" + tempfile.mktemp(dir="").strip("/")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     box = F.array(F.lit(50.0), F.lit(100.0), F.lit(500.0), F.lit(700.0))
     span = lambda t: F.struct(t.alias("text"), F.lit(10.0).alias("size"), F.lit("Courier").alias("font"), F.lit(0).alias("flags"), box.alias("bbox"))
     own = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~T.blank(x))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +27,65 @@ def page_range(pages: DataFrame, start: int = 1, end: int | None = None) -> Data
     return kept if end is None else kept.where(F.col("page_number") <= end)
 
 
-def read_fragments(spark: SparkSession, path: str) -> DataFrame:
-    """Stored fragments; files that are torn count as absent."""
-    return spark.read.schema(FRAGMENT).option("mode", "DROPMALFORMED").json(path).where("doc_id is not null and page_number is not null")
+#: Folders that a sink's documents are dealt to by a hash, so that their number doesn't grow with the documents.
+BUCKETS = 64
+
+
+def bucket_of(doc_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(buckets)).cast("int")
+
+
+def read_fragments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Stored fragments; files that are torn count as absent. A page that two batches hold, with equal keys, comes once."""
+    reader = spark.read.schema(FRAGMENT).option("recursiveFileLookup", "true")
+    reader = reader.option("mode", "DROPMALFORMED") if fmt == "json" else reader.option("ignoreCorruptFiles", "true")
+    return reader.format(fmt).load(path).where("doc_id is not null and page_number is not null").dropDuplicates(["doc_id", "page_number"])
+
+
+def write_fragments(fragments: DataFrame, path: str, batch: str = "0", fmt: str = "parquet", buckets: int = BUCKETS) -> None:
+    """Fragments as one batch of a store, in its folder, by buckets of documents; a batch that is written again replaces itself, and no other."""
+    d = fragments.withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
+    d.repartition("bucket").write.mode("overwrite").partitionBy("bucket").format(fmt).save(f"{path}/batch={batch}")
+
+
+def write_documents(documents: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """(doc_id, content) as Parquet by buckets of documents; Spark's committer makes the set appear whole."""
+    d = documents.select("doc_id", "content").withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
+    d.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """(name, size) of files (name, content binary), each written below folder so that it appears whole; one that is there is replaced.
+
+    folder: a mounted one that all executors and readers share. Null and empty contents make no file. Nothing is written before the result is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                if not (body := content.as_py()):
+                    continue
+                to = Path(folder, name)
+                to.parent.mkdir(parents=True, exist_ok=True)
+                handle, part = tempfile.mkstemp(prefix=f".{to.name}.", dir=to.parent)
+                with os.fdopen(handle, "wb") as f:
+                    f.write(body)
+                os.replace(part, to)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(body)], pa.int64())], ["name", "size"])
+
+    return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, size long")
 
 
-def write_fragments(fragments: DataFrame, path: str, mode: str = "append") -> None:
-    """JSON in folders by document, characters as they are, absent fields left out."""
-    fragments.write.mode(mode).partitionBy("doc_id").json(path)
+def write_document_files(documents: DataFrame, folder: str, extension: str, buckets: int = BUCKETS) -> DataFrame:
+    """write_files() of (doc_id, content): a file for each document, in folders by bucket."""
+    name = F.concat_ws("/", bucket_of(F.col("doc_id"), buckets).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(f".{extension}")))
+    return write_files(documents.select(name.alias("name"), "content"), folder)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """A text file for each of (doc_id, content), in folders by document; Spark's committer makes the set appear whole."""
-    documents.repartition("doc_id").write.mode("overwrite").option("lineSep", "").partitionBy("doc_id").text(path)
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """write_files() of images (doc_id, page_number, image_no, content), by the names that extraction gives to a page's images, counted from 0."""
+    name = F.format_string("%d/image_%04d_%04d.png", F.col("doc_id").cast("long"), F.col("page_number").cast("int"), F.col("image_no").cast("int"))
+    return write_files(images.select(name.alias("name"), "content"), folder)
 
 
 def lines(docs: DataFrame, per_page: int = 40) -> DataFrame:

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.operators import pages as page_ops
 from pagewright.operators import render
-from pagewright.schema import RAW_PAGE
+from pagewright.schema import FRAGMENT, RAW_PAGE
 from pagewright.sources.readers import read_fragments, write_fragments
 
 KEY = ["doc_id", "page_number"]
+#: Fixed value: a document is rendered anew after its first page and then after so many.
+EVERY = 10
+STATE = "doc_id long, path string, size long, mtime timestamp, settings string"
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """The store's fragments; of a store that isn't there yet, none."""
+    try:
+        return read_fragments(spark, store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FRAGMENT)
 
 
 def remaining(pages: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -22,12 +37,20 @@ def remaining(pages: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def check_identity(documents: DataFrame, state: DataFrame) -> DataFrame:
-    """documents (doc_id, path, size, mtime), as they are; an error where state has another size or time for one of them."""
-    old = state.select("doc_id", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
-    joined = documents.join(old, "doc_id", "left")
-    same = F.col("_size").isNull() | ((F.col("_size") == F.col("size")) & (F.col("_mtime") == F.col("mtime")))
-    guard = F.when(same, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("the document has changed since it was begun: "), F.col("path"))).cast("string"))
-    return joined.withColumn("path", guard).drop("_size", "_mtime")
+    """documents (doc_id, path, size, mtime), as they are; an error where state has another path, size or time for one of them."""
+    names = ("path", "size", "mtime")
+    old = state.select("doc_id", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in names])
+    same = F.col("_known").isNull()
+    both = F.lit(True)
+    for c in names:
+        both = both & F.col(f"_{c}").eqNullSafe(F.col(c))
+    error = F.raise_error(F.concat(F.lit("the state belongs to another file, of another path, size or time: "), F.coalesce("path", F.lit("?")))).cast("string")
+    return documents.join(old, "doc_id", "left").withColumn("path", F.when(same | both, F.col("path")).otherwise(error)).select(*documents.columns)
+
+
+def changed_settings(state: DataFrame, settings: str) -> DataFrame:
+    """(doc_id, was, now) of documents begun with other settings: stored pages keep what they hold; restart() makes them anew."""
+    return state.where(~F.col("settings").eqNullSafe(F.lit(settings))).select("doc_id", F.col("settings").alias("was"), F.lit(settings).alias("now"))
 
 
 def restart(fragments: DataFrame, doc_id: int, start: int, end: int) -> DataFrame:
@@ -37,50 +60,68 @@ def restart(fragments: DataFrame, doc_id: int, start: int, end: int) -> DataFram
 
 def finished(fragments: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents (doc_id, page_count) of which all pages are stored; their state may go."""
-    done = fragments.groupBy("doc_id").agg(F.countDistinct("page_number").alias("done"))
+    done = fragments.where("page_number >= 1").groupBy("doc_id").agg(F.countDistinct("page_number").alias("done"))
     return documents.join(done, "doc_id").where(F.col("done") == F.col("page_count")).select("doc_id")
 
 
+def rewrite(spark: SparkSession, store: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Put change(the store's fragments) in their place. The new store is whole before the old one goes; if this stops between, the old one is in `store`.old."""
+    new, old = f"{store}.new", f"{store}.old"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(store).getFileSystem(conf)
+    fs.delete(path(new), True)
+    write_fragments(change(stored(spark, store)), new, f"rewrite-{uuid.uuid4().hex}")
+    fs.delete(path(old), True)
+    if fs.exists(path(store)) and not fs.rename(path(store), path(old)):
+        raise OSError(f"can't move {store}")
+    if not fs.rename(path(new), path(store)):
+        raise OSError(f"can't move {new}")
+    fs.delete(path(old), True)
+
+
+def clean_up(spark: SparkSession, store: str, documents: DataFrame) -> None:
+    """Delete the fragments of documents (doc_id, page_count) that are stored whole; those of others stay, to go on with."""
+    rewrite(spark, store, lambda f: f.join(finished(f, documents), "doc_id", "left_anti"))
+
+
 def extract_remaining(spark: SparkSession, pages: DataFrame, store: str) -> int:
-    """Extract the pages the store lacks and add them; how many there were."""
-    try:
-        left = remaining(pages, read_fragments(spark, store))
-    except Exception as e:  # a store that isn't there yet has no fragment
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        left = pages
-    n = left.count()
-    if n:
-        write_fragments(page_ops.extract(left), store)
-    return n
+    """Extract the pages the store lacks and add them, as a batch of their own; how many there were."""
+    batch = f"run-{uuid.uuid4().hex}"
+    write_fragments(page_ops.extract(remaining(pages, stored(spark, store))), store, batch)
+    return spark.read.schema(FRAGMENT).option("recursiveFileLookup", "true").parquet(f"{store}/batch={batch}").count()  # by the files' footers
 
 
 def stream_fragments(spark: SparkSession, incoming: str, store: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Fragments of raw-page files as they come, each file once; `after` sees each batch's fragments, as to render its documents anew.
+    """Fragments of raw-page files as they come; `after` sees each batch's fragments, as to render its documents anew.
 
-    Pages may come in any order: running heads and order are made when documents are read.
+    A batch has a folder of its own in the store: one that is done again after a crash replaces what it had written. Pages may come in any
+    order: running heads and order are made when documents are read.
     """
     raw = spark.readStream.schema(RAW_PAGE).option("mode", "DROPMALFORMED").json(incoming)
 
     def batch(df: DataFrame, number: int) -> None:
-        made = page_ops.extract(df.dropDuplicates(KEY))
-        made = made.persist()
-        try:
-            write_fragments(made, store)
-            if after is not None:
-                after(made, number)
-        finally:
-            made.unpersist()
+        write_fragments(page_ops.extract(df.dropDuplicates(KEY)), store, str(number))
+        if after is not None:
+            after(df.sparkSession.read.schema(FRAGMENT).option("recursiveFileLookup", "true").parquet(f"{store}/batch={number}"), number)
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def render_changed(spark: SparkSession, store: str, titles: DataFrame, fmt: str, publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For stream_fragments: render the whole documents that a batch touched."""
+def due(stored_: DataFrame, made: DataFrame, every: int = EVERY) -> DataFrame:
+    """(doc_id) of documents whose rendering is due, where `made` is the part of the stored pages that came last: with their first page, and whenever a count of pages divisible by `every` is reached or passed."""
+    now = stored_.select(*KEY).distinct().join(made.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("now"))
+    new = made.select(*KEY).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("new"))
+    before = F.col("now") - F.col("new")
+    return now.join(new, "doc_id").where((before == 0) | (F.floor(F.col("now") / every) > F.floor(before / every))).select("doc_id")
+
+
+def render_changed(spark: SparkSession, store: str, titles: DataFrame, fmt: str, publish: Callable[[DataFrame], None], every: int = 1) -> Callable[[DataFrame, int], None]:
+    """For stream_fragments: render the whole documents that a batch touched, all of them or, if every is above 1, those due()."""
 
     def run(made: DataFrame, _: int) -> None:
-        touched = made.select("doc_id").distinct()
-        whole = read_fragments(spark, store).dropDuplicates(KEY).join(touched, "doc_id", "left_semi")
-        publish(render.render_documents(whole, titles, fmt))
+        all_ = read_fragments(spark, store)
+        touched = made.select("doc_id").distinct() if every == 1 else due(all_, made, every)
+        publish(render.render_documents(all_.join(touched, "doc_id", "left_semi"), titles, fmt))
 
     return run

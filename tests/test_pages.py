@@ -183,13 +183,15 @@ def test_docx(spark):
 def test_store_resume_and_torn_fragments(spark, tmp_path):
     from pagewright.streaming import incremental
 
-    store = str(tmp_path / "store")
     rows = [(1, p, [], [], []) for p in (1, 4)]
-    readers.write_fragments(spark.createDataFrame(rows, FRAGMENT), store)
-    (tmp_path / "store" / "doc_id=1" / "torn.json").write_text('{"page_number":2,"mar')
-    kept = readers.read_fragments(spark, store)
-    wanted = spark.createDataFrame([(1, p) for p in range(1, 6)], "doc_id long, page_number int")
-    assert sorted(r.page_number for r in incremental.remaining(wanted, kept).collect()) == [2, 3, 5]
+    for fmt in ("parquet", "json"):
+        store = str(tmp_path / fmt)
+        readers.write_fragments(spark.createDataFrame(rows, FRAGMENT), store, fmt=fmt)
+        assert len(list((tmp_path / fmt / "batch=0").glob("bucket=*"))) == 1
+        (tmp_path / fmt / "batch=0" / f"torn.{fmt}").write_text('{"page_number":2,"mar')
+        kept = readers.read_fragments(spark, store, fmt)
+        wanted = spark.createDataFrame([(1, p) for p in range(1, 6)], "doc_id long, page_number int")
+        assert sorted(r.page_number for r in incremental.remaining(wanted, kept).collect()) == [2, 3, 5]
     assert incremental.restart(kept, 1, 1, 3).count() == 1
     done = spark.createDataFrame([(1, 2), (2, 1)], "doc_id long, page_count int")
     assert [r.doc_id for r in incremental.finished(kept, done).collect()] == [1]
@@ -197,8 +199,139 @@ def test_store_resume_and_torn_fragments(spark, tmp_path):
         readers.page_range(wanted, 3, 2)
 
 
+def raw(doc_id, number, text="words on a page"):
+    return (doc_id, number, 600.0, 800.0, [block([[span(text, 50, 100, 300, 120)]], (50, 100, 300, 120))], [], [], [], [])
+
+
+def test_extract_remaining_clean_up_and_rewrite(spark, tmp_path):
+    from pagewright.streaming import incremental
+
+    store = str(tmp_path / "store")
+    pages_ = spark.createDataFrame([raw(1, 1), raw(1, 2), raw(2, 1)], RAW_PAGE)
+    assert incremental.stored(spark, store).count() == 0
+    assert incremental.extract_remaining(spark, pages_.where("doc_id = 1"), store) == 2
+    assert incremental.extract_remaining(spark, pages_, store) == 1
+    assert incremental.extract_remaining(spark, pages_, store) == 0
+    keys = lambda: sorted((r.doc_id, r.page_number) for r in readers.read_fragments(spark, store).collect())
+    assert keys() == [(1, 1), (1, 2), (2, 1)]
+    incremental.rewrite(spark, store, lambda f: incremental.restart(f, 1, 2, 9))
+    assert keys() == [(1, 1), (2, 1)] and incremental.extract_remaining(spark, pages_, store) == 1
+    incremental.clean_up(spark, store, spark.createDataFrame([(1, 2), (2, 5)], "doc_id long, page_count int"))
+    assert keys() == [(2, 1)] and not (tmp_path / "store.old").exists() and not (tmp_path / "store.new").exists()
+
+
+def test_identity_and_settings(spark):
+    import datetime
+
+    from pagewright.streaming import incremental
+
+    t = datetime.datetime(2020, 1, 1)
+    state = spark.createDataFrame([(1, "/a", 10, t, "plain"), (2, "/b", 20, t, "images")], incremental.STATE)
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, path string, size long, mtime timestamp")
+    assert incremental.check_identity(docs((1, "/a", 10, t), (3, "/new", 1, t)), state).count() == 2
+    for other in ((1, "/c", 10, t), (1, "/a", 11, t), (1, "/a", 10, t + datetime.timedelta(1))):
+        with pytest.raises(Exception, match="another file"):
+            incremental.check_identity(docs(other), state).collect()
+    assert [(r.doc_id, r.was) for r in incremental.changed_settings(state, "plain").collect()] == [(2, "images")]
+
+
+def test_stream_replays_and_renders(spark, tmp_path):
+    """Pages that come late and out of order; a batch done twice; documents rendered after their first page and each second."""
+    from pagewright.streaming import incremental
+
+    incoming, store = tmp_path / "in", str(tmp_path / "store")
+    titles = spark.createDataFrame([(1, "One"), (2, "Two")], "doc_id long, title string")
+    out, due = [], []
+    publish = lambda d: out.append({r.doc_id: r.content for r in d.collect()})
+    late = lambda d: due.append(sorted(r.doc_id for r in d.collect()))
+
+    def after(made, number):
+        incremental.render_changed(spark, store, titles, "txt", publish)(made, number)
+        incremental.render_changed(spark, store, titles, "txt", late, every=2)(made, number)
+
+    for rows in ([raw(1, 3, "third"), raw(2, 1, "lone")], [raw(1, 1, "first")], [raw(2, 2, "more"), raw(2, 3, "end")]):
+        spark.createDataFrame(rows, RAW_PAGE).coalesce(1).write.mode("append").json(str(incoming))
+        incremental.stream_fragments(spark, str(incoming), store, str(tmp_path / "check"), after).awaitTermination()
+    assert [sorted(x) for x in out] == [[1, 2], [1], [2]]
+    assert out[1][1].index("first") < out[1][1].index("third")
+    assert due == [[1, 2], [1], [2]]
+    again = readers.read_fragments(spark, store).where("doc_id = 2 and page_number > 1")
+    readers.write_fragments(spark.createDataFrame(again.collect(), FRAGMENT), store, "2")
+    assert readers.read_fragments(spark, store).count() == 5 and spark.read.parquet(f"{store}/batch=2").count() == 2
+
+
+def test_rendering_is_due_with_the_first_page_and_each_tenth(spark):
+    from pagewright.streaming import incremental
+
+    f = lambda *pages_: spark.createDataFrame([(1, p) for p in pages_], "doc_id long, page_number int")
+    runs = [((1,), (1,), True), ((1, 2), (2,), False), (range(1, 10), (9,), False), (range(1, 11), (10,), True), (range(1, 13), (9, 10, 11, 12), True), (range(1, 14), (13,), False)]
+    assert [incremental.due(f(*all_), f(*new)).count() == 1 for all_, new, _ in runs] == [x for *_, x in runs]
+
+
+def test_document_and_image_sinks(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, content string")
+    readers.write_documents(d, str(tmp_path / "docs"), buckets=8)
+    assert len(list((tmp_path / "docs").glob("bucket=*"))) == 8
+    assert spark.read.parquet(str(tmp_path / "docs")).select("doc_id", "content").exceptAll(d).count() == 0
+    assert readers.write_document_files(d.limit(5), str(tmp_path / "files"), "txt", buckets=2).count() == 5
+    assert sorted(p.read_text() for p in (tmp_path / "files").glob("[01]/*.txt")) == [f"text {i}" for i in range(5)]
+    images = spark.createDataFrame([(7, 1, 0, b"png"), (7, 1, 1, b""), (7, 12, 0, None), (8, 2, 3, b"other")], "doc_id long, page_number int, image_no int, content binary")
+    found = sorted(tuple(r) for r in readers.write_images(images, str(tmp_path / "img")).collect())
+    assert found == [("7/image_0001_0000.png", 3), ("8/image_0002_0003.png", 5)]
+    assert sorted(p.name for p in (tmp_path / "img").rglob("*") if p.is_file()) == ["image_0001_0000.png", "image_0002_0003.png"]
+    assert (tmp_path / "img" / "8" / "image_0002_0003.png").read_bytes() == b"other"
+
+
+class Answer(io.BytesIO):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+class Http:
+    def __init__(self, body):
+        self.body, self.asked = body, []
+
+    def open(self, request, timeout):
+        self.asked.append((request.full_url, timeout))
+        return Answer(self.body)
+
+
+def test_http_source_and_download_sink(tmp_path):
+    http = Http(b'{"id": 5}')
+    assert catalog.fetch_json(http, "https://a.example/5") == {"id": 5} and http.asked == [("https://a.example/5", 15)]
+    with pytest.raises(ValueError):
+        catalog.fetch(http, "https://a.example/5", most=3)
+    to = tmp_path / "book"
+    assert catalog.download(http, "https://a.example/b", to) and to.read_bytes() == http.body
+    assert not catalog.download(http, "https://a.example/b", to) and len(http.asked) == 3
+    broken = Http(b"")
+    broken.open = lambda *_, **__: (_ for _ in ()).throw(OSError("gone"))
+    with pytest.raises(OSError):
+        catalog.download(broken, "https://a.example/c", tmp_path / "torn")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["book"]
+
+
+def test_redirects_stay_on_the_list():
+    import urllib.request
+
+    guard = next(h for h in catalog.opener({"a.example"}).handlers if type(h).__name__ == "Guard")
+    request = urllib.request.Request("https://a.example/1")
+    assert guard.redirect_request(request, None, 302, "", {}, "https://a.example/2").full_url == "https://a.example/2"
+    for bad in ("http://a.example/2", "https://b.example/2", "https://a.example:8443/2", "file:///etc/passwd"):
+        with pytest.raises(PermissionError):
+            guard.redirect_request(request, None, 302, "", {}, bad)
+
+
 def test_catalogue(spark, tmp_path):
     with pytest.raises(ValueError):
         catalog.output_path(tmp_path, "../x")
     books = spark.createDataFrame([(i, f"T{i}", [True, False, None][i % 3]) for i in range(30)], "id long, title string, copyright boolean")
+    bare = books.withColumn("authors", F.array(F.struct(F.lit("A").alias("name")))).withColumn("languages", F.array()).withColumn("download_count", F.lit(1))
+    for asked in ({"years": (1900, None)}, {"topic": "x"}):
+        with pytest.raises(ValueError):
+            catalog.search(bare, **asked)
+    assert [r.attempt for r in catalog.random_books(books, 4, 1).orderBy("attempt").collect()] == [1, 2, 3, 4]
     assert {r.id % 3 for r in catalog.random_books(books, 10, 1).collect()} == {1}
