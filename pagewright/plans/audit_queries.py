@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators import audit
-from pagewright.plans.inputs import SQL_LINES, fragments, injected, shared_folder, table
+from pagewright.plans.inputs import SQL_BLOCKS, SQL_LINES, fragments, injected, shared_folder, table
 from pagewright.sources import catalog
 from pagewright.streaming import incremental
 
@@ -110,7 +110,27 @@ def q_structural(spark, d):
     return p.select("doc_id", F.explode(audit.structural_findings(F.col("blocks"), margin)).alias("f")).select("doc_id", "f.block", "f.rule")
 
 
-@query(None)
+_TOKENS = r"list_transform(regexp_extract_all({}, '[\p{{L}}]+|[0-9]+'), lambda x: lower(x))"
+
+
+@query(rf"""
+WITH RECURSIVE {SQL_BLOCKS},
+Z AS (SELECT doc_id, page_number, string_agg(L.text, ' ' ORDER BY line_no) AS s, string_agg(CASE type WHEN 'table' THEN 'n line| ' || line_no::VARCHAR || ' ' || B.text ELSE B.text END, ' ' ORDER BY line_no) AS e FROM L JOIN B USING (doc_id, page_number, line_no) GROUP BY 1, 2),
+K AS (SELECT doc_id, page_number, {_TOKENS.format("s")} AS s, {_TOKENS.format("e")} AS e, {_TOKENS.format("'Chapter ' || (page_number // 2)::VARCHAR || ' ' || page_number::VARCHAR || CASE WHEN page_number % 3 = 0 THEN ' Mind *this* & that' ELSE '' END")} AS r FROM Z),
+S AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, token ORDER BY pos) AS k FROM (SELECT doc_id, page_number, unnest(s) AS token, unnest(range(len(s))) AS pos FROM K)),
+E AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, token ORDER BY pos) AS k FROM (SELECT doc_id, page_number, unnest(e) AS token, unnest(range(len(e))) AS pos FROM K)),
+A AS (SELECT doc_id, page_number, token, true AS src FROM S UNION ALL SELECT doc_id, page_number, token, false FROM E UNION ALL SELECT doc_id, page_number, unnest(r), false FROM K),
+m AS (SELECT doc_id, page_number, sum(n) AS n, sum(greatest(n - o, 0)) AS miss FROM (SELECT doc_id, page_number, token, count(*) FILTER (src) AS n, count(*) FILTER (NOT src) AS o FROM A GROUP BY 1, 2, 3) GROUP BY 1, 2),
+Q AS (SELECT doc_id, page_number, list(S.pos ORDER BY E.pos) AS q FROM S JOIN E USING (doc_id, page_number, token, k) GROUP BY 1, 2),
+R(doc_id, page_number, i, ends) AS (SELECT doc_id, page_number, 0, []::BIGINT[] FROM Q
+  UNION ALL SELECT doc_id, page_number, i + 1, ends[1:lo] || [x] || ends[lo + 2:len(ends)] FROM (SELECT R.*, q[i + 1] AS x, len(list_filter(ends, lambda y: y <= q[i + 1])) AS lo FROM R JOIN Q USING (doc_id, page_number) WHERE i < len(q))),
+o AS (SELECT doc_id, page_number, len(q) AS matched, CASE WHEN len(q) < 4 THEN 1.0::DOUBLE ELSE len(ends) / len(q) END AS score FROM R JOIN Q USING (doc_id, page_number) WHERE i = len(q)),
+P AS (SELECT *, CASE WHEN type = 'table' THEN '' ELSE text END AS t FROM B), P2 AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY doc_id, page_number ORDER BY line_no), '') AS prev FROM P),
+f AS (SELECT doc_id, page_number, sum((type IN ('p', 'li') AND regexp_matches(substr(t, 2), '[►•‣▪●○◦]'))::INT + (type IN ('p', 'li', 'h') AND regexp_matches(t, '-\s*$'))::INT + (t <> '' AND t = prev)::INT)::INT AS n_findings FROM P2 GROUP BY 1, 2),
+j AS (SELECT K.doc_id, K.page_number, CASE WHEN n > 0 THEN 1 - miss / n ELSE 1.0::DOUBLE END AS coverage, coalesce(o.score, 1.0::DOUBLE) AS order_score, coalesce(matched, 0) AS matched, n_findings
+  FROM K LEFT JOIN m USING (doc_id, page_number) LEFT JOIN o USING (doc_id, page_number) JOIN f USING (doc_id, page_number)),
+w AS (SELECT *, CASE WHEN coverage < 0.85::DOUBLE THEN (0.85::DOUBLE - coverage) * 100 ELSE 0.0::DOUBLE END + CASE WHEN order_score < 0.85::DOUBLE AND matched >= 8 THEN (0.85::DOUBLE - order_score) * 80 ELSE 0.0::DOUBLE END + n_findings * 10 AS score FROM j)
+SELECT doc_id, page_number, score, coverage, order_score, n_findings FROM w WHERE score > 0 ORDER BY score DESC, doc_id, page_number LIMIT 30""")
 def q_audit_top(spark, d):
     """Pages with the greatest audit scores: fragments against their lines, some left out of the source's order."""
     f = fragments(spark, d)

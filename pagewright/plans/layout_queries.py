@@ -8,8 +8,8 @@ from pagewright.functions import geometry as G
 from pagewright.functions import text as T
 from pagewright.functions.steps import once
 from pagewright.operators import ocr, pages, spatial, tables
-from pagewright.plans.inputs import table
-from pagewright.schema import BOX, LINK_GOTO, LINK_URI, RAW_BLOCK, RECT, RUN
+from pagewright.plans.inputs import sql_clean, table
+from pagewright.schema import BOX, BULLETS, LINK_GOTO, LINK_URI, RAW_BLOCK, RECT, RUN
 from pagewright.sources.readers import lines
 
 QUERIES: dict = {}
@@ -140,13 +140,68 @@ def _rows(spark, d):
     return p.select("doc_id", "page", "rows")
 
 
-@query(None)
+
+_BOX = "STRUCT(x0 INT, y0 INT, i INT, w VARCHAR)"
+#: Visual rows V (doc_id, page, row_no, x0, x1, y0, y1, text) of the words' boxes, by the rules that the operator folds by.
+_SQL_ROWS = rf"""
+D0 AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \n]+'), lambda w: w <> '') AS w FROM documents),
+D1 AS (SELECT doc_id, unnest(range((len(w) + 59) // 60)) AS page, w FROM D0),
+D2 AS (SELECT doc_id, page, w[page * 60 + 1 : page * 60 + 60] AS w FROM D1),
+D3 AS (SELECT doc_id, page, unnest(w) AS w, unnest(range(len(w)))::INT AS i FROM D2),
+X AS (SELECT *, ((i % 4) * 120 + CASE WHEN i % 4 >= 2 THEN 260 ELSE 0 END)::INT AS x0, ((i // 4) * 30 + (doc_id + i) % 5)::INT AS y0 FROM D3),
+O AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, i) AS k FROM X),
+-- each box, from the top, into the first row whose height it shares by half
+G(doc_id, page, k, r) AS (SELECT doc_id, page, 0::BIGINT, []::STRUCT(a INT, z INT, b {_BOX}[])[] FROM D2 UNION ALL
+  SELECT doc_id, page, k + 1, CASE WHEN hit IS NULL THEN r || [{{a: y0, z: y0 + 20, b: [{{x0: x0, y0: y0, i: i, w: w}}]}}]
+    ELSE list_transform(r, lambda x, j: CASE WHEN j = hit THEN {{a: least(x.a, y0), z: greatest(x.z, y0 + 20), b: x.b || [{{x0: x0, y0: y0, i: i, w: w}}]}} ELSE x END) END
+  FROM (SELECT G.doc_id, G.page, G.k, r, x0, y0, i, w, nullif(list_position(list_transform(r, lambda x: least(x.z, y0 + 20) > greatest(x.a, y0) AND 2 * (least(x.z, y0 + 20) - greatest(x.a, y0)) >= greatest(x.z, y0 + 20) - least(x.a, y0)), true), 0) AS hit
+    FROM G JOIN O ON G.doc_id = O.doc_id AND G.page = O.page AND O.k = G.k + 1)),
+H AS (SELECT G.doc_id, G.page, unnest(r) AS r, unnest(range(len(r))) AS g FROM G JOIN D2 ON G.doc_id = D2.doc_id AND G.page = D2.page AND k = len(w)),
+B AS (SELECT doc_id, page, g, unnest(r.b) AS b, unnest(range(len(r.b))) AS p FROM H),
+-- a row is cut at its widest gap, if that is wide in itself and against the others; the right part is looked at again
+C(doc_id, page, g, step, piece, rest) AS (SELECT doc_id, page, g, 0, NULL::{_BOX}[], list(b ORDER BY b.x0, p) FROM B GROUP BY 1, 2, 3 UNION ALL
+  SELECT doc_id, page, g, step + 1, CASE WHEN cut THEN rest[1:n] ELSE rest END, CASE WHEN cut THEN rest[n + 1 : len(rest)] ELSE []::{_BOX}[] END
+  FROM (SELECT *, coalesce(gap >= 100 AND NOT coalesce(mid > 0 AND gap < 3 * mid, false) AND NOT regexp_matches(trim(array_to_string(list_transform(rest[n + 1 : len(rest)], lambda x: x.w), ' ')), '^[0-9]{{1,4}}[.,]?$'), false) AS cut
+    FROM (SELECT *, list_sort(list_filter(gaps, lambda x, j: j <> n))[(len(gaps) - 1) // 2 + 1] AS mid
+      FROM (SELECT *, list_max(gaps) AS gap, list_position(gaps, list_max(gaps)) AS n
+        FROM (SELECT *, list_transform(range(1, len(rest)), lambda j: rest[j + 1].x0 - rest[j].x0 - 90) AS gaps FROM C WHERE len(rest) > 0))))),
+V0 AS (SELECT doc_id, page, g, step, list_min(list_transform(piece, lambda x: x.x0)) AS x0, list_max(list_transform(piece, lambda x: x.x0)) + 90 AS x1, list_min(list_transform(piece, lambda x: x.y0)) AS y0,
+  list_max(list_transform(piece, lambda x: x.y0)) + 20 AS y1, array_to_string(list_filter(list_transform(piece, lambda x: x.w), lambda x: trim(x) <> ''), ' ') AS text FROM C WHERE piece IS NOT NULL),
+V AS (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY y0 + y1, g, step) - 1)::INT AS row_no, x0::DOUBLE AS x0, x1::DOUBLE AS x1, y0::DOUBLE AS y0, y1::DOUBLE AS y1, text FROM V0 WHERE trim(text) <> '')"""
+
+
+def _sql_numeric(x: str) -> str:
+    alnum = rf"length(regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+    return rf"({alnum} >= 4 AND length(regexp_replace({x}, '[^\p{{Nd}}]', '', 'g')) >= {alnum} * 0.6)"
+
+
+_ENDED = r"'[.!?:;»)”]$'"
+_TRAILING, _LEADING = r"'\s[0-9]{1,4}[.,]?$'", r"'^[0-9]{1,4}\s'"
+_MARKED = rf"'^([{BULLETS}]\s+\S|[0-9]{{1,2}}[.)]\s+\S)'"
+
+
+@query(f"WITH RECURSIVE {_SQL_ROWS} SELECT doc_id, page::INT AS page, row_no, x0, x1, y0, y1, text FROM V")
 def q_rows(spark, d):
     """Visual rows of detections, columns parted at wide gaps."""
     return _rows(spark, d).select("doc_id", "page", F.posexplode("rows").alias("row_no", "r")).select("doc_id", "page", "row_no", "r.*")
 
 
-@query(None)
+_SQL_REFLOW = rf"""{_SQL_ROWS},
+M AS (SELECT doc_id, page, CASE WHEN m = 0 THEN 10 ELSE m END AS m FROM (SELECT doc_id, page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS m FROM V GROUP BY 1, 2)),
+S AS (SELECT V.*, m, y1 - y0 AS h, length(text) <= 80 AND rtrim(text) <> '' AND NOT regexp_matches(rtrim(text), {_ENDED}) AND NOT {_sql_numeric("text")} AND NOT regexp_matches(rtrim(text), {_TRAILING}) AND NOT regexp_matches(rtrim(text), {_LEADING}) AS titled,
+  regexp_matches(text, {_LEADING}) OR regexp_matches(text, {_MARKED}) AS entry FROM V JOIN M USING (doc_id, page)),
+-- the paragraph that a row is in, with all of it so far
+R(doc_id, page, row_no, par, text, x0, x1, y0, y1, heading, tallest) AS (SELECT doc_id, page, row_no, 0, text, x0, x1, y0, y1, m > 0 AND h >= m * 1.25 AND titled, h FROM S WHERE row_no = 0 UNION ALL
+  SELECT doc_id, page, row_no, CASE WHEN merge THEN par ELSE par + 1 END, CASE WHEN merge THEN before || ' ' || t ELSE t END, CASE WHEN merge THEN x0 ELSE a0 END, CASE WHEN merge THEN greatest(x1, a1) ELSE a1 END,
+    CASE WHEN merge THEN y0 ELSE b0 END, b1, CASE WHEN merge THEN goes_on ELSE head END, CASE WHEN merge THEN greatest(tallest, h) ELSE h END
+  FROM (SELECT *, b0 - y1 <= m * 1.3 AND NOT (before = '' OR regexp_matches(before, {_ENDED}) OR regexp_matches(before, {_TRAILING}) OR heading AND NOT goes_on) AND NOT entry AS merge
+    FROM (SELECT R.doc_id, R.page, S.row_no, par, R.x0, R.x1, R.y0, R.y1, heading, tallest, rtrim(R.text) AS before, S.text AS t, S.x0 AS a0, S.x1 AS a1, S.y0 AS b0, S.y1 AS b1, h, m, entry, m > 0 AND h >= m * 1.25 AND titled AS head,
+      heading AND (m > 0 AND h >= m * 1.25 AND titled OR m > 0 AND S.y0 - R.y1 <= m * 0.5 AND h >= m * 0.9 AND titled) AS goes_on FROM R JOIN S ON R.doc_id = S.doc_id AND R.page = S.page AND S.row_no = R.row_no + 1)))"""
+
+
+@query(f"""WITH RECURSIVE {_SQL_REFLOW}
+SELECT doc_id, page::INT AS page, par::INT AS at, text, x0, x1, y0, y1, CASE WHEN heading THEN CASE WHEN tallest >= m * 1.5 THEN 2 ELSE 3 END END::INT AS level
+FROM (SELECT * FROM R QUALIFY row_number() OVER (PARTITION BY doc_id, page, par ORDER BY row_no DESC) = 1) JOIN M USING (doc_id, page)""")
 def q_reflow(spark, d):
     """Rows joined to paragraphs."""
     p = _rows(spark, d).select("doc_id", "page", ocr.paragraphs(F.col("rows")).alias("ps"))
@@ -280,7 +335,22 @@ def q_multi_item(spark, d):
     return p.where("items is not null").select("doc_id", "block", F.posexplode("items").alias("at", "x")).select("doc_id", "block", "at", "x.text", "x.ordered")
 
 
-@query(None)
+_CLEAN = sql_clean("line")
+
+
+@query(rf"""WITH {_SQL_SPANS}, j AS (SELECT s.*, body, {_CLEAN.replace("line", "text")} AS clean FROM s LEFT JOIN m USING (doc_id, page_number)),
+t AS (SELECT doc_id, page_number, line_no, CASE WHEN level IS NOT NULL THEN 'h' WHEN regexp_matches(trim(clean), {_MARKED}) THEN 'li' ELSE 'p' END AS type, CASE WHEN level IS NOT NULL THEN trim(clean) ELSE clean END AS text, level
+  FROM (SELECT *, CASE WHEN body IS NULL OR length(clean) > 120 OR regexp_matches(rtrim(clean), {_ENDED}) THEN NULL WHEN size * 100 >= body * 135 THEN 2 WHEN size * 100 >= body * 115 THEN 3 WHEN bold AND size = body AND length(clean) <= 80 THEN 3 END::INT AS level
+    FROM j WHERE trim(clean) <> '' AND (doc_id + page_number) % 5 <> 0)),
+-- the pages read from detections: rows of one height, so paragraphs end where a row does, or where one begins with a number or mark
+o AS (SELECT *, lag(rtrim(text)) OVER w AS before FROM s WHERE trim(text) <> '' AND (doc_id + page_number) % 5 = 0 WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY line_no)),
+k AS (SELECT *, CASE WHEN before IS NULL OR regexp_matches(before, {_ENDED}) OR regexp_matches(before, {_TRAILING}) OR regexp_matches(text, {_LEADING}) OR regexp_matches(text, {_MARKED})
+  OR line_no - lag(line_no) OVER (PARTITION BY doc_id, page_number ORDER BY line_no) > 1 THEN 1 ELSE 0 END AS c FROM o),
+i AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, page_number ORDER BY line_no) AS par FROM k),
+p AS (SELECT doc_id, page_number, min(line_no) AS line_no, string_agg(CASE WHEN last THEN text ELSE rtrim(text) END, ' ' ORDER BY line_no) AS line FROM (SELECT *, lead(line_no) OVER (PARTITION BY doc_id, page_number, par ORDER BY line_no) IS NULL AS last FROM i) GROUP BY doc_id, page_number, par),
+q AS (SELECT doc_id, page_number, line_no, trim({_CLEAN}) AS text FROM p),
+u AS (SELECT * FROM t UNION ALL SELECT doc_id, page_number, line_no, CASE WHEN {_sql_numeric("text")} THEN 'p_numeric' WHEN regexp_matches(text, {_MARKED}) THEN 'li' ELSE 'p' END, text, NULL FROM q WHERE text <> '')
+SELECT doc_id, page_number, 0 AS n_margin, (row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no) - 1)::INT AS at, type, text, level FROM u""")
 def q_extract(spark, d):
     """Whole extraction: pages of spans, a fifth of them garbled and read from detections instead."""
     p = _spans(spark, d).withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
