@@ -5,7 +5,8 @@ takes k pieces, whatever their lengths, so workers fill a class's bins knowing o
 pieces come before theirs. As documents may be cut, a document's rest after whole sequences is cut
 where the parts nearly fill their classes (one or two parts, from a table made once for each
 capacity). Each class's last pieces, fewer than k, are a bounded rest, packed first-fit by
-falling length in one small task.
+falling length in one small task. Bins and offsets are found on slim rows; ids, where they are asked for, stay packed
+in bytes and meet them in one join on a piece's own key.
 """
 
 from __future__ import annotations
@@ -49,6 +50,22 @@ def cuts(capacity: int) -> list[tuple[int, ...]]:
     return out
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids as two bytes each if all fit, else as four."""
+    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _unpack(names: list[str]):
+    """Rows with ids as an array of integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x, f"<u{len(x) // n}").astype(np.int32) for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], pa.array(ids, pa.list_(pa.int32()))], names)
+
+    return run
+
+
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k"] + ["ids"] * with_ids
 
@@ -67,16 +84,16 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                     start, total = 0, n + 1
                     for size in (*[capacity] * (total // capacity), *plan[total % capacity]):
                         x = own[start : start + size]
-                        rows.append((doc, start, size, zlib.crc32(x.tobytes()), total, capacity // size, x.astype(np.int32))[: len(names)])
+                        rows.append((doc, start, size, zlib.crc32(x.tobytes()), total, capacity // size, _packed(x) if with_ids else None)[: len(names)])
                         start += size
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.list_(pa.int32())] * with_ids
+                kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
 
-def _first_fit(capacity: int, first_id: int):
+def _first_fit(capacity: int, first_id: int, names: list[str]):
     """Pieces to bins of the capacity: longest first, each to the fullest bin that has room."""
 
     def run(frames: Iterator) -> Iterator:
@@ -97,7 +114,7 @@ def _first_fit(capacity: int, first_id: int):
             bins.append(first_id + b)
             offsets.append(capacity - r)
             room[r - n].append(b)
-        yield f.assign(sequence_id=bins, offset=offsets)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if "ids" in f else [])]]
+        yield f.assign(sequence_id=bins, offset=offsets)[names]
 
     return run
 
@@ -111,17 +128,22 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     doc_id are packed each. An empty table gives no piece.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int" + ", ids array<int>" * with_ids
-    pieces = stash(docs.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema))
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int" + ", ids binary" * with_ids
+    made = docs.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema)
+    # the key is written, so it stays the same
+    all_ = stash(made.withColumn("key", F.monotonically_increasing_id()) if with_ids else made)
+    pieces = all_.drop("ids")
     # one row a class at most: about twice the root of the capacity
     counts = {r.k: r.n for r in pieces.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     base, first = {}, 0
     for k in sorted(counts):
         base[k] = first
         first += counts[k] // k
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    key = ["key"] * with_ids
+    out = [*own, "sequence_id", "offset"]
     if not counts:
-        return pieces.select(*out[:5], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *out[7:])
+        return pieces.select(*own, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *[F.array().cast("array<int>").alias("ids")] * with_ids)
     place = ranked(pieces, ["k"], ["doc_id", "start", "ids_crc32", "length"], F.xxhash64("doc_id"), "_place", rank_buckets(sum(counts.values())))
     by_class = F.create_map(*[F.lit(x) for k in counts for x in (k, base[k])])
     full = F.create_map(*[F.lit(x) for k in counts for x in (k, counts[k] // k * k)])
@@ -129,9 +151,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     whole = place.where("_whole").withColumn("sequence_id", (by_class[F.col("k")] + F.floor(F.col("_place") / F.col("k"))).cast("long"))
     before = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    rest = place.where("not _whole").select(*out[:5], *out[7:]).coalesce(1)
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return whole.select(*out).union(rest.mapInPandas(_first_fit(capacity, first), kinds))
+    rest = place.where("not _whole").select(*own, *key).coalesce(1)
+    placed = whole.select(*out, *key).union(rest.mapInPandas(_first_fit(capacity, first, [*out, *key]), ", ".join(f"{c} long" for c in [*out, *key])))
+    if not with_ids:
+        return placed
+    return stash(placed).join(all_.select("key", "ids"), "key").select(*out, "ids").mapInArrow(_unpack([*out, "ids"]), ", ".join(f"{c} long" for c in out) + ", ids array<int>")
 
 
 def byte_bpe_path() -> str:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pagewright.llm._bpe import Encoder
-from pagewright.llm.packing import byte_bpe_path, cuts, op5_harmonic_packing, pack
+from pagewright.llm.packing import _packed, byte_bpe_path, cuts, op5_harmonic_packing, pack
 from tests.conftest import DATA
 
 TOKENIZER, ENCODER = Tokenizer.from_file(byte_bpe_path()), Encoder(byte_bpe_path())
@@ -64,6 +64,16 @@ def test_documents(spark):
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "a"), (4, " word" * 2047), (5, " word" * 2048), (6, "b " * 40_000), (7, "a<|endoftext|>b")]
     d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, k int, offset int")
-    check(pack(d, byte_bpe_path(), with_ids=True).collect(), docs)
+    rows = pack(d, byte_bpe_path(), with_ids=True).collect()
+    check(rows, docs)
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    twice = pack(d.union(d), byte_bpe_path(), with_ids=True).collect()
+    assert sorted((r.doc_id, r.start, r.ids) for r in twice) == sorted((r.doc_id, r.start, r.ids) for r in rows * 2)
+    assert pack(d.where("false"), byte_bpe_path(), with_ids=True).collect() == []
     check(pack(d, byte_bpe_path(), capacity=64).collect(), docs, 64)
     assert pack(d.where("false"), byte_bpe_path()).collect() == []
+
+
+def test_ids_in_bytes():
+    for ids, width in (([1, 65_535], 2), ([1, 65_536], 4), ([0], 2)):
+        assert np.frombuffer(_packed(np.array(ids, "<u4")), f"<u{width}").tolist() == ids
