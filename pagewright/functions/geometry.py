@@ -60,5 +60,5 @@ def vertical_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def upper_median(values: Column) -> Column:
-    """The middle of the sorted values, the greater of two."""
-    return F.element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+    """The middle of the sorted values, the greater of two; null of none."""
+    return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))

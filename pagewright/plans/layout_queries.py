@@ -186,7 +186,9 @@ def q_rows(spark, d):
     return _rows(spark, d).select("doc_id", "page", F.posexplode("rows").alias("row_no", "r")).select("doc_id", "page", "row_no", "r.*")
 
 
-_SQL_REFLOW = rf"""{_SQL_ROWS},
+def _sql_reflow() -> str:
+    """Of rows V: their median height M, and R, each row with the paragraph it is in, as far as it goes."""
+    return rf""",
 M AS (SELECT doc_id, page, CASE WHEN m = 0 THEN 10 ELSE m END AS m FROM (SELECT doc_id, page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS m FROM V GROUP BY 1, 2)),
 S AS (SELECT V.*, m, y1 - y0 AS h, length(text) <= 80 AND rtrim(text) <> '' AND NOT regexp_matches(rtrim(text), {_ENDED}) AND NOT {_sql_numeric("text")} AND NOT regexp_matches(rtrim(text), {_TRAILING}) AND NOT regexp_matches(rtrim(text), {_LEADING}) AS titled,
   regexp_matches(text, {_LEADING}) OR regexp_matches(text, {_MARKED}) AS entry FROM V JOIN M USING (doc_id, page)),
@@ -199,7 +201,7 @@ R(doc_id, page, row_no, par, text, x0, x1, y0, y1, heading, tallest) AS (SELECT
       heading AND (m > 0 AND h >= m * 1.25 AND titled OR m > 0 AND S.y0 - R.y1 <= m * 0.5 AND h >= m * 0.9 AND titled) AS goes_on FROM R JOIN S ON R.doc_id = S.doc_id AND R.page = S.page AND S.row_no = R.row_no + 1)))"""
 
 
-@query(f"""WITH RECURSIVE {_SQL_REFLOW}
+@query(f"""WITH RECURSIVE {_SQL_ROWS}{_sql_reflow()}
 SELECT doc_id, page::INT AS page, par::INT AS at, text, x0, x1, y0, y1, CASE WHEN heading THEN CASE WHEN tallest >= m * 1.5 THEN 2 ELSE 3 END END::INT AS level
 FROM (SELECT * FROM R QUALIFY row_number() OVER (PARTITION BY doc_id, page, par ORDER BY row_no DESC) = 1) JOIN M USING (doc_id, page)""")
 def q_reflow(spark, d):
