@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import audit, pages
 from pagewright.plans.inputs import table
 from pagewright.schema import DETECTION, LINK, RAW_BLOCK, RAW_TABLE, RECT
+from pagewright.sources import documents
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +99,14 @@ def q_source_tokens(spark, d):
     raw = raw_pages(docs, F.when(bad, junk).otherwise(sound), ocr=F.transform("l", seen))
     found = audit.source_tokens(raw)
     return found.select("doc_id", "was_ocr", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("""
+SELECT page_id AS doc_id, (len(html) - len(replace(html, '<li>', '')))::BIGINT // 4 AS items, list_distinct(regexp_extract_all(html, '<li><a href="([^"]+)">', 1)).list_sort().array_to_string(' ') AS hrefs FROM pages""")
+def q_read_html(spark, d):
+    """Web pages read as documents: list items of all of a document's pages, and where they lead, as links over their spans say."""
+    files = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("a.html").alias("path"), F.col("html").cast("binary").alias("content"))
+    f = pages.extract(documents.read_documents(files)).select("doc_id", F.explode("blocks").alias("b")).where("b.type = 'li'")
+    menu = F.array_max(F.transform("b.runs", lambda r: r["href"]))
+    found = f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.sort_array(F.collect_set(menu)), " ").alias("hrefs"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit(0).cast("long")).alias("items"), F.coalesce("hrefs", F.lit("")).alias("hrefs"))

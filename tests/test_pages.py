@@ -160,6 +160,62 @@ def test_nfkc_of_nested_columns(spark):
     assert [tuple(r) for r in nfkc_columns(d.coalesce(1), ["a", "b"]).collect()] == [(["fi", None], [("1", 1)]), (None, [])]
 
 
+PAGE_HTML = """<html><head><title>x</title></head><body><h1>The  Title</h1><p>Some <b>bold</b> and <a href="http://a.b">a link</a><sup>1</sup>
+ in text.</p><ul><li>one<li>two</ul><ol><li>first</li></ol><pre>
+  x = 1
+  y &lt; 2
+</pre><table><tr><th>a</th><th>b</th></tr><tr><td>1 </td><td>2</td></tr></table><img src="i.png"><script>no()</script>tail</body></html>"""
+
+
+def test_documents_that_flow(spark):
+    from pagewright.sources import documents
+
+    def zipped(**files):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for name, body in files.items():
+                z.writestr(name.replace("__", "/").replace("_DOT_", "."), body)
+        return buffer.getvalue()
+
+    epub = zipped(
+        META_INF__container_DOT_xml="", **{"META-INF/container.xml": '<container><rootfiles><rootfile full-path="OPS/p.opf"/></rootfiles></container>'},
+        **{"OPS/p.opf": '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="b" href="two.xhtml"/><item id="a" href="one%20.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>', "OPS/one .xhtml": "<body><p>chapter one</p></body>", "OPS/two.xhtml": "<body><p>chapter two</p></body>"},
+    )
+    w = docx.WORDS[1:-1]
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:rPr><w:i/></w:rPr><w:t>slanted</w:t></w:r><w:r><w:rPr><w:b w:val="0"/></w:rPr><w:t xml:space="preserve"> plain</w:t></w:r></w:p><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>item</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c2</w:t></w:r></w:p></w:tc></w:tr><w:tr><w:tc><w:p><w:r><w:t>c3</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c4</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    word = zipped(**{"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'})
+    long = "\n\n".join(f"paragraph {i} " + "word " * 40 for i in range(60))
+    files = [(1, "a.HTML", PAGE_HTML.encode()), (2, "b.epub", epub), (3, "c.docx", word), (4, "d.txt", long.encode()), (5, "e.pdf", b"%PDF"), (6, "f.epub", b"torn"), (7, "g.html", b""), (8, "h.txt", None)]
+    raw_ = documents.read_documents(spark.createDataFrame(files, "doc_id long, path string, content binary"))
+    got = {}
+    for r in pages.extract(raw_).orderBy("doc_id", "page_number").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sorted(got) == [1, 2, 3, 4, 7, 8]
+    one = [(b.type, b.text) for b in got[1][0].blocks]
+    assert one == [("p", "The Title"), ("p", "Some bold and a link1 in text."), ("li", "one"), ("li", "two"), ("li", "first"), ("code", "  x = 1\n  y < 2"), ("table", None), ("img_placeholder", None), ("p", "tail")]
+    runs = got[1][0].blocks[1].runs
+    assert [(r.text, r.bold, r.superscript, r.href) for r in runs] == [("Some ", False, False, None), ("bold", True, False, None), (" and ", False, False, None), ("a link", False, False, "http://a.b"), ("1", False, True, None), (" in text.", False, False, None)]
+    assert got[1][0].blocks[6].rows == [["a", "b"], ["1", "2"]] and got[1][0].blocks[4].ordered
+    assert [[b.text for b in r.blocks] for r in got[2]] == [["chapter one"], ["chapter two"]]
+    assert [(b.type, b.text) for b in got[3][0].blocks] == [("p", "Head"), ("p", "slanted plain"), ("li", "item"), ("table", None)] and got[3][0].blocks[3].rows == [["c1", "c2"], ["c3", "c4"]]
+    assert [r.italic for r in got[3][0].blocks[1].runs] == [True, False]
+    assert len(got[4]) > 3 and " ".join(b.text for r in got[4] for b in r.blocks).split() == long.split()
+    assert [len(got[n][0].blocks) for n in (7, 8)] == [0, 0]
+
+
+def test_captions(spark):
+    f = spark.createDataFrame([(1, 2, [], [("img", None, None, None, None, None, "images/1/image_0002_0000.png", "", None, None, None), ("p", "t", *[None] * 9), ("img_placeholder", *[None] * 10)], [])], FRAGMENT)
+    c = spark.createDataFrame([(1, 2, 0, "A <cat>"), (1, 2, 1, "dog"), (1, 2, 7, "none"), (2, 2, 0, "other"), (1, 2, 1, None)], "doc_id long, page_number int, image_no int, caption string")
+    from pagewright.operators import captions
+
+    row = captions.with_captions(f, c).first()
+    assert [(b.type, b.alt, b.caption) for b in row.blocks] == [("img", "A <cat>", None), ("p", None, None), ("img_placeholder", None, "dog")]
+    assert captions.with_captions(f, c.where("false")).first().blocks == f.first().blocks
+    images = spark.createDataFrame([(1, 2, 0, b"png"), (1, 2, 1, b""), (1, 3, 0, None)], "doc_id long, page_number int, image_no int, content binary")
+    made = captions.caption_images(images, lambda: lambda bodies: [f"{len(b)} bytes" for b in bodies])
+    assert [tuple(r) for r in made.collect()] == [(1, 2, 0, "3 bytes")]
+
+
 def test_nfkc_composes(spark):
     """As Python's own normalisation: composed, decomposed, compatibility and Hangul letters, nulls and plain text."""
     import unicodedata
