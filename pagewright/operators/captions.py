@@ -37,7 +37,7 @@ def caption_images(images: DataFrame, load: Callable[[], Model]) -> DataFrame:
 
 
 def with_captions(fragments: DataFrame, captions: DataFrame) -> DataFrame:
-    """fragments with captions (CAPTION) on their images, by an image's place among those of its page, from 0: as an image's alternative text, or a placeholder's caption.
+    """fragments with captions (CAPTION) on their images, by an image's place among those of its page, from 1: as an image's alternative text, or a placeholder's caption.
 
     Of several captions of an image the greatest counts; images without one stay as they are.
     """
@@ -53,5 +53,5 @@ def with_captions(fragments: DataFrame, captions: DataFrame) -> DataFrame:
     image = lambda b: b["type"].isin("img", "img_placeholder")
     counts = F.aggregate("blocks", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(image(b), 1).otherwise(0))))
     d = fragments.join(known, KEY, "left").withColumn("_numbers", counts)
-    blocks = F.transform("blocks", lambda b, i: own(b, F.get(F.col("_numbers"), i)))
+    blocks = F.transform("blocks", lambda b, i: own(b, F.get(F.col("_numbers"), i) + 1))
     return d.withColumn("blocks", F.when(F.col("_captions").isNull(), F.col("blocks")).otherwise(blocks)).select(*fragments.columns)

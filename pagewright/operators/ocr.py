@@ -268,7 +268,7 @@ def extract_ocr_pages(pages: DataFrame, images_dir: str | None = None) -> DataFr
     def picture(r: Column, i: Column) -> Column:
         # an image's column goes by the gutter's right edge, not its middle
         column = F.when(F.col("gutter").isNotNull(), F.when(r["x0"] * PX < F.col("gutter")["right"], 0).otherwise(1)).cast("int")
-        name = F.format_string("image_%04d_%04d.png", F.col("page_number"), i)
+        name = F.format_string("image_%04d_%04d.png", F.col("page_number"), i + 1)
         src = F.concat(F.lit(f"{images_dir}/"), F.col("doc_id").cast("string"), F.lit("/"), name)
         b = block("img", src=src, alt=F.lit(""), column=column) if images_dir else block("img_placeholder", column=column)
         return F.struct((r["y0"] * PX).alias("y0"), column.alias("column"), b.alias("block"), ((G.width(r) >= 1) & (G.height(r) >= 1)).alias("drawn"))

@@ -185,7 +185,7 @@ def _page_context(pages: DataFrame) -> DataFrame:
 def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataFrame:
     """Fragments of RAW_PAGE rows whose text layer is sound (normalised already, see extract).
 
-    images_dir: where images are saved under their document's number; null leaves placeholders.
+    images_dir: where images are saved under their document's number, named by page and place among its images, from 1; null leaves placeholders.
     """
     d = _page_context(pages)
 
@@ -206,12 +206,14 @@ def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataF
     d = once(d, "parity", caption_parity(F.transform("judged", lambda x: x["candidate"])))
     d = once(d, "hits", F.transform("judged", lambda x: x["hit"]))
     none = F.array().cast(f"array<{BLOCK}>")
-    image_no = lambda i: F.size(F.filter(F.sequence(F.lit(0), i), lambda j: ~F.get(F.col("judged"), j)["is_text"]))
+    # how many images come before a block
+    before = F.aggregate("judged", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(x["is_text"], 0).otherwise(1))))
+    d = once(d, "images_before", before)
 
     def blocks_of(x: Column, i: Column) -> Column:
         p = F.get(F.col("parity"), i)
         text = x["text"]
-        name = F.format_string("image_%04d_%04d.png", F.col("page_number"), image_no(i) - 1)
+        name = F.format_string("image_%04d_%04d.png", F.col("page_number"), F.get(F.col("images_before"), i) + 1)
         src = F.concat(F.lit(f"{images_dir}/"), F.col("doc_id").cast("string"), F.lit("/"), name)
         image = block("img", src=src, alt=F.lit("")) if images_dir else block("img_placeholder")
         drawn = (G.width(x["rect"]) >= 1) & (G.height(x["rect"]) >= 1)

@@ -125,11 +125,15 @@ def flow_html(blocks: Column) -> Column:
 
 def segment_numbers(blocks: Column) -> Column:
     """For each block the number of its run of blocks with, or without, a column."""
+    tagged = F.transform(blocks, lambda b: b["column"].isNotNull())
+    state = "struct<last:boolean,n:int,numbers:array<int>>"
+    start = F.struct(F.lit(None).cast("boolean").alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("numbers")).cast(state)
 
-    def turns(i: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), i), lambda j: (j > 0) & (F.get(blocks, j)["column"].isNull() != F.get(blocks, j - 1)["column"].isNull()))
+    def step(s: Column, t: Column) -> Column:
+        n = s["n"] + F.when(s["last"] != t, 1).otherwise(0)
+        return F.struct(t.alias("last"), n.alias("n"), F.concat(s["numbers"], F.array(n)).alias("numbers")).cast(state)
 
-    return F.transform(blocks, lambda b, i: F.size(turns(i)))
+    return F.aggregate(tagged, start, step)["numbers"]
 
 
 def layout_html(blocks: Column) -> Column:
@@ -158,6 +162,7 @@ def page_html(number: Column, margin: Column, blocks: Column, callout: Column) -
 
 
 def document_html(title: Column, body: Column) -> Column:
+    # fixed value: the document's frame
     head = '<!DOCTYPE html>\n<html lang="ru">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n'
     safe = T.escape_html(title)
     return _cat(head, _tag("title", safe), "\n<style>\n" + "\n".join(STYLE) + "\n</style>\n</head>\n<body>\n", _tag("h1", safe), "\n", body, "\n</body>\n</html>")

@@ -83,7 +83,7 @@ def write_document_files(documents: DataFrame, folder: str, extension: str, buck
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """write_files() of images (doc_id, page_number, image_no, content), by the names that extraction gives to a page's images, counted from 0."""
+    """write_files() of images (doc_id, page_number, image_no, content), by the names that extraction gives to a page's images, counted from 1."""
     name = F.format_string("%d/image_%04d_%04d.png", F.col("doc_id").cast("long"), F.col("page_number").cast("int"), F.col("image_no").cast("int"))
     return write_files(images.select(name.alias("name"), "content"), folder)
 

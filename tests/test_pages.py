@@ -203,9 +203,18 @@ def test_documents_that_flow(spark):
     assert [len(got[n][0].blocks) for n in (7, 8)] == [0, 0]
 
 
+def test_image_names(spark):
+    """Images count from 1 on each page, those too small to draw too, on either path."""
+    small, large = block([], (50, 100, 50.5, 100.5), 1), block([], (50, 310, 150, 400), 1)
+    text, noise = block([[span("words", 50, 130, 500, 200)]], (50, 130, 500, 200)), block([[span("\x01" * 30, 50, 130, 300, 150)]], (50, 130, 300, 150))
+    df = spark.createDataFrame([(7, n, 600.0, 800.0, [small, own, large, large], [], [], [], []) for n, own in ((1, text), (2, noise))], RAW_PAGE)
+    for r in pages.extract(df, "images").collect():
+        assert [b.src for b in r.blocks if b.type == "img"] == [f"images/7/image_{r.page_number:04d}_{i:04d}.png" for i in (2, 3)]
+
+
 def test_captions(spark):
     f = spark.createDataFrame([(1, 2, [], [("img", None, None, None, None, None, "images/1/image_0002_0000.png", "", None, None, None), ("p", "t", *[None] * 9), ("img_placeholder", *[None] * 10)], [])], FRAGMENT)
-    c = spark.createDataFrame([(1, 2, 0, "A <cat>"), (1, 2, 1, "dog"), (1, 2, 7, "none"), (2, 2, 0, "other"), (1, 2, 1, None)], "doc_id long, page_number int, image_no int, caption string")
+    c = spark.createDataFrame([(1, 2, 1, "A <cat>"), (1, 2, 2, "dog"), (1, 2, 7, "none"), (2, 2, 1, "other"), (1, 2, 2, None)], "doc_id long, page_number int, image_no int, caption string")
     from pagewright.operators import captions
 
     row = captions.with_captions(f, c).first()
