@@ -167,6 +167,59 @@ PAGE_HTML = """<html><head><title>x</title></head><body><h1>The  Title</h1><p>So
 </pre><table><tr><th>a</th><th>b</th></tr><tr><td>1 </td><td>2</td></tr></table><img src="i.png"><script>no()</script>tail</body></html>"""
 
 
+def png(width, height):
+    return b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + width.to_bytes(4, "big") + height.to_bytes(4, "big") + b"rest"
+
+
+def test_caption_server(spark):
+    """A server on this machine: its models, a caption, images it is never asked about, and a failure."""
+    import base64
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from pagewright.operators import captions
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self.answer({"data": [{"id": "eyes"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            content = base64.b64decode(asked["messages"][0]["content"][1]["image_url"]["url"].partition(",")[2])
+            width = captions.png_sides(content)[0]
+            self.answer({"choices": []} if width == 666 else {"choices": [{"message": {"content": f" {asked['model']} saw {width} "}}]})
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}/"
+        captions.Server(url, "eyes").check()
+        for model in ("", "ears"):
+            with pytest.raises(ValueError, match="eyes"):
+                captions.Server(url, model).check()
+        images = [(1, 1, i + 1, b) for i, b in enumerate((png(100, 50), png(31, 400), png(666, 40), b"no png", png(32, 32), b""))]
+        made = captions.caption_images(spark.createDataFrame(images, "doc_id long, page_number int, image_no int, content binary"), captions.once_a_process("s", lambda: captions.Server(url, "eyes")))
+        assert {r.image_no: r.caption for r in made.collect()} == {1: "eyes saw 100", 2: None, 3: None, 4: None, 5: "eyes saw 32"}
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(ConnectionError):
+        captions.Server(url, "eyes").check()
+    loads = []
+    for _ in range(2):
+        captions.once_a_process("twice", lambda: loads.append(1) or len)()
+    assert loads == [1]
+
+
 def test_documents_that_flow(spark):
     from pagewright.sources import documents
 
