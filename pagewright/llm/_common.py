@@ -27,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again.
 
-    The files outlive executors and go when the driver ends.
+    The files outlive executors. They go with release(), or when the driver ends.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/pagewright/{uuid.uuid4().hex}"
@@ -38,7 +43,16 @@ def stash(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._pagewright_table = where
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that stash() gave. Nothing that is still to be computed may read them; other frames are left alone."""
+    for df in tables:
+        if (where := getattr(df, "_pagewright_table", None)) is not None:
+            _delete(df.sparkSession, where)
 
 
 #: Keys that hold more than this part of the rows count as hot; there can be no more of them than its inverse.

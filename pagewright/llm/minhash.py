@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import join_hot, stash
+from ._common import join_hot, release, stash
 from ._words import BASE, MIX_A, NOT_SPACE, U, buffers, mix, shingles, words
 
 NONE = U(0xFFFFFFFFFFFFFFFF)
@@ -205,15 +205,18 @@ def components(edges: DataFrame) -> DataFrame:
     halve. Each round's labels are written. Rounds grow as the logarithm of the longest path.
     """
     both = stash(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stash(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")))
+    last = stash(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")))
     while True:
+        labels = last.select("v", "component")
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
         least = labels.join(near, "v").select("v", F.col("component").alias("was"), F.least("component", "near").alias("c"))
         up = labels.select(F.col("v").alias("c"), F.col("component").alias("up"))
         step = stash(least.join(up, "c", "left").select("v", "was", F.least("c", "up").alias("component")))
-        labels = step.select("v", "component")
+        release(last)
+        last = step
         if step.where("component <> was").isEmpty():
-            return labels
+            release(both)
+            return step.select("v", "component")
 
 
 def _chunk(n: str):
@@ -271,6 +274,7 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
     placed = reps.select(F.explode("bands").alias("bucket"), "n", "rep")
     crowds = stash(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("n", "rep")).alias("head")).where("held > 1"))
     shared = stash(join_hot(placed, crowds, "bucket", "held"))
+    release(reps, crowds)
 
     def as_pair(p, q):
         return F.least(p, q).alias("a"), F.greatest(p, q).alias("b")
@@ -293,6 +297,7 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
 
     wanted = stash(shared.select(F.col("rep").alias("doc_id")).distinct())
     full = stash(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "rep long, shingles array<long>"))
+    release(wanted)
 
     def linked(pairs: DataFrame) -> DataFrame:
         p, q = full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
@@ -303,8 +308,10 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
     named = stash(shared.select("bucket", "n", F.col("rep").alias("v")).join(found, "v", "left").select("bucket", "n", F.col("v").alias("rep"), F.coalesce("component", "v").alias("c")))
     mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
     mixed = stash(mixed.select("bucket", "held"))
+    release(shared)
     large = found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LARGE)
     rest = stash(join_hot(named, mixed, "bucket", "held").drop("held").join(large, "c", "left"))
+    release(named, mixed)
 
     # components of few members, in a bucket with few of them: pairs
     small = rest.where("m is null").drop("m")
@@ -314,6 +321,7 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
     q = p.toDF("bucket", "n2", "b", "d", "b0", "b1")
     more = p.join(q, "bucket").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("b")) & near_size("n", "n2") & close)
     ends = stash(more.select("a", "b", "c", "d").distinct())
+    release(p)
     by_pair = linked(ends.select("a", "b")).join(ends, ["a", "b"]).select("c", "d")
 
     crowd = _crowd_blocks(small, few)
@@ -334,6 +342,7 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
     by_block = crowd.join(full, "rep").groupBy("of", "g", "i", "j").applyInArrow(_block_links(percent), "c long, d long")
     joined = by_pair.union(by_block).distinct().select(F.col("c").alias("a"), F.col("d").alias("b"))
     over = components(joined).select(F.col("v").alias("component"), F.col("component").alias("top"))
+    release(full, rest, few, ends, probes, cells)
     final = found.join(over, "component", "left").select("v", F.coalesce("top", "component").alias("c"))
     # a representative without a link in the first round may have one in the second
     alone = over.select(F.col("component").alias("v"), F.col("top").alias("c")).join(found.select("v"), "v", "left_anti")
