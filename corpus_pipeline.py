@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import decontaminate as decontamination
 from pagewright.llm import language, minhash, packing, pii
-from pagewright.llm._common import stash, table
+from pagewright.llm._common import release, stash, table
 
 
 def _with_length(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,8 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, applied to documents; each result but the last is written to the shared folder."""
+    """The stages, applied to documents; each result but the last is written to the shared folder, and goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        made = stash(stage(spark, docs, sf_dir))
+        release(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
