@@ -27,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -35,11 +38,17 @@ def _delete(spark: SparkSession, where: str) -> None:
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again.
 
-    The files outlive executors. They go with release(), or when the driver ends.
+    The files outlive executors. They go with release(), or when the driver ends. While df is made, Python workers get BATCH_ROWS rows at a
+    time, as rows may be long texts; the session's own setting comes back after.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/pagewright/{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(where)
+    finally:
+        spark.conf.set(BATCH, before)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)

@@ -25,7 +25,7 @@ ORDERS = (3, 4)
 HASHES = 2
 SHARE = 0.25
 MIN_COUNT = 3
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,8 +170,8 @@ def identify(docs: DataFrame, filters: Filters, columns: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 250):
+                part = batch.slice(at, 250)
                 names, scores = shared.value.predict(part.column("text").to_pylist())
                 columns = [part.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)

@@ -32,7 +32,9 @@ from ._common import join_hot, release, stash
 from ._words import BASE, MIX_A, NOT_SPACE, U, buffers, mix, shingles, words
 
 NONE = U(0xFFFFFFFFFFFFFFFF)
-CHUNK = 400_000
+#: Values that are in work at once, and bytes of text.
+CHUNK = 300_000
+STEP_BYTES = 1_000_000
 #: Components of so many members or more are compared with the rest in blocks of BLOCK members by BLOCK others.
 LARGE = 32
 BLOCK = 1500
@@ -74,7 +76,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     raw, offs = buffers(batch.column("text"))
     step = 0
     while step < len(batch):
-        upto = max(step + 1, int(np.searchsorted(offs, offs[step] + 4_000_000, "right")) - 1)
+        upto = max(step + 1, int(np.searchsorted(offs, offs[step] + STEP_BYTES, "right")) - 1)
         upto = min(upto, len(batch))
         hashes, counts = words(raw[offs[step] : offs[upto]], offs[step : upto + 1] - offs[step], NOT_SPACE)
         at = 0
@@ -113,7 +115,7 @@ def _sketches(k: int, bands: int, rows: int):
                 ids.append(i)
                 sets.append(s)
                 held += len(s) + t
-                if held >= CHUNK * 3:
+                if held >= CHUNK:
                     yield flush(ids, sets)
                     ids, sets, held = [], [], 0
         if ids:
@@ -130,7 +132,7 @@ def _full_sets(k: int):
                 ids.append(i)
                 sets.append(s.view(np.int64))
                 held += len(s)
-                if held >= CHUNK * 3:
+                if held >= CHUNK:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
                     ids, sets, held = [], [], 0
             if ids:

@@ -72,8 +72,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, plan = Encoder(path), cuts(capacity)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for at in range(0, len(batch), 100):
+                part = batch.slice(at, 100)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids, counts = encoder.encode(texts)
                 rows: list[tuple] = []
