@@ -6,7 +6,8 @@ first. A block that holds `need` of a template's words must hold one of its firs
 size - need + 1 (prefix filter), have `need` template words at all (length filter) and, from the
 shared word on, enough words left on both sides (positional filter). What passes is verified on
 full sets; phrases, which need all their words, then also word by word in their order.
-DataFrame functions alone. Only blocks near a prefix word leave their document's row.
+DataFrame functions alone. A text is read once: its template words and their places are written, by chunks of STRIDE words, and
+all else works on those. Only blocks near a prefix word leave their document's row.
 """
 
 from __future__ import annotations
@@ -76,12 +77,19 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, percent:
     """
     known = templates(TEMPLATES if notices is None else notices, percent)
     vocabulary = sorted({w for t in known for w in t["words"]})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
+    # the one pass over texts: of each chunk of STRIDE words, the template words with their places
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    starts = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.floor((F.size("words") - 1) / STRIDE).cast("int"))).otherwise(F.array().cast("array<int>"))
+    hit = lambda c: lambda w, i: F.when(F.lower(w).isin(vocabulary), F.struct((c * STRIDE + i).alias("i"), lower_ascii(w).alias("w")))
+    chunks = F.transform(starts, lambda c: F.array_compact(F.transform(F.slice(F.col("words"), c * STRIDE + 1, STRIDE), hit(c))))
+    # the key tells repeated rows apart; it is written, so it stays the same
+    rows = stash(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.size("words").cast("long").alias("n_words"), chunks.alias("chunks")))
 
-    # how many texts hold a template word: only those words leave a text's row
-    low = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    seen = docs.select(F.explode(F.array_intersect(low, F.array(*map(F.lit, vocabulary)))).alias("w"))
-    counts = {r.w: r.n for r in seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a template word at most
+    # how many texts hold a template word
+    held = F.array_distinct(F.transform(F.flatten("chunks"), lambda h: h["w"]))
+    seen = rows.select(F.explode_outer(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.w: r.n for r in seen.where(F.col("w").isin(vocabulary)).collect()}  # one row a template word at most
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     for t in known:
         t["ranks"] = sorted(rank[w] for w in t["words"])
@@ -89,22 +97,18 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, percent:
     by_rank = sorted(vocabulary, key=rank.get)
     probes = sorted({by_rank[r] for t in known for r in t["prefix"]})
 
-    at = F.array_compact(F.transform("words", lambda w, i: F.when(F.lower(w).isin(probes), F.floor(i / STRIDE).cast("int"))))
-    rows = rows.select("doc_id", "words", at.alias("at"))
-    near = F.array_distinct(F.flatten(F.transform(F.array_distinct("at"), lambda b: F.array(F.greatest(b - 1, F.lit(0)), b))))
-    rows = rows.select("doc_id", "words", F.when(F.size("at") > 0, near).otherwise(F.array().cast("array<int>")).alias("near"))
-    blocks = F.transform("near", lambda b: F.struct(b.alias("b"), F.transform(F.slice(F.col("words"), b * STRIDE + 1, BLOCK), lower_ascii).alias("words")))
-    # the key tells repeated rows apart; it is written, so it stays the same
-    rows = stash(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.size("words").cast("long").alias("n_words"), blocks.alias("blocks")))
-
-    cells = rows.where(F.size("blocks") > 0).select("key", F.explode("blocks").alias("x")).select("key", "x.b", "x.words")
+    # a block is a chunk and the next; outer, as an inner explode would make the array twice, once to ask whether it is empty
+    after = lambda b: F.coalesce(F.get("chunks", b + 1), F.array().cast("array<struct<i:int,w:string>>"))
+    blocks = F.transform("chunks", lambda x, b: F.struct(b.alias("b"), F.concat(x, after(b)).alias("hits")))
+    near = F.filter(blocks, lambda c: F.exists(c["hits"], lambda h: h["w"].isin(probes)))
+    cells = rows.select("key", F.explode_outer(near).alias("x")).where("x is not null").select("key", "x.b", "x.hits")
     numbers = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
-    ranks = F.array_sort(F.transform(F.filter(F.array_distinct("words"), lambda w: w.isin(vocabulary)), lambda w: numbers[w]))
-    cells = cells.withColumn("ranks", ranks)
+    block = F.array_distinct(F.transform("hits", lambda h: h["w"]))
+    cells = cells.withColumn("ranks", F.array_sort(F.transform(F.filter(block, lambda w: w.isin(vocabulary)), lambda w: numbers[w])))
     spark = docs.sparkSession
     prefixes = [(r, k, p, len(t["ranks"]), t["need"]) for k, t in enumerate(known) for p, r in enumerate(t["prefix"])]
     prefixes = spark.createDataFrame(prefixes, "rank int, template int, p int, size int, need int")  # bounded by the templates
-    probed = cells.select("key", "b", "words", "ranks", F.posexplode("ranks").alias("q", "rank")).join(F.broadcast(prefixes), "rank")
+    probed = cells.select("key", "b", "hits", "ranks", F.posexplode("ranks").alias("q", "rank")).join(F.broadcast(prefixes), "rank")
     left = 1 + F.least(F.col("size") - F.col("p") - 1, F.size("ranks") - F.col("q") - 1)
     probed = probed.where((F.size("ranks") >= F.col("need")) & (left >= F.col("need")))
     # a block's prefix words may name a template more than once: its first prefix word counts, as any earlier one would be shared too
@@ -115,8 +119,12 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, percent:
     phrases = F.array(*[F.array(*map(F.lit, t["phrase"] or [""])) for t in known])
     phrase = F.get(phrases, F.col("template"))
     n_phrases = len(PHRASES)
-    own = F.sequence(F.lit(0), F.least(F.lit(STRIDE), F.size("words")) - 1)
-    places = F.when(F.col("template") < n_phrases, F.transform(F.filter(own, lambda i: F.slice(F.col("words"), i + 1, F.size(phrase)) == phrase), lambda i: i + F.col("b") * STRIDE))
+    place = lambda j: F.get("hits", j)["i"]
+    last = F.size(phrase) - 1
+    # a phrase's words are template words all, so they stand side by side among the hits too
+    stands = lambda j: (F.transform(F.slice("hits", j + 1, last + 1), lambda h: h["w"]) == phrase) & (place(j + last) - place(j) == last)
+    own = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda j: (place(j) < (F.col("b") + 1) * STRIDE) & stands(j))
+    places = F.when(F.col("template") < n_phrases, F.transform(own, place))
     labels = F.array(*[F.lit(t["label"]) for t in known])
     base = F.col("template") < n_phrases
     pairs = pairs.select("key", base.alias("base"), F.get(labels, F.col("template")).alias("label"), (F.col("shared") / F.col("size")).alias("score"), places.alias("places"))
