@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licenses, minhash, packing, pii, quality_rules, sharding, site_quality
+from . import chat, decontaminate, language, licenses, minhash, packing, pii, quality_rules, resampling, sharding, site_quality
 
-MODULES = (licenses, chat, quality_rules, minhash, packing, decontaminate, language, pii, site_quality, sharding)
+MODULES = (licenses, chat, quality_rules, minhash, packing, decontaminate, language, pii, site_quality, sharding, resampling)
 
 
 def queries() -> dict:
