@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licenses, minhash, packing, pii, quality_rules, resampling, sharding, site_quality
+from . import chat, decontaminate, dominance, language, licenses, minhash, packing, pii, quality_rules, resampling, sharding, simhash, site_quality
 
-MODULES = (licenses, chat, quality_rules, minhash, packing, decontaminate, language, pii, site_quality, sharding, resampling)
+MODULES = (licenses, chat, quality_rules, minhash, packing, decontaminate, language, pii, site_quality, sharding, resampling, dominance, simhash)
 
 
 def queries() -> dict:
