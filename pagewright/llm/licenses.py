@@ -5,7 +5,8 @@ notice lies in one. Template words are ordered by how many texts of the whole co
 first. A block that holds `need` of a template's words must hold one of its first
 size - need + 1 (prefix filter), have `need` template words at all (length filter) and, from the
 shared word on, enough words left on both sides (positional filter). What passes is verified on
-full sets; phrases, which need all their words, then also word by word in their order.
+full sets; phrases, which need all their words, then also word by word in their order. Notices of different licenses may differ by one word,
+less than the threshold forgives: what tells a notice from its neighbours has to be there as well (see `telling`).
 DataFrame functions alone. A text is read once: its template words and their places are written, by chunks of STRIDE words, and
 all else works on those. Only blocks near a prefix word leave their document's row.
 """
@@ -55,15 +56,36 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[0-9a-z]+", text.lower())
 
 
+def telling(notices: list[tuple[str, list[str], int]]) -> list[list[list[str]]]:
+    """What a text has to hold so that a notice (label, words in order, how many suffice) isn't taken for one of another label; for each notice, runs of words.
+
+    From a notice that has enough of its words, the words which that one lacks: "affero". From one that puts such a word of its own between
+    two neighbouring words, those two side by side: "gnu general", as another says "gnu affero general".
+    """
+
+    def others(label: str) -> list[tuple[str, list[str], int]]:
+        return [n for n in notices if n[0] != label]
+
+    lacked = [{w for _, other, _ in others(label) if len(set(own) & set(other)) >= need for w in set(own) - set(other)} for label, own, need in notices]
+    marks = {w for x in lacked for w in x}
+    out = []
+    for (label, own, _), words in zip(notices, lacked, strict=True):
+        parted = {(a, b) for _, other, _ in others(label) for a, x, b in zip(other, other[1:], other[2:]) if x in marks - set(own)}
+        out.append([[w] for w in sorted(words)] + sorted(map(list, parted & set(zip(own, own[1:])))))
+    return out
+
+
 def templates(notices: dict[str, list[str]], percent: int) -> list[dict]:
-    """Phrases and notices: label, words in order (phrases), distinct words, and how many of them a block needs."""
-    out = [{"label": label, "phrase": _words(p), "words": sorted(set(_words(p))), "need": len(set(_words(p)))} for p, label in PHRASES.items()]
+    """Phrases and notices: label, words in order (phrases), distinct words, how many of them a block needs, and the runs of words it must hold."""
+    out = [{"label": label, "phrase": _words(p), "words": sorted(set(_words(p))), "need": len(set(_words(p))), "must": []} for p, label in PHRASES.items()]
+    listed = []
     for label, texts in notices.items():
         for t in texts:
-            w = sorted(set(_words(t)))
             if len(_words(t)) > STRIDE:
                 raise ValueError(f"a template has {STRIDE} words at most: {label}")
-            out.append({"label": label, "phrase": None, "words": w, "need": -(-len(w) * percent // 100)})
+            listed.append((label, _words(t), -(-len(set(_words(t))) * percent // 100)))
+    for (label, w, need), must in zip(listed, telling(listed), strict=True):
+        out.append({"label": label, "phrase": None, "words": sorted(set(w)), "need": need, "must": must})
     return out
 
 
@@ -72,7 +94,7 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, percent:
 
     n_base: places where a phrase's words stand consecutively; first_word and last_word: the least and greatest of their
     starts, in words from 0, null without one. labels: those of phrases and of notices of which a block holds `percent` or more of
-    the distinct words. score: the largest containment found, 1 for a phrase, 0 where nothing is. Label lists are distinct, sorted and joined
+    the distinct words, and all that tells the notice from those of other labels. score: the largest containment found, 1 for a phrase, 0 where nothing is. Label lists are distinct, sorted and joined
     by commas. Null and empty texts have no words. Repeated rows come out once each; an empty table gives an empty result.
     """
     known = templates(TEMPLATES if notices is None else notices, percent)
@@ -121,6 +143,11 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] | None = None, percent:
     n_phrases = len(PHRASES)
     place = lambda j: F.get("hits", j)["i"]
     last = F.size(phrase) - 1
+    musts = F.array(*[F.array(*[F.array(*map(F.lit, m)) for m in t["must"]]).cast("array<array<string>>") for t in known])
+    at = F.sequence(F.lit(0), F.size("hits") - 1)
+    side_by_side = lambda m, j: (F.transform(F.slice("hits", j + 1, F.size(m)), lambda h: h["w"]) == m) & (place(j + F.size(m) - 1) - place(j) == F.size(m) - 1)
+    told = F.forall(F.get(musts, F.col("template")), lambda m: F.exists(at, lambda j: side_by_side(m, j)))
+    pairs = pairs.where(told)
     # a phrase's words are template words all, so they stand side by side among the hits too
     stands = lambda j: (F.transform(F.slice("hits", j + 1, last + 1), lambda h: h["w"]) == phrase) & (place(j + last) - place(j) == last)
     own = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda j: (place(j) < (F.col("b") + 1) * STRIDE) & stands(j))
@@ -151,16 +178,18 @@ def _oracle() -> str:
 
     known = templates(TEMPLATES, PERCENT)
     phrases = ", ".join(f"('{t['label']}', {words(t['phrase'])})" for t in known if t["phrase"])
-    notices = ", ".join(f"('{t['label']}', {words(t['words'])}, {t['need']})" for t in known if not t["phrase"])
+    must = lambda t: "[" + ", ".join(f"' {' '.join(m)} '" for m in t["must"]) + "]::VARCHAR[]"
+    notices = ", ".join(f"('{t['label']}', {words(t['words'])}, {t['need']}, {must(t)})" for t in known if not t["phrase"])
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p(label, ph) AS (VALUES {phrases}),
-k(label, tw, need) AS (VALUES {notices}),
+k(label, tw, need, must) AS (VALUES {notices}),
 i AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM t),
 h AS (SELECT doc_id, label, i FROM i, p WHERE w[i + 1] = ph[1] AND w[i + 1 : i + len(ph)] = ph),
 b AS (SELECT doc_id, w[x + 1 : x + {BLOCK}] AS w FROM (SELECT doc_id, w, unnest(range(0, len(w), {STRIDE})) AS x FROM t)),
-c AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), tw)) / len(tw) AS score FROM b, k WHERE len(list_intersect(list_distinct(w), tw)) >= need),
+c AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), tw)) / len(tw) AS score FROM b, k
+  WHERE len(list_intersect(list_distinct(w), tw)) >= need AND len(list_filter(must, lambda m: NOT contains(' ' || array_to_string(w, ' ') || ' ', m))) = 0),
 g AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, 1.0::DOUBLE AS score FROM h UNION ALL SELECT * FROM c) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score

@@ -15,8 +15,9 @@ def brute(text):
     labels, score = {x for _, x in places}, 1.0 if places else 0.0
     for t in S.templates(S.TEMPLATES, S.PERCENT)[len(S.PHRASES) :]:
         for b in range(0, len(w), S.STRIDE):
-            n = len(set(w[b : b + S.BLOCK]) & set(t["words"]))
-            if n >= t["need"]:
+            block = w[b : b + S.BLOCK]
+            n = len(set(block) & set(t["words"]))
+            if n >= t["need"] and all(any(block[i : i + len(m)] == m for i in range(len(block))) for m in t["must"]):
                 labels.add(t["label"])
                 score = max(score, n / len(t["words"]))
     at = [i for i, _ in places]
@@ -47,3 +48,22 @@ def test_edges(spark):
     d = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, words int")
     assert result(S.scan(d.repartition(4))) == sorted(((i, *brute(t)) for i, t in rows), key=str)
     assert S.scan(d.where("false")).collect() == []
+
+
+def test_a_notice_has_the_labels_of_its_license_alone(spark):
+    """The base phrases' labels stand beside, as they are told apart by nothing."""
+    own = {label: {label} for label in S.TEMPLATES}
+    own["gpl-3.0"], own["apache-2.0"] = {"gpl", "gpl-3.0"}, {"apache", "apache-2.0"}
+    rows, want = [], {}
+    for label, texts in S.TEMPLATES.items():
+        for t in texts:
+            for before, after in (("", ""), ("This work is made with care by 3 people of the version control club. ", " It is free, in all its 4 parts, by any other terms.")):
+                want[len(rows)] = own[label] | ({"cc-by"} if "cc by" in t.lower() else set())
+                rows.append((len(rows), before + t + after))
+    plain = {"Licensed under CC BY 4.0.": {"cc-by"}, "Licensed under the CC BY-NC 4.0": {"cc-by", "cc-by-nc"}, "This program is free software: " + S.TEMPLATES["gpl-3.0"][1].replace("GNU General", "GNU Affero General") + " licensed": {"agpl"}}
+    both = f"{S.TEMPLATES['gpl-3.0'][0]} It is also {S.TEMPLATES['agpl'][0]}."
+    for t, labels in [*plain.items(), (both, {"gpl", "gpl-3.0", "agpl"})]:
+        want[len(rows)] = labels
+        rows.append((len(rows), t))
+    got = {r.doc_id: set(r.labels.split(",")) for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
