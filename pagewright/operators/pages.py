@@ -13,7 +13,7 @@ from pagewright.functions import geometry as G
 from pagewright.functions import text as T
 from pagewright.functions.steps import deep_folds, once
 from pagewright.functions.normalise import nfkc_columns
-from pagewright.operators import spatial, tables
+from pagewright.operators import spatial, table_finder, tables
 from pagewright.schema import BLOCK, BOLD, ITALIC, LIMITS, RUN, SUPERSCRIPT
 
 
@@ -253,11 +253,15 @@ def raw_page_text(blocks: Column) -> Column:
     return F.coalesce(_joined(F.transform(text_blocks(blocks), raw_text)), F.lit(""))
 
 
-def extract(pages: DataFrame, images_dir: str | None = None) -> DataFrame:
-    """Fragments of RAW_PAGE rows: garbled text layers take the OCR path, all others the text path."""
+def extract(pages: DataFrame, images_dir: str | None = None, aligned: bool = False) -> DataFrame:
+    """Fragments of RAW_PAGE rows: garbled text layers take the OCR path, all others the text path.
+
+    Tables of sound pages are found where raw_tables is null: ruled ones and, if `aligned`, those that white space alone makes.
+    """
     from pagewright.operators import ocr
 
     with deep_folds(pages.sparkSession):
         d = pages.withColumn("garbled", T.is_garbled(raw_page_text(F.col("blocks"))))
-        text = extract_text_pages(nfkc_columns(d.where("not garbled").drop("garbled"), ["blocks", "raw_tables"]), images_dir)
+        sound = table_finder.find_tables(d.where("not garbled").drop("garbled"), aligned)
+        text = extract_text_pages(nfkc_columns(sound, ["blocks", "raw_tables"]), images_dir)
         return text.unionByName(ocr.extract_ocr_pages(nfkc_columns(d.where("garbled").drop("garbled"), ["ocr"]), images_dir))

@@ -1,7 +1,9 @@
-"""Joins of a page's boxes, as expressions over the page's arrays: no row leaves its page, nothing is shuffled."""
+"""Joins of a page's boxes, as expressions and Arrow functions over the page's arrays: no row leaves its page, nothing is shuffled."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,25 +22,66 @@ def is_covered(inner: Column, outers: Column) -> Column:
     return F.exists(outers, lambda o: G.covered(inner, o, LIMITS.covered))
 
 
-def merge_touching(rects: Column, tolerance: float = LIMITS.touch_pt) -> Column:
-    """Bounding boxes of the connected components of rectangles that touch within the tolerance, by their first member's place.
+def components(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each rectangle the least place among those it is connected to, where two touch within the tolerance, edges included.
 
-    A fold: each rectangle joins all groups it touches into one.
+    A sweep from the left. For each height at which some rectangle begins or ends, the one that reaches furthest to the right is kept, of all that cover it:
+    what still reaches a new rectangle there is connected to the kept one already.
     """
-    empty = F.array().cast(f"array<array<{RECT}>>")
-
-    def step(groups: Column, r: Column) -> Column:
-        touched = F.transform(groups, lambda g: F.exists(g, lambda x: G.touches(x, r, tolerance)))
+    n = len(x0)
+    low, high = y0, y1 + tolerance
+    heights = np.unique(np.concatenate((low, high)))
+    first, last = np.searchsorted(heights, low), np.searchsorted(heights, high) + 1
+    reach, owner, up = np.full(len(heights), -np.inf), np.zeros(len(heights), np.int64), np.arange(n)
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i in np.argsort(x0, kind="stable").tolist():
+        part = slice(first[i], last[i])
+        met = owner[part][reach[part] >= x0[i]]
+        if len(met):
+            # neighbours at most heights have the same owner
+            for j in np.unique(met).tolist() if len(met) > 8 else set(met.tolist()):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+        own = x1[i] + tolerance
+        further = reach[part] < own
+        reach[part][further], owner[part][further] = own, i
+    return np.array([root(i) for i in range(n)], np.int64)
+
+
+def _merged(tolerance: float):
+    def run(rects: pa.Array) -> pa.Array:
+        offsets, flat = rects.offsets.to_numpy() - rects.offsets[0].as_py(), rects.flatten()
+        sides = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")]
+        found, counts = [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = [s[a:b] for s in sides]
+            _, group = np.unique(components(*own, tolerance), return_inverse=True) if b > a else (None, np.zeros(0, np.int64))
+            m = int(group.max()) + 1 if b > a else 0
+            box = [np.full(m, np.inf), np.full(m, np.inf), np.full(m, -np.inf), np.full(m, -np.inf)]
+            for k in range(4):
+                (np.minimum if k < 2 else np.maximum).at(box[k], group, own[k])
+            found.append(box)
+            counts.append(m)
+        sides = [pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0), pa.float64()) for k in range(4)]
+        ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(sides, ["x0", "y0", "x1", "y1"]))
+
+    return run
 
-        def joined(hits: Column) -> Column:
-            near = F.concat(F.flatten(F.filter(groups, lambda g, i: F.get(hits, i))), F.array(r))
-            first = F.array_position(hits, F.lit(True)) - 1
-            kept = F.transform(groups, lambda g, i: F.when(i == first, near).when(~F.get(hits, i), g))
-            return F.when(first < 0, F.concat(groups, F.array(F.array(r)))).otherwise(F.filter(kept, lambda g: g.isNotNull()))
 
-        return F.element_at(F.transform(F.array(touched), joined), 1)
+def merge_touching(rects: Column, tolerance: float = LIMITS.touch_pt) -> Column:
+    """Bounding boxes of the connected components of rectangles that touch within the tolerance, by their first member's place; null counts as none.
 
-    return F.transform(F.aggregate(rects.cast(f"array<{RECT}>"), empty, step), G.bounds)
+    An Arrow function, as a page of vector art has tens of thousands of them and the JVM's folds copy what they have so far: it can't stand within a lambda.
+    """
+    sweep = F.arrow_udf(_merged(tolerance), f"array<{RECT}>")
+    known = F.filter(F.coalesce(rects.cast(f"array<{RECT}>"), F.array().cast(f"array<{RECT}>")), lambda r: r["x0"].isNotNull() & r["y0"].isNotNull() & r["x1"].isNotNull() & r["y1"].isNotNull())
+    return sweep(known)
 
 
 def callout_boxes(drawings: Column, images: Column, page_width: Column) -> Column:

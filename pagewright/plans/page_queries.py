@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators import audit, pages
-from pagewright.plans.inputs import table
+from pagewright.operators import audit, pages, table_finder
+from pagewright.plans.inputs import PER_PAGE, table
 from pagewright.schema import DETECTION, LINK, RAW_BLOCK, RAW_TABLE, RECT
 from pagewright.sources import documents
+from pagewright.sources.readers import lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,65 @@ def q_read_html(spark, d):
     menu = F.array_max(F.transform("b.runs", lambda r: r["href"]))
     found = f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.sort_array(F.collect_set(menu)), " ").alias("hrefs"))
     return table(spark, d, "pages").select(F.col("page_id").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit(0).cast("long")).alias("items"), F.coalesce("hrefs", F.lit("")).alias("hrefs"))
+
+
+_SQL_LISTED = f"""
+L0 AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS l FROM documents),
+L1 AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM L0),
+L AS (SELECT doc_id, (line_no // {PER_PAGE} + 1)::INT AS page_number, line_no, line, 'n' || line_no::VARCHAR || '|w' || len(string_split(line, ' '))::VARCHAR || '|c' || length(line)::VARCHAR AS counts FROM L1)"""
+
+
+def _listed(spark, d) -> DataFrame:
+    """(doc_id, page_number, l): each page's lines as structs (line_no, line, counts), counts being three short cells."""
+    counts = F.array(F.concat(F.lit("n"), F.col("line_no").cast("string")), F.concat(F.lit("w"), F.size(F.split("line", " ", -1)).cast("string")), F.concat(F.lit("c"), F.length("line").cast("string")))
+    rows = lines(table(spark, d, "documents"), PER_PAGE).withColumn("counts", counts)
+    return rows.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "counts"))).alias("l"))
+
+
+def _cell(text: Column, x: float, i: Column, width: float = 40.0) -> Column:
+    return F.struct(text.alias("text"), F.lit(10.0).alias("size"), F.lit("Serif").alias("font"), F.lit(0).alias("flags"), F.array(F.lit(x), 105.0 + i * 20, F.lit(x + width), 115.0 + i * 20).alias("bbox"))
+
+
+def _table_block(spans: Column, n: Column, right: float = 560.0) -> Column:
+    """A block of n rows whose lines are single spans."""
+    alone = F.transform(spans, lambda s: F.struct(F.array(s).alias("spans")))
+    return F.struct(F.lit(0).alias("type"), F.array(F.lit(50.0), F.lit(105.0), F.lit(right), 95.0 + n * 20).alias("bbox"), alone.alias("lines")).cast(RAW_BLOCK)
+
+
+def _ruled(n: Column, *xs: float) -> Column:
+    """Lines of a grid of n rows, 20 points high, from y 100 on, with columns at xs."""
+    level = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.lit(xs[0]).alias("x0"), (100.0 + i * 20).alias("y0"), F.lit(xs[-1]).alias("x1"), (100.5 + i * 20).alias("y1")))
+    upright = F.array(*[F.struct(F.lit(x).alias("x0"), F.lit(100.0).alias("y0"), F.lit(x + 0.5).alias("x1"), (100.5 + n * 20).alias("y1")) for x in xs])
+    return F.concat(level, upright)
+
+
+@query(f"""WITH {_SQL_LISTED},
+P AS (SELECT doc_id, page_number, (doc_id + page_number) % 3 AS k, count(*) AS n, string_agg(CASE WHEN (doc_id + page_number) % 3 = 0 THEN line_no::VARCHAR || '|' || line ELSE counts END, chr(10) ORDER BY line_no) AS cells FROM L GROUP BY doc_id, page_number)
+SELECT doc_id, page_number, cells FROM P WHERE n >= CASE k WHEN 2 THEN 3 ELSE 2 END""")
+def q_find_tables(spark, d):
+    """All lines of documents in tables: with a grid of rulings, between two rulings, or by white space alone, which takes three rows."""
+    p, n = _listed(spark, d), F.size("l")
+    k = (F.col("doc_id") + F.col("page_number")) % 3
+    grid = F.flatten(F.transform("l", lambda x, i: F.array(_cell(x["line_no"].cast("string"), 55.0, i), _cell(x["line"], 105.0, i, 450.0))))
+    counts = F.flatten(F.transform("l", lambda x, i: F.array(*[_cell(F.get(x["counts"], F.lit(c)), 60.0 + 100 * c, i) for c in range(3)])))
+    around = F.transform(F.array(F.lit(100.0), 105.0 + n * 20), lambda y: F.struct(F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(350.0).alias("x1"), (y + 0.5).alias("y1")))
+    blocks = F.array(_table_block(F.when(k == 0, grid).otherwise(counts), n))
+    drawn = F.when(k == 0, _ruled(n, 50.0, 100.0, 560.0)).when(k == 1, around).otherwise(F.array().cast(f"array<{RECT}>"))
+    raw = p.select("doc_id", "page_number", blocks.alias("blocks"), drawn.cast(f"array<{RECT}>").alias("drawings"), F.lit(None).cast(f"array<{RAW_TABLE}>").alias("raw_tables"))
+    found = table_finder.find_tables(raw, aligned=True).select("doc_id", "page_number", F.explode("raw_tables").alias("t"))
+    return found.select("doc_id", "page_number", F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
+
+
+@query(f"""WITH {_SQL_LISTED},
+P AS (SELECT doc_id, page_number, count(*) AS n, string_agg(counts, chr(10) ORDER BY line_no) AS cells FROM L GROUP BY doc_id, page_number)
+SELECT doc_id, page_number, CASE WHEN n >= 2 THEN 'p,table' ELSE 'p' END AS types, CASE WHEN n >= 2 THEN cells ELSE '' END AS cells FROM P""")
+def q_extract_tables(spark, d):
+    """Whole extraction of pages with a sentence and a ruled table that nobody has found before; a grid of one row is none, but a box with an aside."""
+    n = F.size("l")
+    spans = F.flatten(F.transform("l", lambda x, i: F.array(*[_cell(F.get(x["counts"], F.lit(c)), 60.0 + 100 * c, i) for c in range(3)])))
+    blocks = F.array(text_block(600.0, [span(F.lit("All lines of a page and what they hold."), y=600.0)]), _table_block(spans, n, 350.0))
+    p = _listed(spark, d)
+    raw = p.select("doc_id", "page_number", *[x.alias(c) for c, x in (("width", F.lit(600.0)), ("height", F.lit(800.0)), ("blocks", blocks), ("drawings", _ruled(n, 50.0, 150.0, 250.0, 350.0).cast(f"array<{RECT}>")), ("links", F.array().cast(f"array<{LINK}>")), ("raw_tables", F.lit(None).cast(f"array<{RAW_TABLE}>")), ("ocr", F.array().cast(f"array<{DETECTION}>")))])
+    f = pages.extract(raw)
+    rows = F.flatten(F.transform(F.filter("blocks", lambda b: b["type"] == "table"), lambda b: b["rows"]))
+    return f.select("doc_id", "page_number", F.array_join(F.transform("blocks", lambda b: b["type"]), ",").alias("types"), F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "\n").alias("cells"))
