@@ -80,12 +80,15 @@ def counts_code(fp: Column) -> Column:
 
 
 def bands_for(n: int, bits: int) -> int:
-    """How many bands are cheapest for n fingerprints, where two segments' counts are equal in 3 of 8 cases and a row in a cell costs as much as 50 comparisons."""
+    """How many bands, bits + 2 at least, are cheapest for n fingerprints, where two segments' counts are equal in 3 of 8 cases and a row in a cell costs as much as 50 comparisons.
+
+    With one band less, cells would be the counts of a single band, and the least of inputs made in another way than all others.
+    """
 
     def cost(m: int) -> float:
         return comb(m, bits) * (1 + n * (3 / 8) ** (N_SEGMENTS * (m - bits) / m) / 50)
 
-    return min(range(bits + 1, min(N_SEGMENTS, bits + 9)), key=cost)
+    return min(range(bits + 2, min(N_SEGMENTS, bits + 9)), key=cost)
 
 
 def grids(m: int, bits: int) -> list[int]:
