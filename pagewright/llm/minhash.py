@@ -35,9 +35,10 @@ NONE = U(0xFFFFFFFFFFFFFFFF)
 #: Values that are in work at once, and bytes of text.
 CHUNK = 300_000
 STEP_BYTES = 1_000_000
-#: Components of so many members or more are compared with the rest in blocks of BLOCK members by BLOCK others.
+#: Components of so many members or more are compared with the rest in blocks of BLOCK members by BLOCK others, or fewer, where these hold more than about BLOCK_SHINGLES shingles a side.
 LARGE = 32
 BLOCK = 1500
+BLOCK_SHINGLES = 2_000_000
 #: A bucket with more rows of small components than this is compared in blocks too, and ranked by size in parts of about PART rows.
 CROWD = 32
 PART = 20_000
@@ -173,9 +174,11 @@ def _block_links(percent: int):
     """
 
     def run(block: pa.Table) -> pa.Table:
-        side = np.array(block.column("side").to_pylist(), np.int64)
-        sets = [np.asarray(x.as_py(), np.int64) for x in block.column("shingles")]
-        c = np.array(block.column("c").to_pylist(), np.int64)
+        side, c = (block.column(x).to_numpy().astype(np.int64) for x in ("side", "c"))
+        sets = []
+        for chunk in block.column("shingles").chunks:
+            flat, ends = chunk.flatten().to_numpy(), chunk.offsets.to_numpy() - chunk.offsets[0].as_py()
+            sets += [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         p, q = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         up: dict[int, int] = {}
 
@@ -229,12 +232,18 @@ def _every(n: str):
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _crowd_blocks(small: DataFrame, few: DataFrame) -> DataFrame:
-    """Rows of blocks (of, g, i, j, c, rep, side) of small (bucket, n, rep, c) in buckets of which few (bucket, k) tells more than CROWD: each chunk of a bucket's rows against each, itself included.
+def _chunks(rows, shingles):
+    """Into how many chunks so many rows with so many shingles are cut."""
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-    A bucket of m rows makes m * ceil(m / BLOCK) of them; no pairs.
+
+def _crowd_blocks(small: DataFrame, few: DataFrame, shingles: str = "k") -> DataFrame:
+    """Rows of blocks (of, g, i, j, c, rep, side) of small (bucket, n, rep, c) in buckets of which few (bucket, k, ...) tells more than CROWD rows: each chunk of a bucket's rows against each, itself included.
+
+    shingles: the column of few that has the sum of the rows' shingles; by itself a row has one.
+    A bucket of m rows in h chunks makes m * h of them; no pairs.
     """
-    crowded = stash(few.where(F.col("k") > CROWD).select("bucket", F.col("k").alias("held"), F.ceil(F.col("k") / BLOCK).cast("int").alias("down")))
+    crowded = stash(few.where(F.col("k") > CROWD).select("bucket", F.col("k").alias("held"), _chunks(F.col("k"), F.col(shingles)).alias("down")))
     own = join_hot(small, crowded, "bucket", "held").select("bucket", "c", "rep", _chunk("down").alias("at"), _every("down").alias("other"))
     which = F.when(F.col("at") == F.col("other"), 2).when(F.col("at") < F.col("other"), 0).otherwise(1).alias("side")
     return own.select(F.lit("bucket").alias("of"), F.col("bucket").alias("g"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "c", "rep", which)
@@ -317,7 +326,7 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
 
     # components of few members, in a bucket with few of them: pairs
     small = rest.where("m is null").drop("m")
-    few = stash(small.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")))
+    few = stash(small.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("s")))
     p = small.join(few.where(F.col("k") <= CROWD).select("bucket"), "bucket").join(all_.select(F.col("doc_id").alias("rep"), "sig0", "sig1"), "rep")
     p = stash(p.select("bucket", "n", F.col("rep").alias("a"), "c", F.col("sig0").alias("a0"), F.col("sig1").alias("a1")))
     q = p.toDF("bucket", "n2", "b", "d", "b0", "b1")
@@ -326,17 +335,18 @@ def _linked_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -
     release(p)
     by_pair = linked(ends.select("a", "b")).join(ends, ["a", "b"]).select("c", "d")
 
-    crowd = _crowd_blocks(small, few)
+    crowd = _crowd_blocks(small, few, "s")
 
     # against a component of many members: blocks
     whole = rest.where("m is not null").groupBy("bucket", F.col("c").alias("d"), F.col("m").alias("dm")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     less = F.col("m").isNull() | (F.col("m") < F.col("dm")) | ((F.col("m") == F.col("dm")) & (F.col("c") < F.col("d")))
     size = (F.col("n") * 100 >= F.col("lo") * percent) & (F.col("hi") * 100 >= F.col("n") * percent)
     probes = rest.join(whole, "bucket").where((F.col("c") != F.col("d")) & less & size)
-    probes = stash(probes.select("d", "dm", "c", "rep").distinct())
-    cells = probes.groupBy("d", "dm").agg(F.count(F.lit(1)).alias("k"))
-    cells = stash(cells.select("d", F.ceil(F.col("dm") / BLOCK).cast("int").alias("across"), F.ceil(F.col("k") / BLOCK).cast("int").alias("down")))
-    blocks = [probes.drop("dm").join(cells, "d").select("d", _chunk("down").alias("i"), _every("across").alias("j"), "c", "rep", F.lit(0).alias("side"))]
+    probes = stash(probes.select("d", "dm", "c", "rep", "n").distinct())
+    cells = probes.groupBy("d", "dm").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n").cast("long")).alias("s"))
+    sizes = rest.where("m is not null").groupBy(F.col("c").alias("d")).agg(F.max(F.col("n").cast("long")).alias("most"))
+    cells = stash(cells.join(sizes, "d").select("d", _chunks(F.col("dm"), F.col("dm") * F.col("most")).alias("across"), _chunks(F.col("k"), F.col("s")).alias("down")))
+    blocks = [probes.drop("dm", "n").join(cells, "d").select("d", _chunk("down").alias("i"), _every("across").alias("j"), "c", "rep", F.lit(0).alias("side"))]
     theirs = found.select(F.col("component").alias("d"), F.col("component").alias("c"), F.col("v").alias("rep")).join(cells, "d")
     blocks.append(theirs.select("d", _every("down").alias("i"), _chunk("across").alias("j"), "c", "rep", F.lit(1).alias("side")))
     for part_ in blocks:

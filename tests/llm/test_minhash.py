@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm.minhash import near_duplicates, op4_minhash_near_dedup, sketch
 from tests.conftest import DATA_01
@@ -177,3 +178,21 @@ def test_crowds_make_no_pairs(spark, monkeypatch):
                     met[a.rep, b.rep] += 1
     assert len(met) == m * (m - 1) // 2 and set(met.values()) == {1}
     assert minhash._crowd_blocks(small, spark.createDataFrame([(7, minhash.CROWD)], "bucket long, k long")).count() == 0
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """Long texts make more chunks than their number asks for; the links are the same."""
+    from pagewright.llm import minhash
+
+    few = spark.createDataFrame([(1, 100, 200), (2, 100, 5_000_000), (3, 3000, 3000)], "b long, k long, s long")
+    assert {r.b: r.n for r in few.select("b", minhash._chunks(F.col("k"), F.col("s")).alias("n")).collect()} == {1: 1, 2: 3, 3: 2}
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(minhash, "LARGE", 4)
+    rng, base = np.random.default_rng(3), [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.integers(0, 100, rng.integers(0, 16)):
+            w[j] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1)) == brute(rows, 1)
