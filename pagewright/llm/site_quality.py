@@ -105,8 +105,12 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> tuple[Model, Model]:
-    """(quality, toxicity) models from docs (doc_id, text) and labels (doc_id, quality, toxic), about `rows` labelled rows, chosen by a hash of doc_id."""
-    labelled = labels.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").dropDuplicates(["doc_id"])
+    """(quality, toxicity) models from docs (doc_id, text) and labels (doc_id, quality, toxic), about `rows` labelled rows, chosen by a hash of doc_id.
+
+    Of several labels of one doc_id, nulls aside, each kind counts if they agree, and is as null if they clash.
+    """
+    agreed = [F.when(F.min(h) == F.max(h), F.min(h)).alias(h) for h in HEADS_OF]
+    labelled = labels.select("doc_id", *[F.col(h).cast("int").alias(h) for h in HEADS_OF]).where("doc_id is not null").groupBy("doc_id").agg(*agreed)
     total = labelled.count()
     part = min(1.0, rows / max(1, total))
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(part * 1_000_000))

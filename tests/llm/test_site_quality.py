@@ -89,3 +89,20 @@ def test_edges(spark):
     assert DATA_01
     x = list(Q.features(pa.array(["A b a", None])))
     assert len(x) == 2 and len(x[0]) == 6 + Q.SHAPES and len(x[1]) == Q.SHAPES
+
+
+def test_labels_that_clash_count_as_none(spark):
+    """In any order, the model is that of the labels without them; labels that repeat count once."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice([f"{'good' if i % 2 else 'junk'}{j}" for j in range(30)], 40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    schema = "doc_id long, quality int, toxic int"
+    plain = [(i, i % 2, int(i % 5 == 0)) for i in range(160)]
+    clash = [(i, q, t) for i in range(160, 200) for q, t in ((1, 0), (0, None), (None, 0))]
+    agreed = [(i, None, 0) for i in range(160, 200)]
+    want = [m.weights.tolist() for m in Q.fit(docs, spark.createDataFrame(plain + agreed, schema))]
+    for seed in (1, 2):
+        both = plain * 2 + clash
+        np.random.default_rng(seed).shuffle(both)
+        got = Q.fit(docs, spark.createDataFrame([tuple(None if v is None else int(v) for v in r) for r in both], schema).repartition(5))
+        assert [np.allclose(m.weights, w) for m, w in zip(got, want)] == [True, True]
