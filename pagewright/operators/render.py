@@ -152,13 +152,22 @@ def layout_html(blocks: Column) -> Column:
     return F.when(tagged, columns).otherwise(flow_html(blocks))
 
 
-def page_html(number: Column, margin: Column, blocks: Column, callout: Column) -> Column:
-    none = F.array().cast("array<string>")
-    meta = F.when(F.size(margin) > 0, F.array(_cat('<p class="page-meta">', T.escape_html(F.array_join(margin, " · ")), "</p>"))).otherwise(none)
+NONE = "array<string>"
+
+
+def head_html(number: Column, margin: Column) -> Column:
+    """A page's first lines: its section and, if there is one, its margin."""
+    meta = F.when(F.size(margin) > 0, F.array(_cat('<p class="page-meta">', T.escape_html(F.array_join(margin, " · ")), "</p>"))).otherwise(F.array().cast(NONE))
+    return F.concat(F.array(_cat('<section class="page" id="page-', number.cast("string"), '">')), meta)
+
+
+def body_html(blocks: Column, callout: Column) -> Column:
     aside = F.concat(F.array(F.lit('<aside class="callout">')), F.transform(callout, lambda t: _tag("p", T.escape_html(t))), F.array(F.lit("</aside>")))
-    start = F.array(_cat('<section class="page" id="page-', number.cast("string"), '">'))
-    parts = F.concat(start, meta, layout_html(blocks), F.when(F.size(callout) > 0, aside).otherwise(none), F.array(F.lit("</section>")))
-    return F.array_join(parts, "\n")
+    return F.array_join(F.concat(layout_html(blocks), F.when(F.size(callout) > 0, aside).otherwise(F.array().cast(NONE)), F.array(F.lit("</section>"))), "\n")
+
+
+def page_html(number: Column, margin: Column, blocks: Column, callout: Column) -> Column:
+    return page_of("html", number, margin, body_html(blocks, callout))
 
 
 def document_html(title: Column, body: Column) -> Column:
@@ -211,12 +220,12 @@ def _optional(condition: Column, part: Column) -> Column:
     return F.when(condition, F.array(part)).otherwise(F.array().cast("array<string>"))
 
 
+def body_md(blocks: Column, callout: Column) -> Column:
+    return _join_parts(F.transform(blocks, block_md), _optional(F.size(callout) > 0, F.array_join(F.transform(callout, lambda t: _cat("> ", T.escape_md(t))), "\n")))
+
+
 def page_md(margin: Column, blocks: Column, callout: Column) -> Column:
-    return _join_parts(
-        _optional(F.size(margin) > 0, _cat("*", T.escape_md(F.array_join(margin, " · ")), "*")),
-        F.transform(blocks, block_md),
-        _optional(F.size(callout) > 0, F.array_join(F.transform(callout, lambda t: _cat("> ", T.escape_md(t))), "\n")),
-    )
+    return page_of("md", None, margin, body_md(blocks, callout))
 
 
 def document_md(title: Column, pages: Column) -> Column:
@@ -252,12 +261,12 @@ def block_txt(b: Column) -> Column:
     )
 
 
+def body_txt(blocks: Column, callout: Column) -> Column:
+    return _join_parts(F.transform(blocks, block_txt), _optional(F.size(callout) > 0, F.array_join(F.transform(callout, lambda t: _cat("    ", t)), "\n")))
+
+
 def page_txt(margin: Column, blocks: Column, callout: Column) -> Column:
-    return _join_parts(
-        _optional(F.size(margin) > 0, _cat("[", F.array_join(margin, " · "), "]")),
-        F.transform(blocks, block_txt),
-        _optional(F.size(callout) > 0, F.array_join(F.transform(callout, lambda t: _cat("    ", t)), "\n")),
-    )
+    return page_of("txt", None, margin, body_txt(blocks, callout))
 
 
 def document_txt(title: Column, pages: Column) -> Column:
@@ -276,18 +285,40 @@ def hide_running_heads(fragments: DataFrame) -> DataFrame:
     return d.withColumn("margin_display", shown).drop("_before")
 
 
+BODIES = {"html": body_html, "md": body_md, "txt": body_txt}
+
+
+def page_of(fmt: str, number: Column | None, margin: Column, body: Column) -> Column:
+    """A page from its margin, running heads hidden already, and its body."""
+    if fmt == "html":
+        return F.array_join(F.concat(head_html(number, margin), F.array(body)), "\n")
+    shown = _cat("*", T.escape_md(F.array_join(margin, " · ")), "*") if fmt == "md" else _cat("[", F.array_join(margin, " · "), "]")
+    return _join_parts(_optional(F.size(margin) > 0, shown), F.array(body))
+
+
+def render_bodies(fragments: DataFrame, fmt: str) -> DataFrame:
+    """(doc_id, page_number, margin, heads, body): what of a page doesn't depend on others; heads are the items of its margin that hide equal ones on the next page."""
+    d = once(fragments, "blocks", F.col("blocks"))
+    heads = F.filter("margin", lambda m: ~T.is_page_number(m))
+    return d.select("doc_id", "page_number", "margin", heads.alias("heads"), BODIES[fmt](F.col("blocks"), F.col("callout")).alias("body"))
+
+
 def render_pages(fragments: DataFrame, fmt: str) -> DataFrame:
     """(doc_id, page_number, body) in html, md or txt, running heads hidden."""
     d = once(hide_running_heads(fragments), "blocks", F.col("blocks"))
-    margin, blocks, callout = F.col("margin_display"), F.col("blocks"), F.col("callout")
-    body = {"html": lambda: page_html(F.col("page_number"), margin, blocks, callout), "md": lambda: page_md(margin, blocks, callout), "txt": lambda: page_txt(margin, blocks, callout)}[fmt]()
+    body = page_of(fmt, F.col("page_number"), F.col("margin_display"), BODIES[fmt](F.col("blocks"), F.col("callout")))
     return d.select("doc_id", "page_number", body.alias("body"))
 
 
-def render_documents(fragments: DataFrame, titles: DataFrame, fmt: str) -> DataFrame:
-    """(doc_id, content): pages in order under the title of titles (doc_id, title). A document's text has to fit a row."""
-    pages = render_pages(fragments, fmt).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "body"))).alias("pages"))
+def assemble(pages: DataFrame, titles: DataFrame, fmt: str) -> DataFrame:
+    """(doc_id, content) of rendered pages (doc_id, page_number, body), in order under the title of titles (doc_id, title). A document's text has to fit a row."""
+    own = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "body"))).alias("pages"))
     bodies = F.transform("pages", lambda p: p["body"])
-    d = pages.join(titles.select("doc_id", "title"), "doc_id")
+    d = own.join(titles.select("doc_id", "title"), "doc_id")
     content = {"html": lambda t, b: document_html(t, F.array_join(b, "\n")), "md": document_md, "txt": document_txt}[fmt](F.col("title"), bodies)
     return d.select("doc_id", content.alias("content"))
+
+
+def render_documents(fragments: DataFrame, titles: DataFrame, fmt: str) -> DataFrame:
+    """assemble() of all pages of fragments."""
+    return assemble(render_pages(fragments, fmt), titles, fmt)

@@ -221,7 +221,7 @@ def q_urls(spark, d):
 def q_stream(spark, d):
     """Pages streamed as files into a store of fragments and read back: lines of each, counted as code blocks."""
     from pagewright.schema import DETECTION, LINK, RAW_BLOCK, RAW_TABLE, RECT
-    from pagewright.sources.readers import read_fragments
+    from pagewright.streaming.store import Store
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     box = F.array(F.lit(50.0), F.lit(100.0), F.lit(500.0), F.lit(700.0))
@@ -232,8 +232,9 @@ def q_stream(spark, d):
         "doc_id", F.lit(1).alias("page_number"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.array(block).alias("blocks"), F.array().cast(f"array<{RECT}>").alias("drawings"),
         F.array().cast(f"array<{LINK}>").alias("links"), F.array().cast(f"array<{RAW_TABLE}>").alias("raw_tables"), F.array().cast(f"array<{DETECTION}>").alias("ocr"),
     )
-    raw.repartition(4).write.json(f"{base}/in")
-    incremental.stream_fragments(spark, f"{base}/in", f"{base}/store", f"{base}/check").awaitTermination()
-    f = read_fragments(spark, f"{base}/store")
+    raw.write.json(f"{base}/in")
+    store = Store(spark, f"{base}/store")
+    incremental.stream_fragments(spark, f"{base}/in", store, f"{base}/check").awaitTermination()
+    f = store.read()
     lines_in = F.aggregate("blocks", F.lit(0), lambda a, b: a + F.size(F.split(b["text"], "\n")))
     return f.select("doc_id", "page_number", lines_in.alias("n_lines"))

@@ -35,23 +35,28 @@ def bucket_of(doc_id: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(buckets)).cast("int")
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows brought together by columns for a sink, in as many tasks as their size asks for: Spark cuts what is large and joins what is small, so files have one size however many rows a value of `by` has."""
+    return rows.hint("rebalance", *[F.col(c) for c in by])
+
+
 def read_fragments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Stored fragments; files that are torn count as absent. A page that two batches hold, with equal keys, comes once."""
+    """Fragments in files that write_fragments() made; files that are torn count as absent. Files of a streaming.store.Store are read by it."""
     reader = spark.read.schema(FRAGMENT).option("recursiveFileLookup", "true")
     reader = reader.option("mode", "DROPMALFORMED") if fmt == "json" else reader.option("ignoreCorruptFiles", "true")
-    return reader.format(fmt).load(path).where("doc_id is not null and page_number is not null").dropDuplicates(["doc_id", "page_number"])
+    return reader.format(fmt).load(path).where("doc_id is not null and page_number is not null")
 
 
-def write_fragments(fragments: DataFrame, path: str, batch: str = "0", fmt: str = "parquet", buckets: int = BUCKETS) -> None:
-    """Fragments as one batch of a store, in its folder, by buckets of documents; a batch that is written again replaces itself, and no other."""
+def write_fragments(fragments: DataFrame, path: str, fmt: str = "parquet", buckets: int = BUCKETS) -> None:
+    """Fragments as files by buckets of documents, in place of those there; the committer makes the set appear whole."""
     d = fragments.withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
-    d.repartition("bucket").write.mode("overwrite").partitionBy("bucket").format(fmt).save(f"{path}/batch={batch}")
+    dealt(d, "bucket").write.mode("overwrite").partitionBy("bucket").format(fmt).save(path)
 
 
 def write_documents(documents: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """(doc_id, content) as Parquet by buckets of documents; Spark's committer makes the set appear whole."""
     d = documents.select("doc_id", "content").withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
-    d.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    dealt(d, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:

@@ -1,19 +1,19 @@
-"""Extraction that goes on where it stopped: stored fragments are the state, an anti-join the resumption, a file stream the live form."""
+"""Extraction that goes on where it stopped: a store of fragments is the state, an anti-join the resumption, a file stream the live form."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.operators import pages as page_ops
 from pagewright.operators import render
-from pagewright.schema import FRAGMENT, RAW_PAGE
-from pagewright.sources.readers import read_fragments, write_fragments
+from pagewright.schema import RAW_PAGE
+from pagewright.streaming.store import Store, one_of_each
 
 KEY = ["doc_id", "page_number"]
 #: Fixed value: a document is rendered anew after its first page and then after so many.
@@ -21,16 +21,6 @@ EVERY = 10
 STATE = "doc_id long, path string, size long, mtime timestamp, settings string"
 
 
-def stored(spark: SparkSession, store: str) -> DataFrame:
-    """The store's fragments; of a store that isn't there yet, none."""
-    try:
-        return read_fragments(spark, store)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], FRAGMENT)
-
-
 def remaining(pages: DataFrame, fragments: DataFrame) -> DataFrame:
     """Pages that no fragment stands for."""
     return pages.join(fragments.select(*KEY).distinct(), KEY, "left_anti")
@@ -64,48 +54,46 @@ def finished(fragments: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(done, "doc_id").where(F.col("done") == F.col("page_count")).select("doc_id")
 
 
-def rewrite(spark: SparkSession, store: str, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Put change(the store's fragments) in their place. The new store is whole before the old one goes; if this stops between, the old one is in `store`.old."""
-    new, old = f"{store}.new", f"{store}.old"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(store).getFileSystem(conf)
-    fs.delete(path(new), True)
-    write_fragments(change(stored(spark, store)), new, f"rewrite-{uuid.uuid4().hex}")
-    fs.delete(path(old), True)
-    if fs.exists(path(store)) and not fs.rename(path(store), path(old)):
-        raise OSError(f"can't move {store}")
-    if not fs.rename(path(new), path(store)):
-        raise OSError(f"can't move {new}")
-    fs.delete(path(old), True)
-
-
-def clean_up(spark: SparkSession, store: str, documents: DataFrame) -> None:
+def clean_up(store: Store, documents: DataFrame) -> None:
     """Delete the fragments of documents (doc_id, page_count) that are stored whole; those of others stay, to go on with."""
-    rewrite(spark, store, lambda f: f.join(finished(f, documents), "doc_id", "left_anti"))
+    store.rewrite(lambda f: f.join(finished(f, documents), "doc_id", "left_anti"))
 
 
-def extract_remaining(spark: SparkSession, pages: DataFrame, store: str) -> int:
+def extract_remaining(pages: DataFrame, store: Store) -> int:
     """Extract the pages the store lacks and add them, as a batch of their own; how many there were."""
-    batch = f"run-{uuid.uuid4().hex}"
-    write_fragments(page_ops.extract(remaining(pages, stored(spark, store))), store, batch)
-    return spark.read.schema(FRAGMENT).option("recursiveFileLookup", "true").parquet(f"{store}/batch={batch}").count()  # by the files' footers
+    batch = store.write(page_ops.extract(remaining(pages, store.read())), f"run-{uuid.uuid4().hex}")
+    store.publish(batch)
+    return store.batch(batch).count()  # by the files' footers
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to, which it keeps over restarts and a fresh checkpoint doesn't have."""
+    rows = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").collect()
+    return json.loads("".join(r.value for r in rows))["id"]
+
+
+def raw_stream(spark: SparkSession, incoming: str) -> DataFrame:
+    """Raw pages of JSON files as they come; broken lines are dropped."""
+    return spark.readStream.schema(RAW_PAGE).option("mode", "DROPMALFORMED").json(incoming)
 
 
-def stream_fragments(spark: SparkSession, incoming: str, store: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Fragments of raw-page files as they come; `after` sees each batch's fragments, as to render its documents anew.
+def stream_fragments(
+    spark: SparkSession, incoming: str, store: Store, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None, extract: Callable[[DataFrame], DataFrame] = page_ops.extract
+) -> StreamingQuery:
+    """Fragments of raw-page files as they come; `after` sees each batch's fragments, as to render its documents anew. extract: makes fragments of raw pages.
 
-    A batch has a folder of its own in the store: one that is done again after a crash replaces what it had written. Pages may come in any
-    order: running heads and order are made when documents are read.
+    A batch is named by the stream and its number: one that is done again after a crash is not written twice, and `after` sees it again. Any number of
+    streams may write to one store. Pages may come in any order: running heads and order are made when documents are read. Of a page
+    that comes twice in a batch, the version with the least hash counts; of one in several batches, that of the last.
     """
-    raw = spark.readStream.schema(RAW_PAGE).option("mode", "DROPMALFORMED").json(incoming)
 
     def batch(df: DataFrame, number: int) -> None:
-        write_fragments(page_ops.extract(df.dropDuplicates(KEY)), store, str(number))
+        name = f"{stream_id(df.sparkSession, checkpoint)}-{number}"
+        store.append(extract(one_of_each(df, KEY, F.xxhash64(*df.columns))), name)
         if after is not None:
-            after(df.sparkSession.read.schema(FRAGMENT).option("recursiveFileLookup", "true").parquet(f"{store}/batch={number}"), number)
+            after(store.batch(store.written(name)), number)
 
-    return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return raw_stream(spark, incoming).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def due(stored_: DataFrame, made: DataFrame, every: int = EVERY) -> DataFrame:
@@ -116,12 +104,13 @@ def due(stored_: DataFrame, made: DataFrame, every: int = EVERY) -> DataFrame:
     return now.join(new, "doc_id").where((before == 0) | (F.floor(F.col("now") / every) > F.floor(before / every))).select("doc_id")
 
 
-def render_changed(spark: SparkSession, store: str, titles: DataFrame, fmt: str, publish: Callable[[DataFrame], None], every: int = 1) -> Callable[[DataFrame, int], None]:
-    """For stream_fragments: render the whole documents that a batch touched, all of them or, if every is above 1, those due()."""
+def render_changed(store: Store, titles: DataFrame, fmt: str, publish: Callable[[DataFrame], None], every: int = 1) -> Callable[[DataFrame, int], None]:
+    """For stream_fragments: render the whole documents that a batch touched, all of them or, if every is above 1, those due(). Reads these documents' buckets; streaming.documents reads less."""
 
     def run(made: DataFrame, _: int) -> None:
-        all_ = read_fragments(spark, store)
-        touched = made.select("doc_id").distinct() if every == 1 else due(all_, made, every)
-        publish(render.render_documents(all_.join(touched, "doc_id", "left_semi"), titles, fmt))
+        own = store.read(made.select("doc_id"))
+        if every > 1:
+            own = own.join(due(own, made, every), "doc_id", "left_semi")
+        publish(render.render_documents(own, titles, fmt))
 
     return run

@@ -11,6 +11,7 @@ from pagewright.functions.normalise import nfkc_columns
 from pagewright.operators import links, ocr, pages, render, spatial, tables
 from pagewright.schema import BOX, FRAGMENT, RAW_PAGE, RECT, RUN
 from pagewright.sources import catalog, docx, readers
+from pagewright.streaming.store import Store
 
 
 def span(text, x0, y0, x1, y1, size=10.0, font="Serif", flags=0):
@@ -305,8 +306,8 @@ def test_store_resume_and_torn_fragments(spark, tmp_path):
     for fmt in ("parquet", "json"):
         store = str(tmp_path / fmt)
         readers.write_fragments(spark.createDataFrame(rows, FRAGMENT), store, fmt=fmt)
-        assert len(list((tmp_path / fmt / "batch=0").glob("bucket=*"))) == 1
-        (tmp_path / fmt / "batch=0" / f"torn.{fmt}").write_text('{"page_number":2,"mar')
+        assert len(list((tmp_path / fmt).glob("bucket=*"))) == 1
+        (tmp_path / fmt / f"torn.{fmt}").write_text('{"page_number":2,"mar')
         kept = readers.read_fragments(spark, store, fmt)
         wanted = spark.createDataFrame([(1, p) for p in range(1, 6)], "doc_id long, page_number int")
         assert sorted(r.page_number for r in incremental.remaining(wanted, kept).collect()) == [2, 3, 5]
@@ -324,18 +325,18 @@ def raw(doc_id, number, text="words on a page"):
 def test_extract_remaining_clean_up_and_rewrite(spark, tmp_path):
     from pagewright.streaming import incremental
 
-    store = str(tmp_path / "store")
     pages_ = spark.createDataFrame([raw(1, 1), raw(1, 2), raw(2, 1)], RAW_PAGE)
-    assert incremental.stored(spark, store).count() == 0
-    assert incremental.extract_remaining(spark, pages_.where("doc_id = 1"), store) == 2
-    assert incremental.extract_remaining(spark, pages_, store) == 1
-    assert incremental.extract_remaining(spark, pages_, store) == 0
-    keys = lambda: sorted((r.doc_id, r.page_number) for r in readers.read_fragments(spark, store).collect())
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.read().count() == 0
+    assert incremental.extract_remaining(pages_.where("doc_id = 1"), store) == 2
+    assert incremental.extract_remaining(pages_, store) == 1
+    assert incremental.extract_remaining(pages_, store) == 0
+    keys = lambda: sorted((r.doc_id, r.page_number) for r in store.read().collect())
     assert keys() == [(1, 1), (1, 2), (2, 1)]
-    incremental.rewrite(spark, store, lambda f: incremental.restart(f, 1, 2, 9))
-    assert keys() == [(1, 1), (2, 1)] and incremental.extract_remaining(spark, pages_, store) == 1
-    incremental.clean_up(spark, store, spark.createDataFrame([(1, 2), (2, 5)], "doc_id long, page_count int"))
-    assert keys() == [(2, 1)] and not (tmp_path / "store.old").exists() and not (tmp_path / "store.new").exists()
+    store.rewrite(lambda f: incremental.restart(f, 1, 2, 9))
+    assert keys() == [(1, 1), (2, 1)] and incremental.extract_remaining(pages_, store) == 1
+    incremental.clean_up(store, spark.createDataFrame([(1, 2), (2, 5)], "doc_id long, page_count int"))
+    assert keys() == [(2, 1)] and len(list((tmp_path / "store" / "batches").iterdir())) == 1
 
 
 def test_identity_and_settings(spark):
@@ -357,15 +358,15 @@ def test_stream_replays_and_renders(spark, tmp_path):
     """Pages that come late and out of order; a batch done twice; documents rendered after their first page and each second."""
     from pagewright.streaming import incremental
 
-    incoming, store = tmp_path / "in", str(tmp_path / "store")
+    incoming, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
     titles = spark.createDataFrame([(1, "One"), (2, "Two")], "doc_id long, title string")
     out, due = [], []
     publish = lambda d: out.append({r.doc_id: r.content for r in d.collect()})
     late = lambda d: due.append(sorted(r.doc_id for r in d.collect()))
 
     def after(made, number):
-        incremental.render_changed(spark, store, titles, "txt", publish)(made, number)
-        incremental.render_changed(spark, store, titles, "txt", late, every=2)(made, number)
+        incremental.render_changed(store, titles, "txt", publish)(made, number)
+        incremental.render_changed(store, titles, "txt", late, every=2)(made, number)
 
     for rows in ([raw(1, 3, "third"), raw(2, 1, "lone")], [raw(1, 1, "first")], [raw(2, 2, "more"), raw(2, 3, "end")]):
         spark.createDataFrame(rows, RAW_PAGE).coalesce(1).write.mode("append").json(str(incoming))
@@ -373,9 +374,8 @@ def test_stream_replays_and_renders(spark, tmp_path):
     assert [sorted(x) for x in out] == [[1, 2], [1], [2]]
     assert out[1][1].index("first") < out[1][1].index("third")
     assert due == [[1, 2], [1], [2]]
-    again = readers.read_fragments(spark, store).where("doc_id = 2 and page_number > 1")
-    readers.write_fragments(spark.createDataFrame(again.collect(), FRAGMENT), store, "2")
-    assert readers.read_fragments(spark, store).count() == 5 and spark.read.parquet(f"{store}/batch=2").count() == 2
+    last = store.batches()[-1]
+    assert not store.append(store.batch(last), last.partition(".")[2]) and store.read().count() == 5 and store.batch(last).count() == 2
 
 
 def test_rendering_is_due_with_the_first_page_and_each_tenth(spark):
