@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators import audit, pages, table_finder
-from pagewright.plans.inputs import PER_PAGE, table
+from pagewright.plans.inputs import PER_PAGE, sql_clean, table
 from pagewright.schema import DETECTION, LINK, RAW_BLOCK, RAW_TABLE, RECT
 from pagewright.sources import documents
 from pagewright.sources.readers import lines
@@ -105,14 +105,35 @@ def q_source_tokens(spark, d):
 @query("""
 SELECT page_id AS doc_id, (len(html) - len(replace(html, '<li>', '')))::BIGINT // 4 AS items, list_distinct(regexp_extract_all(html, '<li><a href="([^"]+)">', 1)).list_sort().array_to_string(' ') AS hrefs FROM pages""")
 def q_read_html(spark, d):
-    """Web pages read as documents: list items of all of a document's pages, and where they lead, as links over their spans say."""
-    files = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("a.html").alias("path"), F.col("html").cast("binary").alias("content"))
-    f = pages.extract(documents.read_documents(files)).select("doc_id", F.explode("blocks").alias("b")).where("b.type = 'li'")
+    """Web pages read as documents: list items of all of a document's pages, and where they lead."""
+    f = documents.read_documents(_web_pages(spark, d)).select("doc_id", F.explode("blocks").alias("b")).where("b.type = 'li'")
     menu = F.array_max(F.transform("b.runs", lambda r: r["href"]))
     found = f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.sort_array(F.collect_set(menu)), " ").alias("hrefs"))
     return table(spark, d, "pages").select(F.col("page_id").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit(0).cast("long")).alias("items"), F.coalesce("hrefs", F.lit("")).alias("hrefs"))
 
 
+def _web_pages(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("a.html").alias("path"), F.col("html").cast("binary").alias("content"))
+
+
+#: Web pages' markup as marks of what begins: heads, comments and styles go, a break is a blank, and a closed block begins a paragraph.
+_SQL_PIECES = r"""
+H AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(coalesce(html, ''), '<head>.*?</head>', '', 'gs'), '<!--.*?-->|</?b>|<a [^>]*>|</a>|<!DOCTYPE[^>]*>', '', 'gs') AS h FROM pages),
+M AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(h, '<br>', ' '), '<li>', chr(1) || 'li:'), '<h1>', chr(1) || 'h1:'), '</?[a-z][^>]*>', chr(1) || 'p:', 'g'), '\s+', ' ', 'g') AS m FROM H),
+P AS (SELECT doc_id, unnest(string_split(m, chr(1))) AS piece, unnest(range(len(string_split(m, chr(1))))) AS n FROM M),
+T AS (SELECT doc_id, n, split_part(piece, ':', 1) AS kind, trim(replace(replace(replace(replace(replace(substr(piece, strpos(piece, ':') + 1), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text FROM P WHERE piece <> '')"""
+
+
+@query(f"""WITH {_SQL_PIECES},
+B AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS k, kind, {sql_clean("text")} AS text FROM T WHERE text <> '')
+SELECT doc_id, (k // {documents.PER_PAGE} + 1)::INT AS page_number, (k % {documents.PER_PAGE})::INT AS block_no, CASE kind WHEN 'h1' THEN 'h' ELSE kind END AS type, CASE WHEN kind = 'h1' THEN 1 END::INT AS level,
+  CASE WHEN kind = 'li' THEN FALSE END AS ordered, text FROM B""")
+def q_html_blocks_direct(spark, d):
+    """Whole web pages as blocks, of the kinds that their markup says."""
+    f = documents.read_documents(_web_pages(spark, d)).select("doc_id", "page_number", F.posexplode("blocks").alias("block_no", "b"))
+    return f.select("doc_id", "page_number", "block_no", "b.type", "b.level", "b.ordered", "b.text")
+
+
 _SQL_LISTED = f"""
 L0 AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS l FROM documents),
 L1 AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM L0),
