@@ -34,11 +34,11 @@ def text_block(y: float, *lines: list[Column], x: float = 50.0, height: float =
     return F.struct(F.lit(0).alias("type"), box.alias("bbox"), F.array(*[F.struct(F.array(*own).alias("spans")) for own in lines]).alias("lines")).cast(RAW_BLOCK)
 
 
-def raw_pages(d: DataFrame, blocks: Column, drawings: Column | None = None, ocr: Column | None = None) -> DataFrame:
+def raw_pages(d: DataFrame, blocks: Column, drawings: Column | None = None, ocr: Column | None = None, number: Column | None = None) -> DataFrame:
     """RAW_PAGE rows, one for each of d (doc_id ...), 600 by 800 points."""
     none = lambda ddl: F.array().cast(f"array<{ddl}>")
     return d.select(
-        "doc_id", F.lit(1).alias("page_number"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), blocks.alias("blocks"), (none(RECT) if drawings is None else drawings.cast(f"array<{RECT}>")).alias("drawings"),
+        "doc_id", (F.lit(1) if number is None else number).alias("page_number"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), blocks.alias("blocks"), (none(RECT) if drawings is None else drawings.cast(f"array<{RECT}>")).alias("drawings"),
         none(LINK).alias("links"), none(RAW_TABLE).alias("raw_tables"), (none(DETECTION) if ocr is None else ocr.cast(f"array<{DETECTION}>")).alias("ocr"),
     )
 

@@ -120,13 +120,13 @@ def _one_block(own: Column) -> Column:
     return F.struct(F.lit(0).alias("type"), box.alias("bbox"), F.array(F.struct(own.alias("spans"))).alias("lines"))
 
 
-@query(f"""WITH {SQL_WORDS}, s AS (SELECT doc_id, unnest(w[1:7]) AS t, unnest(range(least(7, len(w)))) AS i FROM w),
+@query(f"""WITH {SQL_WORDS}, s AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM w),
 f AS (SELECT doc_id, i, t, CASE (doc_id + i) % 4 WHEN 0 THEN 'Serif' WHEN 1 THEN 'Courier New' WHEN 2 THEN 'Roboto Mono' ELSE 'Arial' END AS font FROM s),
 g AS (SELECT doc_id, font, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(t)) DESC, min(i)) AS r FROM f GROUP BY 1, 2)
 SELECT doc_id, coalesce(font, '') AS font, coalesce(font IN ('Courier New', 'Roboto Mono'), false) AS mono FROM documents LEFT JOIN (SELECT * FROM g WHERE r = 1) USING (doc_id)""")
 def q_dominant_font(spark, d):
     """The font of most characters of a block, the first of equal ones, and whether it is monospaced."""
-    own = _spans(F.slice("w", F.lit(1), F.lit(7)), lambda i: F.element_at(F.array(*map(F.lit, _FONTS)), ((doc() + i) % 4 + 1).cast("int")))
+    own = _spans(F.col("w"), lambda i: F.element_at(F.array(*map(F.lit, _FONTS)), ((doc() + i) % 4 + 1).cast("int")))
     p = words(spark, d).select("doc_id", pages.dominant_font(_one_block(own)).alias("font"))
     return p.select("doc_id", "font", T.is_monospace(F.col("font")).alias("mono"))
 
@@ -189,12 +189,12 @@ def q_column_segments(spark, d):
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10))[1:4], lambda x, i: CASE WHEN (doc_id + i) % 3 = 0 THEN '  ' || x WHEN (doc_id + i) % 3 = 1 THEN x || chr(7) || chr(57600) ELSE x END) AS l FROM documents)
+WITH d AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN (doc_id + i) % 3 = 0 THEN '  ' || x WHEN (doc_id + i) % 3 = 1 THEN x || chr(7) || chr(57600) ELSE x END) AS l FROM documents)
 SELECT doc_id, array_to_string(list_filter(l, lambda x: trim(x) <> ''), ' ') AS raw, regexp_replace(array_to_string(l, chr(10)), '[\x{E000}-\x{F8FF}]|[\x00-\x08\x0B-\x1F]', '', 'g') AS code FROM d""")
 def q_block_texts(spark, d):
     """A block's raw text, without blank lines, and its text as code, cleaned."""
     odd = lambda x, i: F.when((doc() + i + 1) % 3 == 0, F.concat(F.lit("  "), x)).when((doc() + i + 1) % 3 == 1, F.concat(x, F.lit("\x07" + chr(57600)))).otherwise(x)
-    own = F.transform(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(1), F.lit(4)), odd)
+    own = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), odd)
     b = F.struct(F.transform(own, lambda t: F.struct(F.array(F.struct(t.alias("text"))).alias("spans"))).alias("lines"))
     return table(spark, d, "documents").select("doc_id", pages.raw_text(b).alias("raw"), T.clean_code(pages.code_text(b), False).alias("code"))
 
@@ -212,7 +212,7 @@ def q_vertical_iou(spark, d):
 _RUN = "(doc_id + i) % 2 = 1 AS b, (doc_id + i) % 3 = 1 AS k, (doc_id + i) % 5 = 1 AS u, CASE WHEN (doc_id + i) % 4 = 1 THEN 'http://h/?a=1&b=' || i::VARCHAR END AS href"
 
 
-@query(rf"""WITH {SQL_WORDS}, r AS (SELECT doc_id, i, t || CASE WHEN i % 2 = 0 THEN ' <&>' ELSE '_x*' END AS t, {_RUN} FROM (SELECT doc_id, unnest(w[1:6]) AS t, unnest(range(least(6, len(w)))) AS i FROM w)),
+@query(rf"""WITH {SQL_WORDS}, r AS (SELECT doc_id, i, t || CASE WHEN i % 2 = 0 THEN ' <&>' ELSE '_x*' END AS t, {_RUN} FROM (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM w)),
 h AS (SELECT *, CASE WHEN k THEN '<em>' || {_sql_html("t")} || '</em>' ELSE {_sql_html("t")} END AS h1, CASE WHEN b THEN '**' ELSE '' END || CASE WHEN k THEN '*' ELSE '' END AS mark FROM r),
 g AS (SELECT *, CASE WHEN b THEN '<strong>' || h1 || '</strong>' ELSE h1 END AS h2, mark || {_sql_md("t")} || mark AS md FROM h),
 f AS (SELECT *, CASE WHEN u THEN '<sup>' || h2 || '</sup>' ELSE h2 END AS h3 FROM g),
@@ -226,7 +226,7 @@ def q_styled_text(spark, d):
         href = F.when(n % 4 == 1, F.concat(F.lit("http://h/?a=1&b="), i.cast("string")))
         return F.struct(F.concat(t, F.when(i % 2 == 0, " <&>").otherwise("_x*")).alias("text"), (n % 2 == 1).alias("bold"), (n % 3 == 1).alias("italic"), (n % 5 == 1).alias("superscript"), href.alias("href")).cast(RUN)
 
-    p = words(spark, d).where(F.size("w") > 0).select("doc_id", F.transform(F.slice("w", F.lit(1), F.lit(6)), run).alias("r"))
+    p = words(spark, d).where(F.size("w") > 0).select("doc_id", F.transform("w", run).alias("r"))
     return p.select("doc_id", render.runs_html(F.col("r")).alias("html"), render.runs_md(F.col("r")).alias("md"))
 
 
@@ -241,7 +241,7 @@ def q_finished(spark, d):
 
 
 _ROWS = f"""V AS (SELECT doc_id, line_no // 12 AS page, (row_number() OVER (PARTITION BY doc_id, line_no // 12 ORDER BY line_no) - 1)::INT AS row_no, 10.0::DOUBLE AS x0, (10 + length(t))::DOUBLE AS x1, (line_no * 35)::DOUBLE AS y0,
-  (line_no * 35 + CASE (doc_id + line_no) % 5 WHEN 0 THEN 34 WHEN 1 THEN 26 WHEN 2 THEN 19 ELSE 20 END)::DOUBLE AS y1, t AS text FROM (SELECT doc_id, line_no, regexp_replace(left(line, 60), '[.!?:; ]+$', '') || CASE WHEN (doc_id + line_no) % 7 = 3 THEN ' 12' ELSE '' END AS t FROM l) WHERE trim(t) <> '')"""
+  (line_no * 35 + CASE (doc_id + line_no) % 5 WHEN 0 THEN 34 WHEN 1 THEN 26 WHEN 2 THEN 19 ELSE 20 END)::DOUBLE AS y1, t AS text FROM (SELECT doc_id, line_no, regexp_replace(line, '[.!?:; ]+$', '') || CASE WHEN (doc_id + line_no) % 7 = 3 THEN ' 12' ELSE '' END AS t FROM l) WHERE trim(t) <> '')"""
 
 
 @query(f"""WITH RECURSIVE {SQL_RAW_LINES}, {_ROWS}{_sql_reflow()}
@@ -251,7 +251,7 @@ def q_reflow_headings(spark, d):
     """Rows of four heights, some with a number at the end: headings that tall rows begin and close rows of near height go on."""
     n = F.col("line_no")
     own = readers.lines(table(spark, d, "documents"), 12)
-    t = F.concat(F.regexp_replace(F.left("line", F.lit(60)), "[.!?:; ]+$", ""), F.when((doc() + n) % 7 == 3, " 12").otherwise(""))
+    t = F.concat(F.regexp_replace("line", "[.!?:; ]+$", ""), F.when((doc() + n) % 7 == 3, " 12").otherwise(""))
     own = own.select("doc_id", (F.col("page_number") - 1).alias("page"), "line_no", t.alias("t")).where(~T.blank(F.col("t")))
     h = F.when((doc() + n) % 5 == 0, 34).when((doc() + n) % 5 == 1, 26).when((doc() + n) % 5 == 2, 19).otherwise(20)
     row = F.struct(F.lit(10.0).alias("x0"), (10 + F.length("t")).cast("double").alias("x1"), (n * 35).cast("double").alias("y0"), (n * 35 + h).cast("double").alias("y1"), F.col("t").alias("text")).cast(BOX)
@@ -275,20 +275,20 @@ def q_layout_hints(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(made).alias("at", "e")).select("doc_id", "at", "e.text", "e.column", "e.indent_em")
 
 
-@query(rf"""WITH {SQL_RAW_LINES}, t AS (SELECT doc_id, line_no, '[' || left(line, 20) || '] <b>_x' AS t FROM l)
+@query(rf"""WITH {SQL_RAW_LINES}, t AS (SELECT doc_id, line_no, '[' || line || '] <b>_x' AS t FROM l)
 SELECT doc_id, line_no, regexp_replace(translate(t, '[]', '()'), '([\\`*_<>&])', '\\\1', 'g') AS alt FROM t""")
 def q_alt_escape(spark, d):
-    t = F.concat(F.lit("["), F.left("line", F.lit(20)), F.lit("] <b>_x"))
+    t = F.concat(F.lit("["), F.col("line"), F.lit("] <b>_x"))
     return readers.lines(table(spark, d, "documents")).select("doc_id", "line_no", T.escape_md_alt(t).alias("alt"))
 
 
-@query(f"""WITH {SQL_RAW_LINES}, t AS (SELECT doc_id, line_no, CASE (doc_id + line_no) % 8 WHEN 0 THEN 'СОВЕТ ' WHEN 1 THEN 'СОВЕТЫ ' WHEN 2 THEN 'ВНИМАНИЕ: ' WHEN 3 THEN 'Листинг 3.1 ' WHEN 4 THEN 'Листинг ' WHEN 5 THEN 'Лістинг  7' WHEN 6 THEN 'см. Листинг 3 ' ELSE 'ПРИМЕЧАНИЕ' END || left(line, 5) AS t FROM l)
+@query(f"""WITH {SQL_RAW_LINES}, t AS (SELECT doc_id, line_no, CASE (doc_id + line_no) % 8 WHEN 0 THEN 'СОВЕТ ' WHEN 1 THEN 'СОВЕТЫ ' WHEN 2 THEN 'ВНИМАНИЕ: ' WHEN 3 THEN 'Листинг 3.1 ' WHEN 4 THEN 'Листинг ' WHEN 5 THEN 'Лістинг  7' WHEN 6 THEN 'см. Листинг 3 ' ELSE 'ПРИМЕЧАНИЕ' END || line AS t FROM l)
 SELECT doc_id, line_no, (doc_id + line_no) % 8 IN (0, 2) OR (doc_id + line_no) % 8 = 7 AND NOT regexp_matches(substr(t, 11, 1), '[\\p{{L}}\\p{{M}}\\p{{N}}_]') AS note, (doc_id + line_no) % 8 IN (3, 5) OR (doc_id + line_no) % 8 = 4 AND regexp_matches(substr(t, 9), '^[0-9]') AS caption FROM t""".replace("\\\\", "\\"))
 def q_notes_and_captions(spark, d):
     """Lines that begin with the label of a note, as a whole word, or of a listing with its number."""
     k = (doc() + F.col("line_no")) % 8
     label = F.when(k == 0, "СОВЕТ ").when(k == 1, "СОВЕТЫ ").when(k == 2, "ВНИМАНИЕ: ").when(k == 3, "Листинг 3.1 ").when(k == 4, "Листинг ").when(k == 5, "Лістинг  7").when(k == 6, "см. Листинг 3 ").otherwise("ПРИМЕЧАНИЕ")
-    t = F.concat(label, F.left("line", F.lit(5)))
+    t = F.concat(label, F.col("line"))
     return readers.lines(table(spark, d, "documents")).select("doc_id", "line_no", T.is_note(t).alias("note"), T.is_listing_caption(t).alias("caption"))
 
 
@@ -301,13 +301,13 @@ def q_ragged_tables(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.block", "f.rule")
 
 
-@query(f"""WITH {SQL_RAW_LINES}, t AS (SELECT doc_id, line_no, trim('x' || line_no::VARCHAR || ' ' || left(regexp_replace(line, '[^a-z]', '', 'g'), 10)) AS t FROM l WHERE line_no < 6)
-SELECT doc_id, coalesce(string_agg('p:' || t, '|' ORDER BY line_no) FILTER (line_no % 3 = 0), '') AS blocks, coalesce(string_agg(t, '|' ORDER BY line_no) FILTER (line_no % 3 = 1), '') AS callout FROM t GROUP BY 1""")
+@query(f"""WITH {SQL_RAW_LINES}, t AS (SELECT doc_id, (line_no // 6 + 1)::INT AS page_number, line_no % 6 AS n, trim('x' || line_no::VARCHAR || ' ' || regexp_replace(line, '[^a-z]', '', 'g')) AS t FROM l)
+SELECT doc_id, page_number, coalesce(string_agg('p:' || t, '|' ORDER BY n) FILTER (n % 3 = 0), '') AS blocks, coalesce(string_agg(t, '|' ORDER BY n) FILTER (n % 3 = 1), '') AS callout FROM t GROUP BY 1, 2""")
 def q_ocr_callouts(spark, d):
-    """Pages read by detection: a third of the lines in the flow, a third in a drawn box, a third in an image, which is left out; each line a paragraph of its own."""
-    own = readers.lines(table(spark, d, "documents"), 8).where("line_no < 6")
-    t = F.concat(F.lit("x"), F.col("line_no").cast("string"), F.lit(" "), F.left(F.regexp_replace("line", "[^a-z]", ""), F.lit(10)))
-    p = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", t.alias("t")))).alias("l"))
+    """All lines on pages read by detection, six a page: a third in the flow, a third in a drawn box, a third in an image, which is left out; each line a paragraph of its own."""
+    own = readers.lines(table(spark, d, "documents"), 6)
+    t = F.concat(F.lit("x"), F.col("line_no").cast("string"), F.lit(" "), F.regexp_replace("line", "[^a-z]", ""))
+    p = own.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct((F.col("line_no") % 6).alias("line_no"), t.alias("t")))).alias("l"))
 
     def seen(x: Column) -> Column:
         """In points: the flow from y 100, the box from 300, the image from 500; 15 high, 40 apart."""
@@ -319,7 +319,7 @@ def q_ocr_callouts(spark, d):
     noise = text_block(80.0, [span(F.repeat(F.lit("\x01"), 40))])
     image = F.struct(F.lit(1).alias("type"), F.array(*map(F.lit, (50.0, 490.0, 300.0, 620.0))).alias("bbox"), F.array().cast(f"array<{LINE}>").alias("lines"))
     frame = F.array(rect(40.0, 290.0, 41.0, 400.0), rect(40.0, 290.0, 310.0, 291.0), rect(309.0, 290.0, 310.0, 400.0), rect(40.0, 399.0, 310.0, 400.0)).cast(f"array<{RECT}>")
-    f = pages.extract(raw_pages(p, F.array(noise, image.cast(RAW_BLOCK)), frame, F.transform("l", seen)))
+    f = pages.extract(raw_pages(p, F.array(noise, image.cast(RAW_BLOCK)), frame, F.transform("l", seen), F.col("page_number")))
     text_ = F.filter("blocks", lambda b: b["type"] != "img_placeholder")
-    return f.select("doc_id", F.array_join(F.transform(text_, lambda b: F.concat(b["type"], F.lit(":"), b["text"])), "|").alias("blocks"), F.array_join("callout", "|").alias("callout"))
+    return f.select("doc_id", "page_number", F.array_join(F.transform(text_, lambda b: F.concat(b["type"], F.lit(":"), b["text"])), "|").alias("blocks"), F.array_join("callout", "|").alias("callout"))
 
