@@ -1,6 +1,6 @@
 """All phrases of a table in all texts of another: every pair counts, whatever their ids.
 
-A phrase is known by the hash of its first bytes (16; of a shorter phrase 8, 4, 2 or 1). Each place
+A phrase is known by the hash of its first bytes (64; of a shorter phrase 32, 16, 8, 4, 2 or 1). Each place
 of a text is looked up at once; what is found there is then counted on the whole phrase. No row is shuffled.
 
 Phrases are read in blocks of at most BLOCK_CHARS characters, so that what is broadcast stays bounded;
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BLOCK_CHARS = 8_000_000
 STEP_BYTES = 4_000_000
-HEADS = (16, 8, 4, 2, 1)
+HEADS = (64, 32, 16, 8, 4, 2, 1)
 BITS = 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -28,8 +28,11 @@ def heads(raw: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the `size` bytes from each place of raw (contiguous, size bytes at least)."""
     part = min(size, 8)
     h = np.ndarray(len(raw) - part + 1, f"<u{part}", raw, strides=(1,)).astype(np.uint64) * _A
-    if size > 8:
-        h = h[:-8] ^ (h[8:] * _B)
+    width = part
+    while width < size:  # of two halves side by side
+        h = h ^ (h >> np.uint64(29))
+        h = h[:-width] ^ (h[width:] * _B)
+        width *= 2
     h ^= h >> np.uint64(29)
     return h * _B
 
