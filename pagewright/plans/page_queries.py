@@ -121,7 +121,7 @@ _SQL_PIECES = r"""
 H AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(coalesce(html, ''), '<head>.*?</head>', '', 'gs'), '<!--.*?-->|</?b>|<a [^>]*>|</a>|<!DOCTYPE[^>]*>', '', 'gs') AS h FROM pages),
 M AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(h, '<br>', ' '), '<li>', chr(1) || 'li:'), '<h1>', chr(1) || 'h1:'), '</?[a-z][^>]*>', chr(1) || 'p:', 'g'), '\s+', ' ', 'g') AS m FROM H),
 P AS (SELECT doc_id, unnest(string_split(m, chr(1))) AS piece, unnest(range(len(string_split(m, chr(1))))) AS n FROM M),
-T AS (SELECT doc_id, n, split_part(piece, ':', 1) AS kind, trim(replace(replace(replace(replace(replace(substr(piece, strpos(piece, ':') + 1), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text FROM P WHERE piece <> '')"""
+T AS (SELECT doc_id, n, split_part(piece, ':', 1) AS kind, trim(replace(replace(replace(replace(replace(replace(replace(substr(piece, strpos(piece, ':') + 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text FROM P WHERE piece <> '')"""
 
 
 @query(f"""WITH {_SQL_PIECES},
