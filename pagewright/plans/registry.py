@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagewright.plans import audit_queries, layout_queries, page_queries, piece_queries, text_queries
+from pagewright.plans import audit_queries, layout_queries, page_queries, piece_queries, stream_queries, text_queries
 
-MODULES: tuple = (text_queries, layout_queries, page_queries, piece_queries, audit_queries)
+MODULES: tuple = (text_queries, layout_queries, page_queries, piece_queries, audit_queries, stream_queries)
 
 
 def queries() -> dict:

@@ -86,7 +86,7 @@ def test_what_is_no_table(spark):
 
 
 def test_extraction_finds_tables(spark):
-    text = block([span("A sentence before the table.", 50, 50)])
+    text = block([span("A sentence before the table.", 50, 80)])
     page = (1, 1, 600.0, 800.0, [text, block(CELLS)], GRID, [], None, [])
     blocks = pages.extract(spark.createDataFrame([page], RAW_PAGE)).first().blocks
     assert [b.type for b in blocks] == ["p", "table"] and blocks[1].rows[2] == ["r2c0", "r2c1", "r2c2"]
