@@ -14,7 +14,7 @@ import unicodedata
 import zipfile
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from typing import BinaryIO
 from urllib.parse import quote, unquote
@@ -42,6 +42,10 @@ ELEMENT = f"struct<kind:string,level:int,ordered:boolean,runs:array<{RUN}>,rows:
 PAGES = f"doc_id long, page_number int, elements array<{ELEMENT}>"
 
 
+def _norm(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
+
+
 @dataclass
 class Element:
     """kind: p, h, li, pre, table or img. runs: (text, flags, href)."""
@@ -60,9 +64,8 @@ class Element:
 
     def row(self) -> dict:
         """As ELEMENT, text in NFKC."""
-        norm = lambda t: unicodedata.normalize("NFKC", t)
-        runs = [{"text": norm(t), "bold": bool(f & BOLD), "italic": bool(f & ITALIC), "superscript": bool(f & SUPERSCRIPT), "href": h} for t, f, h in self.runs]
-        return asdict(self) | {"runs": runs, "rows": [[norm(c) for c in r] for r in self.rows]}
+        runs = [{"text": _norm(t), "bold": bool(f & BOLD), "italic": bool(f & ITALIC), "superscript": bool(f & SUPERSCRIPT), "href": h} for t, f, h in self.runs]
+        return {"kind": self.kind, "level": self.level, "ordered": self.ordered, "runs": runs, "rows": [[_norm(c) for c in r] for r in self.rows], "src": self.src, "alt": self.alt}
 
 
 class _Html(HTMLParser):
@@ -347,7 +350,7 @@ def blocks_of(pages: DataFrame) -> DataFrame:
 
     names = [f.name for f in pages.schema["elements"].dataType.elementType.fields]
     with deep_folds(pages.sparkSession):
-        clean = F.transform(kinds, lambda e: F.struct(*[(tables.clean_table(e[n]) if n == "rows" else e[n]).alias(n) for n in names]))
+        clean = F.transform(kinds, lambda e: F.struct(*[(F.when(F.size(e[n]) > 0, tables.clean_table(e[n])).otherwise(e[n]) if n == "rows" else e[n]).alias(n) for n in names]))
         d = once(pages, "elements", clean)
         empty = F.array().cast("array<string>")
         return d.select("doc_id", "page_number", empty.alias("margin"), F.flatten(F.transform("elements", blocks)).alias("blocks"), empty.alias("callout"))
