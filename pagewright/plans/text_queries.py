@@ -242,7 +242,7 @@ SELECT doc_id, item_id, sentence, ((length(text) - length(replace(text, phrase,
 def q_phrases(spark, d):
     """Places of all benchmark sentences, whole, in all documents."""
     flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    sentences = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x != "")
+    sentences = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
     items = table(spark, d, "benchmark").where("text is not null").select("item_id", F.posexplode(sentences).alias("sentence", "phrase"))
     return phrase_counts(table(spark, d, "documents").select("doc_id", flat.alias("text")), items)
 
