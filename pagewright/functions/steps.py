@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,14 @@ def deep_folds(spark: SparkSession, rounds: int = 1000) -> Iterator[None]:
         spark.conf.set(ROUNDS, before)
 
 
+def bind(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """steps applied one after another, each value made once."""
+    bound = F.array(value)
+    for step in steps:
+        bound = F.transform(bound, step)
+    return F.element_at(bound, 1)
+
+
 def once(d: DataFrame, name: str, value: Column) -> DataFrame:
     """As withColumn, but value is made once for each row, wherever it is used later.
 

@@ -20,8 +20,22 @@ from pagewright.sources.readers import lines
 PER_PAGE = 8
 
 
+#: Tables whose rows are work, and the keys by which they are dealt to tasks.
+KEYS = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of KEYS is dealt to tasks by its key.
+
+    A file is read by as many tasks as it has row groups, often by one, which would then do all of a query's work. The columns that a query reads are
+    shuffled once, as they are stored; what groups by that key and more finds its rows together, and shuffles nothing. The number is given, as Spark would go by
+    bytes, and join what is small to read but long to work on.
+    """
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in KEYS:
+        return d
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return d.repartition(tasks, KEYS[name])
 
 
 def shared_folder(spark: SparkSession) -> str:
