@@ -39,7 +39,7 @@ def rstrip(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return strip(F.coalesce(text, F.lit(""))) == ""
+    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
 
 
 def nfkc(text: Column) -> Column:

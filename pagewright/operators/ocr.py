@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
-from pagewright.functions.steps import once
+from pagewright.functions.steps import bind, once
 from pagewright.operators import spatial
 from pagewright.schema import BLOCK, BOX, LIMITS
 
 PX = 300 / 72
 ROWS = f"array<{BOX}>"
 GROUP = f"struct<y0:double,y1:double,boxes:array<{BOX}>>"
+PLACED = f"struct<at:int,y0:double,y1:double,boxes:array<{BOX}>>"
 PARAGRAPH = "struct<text:string,x0:double,x1:double,y0:double,y1:double,heading:boolean,tallest:double>"
 
 
@@ -47,28 +48,34 @@ def _last(items: Column) -> Column:
     return F.get(items, F.size(items) - 1)
 
 
-def _bind(value: Column, *steps) -> Column:
-    """steps applied one after another, each value made once."""
-    bound = F.array(value)
-    for step in steps:
-        bound = F.transform(bound, step)
-    return F.element_at(bound, 1)
+def group_rows(items: Column) -> Column:
+    """Boxes, from the top, each into the first row made so far whose height it shares by half; array<struct<y0, y1, boxes>>.
 
+    Boxes come by their centres. A range whose centre lies below a row's end shares less than half with it, so a row that ends well above a box's centre takes no
+    more boxes: it is done, and only the few others are looked at.
+    """
+    state = f"struct<n:int,done:array<{PLACED}>,rows:array<{PLACED}>>"
+    start = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{PLACED}>").alias("done"), F.array().cast(f"array<{PLACED}>").alias("rows")).cast(state)
 
-def group_rows(items: Column) -> Column:
-    """Boxes, from the top, each into the first row made so far whose height it shares by half; array<struct<y0, y1, boxes>>."""
+    def step(s: Column, b: Column) -> Column:
+        def into(rows: Column, done: Column) -> Column:
+            fits = F.array_min(F.transform(rows, lambda r: F.when(G.vertical_iou(b["y0"], b["y1"], r["y0"], r["y1"]) >= LIMITS.row_overlap, r["at"])))
+            alone = F.struct(s["n"].alias("at"), b["y0"].alias("y0"), b["y1"].alias("y1"), F.array(b).alias("boxes")).cast(PLACED)
+            grown = lambda r: F.struct(r["at"].alias("at"), F.least(r["y0"], b["y0"]).alias("y0"), F.greatest(r["y1"], b["y1"]).alias("y1"), F.concat(r["boxes"], F.array(b)).alias("boxes")).cast(PLACED)
 
-    def step(rows: Column, b: Column) -> Column:
-        fits = F.transform(rows, lambda r, i: F.when(G.vertical_iou(b["y0"], b["y1"], r["y0"], r["y1"]) >= LIMITS.row_overlap, i))
-        alone = F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), F.array(b).alias("boxes")).cast(GROUP)
-        grown = lambda r: F.struct(F.least(r["y0"], b["y0"]).alias("y0"), F.greatest(r["y1"], b["y1"]).alias("y1"), F.concat(r["boxes"], F.array(b)).alias("boxes")).cast(GROUP)
+            def placed(at: Column) -> Column:
+                more = F.struct((s["n"] + 1).alias("n"), done.alias("done"), F.concat(rows, F.array(alone)).alias("rows"))
+                same = F.struct(s["n"].alias("n"), done.alias("done"), F.transform(rows, lambda r: F.when(r["at"] == at, grown(r)).otherwise(r)).alias("rows"))
+                return F.when(at.isNull(), more.cast(state)).otherwise(same.cast(state))
 
-        def placed(at: Column) -> Column:
-            return F.when(at.isNull(), F.concat(rows, F.array(alone))).otherwise(F.transform(rows, lambda r, i: F.when(i == at, grown(r)).otherwise(r)))
+            return bind(fits, placed)
 
-        return _bind(F.array_min(fits), placed)
+        ended = lambda r: F.coalesce(r["y1"] + 1 < (b["y0"] + b["y1"]) / 2, F.lit(False))
+        swept = lambda: bind(F.filter(s["rows"], lambda r: ~ended(r)), lambda rows: into(rows, F.concat(s["done"], F.filter(s["rows"], ended))))
+        return F.when(F.exists(s["rows"], ended), swept()).otherwise(into(s["rows"], s["done"]))
 
-    return F.aggregate(_by_centre(items).cast(ROWS), F.array().cast(f"array<{GROUP}>"), step)
+    made = F.aggregate(_by_centre(items).cast(ROWS), start, step, lambda s: F.array_sort(F.concat(s["done"], s["rows"])))
+    return F.transform(made, lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), r["boxes"].alias("boxes")).cast(GROUP))
 
 
 def row_text(items: Column) -> Column:
@@ -93,11 +100,11 @@ def split_place(row: Column, gutter: Column) -> Column:
             return F.when(wide, -widest["i"])
 
         widest = F.array_max(F.transform(gaps, lambda x: F.struct(x["g"].alias("g"), (-x["i"]).alias("i"))))
-        return F.coalesce(F.get(spans, F.lit(0))["i"], _bind(widest, at_widest))
+        return F.coalesce(F.get(spans, F.lit(0))["i"], bind(widest, at_widest))
 
-    at = _bind(gaps, place)
+    at = bind(gaps, place)
     number = lambda n: T.is_page_number(row_text(F.slice(row, n + 1, F.size(row))))
-    return F.when(F.size(row) > 1, _bind(at, lambda n: F.when(~number(n), n)))
+    return F.when(F.size(row) > 1, bind(at, lambda n: F.when(~number(n), n)))
 
 
 def split_row(items: Column, gutter: Column) -> Column:
@@ -111,7 +118,7 @@ def split_row(items: Column, gutter: Column) -> Column:
             cut = F.struct(F.concat(s["done"], F.array(F.slice(s["rest"], F.lit(1), n))).alias("done"), F.slice(s["rest"], n + 1, F.size(s["rest"])).alias("rest"))
             return F.when(n.isNull(), whole).otherwise(cut).cast(state)
 
-        return F.when(F.size(s["rest"]) == 0, s).otherwise(_bind(split_place(s["rest"], gutter), part))
+        return F.when(F.size(s["rest"]) == 0, s).otherwise(bind(split_place(s["rest"], gutter), part))
 
     return F.aggregate(F.sequence(F.lit(1), F.size(items)), start, step)["done"]
 
@@ -133,12 +140,25 @@ def _heading_text(text: Column) -> Column:
     return (F.length(text) <= LIMITS.ocr_heading_length) & (t != "") & ~T.ends_finished(t) & ~T.is_numeric_heavy(text) & ~t.rlike(T.TRAILING_NUMBER) & ~t.rlike(T.LEADING_NUMBER)
 
 
+def _unpadded(text: Column) -> Column:
+    """T.rstrip of a long text that seldom ends in white space, without a search through all of it."""
+    return F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), T.rstrip(text)).otherwise(text)
+
+
+def _tall(height: Column, median: Column) -> Column:
+    return (median > 0) & (height >= median * LIMITS.ocr_heading_h3)
+
+
+def _near(height: Column, gap: Column, median: Column) -> Column:
+    return (median > 0) & (gap <= median * LIMITS.ocr_continued_gap) & (height >= median * LIMITS.ocr_continued_height)
+
+
 def looks_like_heading(height: Column, text: Column, median: Column) -> Column:
-    return (median > 0) & (height >= median * LIMITS.ocr_heading_h3) & _heading_text(text)
+    return _tall(height, median) & _heading_text(text)
 
 
 def goes_on_as_heading(height: Column, text: Column, gap: Column, median: Column) -> Column:
-    return (median > 0) & (gap <= median * LIMITS.ocr_continued_gap) & (height >= median * LIMITS.ocr_continued_height) & _heading_text(text)
+    return _near(height, gap, median) & _heading_text(text)
 
 
 def median_height(items: Column) -> Column:
@@ -153,30 +173,39 @@ def paragraphs(items: Column) -> Column:
         seen = F.transform(
             items,
             lambda r: F.struct(
-                r.alias("r"), (r["y1"] - r["y0"]).alias("h"), looks_like_heading(r["y1"] - r["y0"], r["text"], median).alias("head"),
+                r.alias("r"), (r["y1"] - r["y0"]).alias("h"), _heading_text(r["text"]).alias("titled"),
                 (r["text"].rlike(T.LEADING_NUMBER) | T.list_item(r["text"]).isNotNull()).alias("entry"),
             ),
         )
 
         def step(acc: Column, x: Column) -> Column:
-            last, r = _last(acc), x["r"]
+            return F.when(F.size(acc) == 0, F.array(fresh(x))).otherwise(bind(_last(acc), lambda last: bind(_unpadded(last["text"]), lambda before: _next(acc, x, last, before))))
+
+        def head(x: Column) -> Column:
+            return _tall(x["h"], median) & x["titled"]
+
+        def fresh(x: Column) -> Column:
+            r = x["r"]
+            return F.struct(r["text"].alias("text"), r["x0"].alias("x0"), r["x1"].alias("x1"), r["y0"].alias("y0"), r["y1"].alias("y1"), head(x).alias("heading"), x["h"].alias("tallest")).cast(PARAGRAPH)
+
+        def _next(acc: Column, x: Column, last: Column, before: Column) -> Column:
+            r = x["r"]
             gap = r["y0"] - last["y1"]
-            before = T.rstrip(last["text"])
-            goes_on = last["heading"] & (x["head"] | goes_on_as_heading(x["h"], r["text"], gap, median))
-            finished = (before == "") | T.ends_finished(before) | before.rlike(T.TRAILING_NUMBER) | (last["heading"] & ~goes_on)
+            goes_on = last["heading"] & (head(x) | _near(x["h"], gap, median) & x["titled"])
+            end = F.right(before, F.lit(8))
+            finished = (before == "") | T.ends_finished(end) | end.rlike(T.TRAILING_NUMBER) | (last["heading"] & ~goes_on)
             longer = F.struct(
                 F.concat_ws(" ", before, r["text"]).alias("text"), last["x0"].alias("x0"), F.greatest(last["x1"], r["x1"]).alias("x1"), last["y0"].alias("y0"), r["y1"].alias("y1"),
                 goes_on.alias("heading"), F.greatest(last["tallest"], x["h"]).alias("tallest"),
             ).cast(PARAGRAPH)
-            fresh = F.struct(r["text"].alias("text"), r["x0"].alias("x0"), r["x1"].alias("x1"), r["y0"].alias("y0"), r["y1"].alias("y1"), x["head"].alias("heading"), x["h"].alias("tallest")).cast(PARAGRAPH)
-            merge = (F.size(acc) > 0) & (gap <= median * LIMITS.paragraph_gap) & ~finished & ~x["entry"]
-            return F.when(F.coalesce(merge, F.lit(False)), F.concat(_init(acc), F.array(longer))).otherwise(F.concat(acc, F.array(fresh)))
+            merge = (gap <= median * LIMITS.paragraph_gap) & ~x["entry"] & ~finished
+            return F.when(F.coalesce(merge, F.lit(False)), F.concat(_init(acc), F.array(longer))).otherwise(F.concat(acc, F.array(fresh(x))))
 
         out = F.aggregate(seen, F.array().cast(f"array<{PARAGRAPH}>"), step)
         level = lambda p: F.when(p["heading"], F.when(p["tallest"] >= median * LIMITS.ocr_heading_h2, 2).otherwise(3)).cast("int")
         return F.transform(out, lambda p: F.struct(*[p[n].alias(n) for n in ("text", "x0", "x1", "y0", "y1")], level(p).alias("level")))
 
-    return _bind(median_height(items), joined)
+    return bind(median_height(items), joined)
 
 
 def by_column(all_: Column, gutter: Column) -> Column:

@@ -125,14 +125,16 @@ def q_column_gap(spark, d):
 def _words(spark, d):
     """All words of the documents, sixty to a page, as detections on rows of four, with jitter."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != "")
-    p = table(spark, d, "documents").select("doc_id", words.alias("w")).where(F.size("w") > 0)
-    p = p.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 60).cast("int"))).alias("page"))
+    p = once(table(spark, d, "documents").select("doc_id", "text"), "w", words).select("doc_id", "w").where(F.size("w") > 0)
+    # a page takes its own words out of a document's; all words on each of its pages would be work by their square
+    own = lambda page: F.transform(F.sequence(page * 60, F.least(page * 60 + 59, F.size("w") - 1)), lambda i: F.get(F.col("w"), i))
+    p = p.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 60).cast("int")), own)).alias("page", "own"))
 
     def box(w, i):
         x, y = (i % 4) * 120 + F.when(i % 4 >= 2, 260).otherwise(0), F.floor(i / 4) * 30 + (doc_id() + i) % 5
         return F.struct(x.cast("double").alias("x0"), (x + 90).cast("double").alias("x1"), y.cast("double").alias("y0"), (y + 20).cast("double").alias("y1"), w.alias("text")).cast(BOX)
 
-    return p.select("doc_id", "page", F.slice("w", F.col("page") * 60 + 1, F.lit(60)).alias("own")).select("doc_id", "page", F.transform("own", box).alias("boxes"))
+    return p.select("doc_id", "page", F.transform("own", box).alias("boxes"))
 
 
 def _rows(spark, d):
