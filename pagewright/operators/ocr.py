@@ -54,27 +54,31 @@ def group_rows(items: Column) -> Column:
     Boxes come by their centres. A range whose centre lies below a row's end shares less than half with it, so a row that ends well above a box's centre takes no
     more boxes: it is done, and only the few others are looked at.
     """
-    state = f"struct<n:int,done:array<{PLACED}>,rows:array<{PLACED}>>"
-    start = F.struct(F.lit(0).alias("n"), F.array().cast(f"array<{PLACED}>").alias("done"), F.array().cast(f"array<{PLACED}>").alias("rows")).cast(state)
+    # what bind() makes is copied: that is the few rows that may still take boxes, never those that are done
+    few = f"struct<n:int,gone:array<{PLACED}>,rows:array<{PLACED}>>"
+    none = F.array().cast(f"array<{PLACED}>")
+    start = F.struct(none.alias("done"), F.struct(F.lit(0).alias("n"), none.alias("gone"), none.alias("rows")).alias("few")).cast(f"struct<done:array<{PLACED}>,few:{few}>")
 
     def step(s: Column, b: Column) -> Column:
-        def into(rows: Column, done: Column) -> Column:
+        n, ended = s["few"]["n"], lambda r: F.coalesce(r["y1"] + 1 < (b["y0"] + b["y1"]) / 2, F.lit(False))
+
+        def into(rows: Column) -> Column:
             fits = F.array_min(F.transform(rows, lambda r: F.when(G.vertical_iou(b["y0"], b["y1"], r["y0"], r["y1"]) >= LIMITS.row_overlap, r["at"])))
-            alone = F.struct(s["n"].alias("at"), b["y0"].alias("y0"), b["y1"].alias("y1"), F.array(b).alias("boxes")).cast(PLACED)
+            gone = F.filter(s["few"]["rows"], ended)
+            alone = F.struct(n.alias("at"), b["y0"].alias("y0"), b["y1"].alias("y1"), F.array(b).alias("boxes")).cast(PLACED)
             grown = lambda r: F.struct(r["at"].alias("at"), F.least(r["y0"], b["y0"]).alias("y0"), F.greatest(r["y1"], b["y1"]).alias("y1"), F.concat(r["boxes"], F.array(b)).alias("boxes")).cast(PLACED)
 
             def placed(at: Column) -> Column:
-                more = F.struct((s["n"] + 1).alias("n"), done.alias("done"), F.concat(rows, F.array(alone)).alias("rows"))
-                same = F.struct(s["n"].alias("n"), done.alias("done"), F.transform(rows, lambda r: F.when(r["at"] == at, grown(r)).otherwise(r)).alias("rows"))
-                return F.when(at.isNull(), more.cast(state)).otherwise(same.cast(state))
+                more = F.struct((n + 1).alias("n"), gone.alias("gone"), F.concat(rows, F.array(alone)).alias("rows"))
+                same = F.struct(n.alias("n"), gone.alias("gone"), F.transform(rows, lambda r: F.when(r["at"] == at, grown(r)).otherwise(r)).alias("rows"))
+                return F.when(at.isNull(), more.cast(few)).otherwise(same.cast(few))
 
             return bind(fits, placed)
 
-        ended = lambda r: F.coalesce(r["y1"] + 1 < (b["y0"] + b["y1"]) / 2, F.lit(False))
-        swept = lambda: bind(F.filter(s["rows"], lambda r: ~ended(r)), lambda rows: into(rows, F.concat(s["done"], F.filter(s["rows"], ended))))
-        return F.when(F.exists(s["rows"], ended), swept()).otherwise(into(s["rows"], s["done"]))
+        done = F.when(F.size(s["few"]["gone"]) > 0, F.concat(s["done"], s["few"]["gone"])).otherwise(s["done"])
+        return F.struct(done.alias("done"), bind(F.filter(s["few"]["rows"], lambda r: ~ended(r)), into).alias("few")).cast(f"struct<done:array<{PLACED}>,few:{few}>")
 
-    made = F.aggregate(_by_centre(items).cast(ROWS), start, step, lambda s: F.array_sort(F.concat(s["done"], s["rows"])))
+    made = F.aggregate(_by_centre(items).cast(ROWS), start, step, lambda s: F.array_sort(F.concat(s["done"], s["few"]["gone"], s["few"]["rows"])))
     return F.transform(made, lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), r["boxes"].alias("boxes")).cast(GROUP))
 
 
