@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
-from pagewright.functions.steps import deep_folds, once
+from pagewright.functions.steps import bind, deep_folds, once
 from pagewright.functions.normalise import nfkc_columns
 from pagewright.operators import spatial, table_finder, tables
 from pagewright.schema import BLOCK, BOLD, ITALIC, LIMITS, RUN, SUPERSCRIPT
@@ -103,21 +103,28 @@ def styled_runs(block: Column, links: Column) -> Column:
 
 
 def emphasis(runs: Column) -> Column:
-    """Neighbouring runs of one style joined and cleaned, empty ones dropped; null where all is plain and unlinked."""
+    """Neighbouring runs of one style joined and cleaned, empty ones dropped; null where all is plain and unlinked.
+
+    A run is copied once into the longer one that it is part of, however many there are.
+    """
     style = ("bold", "italic", "superscript", "href")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        same = F.lit(True)
+    def same(x: Column, y: Column) -> Column:
+        found = F.lit(True)
         for n in style:
-            same = same & last[n].eqNullSafe(x[n])
-        longer = F.struct(F.concat(last["text"], x["text"]).alias("text"), *[last[n].alias(n) for n in style])
-        return F.when((F.size(acc) > 0) & same, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
-
-    joined = F.aggregate(runs, F.array().cast(f"array<{RUN}>"), step)
-    clean = F.transform(joined, lambda r: F.struct(T.clean_code(r["text"], False).alias("text"), *[r[n].alias(n) for n in style]))
-    styled = F.exists(runs, lambda r: r["bold"] | r["italic"] | r["superscript"] | r["href"].isNotNull())
-    return F.when(styled, F.filter(clean, lambda r: F.length(r["text"]) > 0))
+            found = found & x[n].eqNullSafe(y[n])
+        return found
+
+    def joined(own: Column) -> Column:
+        turns = F.array_compact(F.transform(own, lambda x, i: F.when((i == 0) | ~same(x, F.get(own, i - 1)), i)))
+        return bind(turns, lambda at: F.transform(at, lambda a, j: longer(own, a, F.coalesce(F.get(at, j + 1), F.size(own)))))
+
+    def longer(own: Column, begin: Column, end: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(own, begin + 1, end - begin), lambda x: x["text"]), "")
+        return F.struct(T.clean_code(text, False).alias("text"), *[F.get(own, begin)[n].alias(n) for n in style])
+
+    styled = lambda own: F.exists(own, lambda r: r["bold"] | r["italic"] | r["superscript"] | r["href"].isNotNull())
+    return bind(runs, lambda own: F.when(styled(own), F.filter(joined(own), lambda r: F.length(r["text"]) > 0)))
 
 
 def list_items(lines: Column) -> Column:

@@ -270,8 +270,8 @@ def q_runs(spark, d):
         bold, italic = (doc_id() + F.floor(i / 3)) % 4 == 1, (doc_id() + F.floor(i / 2)) % 3 == 1
         return F.struct(F.concat(w, F.lit(" ")).alias("text"), bold.alias("bold"), italic.alias("italic"), F.lit(False).alias("superscript"), F.lit(None).cast("string").alias("href")).cast(RUN)
 
-    p = lines(table(spark, d, "documents")).select("doc_id", "line_no", pages.emphasis(F.transform(words, run)).alias("runs"))
-    return p.where("runs is not null").select("doc_id", "line_no", F.posexplode("runs").alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.text", "r.bold", "r.italic")
+    p = once(lines(table(spark, d, "documents")), "runs", pages.emphasis(F.transform(words, run)))
+    return p.select("doc_id", "line_no", F.posexplode("runs").alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.text", "r.bold", "r.italic")
 
 
 def _spans(spark, d):
