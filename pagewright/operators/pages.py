@@ -69,9 +69,13 @@ def font_stats(block: Column) -> Column:
 
 def _heaviest(items: Column, key: str) -> Column:
     """Of structs (key, n): that key with the greatest sum of n, the first seen of equal ones, as struct(n, i, key); null without items."""
-    keys = F.array_distinct(F.transform(items, lambda x: x[key]))
-    sums = F.transform(keys, lambda k, i: F.struct(F.aggregate(F.filter(items, lambda x: x[key] == k), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"), (-i).alias("i"), k.alias("key")))
-    return F.array_max(sums)
+
+    def best(own: Column) -> Column:
+        keys = F.array_distinct(F.transform(own, lambda x: x[key]))
+        total = lambda k: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + F.when(x[key] == k, x["n"]).otherwise(0))
+        return F.array_max(F.transform(keys, lambda k, i: F.struct(total(k).alias("n"), (-i).alias("i"), k.alias("key"))))
+
+    return bind(items, best)
 
 
 def dominant_font(block: Column) -> Column:

@@ -284,8 +284,8 @@ def _spans(spark, d):
     box = F.array(F.lit(50.0), y, F.lit(400.0), y + 12)
     span = F.struct(text.alias("text"), size.alias("size"), F.lit("Serif").alias("font"), F.when((doc_id() + n) % 7 == 0, 16).otherwise(0).alias("flags"), box.alias("bbox"))
     b = F.struct(F.lit(0).alias("type"), box.alias("bbox"), F.array(F.struct(F.array(span).alias("spans"))).alias("lines")).cast(RAW_BLOCK)
-    return doc.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", F.to_json(b).alias("b")))).alias("l")).select(
-        "doc_id", "page_number", F.transform("l", lambda x: F.from_json(x["b"], RAW_BLOCK)).alias("blocks"))
+    return doc.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", b.alias("b")))).alias("l")).select(
+        "doc_id", "page_number", F.transform("l", lambda x: x["b"]).alias("blocks"))
 
 
 _SQL_SPANS = r"""
