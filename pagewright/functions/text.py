@@ -65,7 +65,7 @@ def clean(text: Column, normalise: bool = True) -> Column:
 
 def is_garbled(raw: Column) -> Column:
     """Over a fifth of 20 characters or more are control characters."""
-    junk = F.length(F.regexp_replace(raw, rf"[^{JUNK[1:-1]}]", ""))
+    junk = F.regexp_count(raw, F.lit(JUNK))
     return F.coalesce((F.length(raw) >= LIMITS.garbled_length) & (junk > F.length(raw) * LIMITS.garbled_share), F.lit(False))
 
 

@@ -256,7 +256,9 @@ def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataF
     d = once(d, "sides", sides)
     margin = F.flatten(F.transform(F.filter("sides", lambda s: s["side"] == "margin"), lambda s: T.split_margin_number(s["text"])))
     callout = F.transform(F.filter("sides", lambda s: s["side"] == "callout"), lambda s: s["text"])
-    return d.select("doc_id", "page_number", margin.alias("margin"), F.flatten(F.transform("judged", blocks_of)).alias("blocks"), callout.alias("callout"))
+    # what explodes blocks asks for their number first, which would make them twice
+    d = once(d, "blocks", F.flatten(F.transform("judged", blocks_of)))
+    return d.select("doc_id", "page_number", margin.alias("margin"), "blocks", callout.alias("callout"))
 
 
 def raw_page_text(blocks: Column) -> Column:
