@@ -34,14 +34,19 @@ SELECT doc_id, p AS page_number, CASE WHEN p > 1 AND p // 2 = (p - 1) // 2 THEN
 def q_growing_documents(spark, d):
     """Margins of all pages of documents that grew by a stream in two batches, pages of each in no order: a head is hidden where the page before shows it."""
     base, half = shared_folder(spark), F.pmod(F.xxhash64("doc_id", "page_number"), F.lit(2))
-    pages = fragments(spark, d).withColumn("half", half)
+    # made once; the second half is moved in when the first has been taken
+    fragments(spark, d).withColumn("half", half).write.partitionBy("half").parquet(f"{base}/made")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{base}/in"))
     before = spark.conf.get(PROVIDER[0])
     spark.conf.set(*PROVIDER)
     try:
         docs = Documents(spark, f"{base}/documents", "txt")
         for n in (0, 1):
-            pages.where(F.col("half") == n).drop("half").write.mode("append").parquet(f"{base}/in")
-            docs.take(spark.readStream.schema(FRAGMENT).parquet(f"{base}/in"), f"{base}/check").awaitTermination()
+            if fs.exists(path(f"{base}/made/half={n}")):
+                fs.rename(path(f"{base}/made/half={n}"), path(f"{base}/in/{n}"))
+            docs.take(spark.readStream.schema(FRAGMENT).option("recursiveFileLookup", "true").parquet(f"{base}/in"), f"{base}/check").awaitTermination()
     finally:
         spark.conf.set(PROVIDER[0], before)
     return docs.references.read().select("doc_id", "page_number", F.array_join("margin", " · ").alias("margin"))

@@ -10,10 +10,10 @@ State is kept by Spark's RocksDB provider; the session has to name it (PROVIDER)
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -43,16 +43,20 @@ class Pages(StatefulProcessor):
             self.pages.updateValue((int(r.page_number),), (list(r.own), list(r.heads), r.body_hash))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = self.changes(key[0], (r for part in rows for r in part.itertuples(index=False)))
+        yield pd.DataFrame(out, columns=["doc_id", "page_number", "margin", "own", "heads", "body_hash", "body", "due"])
+
+    def changes(self, doc_id: int, rows: Iterable) -> list[tuple]:
+        """Rows of CHANGE that a document's pages which came make; what is kept is brought up to date."""
         known = {k[0]: (list(v[0]), list(v[1]), v[2]) for k, v in self.pages.iterator()}
         before, bodies = len(known), {}
         came: dict[int, tuple] = {}
-        for part in rows:
-            for r in part.itertuples(index=False):
-                new = (list(r.margin), list(r.heads), r.body_hash)
-                page = int(r.page_number)
-                # of versions of a page in one batch the greatest counts, so that it doesn't depend on the run
-                if page not in came or (new[2], new[0]) > (came[page][2], came[page][0]):
-                    came[page], bodies[page] = new, r.body
+        for r in rows:
+            new = (list(r.margin), list(r.heads), r.body_hash)
+            page = int(r.page_number)
+            # of versions of a page in one batch the greatest counts, so that it doesn't depend on the run
+            if page not in came or (new[2], new[0]) > (came[page][2], came[page][0]):
+                came[page], bodies[page] = new, r.body
         changed = {p for p, new in came.items() if known.get(p) != new}
         known |= came
         order = sorted(known)
@@ -65,13 +69,25 @@ class Pages(StatefulProcessor):
         for p in sorted(shown):
             own, heads, digest = known[p]
             last = known[order[place[p] - 1]][1] if place[p] else []
-            out.append((key[0], p, [m for m in own if m not in last], own, heads, digest, bodies.get(p) if p in changed else None, due))
-        yield pd.DataFrame(out, columns=["doc_id", "page_number", "margin", "own", "heads", "body_hash", "body", "due"])
+            out.append((doc_id, p, [m for m in own if m not in last], own, heads, digest, bodies.get(p) if p in changed else None, due))
+        return out
 
     def close(self) -> None:
         pass
 
 
+class PageRows(Pages):
+    """Pages for transformWithState(): most documents have few pages in a batch, and data frames of so few rows take longer to make than the rest."""
+
+    made = Row(*(c.split()[0] for c in CHANGE.split(", ")))
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.pages.updateValue((initialState.page_number,), (initialState.own, initialState.heads, initialState.body_hash))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return (self.made(*x) for x in self.changes(key[0], rows))
+
+
 class Documents:
     """References and bodies of documents in one format, below a folder."""
 
@@ -95,7 +111,7 @@ class Documents:
         # a checkpoint that has taken a batch in has its state
         fresh = self.references.batches() and not self.references.exists(f"{checkpoint.rstrip('/')}/commits/0")
         stored = self.references.read().select("doc_id", "page_number", "own", "heads", "body_hash").groupBy("doc_id") if fresh else None
-        changes = parts.groupBy("doc_id").transformWithStateInPandas(Pages(every, quiet_ms), CHANGE, "update", "none" if quiet_ms is None else "processingTime", stored)
+        changes = parts.groupBy("doc_id").transformWithState(PageRows(every, quiet_ms), CHANGE, "update", "none" if quiet_ms is None else "processingTime", stored)
 
         def batch(df: DataFrame, number: int) -> None:
             name = f"{stream_id(df.sparkSession, checkpoint)}-{number}"
