@@ -139,14 +139,17 @@ def list_items(lines: Column) -> Column:
     own = F.filter(F.transform(lines, T.strip), lambda t: t != "")
     marked = F.transform(own, lambda t: F.struct(t.alias("text"), T.list_item(t).alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        fresh = F.struct(F.coalesce(x["m"]["item"], x["text"]).alias("text"), x["m"]["ordered"].alias("ordered"))
-        longer = F.struct(F.concat_ws(" ", last["text"], x["text"]).alias("text"), last["ordered"].alias("ordered"))
-        return F.when(x["m"].isNotNull() | (F.size(acc) == 0), F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer)))
+    def item(all_: Column, begin: Column, end: Column) -> Column:
+        first = F.get(all_, begin)
+        more = F.transform(F.slice(all_, begin + 2, end - begin - 1), lambda x: x["text"])
+        text = F.array_join(F.concat(F.array(F.coalesce(first["m"]["item"], first["text"])), more), " ")
+        return F.struct(text.alias("text"), first["m"]["ordered"].alias("ordered")).cast("struct<text:string,ordered:boolean>")
 
-    items = F.aggregate(marked, F.array().cast("array<struct<text:string,ordered:boolean>>"), step)
-    return F.when(F.size(F.filter(marked, lambda x: x["m"].isNotNull())) >= 2, items)
+    def items(all_: Column) -> Column:
+        turns = F.array_compact(F.transform(all_, lambda x, i: F.when((i == 0) | x["m"].isNotNull(), i)))
+        return bind(turns, lambda at: F.transform(at, lambda a, j: item(all_, a, F.coalesce(F.get(at, j + 1), F.size(all_)))))
+
+    return bind(marked, lambda all_: F.when(F.size(F.filter(all_, lambda x: x["m"].isNotNull())) >= 2, items(all_)))
 
 
 def caption_parity(candidates: Column) -> Column:
@@ -203,7 +206,9 @@ def extract_text_pages(pages: DataFrame, images_dir: str | None = None) -> DataF
     def judge(x: Column) -> Column:
         hit = F.when(x["is_text"], spatial.first_cover(x["rect"], F.col("tables"), lambda t: t["rect"]))
         boxed = spatial.is_covered(x["rect"], F.col("callouts"))
-        items = list_items(F.transform(line_texts(x["b"]), lambda t: T.clean(t, False)))
+        return bind(list_items(F.transform(line_texts(x["b"]), lambda t: T.clean(t, False))), lambda items: judged(x, hit, boxed, items))
+
+    def judged(x: Column, hit: Column, boxed: Column, items: Column) -> Column:
         margin = T.is_margin_text(x["rect"]["y0"], x["rect"]["y1"], F.col("height"), x["text"])
         number = F.regexp_extract(x["text"], T.FOOTNOTE, 1)
         note = (number != "") & F.array_contains("markers", number)
