@@ -13,6 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+#: Bytes of a batch that are worked on at once.
+STEP = 4_000_000
+
 
 def fold(array: pa.Array) -> pa.Array:
     kind = array.type
@@ -32,12 +35,22 @@ def fold(array: pa.Array) -> pa.Array:
     return array
 
 
+def slices(batch: pa.RecordBatch, size: int = STEP) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes, a row at least."""
+    rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def folded(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with these columns normalised, in parts: Python's strings take several times the room of Arrow's, and pages may be long."""
+    for batch in batches:
+        for part in slices(batch):
+            arrays = [fold(part.column(i)) if name in columns else part.column(i) for i, name in enumerate(part.schema.names)]
+            yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names)
+
+
 def nfkc_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with all strings in these columns, however deep, normalised."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [fold(batch.column(i)) if name in columns else batch.column(i) for i, name in enumerate(batch.schema.names)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: folded(batches, columns), df.schema)

@@ -26,7 +26,7 @@ from pagewright.schema import BULLETS, LIMITS
 
 PAGE = ["doc_id", "page_number"]
 #: Tokens that are compared at once.
-STEP = 1_000_000
+STEP = 100_000
 SAMPLE = 10
 COMPARED = (
     "doc_id long, page_number int, n_source long, n_missing long, coverage double, matched long, order_score double, "
