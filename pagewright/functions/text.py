@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagewright.functions.steps import bind
 from pagewright.schema import BULLETS, LIMITS, LISTING_LABELS, MONOSPACE, NOTE_LABELS, TERMINATORS
 
-#: Patterns of white space, control characters, hyphen wraps, numbers, list items, addresses, tokens and footnotes.
-EDGE = r"(?U)^\s+|\s+$"
-CONTROL = r"[\x00-\x08\x0B-\x1F]"
+#: White space, patterns of control characters, hyphen wraps, numbers, list items, addresses, tokens and footnotes.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 JUNK = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
-HYPHEN_WRAP = r"(?U)(?<=[A-Za-zА-Яа-яЁё])-\s+(?=[A-Za-zА-Яа-яЁё])"
+UNSEEN = r"[\x00-\x08\x0B-\x1F\x{E000}-\x{F8FF}]"
+#: Begins with the hyphen, as a look behind at each character takes longer than all else.
+HYPHEN_WRAP = r"(?U)-(?<=[A-Za-zА-Яа-яЁё]-)\s+(?=[A-Za-zА-Яа-яЁё])"
 PAGE_NUMBER = r"(?U)^\d{1,4}[.,]?$"
 TRAILING_NUMBER = r"(?U)\s\d{1,4}[.,]?$"
 LEADING_NUMBER = r"(?U)^\d{1,4}\s"
@@ -26,20 +28,21 @@ BULLET_ITEM = rf"(?U)^[{BULLETS}]\s+(\S.*)$"
 NUMBER_ITEM = r"(?U)^\d{1,2}[.)]\s+(\S.*)$"
 URL = r"""(https?://[^\s<>"'«»]+|www\.[^\s<>"'«»]+\.[a-zA-Z]{2,}[^\s<>"'«»]*)"""
 FOOTNOTE = r"(?U)^(\d{1,2})\s+\S"
-TOKEN = r"(?U)[^\W\d_]+|\d+"
+#: [^\W\d_]+|\d+, with a short way for ASCII.
+TOKEN = r"(?U)[[a-zA-Z][\x{80}-\x{10FFFF}&&[^\W\d]]]+|\d+"
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end, by Unicode."""
-    return F.regexp_replace(text, EDGE, "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(SPACE))
 
 
 def blank(text: Column) -> Column:
-    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
+    return F.ltrim(F.coalesce(text, F.lit("")), F.lit(SPACE)) == ""
 
 
 def nfkc(text: Column) -> Column:
@@ -55,12 +58,22 @@ def nfkc(text: Column) -> Column:
 def clean_code(text: Column, normalise: bool = True) -> Column:
     """Null is empty; NFKC; no private-use and control characters, but line feeds and tabs."""
     base = F.coalesce(text, F.lit(""))
-    return F.regexp_replace(nfkc(base) if normalise else base, rf"[\x{{E000}}-\x{{F8FF}}]|{CONTROL}", "")
+    return bind(nfkc(base) if normalise else base, _seen)
+
+
+def _seen(text: Column) -> Column:
+    """Texts without such characters, as most are, aren't built anew."""
+    return F.when(text.rlike(UNSEEN), F.regexp_replace(text, UNSEEN, "")).otherwise(text)
+
+
+def _unwrapped(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("-")), F.regexp_replace(text, HYPHEN_WRAP, "")).otherwise(text)
 
 
 def clean(text: Column, normalise: bool = True) -> Column:
     """As clean_code, and words broken by a hyphen and white space joined."""
-    return F.regexp_replace(clean_code(text, normalise), HYPHEN_WRAP, "")
+    base = F.coalesce(text, F.lit(""))
+    return bind(nfkc(base) if normalise else base, _seen, _unwrapped)
 
 
 def is_garbled(raw: Column) -> Column:
@@ -91,9 +104,10 @@ def is_monospace(font: Column) -> Column:
 
 
 def list_item(text: Column) -> Column:
-    """struct(item, ordered) of a text with a list marker; else null."""
+    """struct(item, ordered) of a text with a list marker; else null. The first character tells most that have none."""
     item = F.when(text.rlike(BULLET_ITEM), F.struct(F.regexp_extract(text, BULLET_ITEM, 1).alias("item"), F.lit(False).alias("ordered")))
-    return item.when(text.rlike(NUMBER_ITEM), F.struct(F.regexp_extract(text, NUMBER_ITEM, 1).alias("item"), F.lit(True).alias("ordered")))
+    item = item.when(text.rlike(NUMBER_ITEM), F.struct(F.regexp_extract(text, NUMBER_ITEM, 1).alias("item"), F.lit(True).alias("ordered")))
+    return F.when(F.left(text, F.lit(1)).rlike(rf"(?U)^[{BULLETS}\d]"), item)
 
 
 def ends_finished(text: Column) -> Column:

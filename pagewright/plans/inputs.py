@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.functions.steps import once
+from pagewright.functions.steps import bind, once
 from pagewright.operators.pages import block
 from pagewright.sources.readers import lines
 
@@ -53,8 +53,11 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def _text(k: Column) -> Column:
-    line, n = F.col("line"), F.col("line_no")
+def _kind(n: Column) -> Column:
+    return ((F.col("doc_id") * 7 + n) % 11).cast("int")
+
+
+def _text(k: Column, line: Column, n: Column) -> Column:
     s = lambda c: c.cast("string")
     return (
         F.when(k == 0, F.concat(F.lit("► "), line))
@@ -72,8 +75,27 @@ def _text(k: Column) -> Column:
 
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_number, line_no, k, text)."""
-    d = lines(table(spark, sf_dir, "documents"), PER_PAGE).withColumn("k", ((F.col("doc_id") * 7 + F.col("line_no")) % 11).cast("int"))
-    return d.withColumn("text", _text(F.col("k"))).drop("line")
+    d = lines(table(spark, sf_dir, "documents"), PER_PAGE).withColumn("k", _kind(F.col("line_no")))
+    return d.withColumn("text", _text(F.col("k"), F.col("line"), F.col("line_no"))).drop("line")
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_number, lines): injected() as a row a page, its lines (line_no, k, text) in order.
+
+    A document's row is cut into pages where it is: lines as rows were sorted by page, and written to buffers twice, to be put together again.
+    """
+    own = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
+    d = once(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", own)
+    last = F.size("text") - 1
+    page = lambda p: F.transform(F.sequence(p * PER_PAGE, F.least(p * PER_PAGE + PER_PAGE - 1, last)), lambda n: F.get("text", n))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(last / PER_PAGE).cast("int")), page)
+    pages = d.where(last >= 0).select("doc_id", F.posexplode(cut).alias("at", "lines"))
+
+    def line(x: Column, i: Column) -> Column:
+        n = F.col("at") * PER_PAGE + i
+        return F.struct(n.alias("line_no"), _kind(n).alias("k"), _text(_kind(n), x, n).alias("text"))
+
+    return once(pages, "lines", F.transform("lines", line)).select("doc_id", (F.col("at") + 1).alias("page_number"), "lines")
 
 
 SQL_LINES = f"""
@@ -101,23 +123,26 @@ def sql_clean(x: str) -> str:
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of blocks: k 3 a heading, k 6 code, k 0 and 1 list items, k 10 a table of a line and its number, others paragraphs; a head for each two pages, and a callout on each third."""
-    d = once(injected(spark, sf_dir), "text", T.clean(F.col("text"), False))
-    d = once(d, "item", T.list_item(T.strip(F.col("text"))))
-    item, n = F.col("item"), F.col("line_no")
-    rows = F.array(F.array(F.lit("n"), F.lit("line|")), F.array(n.cast("string"), F.col("text")))
-    made = (
-        F.when(F.col("k") == 3, block("h", text=F.col("text"), level=n % 2 + 2))
-        .when(F.col("k") == 6, block("code", text=F.concat("text", F.lit("\n  x < 1"))))
-        .when(F.col("k") == 10, block("table", rows=rows))
-        .when(item.isNotNull(), block("li", text=item["item"], ordered=item["ordered"]))
-        .otherwise(block("p", text=F.col("text")))
-    )
-    pages = d.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", made.alias("b")))).alias("b"))
+    def made(x: Column, text: Column, item: Column) -> Column:
+        n = x["line_no"]
+        rows = F.array(F.array(F.lit("n"), F.lit("line|")), F.array(n.cast("string"), text))
+        return (
+            F.when(x["k"] == 3, block("h", text=text, level=n % 2 + 2))
+            .when(x["k"] == 6, block("code", text=F.concat(text, F.lit("\n  x < 1"))))
+            .when(x["k"] == 10, block("table", rows=rows))
+            .when(item.isNotNull(), block("li", text=item["item"], ordered=item["ordered"]))
+            .otherwise(block("p", text=text))
+        )
+
+    def one(x: Column) -> Column:
+        read = lambda t: F.struct(t.alias("text"), bind(T.strip(t), T.list_item).alias("item"))
+        return bind(T.clean(x["text"], False), read, lambda t: made(x, t["text"], t["item"]))
+
+    pages = once(paged(spark, sf_dir), "blocks", F.transform("lines", one))
     p = F.col("page_number")
     head = F.concat(F.lit("Chapter "), F.floor(p / 2).cast("string"))
-    blocks = F.transform("b", lambda x: x["b"])
     callout = F.when(p % 3 == 0, F.array(F.lit("Mind *this* & that"))).otherwise(F.array().cast("array<string>"))
-    return pages.select("doc_id", "page_number", F.array(head, p.cast("string")).alias("margin"), blocks.alias("blocks"), callout.alias("callout"))
+    return pages.select("doc_id", "page_number", F.array(head, p.cast("string")).alias("margin"), "blocks", callout.alias("callout"))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
