@@ -28,7 +28,7 @@ def fold(array: pa.Array) -> pa.Array:
         nulls = array.is_null() if array.null_count else None
         lens = pc.fill_null(pc.list_value_length(array), 0)
         offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lens).cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, fold(array.flatten()), mask=nulls)
+        return pa.ListArray.from_arrays(offsets, fold(array.flatten()), type=kind, mask=nulls)
     if pa.types.is_struct(kind):
         nulls = array.is_null() if array.null_count else None
         return pa.StructArray.from_arrays([fold(array.field(i)) for i in range(kind.num_fields)], fields=list(kind), mask=nulls)

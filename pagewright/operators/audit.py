@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
 from pagewright.functions.normalise import nfkc_columns
+from pagewright.functions.steps import bind, once
 from pagewright.operators import ocr, pages
 from pagewright.schema import BULLETS, LIMITS
 
@@ -38,16 +39,19 @@ def source_tokens(raw_pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, was_ocr, tokens) of RAW_PAGE rows: what a page says, whatever extraction makes of it.
 
     Of a sound text layer all text blocks, cleaned; else all detections, cleaned together, but those that lie in images. Callouts and margins are left in.
+    Both kinds of pages are read in one pass.
     """
-    d = raw_pages.select(*PAGE, "blocks", "ocr").withColumn("was_ocr", T.is_garbled(pages.raw_page_text(F.col("blocks"))))
-    sound = nfkc_columns(d.where("not was_ocr").drop("ocr"), ["blocks"])
-    texts = F.transform(pages.text_blocks(F.coalesce("blocks", F.array())), lambda b: T.clean(pages.raw_text(b), False))
-    sound = sound.select(*PAGE, "was_ocr", T.tokens(F.array_join(texts, " ")).alias("tokens"))
+    d = once(raw_pages.select(*PAGE, "blocks", "ocr"), "was_ocr", bind(pages.raw_page_text(F.col("blocks")), T.is_garbled))
+    # what has to be normalised, and no more: a page's spans by block and line, or its detections
+    line = lambda x: F.struct(F.transform(x["spans"], lambda s: F.struct(s["text"].alias("text"))).alias("spans"))
+    spans = F.transform(pages.text_blocks(F.coalesce("blocks", F.array())), lambda b: F.struct(F.transform(b["lines"], line).alias("lines")))
     images = F.transform(F.filter("blocks", lambda b: b["type"] == 1), lambda b: ocr.pixels(G.from_array(b["bbox"])))
-    read = nfkc_columns(d.where("was_ocr").withColumn("blocks", images), ["ocr"])
-    seen = F.filter(ocr.boxes(F.coalesce("ocr", F.array().cast(raw_pages.schema["ocr"].dataType))), lambda b: ~F.exists("blocks", lambda r: G.covered(b, r, LIMITS.covered)))
-    joined = T.clean(F.array_join(F.transform(seen, lambda b: T.strip(b["text"])), " "), False)
-    return sound.unionByName(read.select(*PAGE, "was_ocr", T.tokens(joined).alias("tokens")))
+    found = F.coalesce("ocr", F.array().cast(raw_pages.schema["ocr"].dataType))
+    seen = bind(images, lambda own: F.transform(F.filter(ocr.boxes(found), lambda b: ~F.exists(own, lambda r: G.covered(b, r, LIMITS.covered))), lambda b: b["text"]))
+    d = nfkc_columns(d.select(*PAGE, "was_ocr", F.filter(spans, lambda b: ~F.col("was_ocr")).alias("spans"), F.filter(seen, lambda t: F.col("was_ocr")).alias("seen")), ["spans", "seen"])
+    read = T.clean(F.array_join(F.transform("seen", T.strip), " "), False)
+    sound = F.array_join(F.transform("spans", lambda b: T.clean(pages.raw_text(b), False)), " ")
+    return once(d.select(*PAGE, "was_ocr", F.when(F.col("was_ocr"), read).otherwise(sound).alias("tokens")), "tokens", T.tokens(F.col("tokens")))
 
 
 def block_texts(blocks: Column) -> Column:
