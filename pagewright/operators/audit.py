@@ -68,11 +68,11 @@ def block_texts(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, own))
 
 
-def field_tokens(fragments: DataFrame) -> DataFrame:
-    """(doc_id, page_number, body, rest, findings): tokens of blocks, and those of margins and callouts."""
+def field_tokens(fragments: DataFrame, *keep: Column) -> DataFrame:
+    """(doc_id, page_number, body, rest, findings): tokens of blocks, and those of margins and callouts; `keep`: further columns to pass on."""
     joined = lambda c: T.tokens(F.array_join(c, " "))
     rest = F.concat(joined(F.col("margin")), joined(F.col("callout")))
-    return fragments.select(*PAGE, joined(block_texts(F.col("blocks"))).alias("body"), rest.alias("rest"), structural_findings(F.col("blocks"), F.col("margin")).alias("findings"))
+    return fragments.select(*PAGE, joined(block_texts(F.col("blocks"))).alias("body"), rest.alias("rest"), structural_findings(F.col("blocks"), F.col("margin")).alias("findings"), *keep)
 
 
 def longest_rise(values: list[int]) -> int:
@@ -137,20 +137,23 @@ def _compared(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     from_ = order[_at(names, first, b[hit]) + k[hit]] - starts[0][page[1][hit]]
     to = hit - starts[1][page[1][hit]]
     at = _offsets(page[1][hit], n)
-    pairs = pa.StructArray.from_arrays([pa.array(from_.astype(np.int32)), pa.array(to.astype(np.int32))], ["source_pos", "extracted_pos"])
     matched = np.diff(at)
     seq = from_.tolist()
     score = [1.0 if m < 4 else longest_rise(seq[x : x + m]) / m for x, m in zip(at[:-1].tolist(), matched.tolist(), strict=True)]
 
     made = {
         "n_source": pa.array(n_source), "n_missing": pa.array(n_missing), "coverage": pa.array(1 - n_missing / np.maximum(1, n_source)), "matched": pa.array(matched.astype(np.int64)),
-        "order_score": pa.array(score, pa.float64()), "missing": missing, "matches": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs),
+        "order_score": pa.array(score, pa.float64()), "missing": missing,
     }
+    if "matches" in schema.names:
+        pairs = pa.StructArray.from_arrays([pa.array(from_.astype(np.int32)), pa.array(to.astype(np.int32))], ["source_pos", "extracted_pos"])
+        made["matches"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pairs)
     return pa.RecordBatch.from_arrays([(made[f.name] if f.name in made else batch.column(f.name)).cast(f.type) for f in schema], schema=schema)
 
 
-def compare(tokens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def compare(tokens: DataFrame, keep: tuple[str, ...] = (), matches: bool = True) -> DataFrame:
     """COMPARED of each of tokens (doc_id, page_number, source, body, rest), arrays of tokens in reading order; null ones are empty. `keep`: further columns to pass on.
+    Without `matches` there is no such column: a pair for each token takes longer to bring back than to find.
 
     n_missing: source tokens, as a multiset, that neither body nor rest has; coverage is 1 without a source token. missing: the ten tokens most
     missed, of equal ones the first in the source. matches: a token's k-th occurrence in source is its k-th in body; in the order of body.
@@ -158,7 +161,7 @@ def compare(tokens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     sides = ("source", "body", "rest")
     d = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_number").cast("int").alias("page_number"), *[F.col(c).cast("array<string>").alias(c) for c in sides], *keep)
-    schema = T_.StructType([*T_.StructType.fromDDL(COMPARED), *[d.schema[c] for c in keep]])
+    schema = T_.StructType([*[f for f in T_.StructType.fromDDL(COMPARED) if matches or f.name != "matches"], *[d.schema[c] for c in keep]])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +203,21 @@ def audit(source: DataFrame, fragments: DataFrame) -> DataFrame:
     source: (doc_id, page_number, tokens) in reading order, as source_tokens() gives them. Pages without a source token cover all; order ignores margins
     and callouts. Both sides are read once and meet in one join; all else is within a page's row.
     """
-    d = compare(field_tokens(fragments).join(source.select(*PAGE, F.col("tokens").alias("source")), PAGE, "left"), keep=("findings",))
+    return _audited(field_tokens(fragments).join(source.select(*PAGE, F.col("tokens").alias("source")), PAGE, "left"))
+
+
+def audit_rows(pages_: DataFrame) -> DataFrame:
+    """audit() of fragments that have their source's tokens beside them, as `tokens`: nothing is joined."""
+    return _audited(field_tokens(pages_, F.col("tokens").alias("source")))
+
+
+def _audited(sides: DataFrame) -> DataFrame:
+    d = compare(sides, keep=("findings",), matches=False)
     low = F.col("coverage") < LIMITS.coverage
     mixed = (F.col("order_score") < LIMITS.order) & (F.col("matched") >= LIMITS.order_matched)
     score = F.when(low, (LIMITS.coverage - F.col("coverage")) * 100).otherwise(0.0) + F.when(mixed, (LIMITS.order - F.col("order_score")) * 80).otherwise(0.0) + F.size("findings") * 10
     reasons = F.array_compact(F.concat(F.array(F.when(low, "coverage"), F.when(mixed, "order")), F.transform("findings", lambda f: F.concat_ws(":", f["rule"], f["block"].cast("string")))))
-    return d.withColumn("score", score).withColumn("reasons", reasons).withColumn("missing_sample", F.transform("missing", lambda x: x["token"])).drop("missing", "matches")
+    return d.withColumn("score", score).withColumn("reasons", reasons).withColumn("missing_sample", F.transform("missing", lambda x: x["token"])).drop("missing")
 
 
 def worst_pages(audited: DataFrame, n: int = 30) -> DataFrame:

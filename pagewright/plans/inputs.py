@@ -121,8 +121,8 @@ def sql_clean(x: str) -> str:
     return rf"regexp_replace(regexp_replace(regexp_replace({x}, '[\x{{E000}}-\x{{F8FF}}]|[\x00-\x08\x0B-\x1F]', '', 'g'), {hyphen}), {hyphen})"
 
 
-def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of blocks: k 3 a heading, k 6 code, k 0 and 1 list items, k 10 a table of a line and its number, others paragraphs; a head for each two pages, and a callout on each third."""
+def fragments(spark: SparkSession, sf_dir: str, *keep: Column) -> DataFrame:
+    """Pages of blocks: k 3 a heading, k 6 code, k 0 and 1 list items, k 10 a table of a line and its number, others paragraphs; a head for each two pages, and a callout on each third; `keep`: further columns, of paged()."""
     def made(x: Column, text: Column, item: Column) -> Column:
         n = x["line_no"]
         rows = F.array(F.array(F.lit("n"), F.lit("line|")), F.array(n.cast("string"), text))
@@ -142,7 +142,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_number")
     head = F.concat(F.lit("Chapter "), F.floor(p / 2).cast("string"))
     callout = F.when(p % 3 == 0, F.array(F.lit("Mind *this* & that"))).otherwise(F.array().cast("array<string>"))
-    return pages.select("doc_id", "page_number", F.array(head, p.cast("string")).alias("margin"), "blocks", callout.alias("callout"))
+    return pages.select("doc_id", "page_number", F.array(head, p.cast("string")).alias("margin"), "blocks", callout.alias("callout"), *keep)
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
