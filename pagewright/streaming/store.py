@@ -6,7 +6,8 @@
 A batch counts as soon as its entry is in the log, which one rename puts there, and not before: what a lost writer leaves is never read. A batch
 whose name is in the log is not written again, so a stream that repeats a batch repeats no row; a name has the stream's id in it, so no stream
 writes over another's. To rewrite a store is to add a batch that stands for others: there is no moment at which rows are missing or twice there. Of rows with one key,
-the one in the last batch counts. Files are read and written by Spark, so a store can be wherever Spark can write.
+the one in the last batch counts. Files are read and written by Spark, so a store can be wherever Spark can write. What is published is whole: a file of it that
+is torn, emptied or gone is an error to whoever reads the batch, whatever the session's settings.
 """
 
 from __future__ import annotations
@@ -47,8 +48,17 @@ class Store:
         found = {s.getPath().getName(): s.getModificationTime() for s in self._fs.listStatus(where)}
         return {n: t for n, t in sorted(found.items()) if not n.startswith(".")}
 
-    def _entry(self, batch: str) -> dict:
-        return json.loads("\n".join(r.value for r in self.spark.read.text(self._path("_log", batch).toString()).collect()))
+    def _entries(self, batches: Sequence[str]) -> dict[str, dict]:
+        """The log's entries of batches."""
+        if not batches:
+            return {}
+        found = self.spark.read.text([self._path("_log", b).toString() for b in batches], wholetext=True).select(F.input_file_name().alias("path"), "value").collect()
+        return {r.path.rpartition("/")[2]: json.loads(r.value) for r in found}
+
+    def _held(self, batch: str) -> dict[str, int]:
+        """How many files a batch's folder holds, and their bytes."""
+        found = self._fs.getContentSummary(self._path("batches", f"batch={batch}"))
+        return {"files": found.getFileCount(), "bytes": found.getLength()}
 
     def log(self) -> list[str]:
         """All batches ever published, in their order."""
@@ -57,7 +67,7 @@ class Store:
     def batches(self) -> list[str]:
         """Those that count, in their order: what no other stands for."""
         all_ = self.log()
-        gone = {old for b in all_ if ".rewrite-" in b for old in self._entry(b)["replaces"]}
+        gone = {old for e in self._entries([b for b in all_ if ".rewrite-" in b]).values() for old in e["replaces"]}
         return [b for b in all_ if b not in gone]
 
     def written(self, name: str) -> str | None:
@@ -75,10 +85,10 @@ class Store:
         return batch
 
     def publish(self, batch: str, replaces: Sequence[str] = ()) -> None:
-        """Put a written batch into the log, by one rename."""
+        """Put a written batch into the log, with the files it has, by one rename."""
         part, to = self._path("_log", f".{uuid.uuid4().hex}"), self._path("_log", batch)
         out = self._fs.create(part, True)
-        out.write(json.dumps({"replaces": list(replaces)}).encode())
+        out.write(json.dumps({"replaces": list(replaces), **self._held(batch)}).encode())
         out.close()
         if not self._fs.rename(part, to):
             raise OSError(f"can't publish {to.toString()}")
@@ -108,12 +118,16 @@ class Store:
         return self.spark.createDataFrame([], self.schema).columns
 
     def _files(self, batches: Sequence[str], buckets: Sequence[int] | None = None) -> DataFrame:
-        """Rows of batches with the batch and bucket they are in; files that are torn count as absent."""
+        """Rows of batches with the batch and bucket they are in; an error if a batch isn't as it was published, or a file can't be read."""
         if not batches:
             return self.spark.createDataFrame([], f"{self.schema}, batch string, bucket int")
+        for batch, entry in self._entries(batches).items():
+            # Spark passes over files that are gone or empty; entries of old don't tell how many there were
+            if "files" in entry and (held := self._held(batch)) != (was := {n: entry[n] for n in held}):
+                raise OSError(f"{self._path('batches', f'batch={batch}').toString()} isn't as it was published: {held} instead of {was}")
         paths = [self._path("batches", f"batch={b}").toString() for b in batches]
-        reader = self.spark.read.schema(f"{self.schema}, batch string, bucket int").option("basePath", self._path("batches").toString()).option("ignoreCorruptFiles", "true")
-        d = reader.parquet(*paths)
+        reader = self.spark.read.schema(f"{self.schema}, batch string, bucket int").option("basePath", self._path("batches").toString())
+        d = reader.option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").parquet(*paths)
         return d if buckets is None else d.where(F.col("bucket").isin(list(buckets)))
 
     def batch(self, batch: str) -> DataFrame:
