@@ -73,8 +73,9 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def raw_stream(spark: SparkSession, incoming: str) -> DataFrame:
-    """Raw pages of JSON files as they come; broken lines are dropped."""
-    return spark.readStream.schema(RAW_PAGE).option("mode", "DROPMALFORMED").json(incoming)
+    """Raw pages of JSON files as they come; a broken line stops the stream, which takes its batch again when it is started anew."""
+    reader = spark.readStream.schema(RAW_PAGE).option("mode", "FAILFAST")
+    return reader.option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").json(incoming)
 
 
 def stream_fragments(
