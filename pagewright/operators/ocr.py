@@ -1,7 +1,7 @@
 """The OCR path: detections of text on a page, in pixels at 300 dpi, to rows, paragraphs and blocks.
 
-Rows and paragraphs depend on the order of what came before, so they are folds, run in the JVM
-over a page's arrays. The recogniser itself is an input column.
+Rows and paragraphs depend on the order of what came before, so they are folds; Arrow functions take them a
+step at a time over all pages of a batch (row_folds). The recogniser itself is an input column.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
-from pagewright.functions.steps import bind, once
-from pagewright.operators import spatial
+from pagewright.functions.steps import once
+from pagewright.operators import row_folds, spatial
 from pagewright.schema import BLOCK, BOX, LIMITS
 
 PX = 300 / 72
 ROWS = f"array<{BOX}>"
 GROUP = f"struct<y0:double,y1:double,boxes:array<{BOX}>>"
-PLACED = f"struct<at:int,y0:double,y1:double,boxes:array<{BOX}>>"
-PARAGRAPH = "struct<text:string,x0:double,x1:double,y0:double,y1:double,heading:boolean,tallest:double>"
+GUTTER = "struct<left:double,right:double>"
+PARAGRAPH = "struct<text:string,x0:double,x1:double,y0:double,y1:double,level:int>"
 
 
 def boxes(detections: Column) -> Column:
@@ -29,187 +29,34 @@ def boxes(detections: Column) -> Column:
     return F.transform(seen, lambda d: F.struct(F.array_min(x(d)).alias("x0"), F.array_max(x(d)).alias("x1"), F.array_min(y(d)).alias("y0"), F.array_max(y(d)).alias("y1"), d["text"].alias("text")))
 
 
-def _by_centre(items: Column) -> Column:
-    """Sorted by centre height, then as they came."""
-    keyed = F.array_sort(F.transform(items, lambda b, i: F.struct(((b["y0"] + b["y1"]) / 2).alias("c"), i.alias("i"), b.alias("b"))))
-    return F.transform(keyed, lambda k: k["b"])
-
-
-def _by_left(items: Column) -> Column:
-    keyed = F.array_sort(F.transform(items, lambda b, i: F.struct(b["x0"].alias("x0"), i.alias("i"), b.alias("b"))))
-    return F.transform(keyed, lambda k: k["b"])
-
-
-def _init(items: Column) -> Column:
-    return F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
-
-
-def _last(items: Column) -> Column:
-    return F.get(items, F.size(items) - 1)
-
-
 def group_rows(items: Column) -> Column:
-    """Boxes, from the top, each into the first row made so far whose height it shares by half; array<struct<y0, y1, boxes>>.
-
-    Boxes come by their centres. A range whose centre lies below a row's end shares less than half with it, so a row that ends well above a box's centre takes no
-    more boxes: it is done, and only the few others are looked at.
-    """
-    # what bind() makes is copied: that is the few rows that may still take boxes, never those that are done
-    few = f"struct<n:int,gone:array<{PLACED}>,rows:array<{PLACED}>>"
-    none = F.array().cast(f"array<{PLACED}>")
-    start = F.struct(none.alias("done"), F.struct(F.lit(0).alias("n"), none.alias("gone"), none.alias("rows")).alias("few")).cast(f"struct<done:array<{PLACED}>,few:{few}>")
-
-    def step(s: Column, b: Column) -> Column:
-        n, ended = s["few"]["n"], lambda r: F.coalesce(r["y1"] + 1 < (b["y0"] + b["y1"]) / 2, F.lit(False))
-
-        def into(rows: Column) -> Column:
-            fits = F.array_min(F.transform(rows, lambda r: F.when(G.vertical_iou(b["y0"], b["y1"], r["y0"], r["y1"]) >= LIMITS.row_overlap, r["at"])))
-            gone = F.filter(s["few"]["rows"], ended)
-            alone = F.struct(n.alias("at"), b["y0"].alias("y0"), b["y1"].alias("y1"), F.array(b).alias("boxes")).cast(PLACED)
-            grown = lambda r: F.struct(r["at"].alias("at"), F.least(r["y0"], b["y0"]).alias("y0"), F.greatest(r["y1"], b["y1"]).alias("y1"), F.concat(r["boxes"], F.array(b)).alias("boxes")).cast(PLACED)
-
-            def placed(at: Column) -> Column:
-                more = F.struct((n + 1).alias("n"), gone.alias("gone"), F.concat(rows, F.array(alone)).alias("rows"))
-                same = F.struct(n.alias("n"), gone.alias("gone"), F.transform(rows, lambda r: F.when(r["at"] == at, grown(r)).otherwise(r)).alias("rows"))
-                return F.when(at.isNull(), more.cast(few)).otherwise(same.cast(few))
+    """Boxes, from the top, each into the first row made so far whose height it shares by half; array<struct<y0, y1, boxes>>. It can't stand within a lambda, nor can what follows."""
+    return F.arrow_udf(row_folds.group_rows, f"array<{GROUP}>")(items.cast(ROWS))
 
-            return bind(fits, placed)
 
-        done = F.when(F.size(s["few"]["gone"]) > 0, F.concat(s["done"], s["few"]["gone"])).otherwise(s["done"])
-        return F.struct(done.alias("done"), bind(F.filter(s["few"]["rows"], lambda r: ~ended(r)), into).alias("few")).cast(f"struct<done:array<{PLACED}>,few:{few}>")
+def rows(items: Column, gutter: Column | None = None) -> Column:
+    """Visual rows of boxes, from the top: their boxes' bounds and texts; blank ones dropped.
 
-    made = F.aggregate(_by_centre(items).cast(ROWS), start, step, lambda s: F.array_sort(F.concat(s["done"], s["few"]["gone"], s["few"]["rows"])))
-    return F.transform(made, lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), r["boxes"].alias("boxes")).cast(GROUP))
-
-
-def row_text(items: Column) -> Column:
-    return F.array_join(F.filter(F.transform(items, lambda b: b["text"]), lambda t: ~T.blank(t)), " ")
-
-
-def split_place(row: Column, gutter: Column) -> Column:
-    """How many of a row's boxes, sorted from the left, stay left of a split; null for none.
-
-    A split is at the first gap that spans the gutter, or else at the widest (of equal ones the first), if wide enough. A
+    A row is split at the first gap that spans the gutter, or else at the widest (of equal ones the first), if wide enough; the right part is looked at again. A
     page number alone on the right is no column.
     """
-    gaps = F.transform(F.sequence(F.lit(1), F.size(row) - 1), lambda i: F.struct(i.alias("i"), (F.get(row, i)["x0"] - F.get(row, i - 1)["x1"]).alias("g")))
-
-    def place(gaps: Column) -> Column:
-        spans = F.filter(gaps, lambda x: (x["g"] > 0) & (F.get(row, x["i"] - 1)["x1"] <= gutter["right"]) & (F.get(row, x["i"])["x0"] >= gutter["left"]))
-
-        def at_widest(widest: Column) -> Column:
-            others = F.transform(F.filter(gaps, lambda x: x["i"] != -widest["i"]), lambda x: x["g"])
-            median = F.when(F.size(others) > 0, G.upper_median(others))
-            wide = (widest["g"] >= LIMITS.split_gap_px) & ~F.coalesce((median > 0) & (widest["g"] < median * LIMITS.split_gap_ratio), F.lit(False))
-            return F.when(wide, -widest["i"])
-
-        widest = F.array_max(F.transform(gaps, lambda x: F.struct(x["g"].alias("g"), (-x["i"]).alias("i"))))
-        return F.coalesce(F.get(spans, F.lit(0))["i"], bind(widest, at_widest))
-
-    at = bind(gaps, place)
-    number = lambda n: T.is_page_number(row_text(F.slice(row, n + 1, F.size(row))))
-    return F.when(F.size(row) > 1, bind(at, lambda n: F.when(~number(n), n)))
-
-
-def split_row(items: Column, gutter: Column) -> Column:
-    """A row's boxes parted into columns' rows, array<array<box>>: the left part is done, the right one is looked at again."""
-    state = f"struct<done:array<{ROWS}>,rest:{ROWS}>"
-    start = F.struct(F.array().cast(f"array<{ROWS}>").alias("done"), _by_left(items).cast(ROWS).alias("rest")).cast(state)
-
-    def step(s: Column, _: Column) -> Column:
-        def part(n: Column) -> Column:
-            whole = F.struct(F.concat(s["done"], F.array(s["rest"])).alias("done"), F.array().cast(ROWS).alias("rest"))
-            cut = F.struct(F.concat(s["done"], F.array(F.slice(s["rest"], F.lit(1), n))).alias("done"), F.slice(s["rest"], n + 1, F.size(s["rest"])).alias("rest"))
-            return F.when(n.isNull(), whole).otherwise(cut).cast(state)
+    fold = F.arrow_udf(row_folds.rows, ROWS)
+    return fold(items.cast(ROWS)) if gutter is None else fold(items.cast(ROWS), gutter.cast(GUTTER))
 
-        return F.when(F.size(s["rest"]) == 0, s).otherwise(bind(split_place(s["rest"], gutter), part))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(items)), start, step)["done"]
-
-
-def rows(items: Column, gutter: Column) -> Column:
-    """Visual rows of boxes, from the top: their boxes' bounds and texts; blank ones dropped."""
-
-    def row(own: Column) -> Column:
-        lo = lambda n: F.array_min(F.transform(own, lambda b: b[n]))
-        hi = lambda n: F.array_max(F.transform(own, lambda b: b[n]))
-        return F.struct(lo("x0").alias("x0"), hi("x1").alias("x1"), lo("y0").alias("y0"), hi("y1").alias("y1"), row_text(own).alias("text")).cast(BOX)
-
-    parted = F.flatten(F.transform(group_rows(items), lambda g: split_row(g["boxes"], gutter)))
-    return _by_centre(F.filter(F.transform(parted, row), lambda r: ~T.blank(r["text"])))
-
-
-def _heading_text(text: Column) -> Column:
-    t = T.rstrip(text)
-    return (F.length(text) <= LIMITS.ocr_heading_length) & (t != "") & ~T.ends_finished(t) & ~T.is_numeric_heavy(text) & ~t.rlike(T.TRAILING_NUMBER) & ~t.rlike(T.LEADING_NUMBER)
-
-
-def _unpadded(text: Column) -> Column:
-    """T.rstrip of a long text that seldom ends in white space, without a search through all of it."""
-    return F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), T.rstrip(text)).otherwise(text)
-
-
-def _tall(height: Column, median: Column) -> Column:
-    return (median > 0) & (height >= median * LIMITS.ocr_heading_h3)
-
-
-def _near(height: Column, gap: Column, median: Column) -> Column:
-    return (median > 0) & (gap <= median * LIMITS.ocr_continued_gap) & (height >= median * LIMITS.ocr_continued_height)
-
-
-def looks_like_heading(height: Column, text: Column, median: Column) -> Column:
-    return _tall(height, median) & _heading_text(text)
-
-
-def goes_on_as_heading(height: Column, text: Column, gap: Column, median: Column) -> Column:
-    return _near(height, gap, median) & _heading_text(text)
-
-
-def median_height(items: Column) -> Column:
-    m = G.upper_median(F.transform(items, lambda r: r["y1"] - r["y0"]))
-    return F.when(m == 0, F.lit(10.0)).otherwise(m)
+def rows_each(items: Column, gutters: Column) -> Column:
+    """rows() of arrays of boxes, each with its gutter."""
+    return F.arrow_udf(row_folds.of_each(row_folds.rows), f"array<{ROWS}>")(items.cast(f"array<{ROWS}>"), gutters.cast(f"array<{GUTTER}>"))
 
 
 def paragraphs(items: Column) -> Column:
     """Rows joined to paragraphs, array<struct<text, x0, x1, y0, y1, level>>; level is null but for headings."""
+    return F.arrow_udf(row_folds.paragraphs, f"array<{PARAGRAPH}>")(items.cast(ROWS))
 
-    def joined(median: Column) -> Column:
-        seen = F.transform(
-            items,
-            lambda r: F.struct(
-                r.alias("r"), (r["y1"] - r["y0"]).alias("h"), _heading_text(r["text"]).alias("titled"),
-                (r["text"].rlike(T.LEADING_NUMBER) | T.list_item(r["text"]).isNotNull()).alias("entry"),
-            ),
-        )
-
-        def step(acc: Column, x: Column) -> Column:
-            return F.when(F.size(acc) == 0, F.array(fresh(x))).otherwise(bind(_last(acc), lambda last: bind(_unpadded(last["text"]), lambda before: _next(acc, x, last, before))))
-
-        def head(x: Column) -> Column:
-            return _tall(x["h"], median) & x["titled"]
-
-        def fresh(x: Column) -> Column:
-            r = x["r"]
-            return F.struct(r["text"].alias("text"), r["x0"].alias("x0"), r["x1"].alias("x1"), r["y0"].alias("y0"), r["y1"].alias("y1"), head(x).alias("heading"), x["h"].alias("tallest")).cast(PARAGRAPH)
-
-        def _next(acc: Column, x: Column, last: Column, before: Column) -> Column:
-            r = x["r"]
-            gap = r["y0"] - last["y1"]
-            goes_on = last["heading"] & (head(x) | _near(x["h"], gap, median) & x["titled"])
-            end = F.right(before, F.lit(8))
-            finished = (before == "") | T.ends_finished(end) | end.rlike(T.TRAILING_NUMBER) | (last["heading"] & ~goes_on)
-            longer = F.struct(
-                F.concat_ws(" ", before, r["text"]).alias("text"), last["x0"].alias("x0"), F.greatest(last["x1"], r["x1"]).alias("x1"), last["y0"].alias("y0"), r["y1"].alias("y1"),
-                goes_on.alias("heading"), F.greatest(last["tallest"], x["h"]).alias("tallest"),
-            ).cast(PARAGRAPH)
-            merge = (gap <= median * LIMITS.paragraph_gap) & ~x["entry"] & ~finished
-            return F.when(F.coalesce(merge, F.lit(False)), F.concat(_init(acc), F.array(longer))).otherwise(F.concat(acc, F.array(fresh(x))))
-
-        out = F.aggregate(seen, F.array().cast(f"array<{PARAGRAPH}>"), step)
-        level = lambda p: F.when(p["heading"], F.when(p["tallest"] >= median * LIMITS.ocr_heading_h2, 2).otherwise(3)).cast("int")
-        return F.transform(out, lambda p: F.struct(*[p[n].alias(n) for n in ("text", "x0", "x1", "y0", "y1")], level(p).alias("level")))
 
-    return bind(median_height(items), joined)
+def paragraphs_each(items: Column) -> Column:
+    """paragraphs() of arrays of rows."""
+    return F.arrow_udf(row_folds.of_each(row_folds.paragraphs), f"array<array<{PARAGRAPH}>>")(items.cast(f"array<{ROWS}>"))
 
 
 def by_column(all_: Column, gutter: Column) -> Column:
@@ -230,10 +77,11 @@ def entries(ps: Column, column: Column, region: Column) -> Column:
 
 def region_entries(d: DataFrame) -> DataFrame:
     """d with `regions` array<struct<boxes, gutter, region>>, replaced by `entries`, those of all regions in order. In steps, so that no expression nests too deep."""
-    d = once(d, "regions", F.transform("regions", lambda r: F.struct(rows(r["boxes"], r["gutter"]).alias("rows"), r["gutter"].alias("gutter"), r["region"].alias("region"))))
+    d = once(d, "_rows", rows_each(F.transform("regions", lambda r: r["boxes"]), F.transform("regions", lambda r: r["gutter"])))
+    d = once(d, "regions", F.transform("regions", lambda r, i: F.struct(F.get("_rows", i).alias("rows"), r["gutter"].alias("gutter"), r["region"].alias("region"))))
     d = once(d, "regions", F.flatten(F.transform("regions", lambda r: F.transform(by_column(r["rows"], r["gutter"]), lambda c: F.struct(c["column"].alias("column"), c["rows"].alias("rows"), r["region"].alias("region"))))))
-    d = once(d, "regions", F.transform("regions", lambda r: F.struct(r["column"].alias("column"), r["region"].alias("region"), paragraphs(r["rows"]).alias("ps"))))
-    return once(d, "entries", F.flatten(F.transform("regions", lambda r: entries(r["ps"], r["column"], r["region"])))).drop("regions")
+    d = once(d, "_ps", paragraphs_each(F.transform("regions", lambda r: r["rows"])))
+    return once(d, "entries", F.flatten(F.transform("regions", lambda r, i: entries(F.get("_ps", i), r["column"], r["region"])))).drop("regions", "_rows", "_ps")
 
 
 def pixels(r: Column) -> Column:
@@ -276,8 +124,7 @@ def extract_ocr_pages(pages: DataFrame, images_dir: str | None = None) -> DataFr
 
     main = F.filter("boxes", lambda b: ~F.exists("images", lambda r: inside(b, r)) & ~F.exists("callouts", lambda r: inside(b, r)))
     own = lambda r: F.filter("boxes", lambda b: inside(b, r) & ~F.exists("images", lambda m: inside(b, m)))
-    gutter = "struct<left:double,right:double>"
-    region = lambda own, g, n: F.struct(own.cast(ROWS).alias("boxes"), g.cast(gutter).alias("gutter"), F.lit(n).alias("region"))
+    region = lambda own, g, n: F.struct(own.cast(ROWS).alias("boxes"), g.cast(GUTTER).alias("gutter"), F.lit(n).alias("region"))
     boxed = F.transform("callouts", lambda r: region(own(r), px(spatial.callout_gutter(F.col("texts"), r)), 1))
     d = once(d, "boxed", boxed)
     d = once(d, "regions", F.concat(F.array(region(main, F.col("gutter"), 0)), F.col("boxed")))

@@ -162,8 +162,8 @@ def _shared(a: Column, b: Column) -> Column:
     return F.filter(both, lambda g: g["r"] - g["l"] >= GUTTER)
 
 
-def aligned_tables(text_blocks: Column, drawings: Column, taken: Column) -> Column:
-    """array<RAW_TABLE> of runs of rows with common gutters, outside the rectangles `taken`.
+def aligned_tables(rows: Column, drawings: Column) -> Column:
+    """array<RAW_TABLE> of runs of rows, as group_rows() makes them of _segments(), with common gutters.
 
     A row of several cells goes on in a run whose gutters it leaves free in part; a row of one cell if it crosses none of them. Rows further apart than NEAR heights begin anew.
     """
@@ -222,7 +222,7 @@ def aligned_tables(text_blocks: Column, drawings: Column, taken: Column) -> Colu
         some = F.filter(F.transform(runs, trimmed), lambda r: (F.size(r["rows"]) >= LIMITS.table_size) & (F.size(r["gutters"]) > 0))
         return _bind(rulings(drawings), lambda lines: F.filter(F.transform(some, lambda r: judged(lines, r)), lambda t: t.isNotNull()))
 
-    return _bind(_segments(text_blocks, taken), ocr.group_rows, found)
+    return _bind(rows, found)
 
 
 def find_tables(pages: DataFrame, aligned: bool = False) -> DataFrame:
@@ -236,14 +236,18 @@ def find_tables(pages: DataFrame, aligned: bool = False) -> DataFrame:
     drawn = F.when(look, F.coalesce("drawings", F.array().cast(kind["drawings"]))).otherwise(F.array().cast(kind["drawings"]))
     texts = F.filter(F.coalesce("blocks", F.array().cast(kind["blocks"])), lambda b: b["type"] == 0)
     d = once(pages, "_boxes", spatial.merge_touching(rulings(drawn)))
-
-    def with_aligned(ruled: Column) -> Column:
-        return F.concat(ruled, aligned_tables(texts, F.coalesce("drawings", F.array().cast(kind["drawings"])), F.transform(ruled, lambda t: t["bbox"]))) if aligned else ruled
+    all_drawn = F.coalesce("drawings", F.array().cast(kind["drawings"]))
 
     def sorted_(all_: Column) -> Column:
         keyed = F.array_sort(F.transform(all_, lambda t, i: F.struct(t["bbox"]["y0"].alias("y"), t["bbox"]["x0"].alias("x"), i.alias("i"))))
         return F.transform(keyed, lambda k: F.get(all_, k["i"]))
 
-    found = _bind(ruled_tables(texts, drawn, F.col("_boxes")), with_aligned, sorted_).cast(kind["raw_tables"])
     with deep_folds(pages.sparkSession):
+        ruled = F.col("_ruled")
+        d = once(d, "_ruled", F.when(look, ruled_tables(texts, drawn, F.col("_boxes"))))
+        if aligned:
+            # a column of its own: with this expression for its argument, Spark was seen to leave the function in the plan, where it can't be evaluated
+            d = once(d, "_segments", F.when(look, _segments(texts, F.transform(ruled, lambda t: t["bbox"]))))
+            d = once(d, "_rows", ocr.group_rows(F.col("_segments")))
+        found = _bind(F.concat(ruled, aligned_tables(F.col("_rows"), all_drawn)) if aligned else ruled, sorted_).cast(kind["raw_tables"])
         return once(d, "raw_tables", F.when(look, found).otherwise(F.col("raw_tables"))).select(*pages.columns)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
 from pagewright.functions.steps import once
-from pagewright.operators import ocr, pages, spatial, tables
+from pagewright.operators import ocr, pages, row_folds, spatial, tables
 from pagewright.plans.inputs import sql_clean, table
 from pagewright.schema import BOX, BULLETS, LINK_GOTO, LINK_URI, RAW_BLOCK, RECT, RUN
 from pagewright.sources.readers import lines
@@ -122,25 +124,31 @@ def q_column_gap(spark, d):
     return p.where("g is not null").select("doc_id", "g.left", "g.right")
 
 
-def _words(spark, d):
-    """All words of the documents, sixty to a page, as detections on rows of four, with jitter."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != "")
+def _word_lists(spark, d):
+    """All words of the documents, sixty to a page: (doc_id, page, own)."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), "")
     p = once(table(spark, d, "documents").select("doc_id", "text"), "w", words).select("doc_id", "w").where(F.size("w") > 0)
     # a page takes its own words out of a document's; all words on each of its pages would be work by their square
     own = lambda page: F.transform(F.sequence(page * 60, F.least(page * 60 + 59, F.size("w") - 1)), lambda i: F.get(F.col("w"), i))
-    p = p.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 60).cast("int")), own)).alias("page", "own"))
+    return p.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 60).cast("int")), own)).alias("page", "own"))
+
 
-    def box(w, i):
-        x, y = (i % 4) * 120 + F.when(i % 4 >= 2, 260).otherwise(0), F.floor(i / 4) * 30 + (doc_id() + i) % 5
-        return F.struct(x.cast("double").alias("x0"), (x + 90).cast("double").alias("x1"), y.cast("double").alias("y0"), (y + 20).cast("double").alias("y1"), w.alias("text")).cast(BOX)
+def _detections():
+    """Boxes of a page's words as detections on rows of four, with jitter."""
 
-    return p.select("doc_id", "page", F.transform("own", box).alias("boxes"))
+    def boxes(own: pa.Array, number: pa.Array) -> pa.Array:
+        n = row_folds.lengths(own)
+        i = row_folds.ranges(np.zeros_like(n), n)
+        x = i % 4 * 120 + np.where(i % 4 >= 2, 260, 0)
+        y = i // 4 * 30 + np.fmod(np.repeat(number.to_numpy(zero_copy_only=False), n) + i, 5)
+        sides = [row_folds.doubles(v.astype(np.float64)) for v in (x, x + 90, y, y + 20)]
+        return row_folds.listed(n, pa.StructArray.from_arrays([*sides, own.flatten()], [*row_folds.SIDES, "text"]))
 
+    return F.arrow_udf(boxes, f"array<{BOX}>")("own", "doc_id")
 
-def _rows(spark, d):
-    p = once(_words(spark, d), "rows", ocr.rows(F.col("boxes"), F.lit(None).cast("struct<left:double,right:double>")))
-    return p.select("doc_id", "page", "rows")
 
+def _words(spark, d):
+    return _word_lists(spark, d).select("doc_id", "page", _detections().alias("boxes"))
 
 
 _BOX = "STRUCT(x0 INT, y0 INT, i INT, w VARCHAR)"
@@ -185,7 +193,8 @@ _MARKED = rf"'^([{BULLETS}]\s+\S|[0-9]{{1,2}}[.)]\s+\S)'"
 @query(f"WITH RECURSIVE {_SQL_ROWS} SELECT doc_id, page::INT AS page, row_no, x0, x1, y0, y1, text FROM V")
 def q_rows(spark, d):
     """Visual rows of detections, columns parted at wide gaps."""
-    return _rows(spark, d).select("doc_id", "page", F.posexplode("rows").alias("row_no", "r")).select("doc_id", "page", "row_no", "r.*")
+    p = once(_word_lists(spark, d), "rows", ocr.rows(_detections()))
+    return p.select("doc_id", "page", F.posexplode("rows").alias("row_no", "r")).select("doc_id", "page", "row_no", "r.*")
 
 
 def _sql_reflow() -> str:
@@ -208,7 +217,7 @@ SELECT doc_id, page::INT AS page, par::INT AS at, text, x0, x1, y0, y1, CASE WHE
 FROM (SELECT * FROM R QUALIFY row_number() OVER (PARTITION BY doc_id, page, par ORDER BY row_no DESC) = 1) JOIN M USING (doc_id, page)""")
 def q_reflow(spark, d):
     """Rows joined to paragraphs."""
-    p = _rows(spark, d).select("doc_id", "page", ocr.paragraphs(F.col("rows")).alias("ps"))
+    p = once(_word_lists(spark, d), "ps", ocr.paragraphs(ocr.rows(_detections())))
     return p.select("doc_id", "page", F.posexplode("ps").alias("at", "p")).select("doc_id", "page", "at", "p.*")
 
 
